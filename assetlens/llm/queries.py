@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, secrets
+from . import chat, decontam, jaccard, langid, media, quality, secrets, tokenbin
 from .common import read_table, shared_dir
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "media")
+    media.write_archives(read_table(spark, sf_dir, "documents"), folder)
+    return media.media_digest(media.read_archives(spark, folder))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -19,9 +25,35 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(read_table(spark, sf_dir, "documents"), shared_dir(spark, "secret-ledger"))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-files")
+    shards = tokenbin.write_token_files(read_table(spark, sf_dir, "documents"), folder, tokenizer_file())
+    return tokenbin.token_digest(shards, folder)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_secret_scan, op7_decontamination)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    found = langid.identify(documents.select("doc_id", "text"), langid.train(documents))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_chat_formatting, op5_secret_scan, op6_token_binary, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_quality)}

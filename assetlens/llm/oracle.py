@@ -24,4 +24,72 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(text_len + CASE WHEN opens THEN {len(chat.OPEN + chat.SEP + chat.CLOSE)} + role_len ELSE {len(chat.PART)} END)::BIGINT AS formatted_chars,
        count(*) FILTER (WHERE opens)::BIGINT AS n_blocks
 FROM e GROUP BY conv_id""",
+    "op2_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS line_text
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), k AS (
+  SELECT doc_id, line, list_transform(regexp_extract_all(line_text, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS t FROM l
+), p AS (
+  SELECT doc_id, line, len(t) || ' ' || array_to_string(t, ' ') AS template FROM k WHERE len(t) >= 5
+  UNION ALL
+  SELECT doc_id, line, len(t) || '/' || b || ' ' || array_to_string(list_transform(t, lambda x, i: CASE WHEN i - 1 >= 3 + (len(t) - 3) * b // 4 AND i - 1 < 3 + (len(t) - 3) * (b + 1) // 4 THEN '<*>' ELSE x END), ' ')
+  FROM k, range(4) r(b) WHERE len(t) >= 12
+), r AS (
+  SELECT template, min((doc_id, line)) AS first FROM p GROUP BY template HAVING min(doc_id) <> max(doc_id)
+), g AS (
+  SELECT DISTINCT p.doc_id, p.line FROM p JOIN r USING (template) WHERE (p.doc_id, p.line) <> r.first
+)
+SELECT d.doc_id, d.n_lines, count(g.line)::BIGINT AS n_dropped, coalesce(string_agg(g.line::VARCHAR, ',' ORDER BY g.line), '') AS dropped
+FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents) d LEFT JOIN g USING (doc_id)
+GROUP BY d.doc_id, d.n_lines""",
+    "op5_secret_scan": r"""
+WITH m AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS rank, 12 AS least, regexp_split_to_array(text, a) AS gaps, regexp_extract_all(text, a) AS found, regexp_extract_all(text, a, 2) AS kept
+  FROM (SELECT doc_id, coalesce(text, '') AS text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS a FROM documents)
+  UNION ALL
+  SELECT doc_id, 'access', 1, 18, regexp_split_to_array(coalesce(text, ''), 'AKIA[A-Z0-9]+'), regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') FROM documents
+  UNION ALL
+  SELECT doc_id, 'hex', 2, 16, regexp_split_to_array(coalesce(text, ''), '[0-9a-f]{16,}'), regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}'), regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}') FROM documents
+), s AS (
+  SELECT doc_id, kind, rank, least, unnest(found) AS hit, unnest(kept) AS kept, generate_subscripts(found, 1) AS i, gaps, found FROM m WHERE len(found) > 0
+), e AS (
+  SELECT doc_id, kind, rank, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS lo, length(hit) AS n
+  FROM s WHERE length(kept) >= least
+), j AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, rank) AS spans
+  FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN j USING (doc_id)""",
+    "op7_decontamination": r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(w[i + 1:i + 10], ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 9))) AS i FROM iw WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), pos AS (
+  SELECT doc_id, w, unnest(range(len(w))) AS i FROM dw
+), occ AS (
+  SELECT p.doc_id, p.i, win.item_id, win.n FROM pos p, (SELECT DISTINCT n FROM win) l, win
+  WHERE p.i + l.n <= len(p.w) AND win.n = l.n AND win.win = array_to_string(p.w[p.i + 1:p.i + l.n], ' ')
+), hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM occ, range(10) r(k) WHERE k < n GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 3))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY ALL""",
 }

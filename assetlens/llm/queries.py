@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, media, quality, secrets, tokenbin
+from . import chat, decontam, jaccard, langid, linededup, media, mixing, quality, secrets, tokenbin
 from .common import read_table, shared_dir
 
 
@@ -14,6 +15,20 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_archives(spark, folder))
 
 
+#: Targets of the mix: shares of languages, and powers of the present shares of sources and topics.
+MIX = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}, "topic": 0.8}
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.recurring_lines(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read_table(spark, sf_dir, "documents"), MIX, 0.5)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -56,4 +71,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_chat_formatting, op5_secret_scan, op6_token_binary, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_chat_formatting, op5_secret_scan, op6_token_binary, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_quality)}

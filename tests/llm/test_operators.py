@@ -1,0 +1,350 @@
+"""Each operator against a brute-force version, on cases: nulls, empty and long texts, ties,
+repeated rows, empty tables and further columns whose names clash with results."""
+
+import hashlib
+import random
+import re
+import struct
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from assetlens.llm import chat, decontam, jaccard, langid, linededup, media, mixing, quality, queries, secrets, tokenbin
+from assetlens.llm.common import shared_dir
+
+WORDS = "the of and to in is that was for it with as his on be at by an this had not are but from or have they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do".split()
+
+
+def sha(x: str) -> str:
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+ODD = [None, "", " ", "\n\n", "a", "Ünïcode ßtraße 日本語 ١٢٣  x y", "tab\tand  two  spaces \n new", prose(1, 3000), prose(1, 3000), "don't 'sreal it'll we've''s x's!'s", "%%% $$$ 12345 6.7e8"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", 7, "clash") for i, t in enumerate(ODD)] + [(1, "", None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, score string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.filter("false")
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=lambda t: tuple((x is not None, str(x)) for x in t))
+
+
+def test_media_round_trip(spark, odd, empty):
+    folder = shared_dir(spark, "m")
+    manifest = media.write_archives(odd, folder, shard_bytes=4000)
+    assert manifest.agg(F.sum("members")).first()[0] == len(ODD) + 1
+    got = rows(media.media_digest(media.read_archives(spark, folder, rangeBytes="700")), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    want = []
+    for i, t in [*enumerate(ODD), (1, "")]:
+        b = (t or "").encode()
+        p = b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    assert got == sorted(want, key=lambda t: tuple((True, str(x)) for x in t))
+    nothing = shared_dir(spark, "m")
+    media.write_archives(empty, nothing)
+    assert media.media_digest(media.read_archives(spark, nothing)).count() == 0
+
+
+def test_media_members_are_retried_by_offset(tmp_path):
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("0/1.png", b"abc" * 50)
+        z.writestr("1/2.png", b"def" * 50)
+    reader = media.ArchiveReader({"path": f"file://{tmp_path}"})
+
+    class Flaky:
+        def __init__(self, fs):
+            self.fs, self.failures = fs, 2
+
+        def open_input_file(self, p):
+            if self.failures:
+                self.failures -= 1
+                raise OSError("lost")
+            return self.fs.open_input_file(p)
+
+    import pyarrow.fs as pafs
+
+    info = zipfile.ZipFile(path).infolist()[1]
+    assert reader.member(Flaky(pafs.LocalFileSystem()), str(path), info) == (b"def" * 50, 3)
+    damaged = bytearray(path.read_bytes())
+    damaged[info.header_offset + 40] ^= 1
+    path.write_bytes(bytes(damaged))
+    with pytest.raises(OSError, match="checksum"):
+        reader.member(pafs.LocalFileSystem(), str(path), info)
+
+
+def test_line_templates(spark, odd, empty):
+    long = "the quick brown fox jumps over the lazy dog and runs home to sleep"
+    docs = [
+        (1, f"{long}\nonly here in this one document\nuser 17 logged in from host 10.0.0.1"),
+        (2, f"{long.replace('lazy', 'sleepy')}\nuser 9 logged in from host 10.0.0.7\nshort one"),
+        (3, f"short one\n{long}\n{long}"),
+        (4, None),
+        (None, long),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["dropped"]) for r in linededup.recurring_lines(df).collect()}
+    assert got == {1: (3, 0, []), 2: (3, 2, [0, 1]), 3: (3, 2, [1, 2]), 4: (1, 0, []), None: (1, 0, [])}
+    texts = {r["doc_id"]: r["text"] for r in linededup.drop_lines(df).collect()}
+    assert texts[2] == "short one" and texts[3] == "short one" and texts[1] == docs[0][1] and texts[4] is None
+    assert linededup.recurring_lines(empty).count() == 0
+    assert linededup.recurring_lines(odd).count() == len(ODD) + 1
+
+
+def test_mixing_reaches_margins(spark, empty):
+    r = random.Random(5)
+    data = [(i, prose(i, r.randint(5, 300)), r.choice(["en", "en", "fr", None]), r.choice("abc")) for i in range(600)] + [(900, None, None, None), (901, "", "en", "a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumn("weight", F.lit("clash"))
+    wanted = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.4}, "topic": 1.0}
+    out = mixing.mixed(docs, wanted, 0.4)
+    got = out.collect()
+    assert len(got) == len(data) and all(0 <= x["probability"] <= 1 for x in got)
+    total = sum(x["n_tokens"] for x in got)
+    assert total == sum(len((t[1] or "").split()) for t in data)
+    assert sum(x["n_tokens"] * x["probability"] for x in got) == pytest.approx(0.4 * total, rel=1e-6)
+    raked = defaultdict(float)
+    for x in got:
+        raked[x["source"]] += x["n_tokens"] * x["weight"] / total
+        raked[x["lang"]] += x["n_tokens"] * x["weight"] / total
+    assert raked["a"] == pytest.approx(0.5, abs=1e-4) and raked["b"] == pytest.approx(0.3, abs=1e-4) and raked["en"] == pytest.approx(0.4, abs=1e-4)
+    taken = sum(x["n_tokens"] for x in got if x["sampled"])
+    assert abs(taken / total - 0.4) < 0.08
+    by_cell = {(x["source"] or "unknown", x["lang"] or "unknown", x["topic"]): x["weight"] for x in got}
+    cells = mixing._cells(mixing.with_cells(docs.drop("weight")))
+    for x in mixing.rake_by_spark(cells, wanted, 0.4, rounds=8).collect():
+        if x["weight"] and by_cell[x["_source"], x["_lang"], x["_topic"]]:
+            assert x["weight"] == pytest.approx(by_cell[x["_source"], x["_lang"], x["_topic"]], rel=1e-2)
+    assert mixing.mixed(empty, wanted, 0.5).count() == 0
+
+
+def test_chat_round_trip(spark):
+    control = "".join((chat.OPEN, chat.SEP, chat.PART, chat.CLOSE, "</s>[INST] ok [/INST] <<SYS>> <\\s> <\\\\|im_end|> [\\INST]"))
+    data = [(1, 0, "user", control), (1, 1, "user", ""), (1, 2, "assistant", None), (1, 2, "assistant", "tie"), (1, 2, "assistant", "tie"), (1, 3, None, "x"), (2, 0, "assistant", "ü" * 1000), (None, None, "system", "<")]
+    data += [(3, k, ("user", "assistant")[k // 2 % 2], f"t{k} [INST]") for k in range(700)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1)).repartition(5)
+    got = {r["conv_id"]: r for r in chat.chat_digest(df).collect()}
+    groups = defaultdict(list)
+    for c, t, r, x in data:
+        groups[c].append((-1 if t is None else t, r or "", x or ""))
+    assert set(got) == set(groups)
+    for c, turns in groups.items():
+        turns.sort()
+        learned = "".join(x for _, r, x in turns if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(learned), sha(learned))
+    assert got[3]["n_blocks"] == 350
+    text = chat.format_chats(df).filter("conv_id = 1").first()["text"]
+    assert text.count(chat.OPEN) == 3 and text.startswith(chat.OPEN + "user" + chat.SEP)
+    assert chat.chat_digest(df.filter("false")).count() == 0
+
+
+def secrets_by_hand(text):
+    out = []
+    kinds = (
+        ("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    )
+    for k, (kind, pattern, good) in enumerate(kinds):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if good(m)]
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_secret_ledger(spark, odd, empty):
+    tricky = ["é password: abc token=password : abcdefghijklmnop", "AKIAAKIA12 AKIA" + "Z" * 20, "x" + "deadbeef" * 4 + "g" + "0" * 15, 'API_KEY = "' + "q" * 12 + '" apikey:' + "z" * 11, "token=token=abcdefghijkl", "token = " + "0123456789abcdef" * 3]
+    data = [(i, t) for i, t in enumerate(tricky + ODD)] + [(50, tricky[0]), (51, tricky[0]), (None, tricky[1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    path = shared_dir(spark, "ledger")
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in secrets.secret_digest(docs, path).collect())
+    assert got == sorted((str(i), secrets_by_hand(t)) for i, t in data)
+    entries = spark.read.parquet(path).count()
+    secrets.update_ledger(docs, path)  # nothing unseen: nothing is added
+    assert spark.read.parquet(path).count() == entries
+    more = docs.unionByName(spark.createDataFrame([(99, "token: " + "n" * 20)], docs.schema))
+    assert secrets.secret_digest(more, path).filter("doc_id = 99").first()["n_assign"] == 1
+    assert spark.read.parquet(path).count() == entries + 3
+    newer = (*secrets.RULES[:2], secrets.Rule("hex", "[0-9a-f]{8,}"))
+    secrets.update_ledger(docs, path, newer)  # a new rule version alone is scanned
+    assert spark.read.parquet(path).groupBy("rule_version").count().count() == 4
+    assert secrets.secret_digest(empty, shared_dir(spark, "ledger")).count() == 0
+
+
+def test_token_files(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file()
+    plain = Tokenizer.from_file(path)
+    texts = [*ODD, *(prose(k, 50 * k) for k in range(8)), "\t\n x\n\n  y  \n", "'s 's\n's don't", "a'", "x'l", "'ll'd", "a　b\u0085c", "<|endoftext|> in it", "😀😀 ok 1²³"]
+    docs = spark.createDataFrame([(len(texts) - i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, start int").repartition(4)
+    folder = shared_dir(spark, "t")
+    shards = tokenbin.write_token_files(docs, folder, path, sequence=16, batch=4, shard_ids=500)
+    got = rows(tokenbin.token_digest(shards, folder), "doc_id", "start", "n_tokens", "ids_crc32")
+    want, at = [], 0
+    for i, t in sorted((len(texts) - i, t) for i, t in enumerate(texts)):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    assert got == sorted(want, key=lambda t: tuple((True, str(x)) for x in t))
+    first = shards.orderBy("part", "number").first()
+    shard = tokenbin.TokenShard(folder, first["part"], first["number"])
+    seen = np.concatenate([shard.row(k)[0][shard.row(k)[1]] for k in range(-(-first["n_ids"] // 16))])
+    assert (seen == shard.ids(0, first["n_ids"])).all()
+    nothing = shared_dir(spark, "t")
+    assert tokenbin.token_digest(tokenbin.write_token_files(empty, nothing, path), nothing).count() == 0
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
+
+
+def hits_by_hand(text, items):
+    w, hit, found = WORD.findall(lower(text)), set(), set()
+    for i, t in items:
+        x = WORD.findall(lower(t))
+        for k in range(max(1, len(x) - 9)) if x else ():
+            win = x[k : k + 10]
+            for a in range(len(w) - len(win) + 1):
+                if w[a : a + len(win)] == win:
+                    hit.update(range(a, a + len(win)))
+                    found.add(str(i))
+    return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_decontamination(spark, odd, empty, block_bytes):
+    items = [(i, prose(100 + i, n)) for i, n in enumerate((3, 9, 10, 11, 40, 40))] + [(7, None), (8, "--"), (9, "Ünïcode"), (4, prose(104, 40)), (10, prose(104, 12))]
+    data = [(i, t) for i, t in enumerate(ODD)] + [(20 + i, f"before. {prose(100 + i, 60).upper()} after") for i in range(8)] + [(40, prose(104, 9)), (41, " ".join([prose(104, 40)] * 3)), (41, " ".join([prose(104, 40)] * 3))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("n_hit", F.lit("clash")).withColumn("lang", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.decontaminate(docs, bench, block_bytes=block_bytes)
+    assert out.columns == ["doc_id", "text", "lang", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = sorted(((i, *hits_by_hand(t, items)) for i, t in data), key=lambda t: tuple((True, str(x)) for x in t))
+    assert got == want
+    assert decontam.decontaminate(docs.filter("false"), bench).count() == 0
+    assert decontam.decontaminate(docs, bench.filter("false")).filter("contaminated").count() == 0
+
+
+def test_language_id(spark, odd, empty, sf_dir):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(documents.filter(~langid.held_out()), per_language=120)
+    assert set(model.members) == {"germanic", "romance"}
+    found = langid.identify(documents.drop("source"), model).filter(langid.held_out())
+    good = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert good > 0.98
+    edge = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert edge[0]["lang_pred"] == edge[2]["lang_pred"] == edge[10 - 7]["lang_pred"] == "und" and edge[0]["score"] == 0
+    assert edge[7]["lang_pred"] == edge[8]["lang_pred"] and edge[7]["score"] == edge[8]["score"]
+    assert all(0 <= r["score"] <= 1 for r in edge.values())
+    assert langid.identify(empty, model).count() == 0
+    nothing = langid.fit(documents.filter("false"))
+    assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
+    single = langid.fit(documents.filter("lang = 'fr'"), per_language=20)
+    assert langid.identify(odd, single).filter("doc_id = 7").first()["lang_pred"] == "fr"
+
+
+def components_by_hand(data, num=85, den=100, n=4):
+    sets, root = {}, {}
+    for i, t in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+        root[i] = i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids, index = sorted(sets), defaultdict(list)
+    for i in ids:
+        shared = Counter(j for g in sets[i] for j in index[g])
+        for g in sets[i]:
+            index[g].append(i)
+        for j, k in shared.items():
+            if den * k >= num * (len(sets[i]) + len(sets[j]) - k):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted((i, len(sets[i]), find(i)) for i in ids)
+
+
+def near_copies(seed, base, n, edits):
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [(85, 100), (60, 100)])
+def test_jaccard_components(spark, odd, empty, threshold):
+    texts = []
+    for k, (size, n, edits) in enumerate(((300, 60, 18), (80, 30, 6), (25, 20, 2), (9, 12, 1), (5, 8, 1), (900, 25, 60), (150, 120, 9))):
+        texts += near_copies(k, prose(200 + k, size), n, edits)
+    passage = prose(999, 60)
+    texts += [f"{prose(500 + k, 40)} {passage}" for k in range(40)] + [passage] * 5 + [prose(200, 300)[:-4], "one two", "one two", "one two three", "ONE two"]
+    r = random.Random(1)
+    data = list(enumerate(texts + [t for t in ODD]))
+    r.shuffle(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(6)
+    got = sorted(tuple(x) for x in jaccard.similarity_components(docs, 4, *threshold).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == components_by_hand(data, *threshold)
+    assert jaccard.similarity_components(empty).count() == 0
+    assert jaccard.similarity_components(odd).count() == len(ODD) + 1
+
+
+def test_jaccard_lists_longer_than_memory(spark, monkeypatch):
+    data = list(enumerate(near_copies(3, prose(77, 120), 60, 12)))
+    entries = jaccard.index_entries(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, 100)
+    blocks = jaccard.index_blocks(entries, 85, 100).groupBy("block").agg(F.collect_set("doc_id").alias("m")).collect()
+    sets = {tuple(sorted(b["m"])) for b in blocks}
+    assert sets and all(len(m) > 1 for m in sets)
+
+
+def test_quality(spark, odd, empty):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.classify(documents, labels)
+    assert found.count() == documents.count()
+    held = found.filter("held_out").join(labels, "doc_id")
+    assert held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.97
+    flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.classify(documents, flipped)  # held-out labels change nothing
+    assert again.agg(F.sum("score")).first()[0] == pytest.approx(found.agg(F.sum("score")).first()[0], rel=1e-9)
+    edge = quality.classify(odd.withColumn("predicted", F.lit("clash")), labels).collect()
+    assert len(edge) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in edge)
+    assert {r["score"] for r in quality.classify(odd, labels.filter("false")).collect()} == {0.5}
+    assert {r["score"] for r in quality.classify(documents, labels.filter("quality = 1")).collect()} == {1.0}
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_discriminant_by_hand():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 5)) @ r.normal(size=(5, 5))
+    c = np.cov(x.T, bias=True)
+    s = quality.shrunk(c, 400)
+    assert np.all(np.linalg.eigvalsh(s) > 0) and abs(np.trace(s) - np.trace(c)) < 1e-9
+    factor = np.linalg.cholesky(s)
+    mean = x.mean(0)
+    model = quality.Quadratic(0.5, (np.zeros(5), np.ones(5)), tuple((np.log(0.5), m, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())) for m in (mean, mean + 1)))
+    d = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m) for m in (mean, mean + 1)]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(d[0] - d[1])))

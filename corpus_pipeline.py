@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assetlens.llm import decontam
-from assetlens.llm.common import read_table, stored
+from assetlens.llm import decontam, jaccard, langid, mixing, tokenbin
+from assetlens.llm.common import read_table, shared_dir, stored
+from assetlens.llm.queries import MIX, tokenizer_file
+
+#: Share of the tokens that the mix takes.
+BUDGET = 0.8
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those that the classifier rejects go."""
+    found = langid.identify(docs, langid.train(docs))
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least doc_id, of each group of linked documents."""
+    found = jaccard.similarity_components(docs)
+    copies = found.filter("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +32,32 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.filter("not contaminated").select(docs.columns)
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample in which source, language and topic have their target weights."""
+    return mixing.mixed(docs, MIX, BUDGET).filter("sampled").select(docs.columns)
+
+
+def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the corpus, and each document's place in them."""
+    folder = shared_dir(spark, "corpus-tokens")
+    shards = tokenbin.write_token_files(docs, folder, tokenizer_file())
+    return tokenbin.token_digest(shards, folder)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("token-ID / binary output", token_binary),
+]
+#: SQL can't express the classifier, the raking or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

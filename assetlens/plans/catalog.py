@@ -1,6 +1,6 @@
-"""All registered queries of the reference's own operators and their SQL."""
+"""All registered queries of the register, extraction and streaming operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import scalar_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401

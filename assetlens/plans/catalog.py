@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import scalar_queries  # noqa: F401
+from . import register_queries, scalar_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

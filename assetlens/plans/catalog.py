@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import register_queries, scalar_queries, version_queries  # noqa: F401
+from . import page_queries, register_queries, scalar_queries, version_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -22,6 +22,7 @@ no shard and no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -39,7 +40,8 @@ BATCH = 128
 SHARD_IDS = 16 << 20
 END_ID = 2
 #: Pieces kept with their ids in each worker; beyond, the store starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 2_000_000
+PIECES_AT_ONCE = 5_000
 
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 4, 255
 
@@ -58,9 +60,9 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, self.width), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn_kinds(self, codes: np.ndarray) -> None:
         for code in np.unique(codes[self.kind[codes] == _UNKNOWN]).tolist():
@@ -112,15 +114,15 @@ class PieceEncoder:
         lo = self.starts(codes, first[:-1])
         hi = np.append(lo[1:], len(codes))
         hashes, where, inverse = np.unique(span_hashes(codes, lo, hi), return_index=True, return_inverse=True)
-        if len(self.row) > KEPT_PIECES:
+        if len(self.keys) > KEPT_PIECES:
             self._clear()
-        known = list(map(self.row.get, hashes.tolist()))
-        new = [k for k, x in enumerate(known) if x is None]
-        if new:
+        place = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes if len(self.keys) else np.ones(len(hashes), bool))
+        if len(new):
             spans = zip(lo[where[new]].tolist(), hi[where[new]].tolist())
-            for k, e in zip(new, self.tokenizer.encode_batch_fast([whole[a:b] for a, b in spans], add_special_tokens=False)):
-                known[k] = self._keep(int(hashes[k]), e.ids)
-        rows = np.array(known, np.int64)[inverse]
+            self._keep(hashes[new], [whole[a:b] for a, b in spans])
+            place = np.searchsorted(self.keys, hashes)
+        rows = self.rows[place][inverse]
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -128,16 +130,35 @@ class PieceEncoder:
         upto = np.concatenate([[0], ends])[cut]
         return ids, np.diff(upto, prepend=0)
 
-    def _keep(self, key: int, ids: list[int]) -> int:
-        k = self.row[key] = len(self.row)
-        if k >= len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
+    def _keep(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encodes new pieces (in order of their keys) and keeps their ids."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            some = pieces[at : at + PIECES_AT_ONCE]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, self.width))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.at[k], self.size[k] = self.used, len(ids)
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), self.width)])
         self.flat[self.used : self.used + len(ids)] = ids
+        rows = np.arange(len(self.at), len(self.at) + len(keys))
+        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
         self.used += len(ids)
-        return k
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows)
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """The worker's encoder for a tokenizer file: later tasks use the pieces that earlier ones met."""
+    if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 class _ShardWriter:
@@ -204,10 +225,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         out = _ShardWriter(folder, encoder.width, sequence, batch)
         end, done = np.array([end_id], encoder.width), []
-        for part in slices(batches):
+        for part in slices(batches, limit=1 << 20):
             ids, counts = encoder.encode(part.column("text").to_pylist())
             at = 0
             for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):

@@ -58,7 +58,7 @@ def drift_monitor(checks: DataFrame) -> DataFrame:
     """checks (device_id, at, status, every, unit, manual) -> a row for each with pause and schedule after it."""
     if not checks.isStreaming:
 
-        def batch(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def batch(key, pdf):
             return _drift_frame(key[0], _drift_steps(None, pdf.sort_values(["at", "status"]))[1])
 
         return checks.groupBy("device_id").applyInPandas(batch, _DRIFT)

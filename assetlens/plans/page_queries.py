@@ -265,6 +265,12 @@ def j3_signature_flow(t):
     return J.signature_flow(signatures(t).selectExpr("id", "sheet_id", "role", "signed_at AS at"))
 
 
+@query("SELECT user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS idempotency_key, count(*) > 0 AS taken FROM events GROUP BY 1")
+def j4_ingest_once(t):
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd"))
+    return J.ingest_once(t.events.select(key.alias("idempotency_key"), F.col("ts").alias("at"))).select("idempotency_key", F.lit(True).alias("taken"))
+
+
 @query("SELECT user_id AS job_id, event_id AS id, row_number() OVER w AS sequence, round(max(greatest(0.0, least(100.0, (value - 5) / 80 * 100))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS percent, round(max(greatest(0.0, least(100.0, (value - 5) / 80 * 100))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) >= 100 AS terminal FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def j5_monotonic_progress(t):
     return J.monotonic_progress(t.events.selectExpr("user_id AS job_id", "event_id AS id", "value - 5 AS completed", "80D AS total"))

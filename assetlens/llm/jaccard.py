@@ -22,6 +22,10 @@ Jaccard distance is a metric), or they have become connected meanwhile.  Rounds
 list has two components left, or all its pairs have been settled: no link between different sets
 is lost, and no list is ever cut off.
 
+Before the exact comparison, a pair must pass two exact bounds: the sizes' ratio, and the number of
+bits in which the sets' parity bitmaps (``BITS`` bits: is the number of elements with this hash
+odd?) differ, which is at most the number of elements in which the sets differ.
+
 Cases: null text, or text without words, is an empty set and links with nothing (component: its
 own doc_id); rows of one doc_id are one node, each with its own size; a null doc_id has a null
 component; a text of any length is read whole; an empty table gives no rows; other columns are
@@ -38,9 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, span_hashes, stored, texts_of
 
-SHINGLE, NUM, DEN = 4, 85, 100
+SHINGLE, NUM, DEN, BITS = 4, 85, 100, 512
 #: Growth of the size classes; leaders of a list compared in rounds 1, 2, ...; members of one leader compared in one task.
-GROWTH, LEADERS, FAN = 1.6, (1, 32, 1024, 32768), 256
+GROWTH, LEADERS, FAN = 1.6, (16, 256, 4096, 65536), 256
 #: Rows of one list held in memory; a longer one isn't divided into blocks.
 LIST_ROWS = 1 << 16
 
@@ -75,6 +79,15 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity of the number of elements at each of BITS hashes, as rows of signed 64-bit numbers."""
+    owner = np.repeat(np.arange(len(sets)) * BITS, [len(s) for s in sets])
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    place = (mix64(every ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(owner + place, minlength=len(sets) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), BITS), axis=1).view(np.int64)
+
+
 class Parts:
     """Size classes and numbers of parts for a threshold num/den."""
 
@@ -130,17 +143,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2): the size and name of each document's set."""
+    """(doc_id, n_shingles, k1, k2, bits): the size, name and parity bitmap of each document's set."""
 
     def run(batches):
         for batch in slices(batches):
             sets = sets_of(texts_of(batch.column("text")), shingle)
             keys = [set_keys(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"]
-            )
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys])]
+            bits = pa.array(bitmaps(sets).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, bits], names=["doc_id", "n_shingles", "k1", "k2", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bits array<long>")
 
 
 def index_entries(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -216,7 +229,11 @@ def index_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) -> (a, b, common, size_a, size_b, sets_a), exactly, from the texts."""
+    """(a, b) -> (a, b, common, size_a, size_b, sets_a), exactly, from the texts.
+
+    The ids grow with the input, so they are never broadcast: the joins are merge joins at any size.
+    """
+    texts = texts.hint("merge")
     fan = F.floor((F.row_number().over(W.partitionBy("a").orderBy("b")) - 1) / FAN)
     pairs = pairs.select("a", "b", fan.alias("fan"))
     left = pairs.select("a", "fan").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "text")
@@ -271,11 +288,20 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.select("node", F.coalesce("root", "comp").alias("comp"), *[c for c in labels.columns if c not in ("node", "comp")]), "labels")
 
 
-def _first_pairs(lists: DataFrame) -> DataFrame:
-    """For each member the leader (least member of a block) it shares most blocks with."""
+def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) that the sizes and bitmaps in ``info`` (node, n, bits) don't rule out."""
+    a, b = info.toDF("a", "_na", "_ba"), info.toDF("b", "_nb", "_bb")
+    differ = sum((F.bit_count(F.get("_ba", F.lit(i)).bitwiseXOR(F.get("_bb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    near = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (differ * (den + num) <= (F.col("_na") + F.col("_nb")) * (den - num))
+    return pairs.join(a, "a").join(b, "b").filter(near).select(pairs.columns).distinct()
+
+
+def _first_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """For each member the leader (least member of a block) it shares most blocks with, of those it may link with."""
     leader = lists.groupBy("block").agg(F.min("node").alias("a"))
-    shared = lists.join(leader, "block").filter("a <> node").groupBy("a", "node").count()
-    return shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("count", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    shared = lists.join(leader, "block").filter("a <> node").groupBy("a", F.col("node").alias("b")).count()
+    good = _may_link(shared, info, num, den)
+    return good.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -289,8 +315,9 @@ def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den
     labels = nodes.select("node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("double").alias("distance"))
     if nodes.isEmpty():
         return labels
-    texts = stored(_rows(docs).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
-    pairs, tried, limit = _first_pairs(lists), None, 1 - num / den + 1e-9
+    texts = stored(_rows(docs).join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    info = stored(sets.filter("doc_id = rep").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "bits").join(nodes, "node", "left_semi"), "info")
+    pairs, tried, limit = stored(_first_pairs(lists, info, num, den), "pairs"), None, 1 - num / den + 1e-9
     for k in range(1 << 30):
         done = stored(compare(pairs, texts, shingle), "compared")
         if k == 0:
@@ -314,7 +341,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den
         new = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("b.rank") > F.col("a.rank")) & ~far)
         new = new.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(new.join(known, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_may_link(new.join(known, ["a", "b"], "left_anti"), info, num, den), "pairs")
         lists = own.filter(F.col("rank") > leaders).select("block", "node")
 
 
@@ -323,7 +350,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NU
     sets = stored(document_sets(docs, shingle), "sets")
     known = sets.filter("doc_id is not null")
     rep = known.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = stored(known.filter("n_shingles > 0").join(rep, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "classes")
+    classes = stored(known.filter("n_shingles > 0").join(rep, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "bits"), "classes")
     comps = linked_classes(docs, classes, shingle, num, den).select(F.col("node").alias("rep"), "comp")
     joined = classes.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sets.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -258,21 +258,23 @@ def compare(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
     return dealt.mapInArrow(run, "a long, b long, common long, size_a long, size_b long, sets_a long")
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    n, m = edges.agg(F.count("u"), F.count_distinct("u")).first()
+    return n == m and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (u, v): the least node of each component, by star contraction."""
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = stored(small.filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _links(compared: DataFrame, num: int, den: int) -> Column:
@@ -288,20 +290,26 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.select("node", F.coalesce("root", "comp").alias("comp"), *[c for c in labels.columns if c not in ("node", "comp")]), "labels")
 
 
-def _may_link(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, ...) that the sizes and bitmaps in ``info`` (node, n, bits) don't rule out."""
-    a, b = info.toDF("a", "_na", "_ba"), info.toDF("b", "_nb", "_bb")
-    differ = sum((F.bit_count(F.get("_ba", F.lit(i)).bitwiseXOR(F.get("_bb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    near = (F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num) & (differ * (den + num) <= (F.col("_na") + F.col("_nb")) * (den - num))
-    return pairs.join(a, "a").join(b, "b").filter(near).select(pairs.columns).distinct()
+def _side(rows: DataFrame, info: DataFrame, side: str) -> DataFrame:
+    """``rows`` (node, ...) with the sizes and bitmaps of ``info`` (node, size, bits), all columns named for a side."""
+    joined = rows.join(info, "node")
+    return joined.toDF(*(f"{side}_{c}" for c in joined.columns))
+
+
+def _near(num: int, den: int) -> Column:
+    """Whether the sizes and bitmaps of sides a and b allow a link; true where they aren't known."""
+    a, b = F.col("a_size"), F.col("b_size")
+    differ = sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return F.coalesce((F.least(a, b) * den >= F.greatest(a, b) * num) & (differ * (den + num) <= (a + b) * (den - num)), F.lit(True))
 
 
 def _first_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """For each member the leader (least member of a block) it shares most blocks with, of those it may link with."""
     leader = lists.groupBy("block").agg(F.min("node").alias("a"))
-    shared = lists.join(leader, "block").filter("a <> node").groupBy("a", F.col("node").alias("b")).count()
-    good = _may_link(shared, info, num, den)
-    return good.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("a"), "b")
+    shared = lists.join(leader, "block").filter("a <> node").groupBy("a", "node").count()
+    ends = _side(shared, info, "b").join(info.toDF("b_a", "a_size", "a_bits"), "b_a").filter(_near(num, den))
+    best = ends.groupBy(F.col("b_node").alias("b")).agg(F.max(F.struct("b_count", (-F.col("b_a")).alias("less"))).alias("m"))
+    return best.select((-F.col("m.less")).alias("a"), "b")
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -316,17 +324,20 @@ def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den
     if nodes.isEmpty():
         return labels
     texts = stored(_rows(docs).join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-    info = stored(sets.filter("doc_id = rep").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "bits").join(nodes, "node", "left_semi"), "info")
+    known = sets.filter("doc_id = rep").join(nodes, F.col("rep") == F.col("node"), "left_semi").groupBy(F.col("rep").alias("node"))
+    single = F.count(F.lit(1)) == 1  # a doc_id with several rows may have several sets
+    info = stored(known.agg(F.when(single, F.first("n_shingles")).alias("size"), F.when(single, F.first("bits")).alias("bits")), "info")
     pairs, tried, limit = stored(_first_pairs(lists, info, num, den), "pairs"), None, 1 - num / den + 1e-9
     for k in range(1 << 30):
-        done = stored(compare(pairs, texts, shingle), "compared")
-        if k == 0:
-            apart = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-            once = done.withColumn("d", apart).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("pivot"), F.min("d").alias("distance"), F.count("d").alias("n"), F.max("sets_a").alias("m"))
-            pivots = once.filter("n = 1 and m = 1").drop("n", "m")
-            labels = labels.drop("pivot", "distance").join(pivots, "node", "left")
-        labels = _merge(labels, done.filter(_links(done, num, den)))
-        tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
+        if not pairs.isEmpty():
+            done = stored(compare(pairs, texts, shingle), "compared")
+            if k == 0:
+                apart = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+                once = done.withColumn("d", apart).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("pivot"), F.min("d").alias("distance"), F.count("d").alias("n"), F.max("sets_a").alias("m"))
+                pivots = once.filter("n = 1 and m = 1").drop("n", "m")
+                labels = labels.drop("pivot", "distance").join(pivots, "node", "left")
+            labels = _merge(labels, done.filter(_links(done, num, den)))
+            tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
         # Blocks that still have several components; members of the smaller ones lead.
         own = lists.join(labels, "node")
         open_ = own.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
@@ -336,12 +347,15 @@ def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den
         if own.isEmpty():
             return labels
         leaders = LEADERS[min(k, len(LEADERS) - 1)]
-        a, b = own.filter(F.col("rank") <= leaders).alias("a"), own.alias("b")
-        far = F.coalesce((F.col("a.pivot") == F.col("b.pivot")) & (F.abs(F.col("a.distance") - F.col("b.distance")) > limit), F.lit(False))
-        new = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("b.rank") > F.col("a.rank")) & ~far)
-        new = new.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(_may_link(new.join(known, ["a", "b"], "left_anti"), info, num, den), "pairs")
+        a, b = _side(own.filter(F.col("rank") <= leaders), info, "a"), _side(own, info, "b")
+        far = F.coalesce((F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_distance") - F.col("b_distance")) > limit), F.lit(False))
+        apart = (F.col("a_comp") != F.col("b_comp")) & (F.col("b_rank") > F.col("a_rank")) & ~far
+        new = a.join(b, (F.col("a_block") == F.col("b_block")) & apart & _near(num, den))
+        pairs = new.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        if tried is not None:
+            known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
         lists = own.filter(F.col("rank") > leaders).select("block", "node")
 
 

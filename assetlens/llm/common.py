@@ -59,15 +59,15 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def slices(batches, column: str = "text", limit: int = CHUNK_BYTES):
-    """Re-cuts record batches so that each slice has about ``limit`` bytes of text, one row at least."""
+def slices(batches, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 14):
+    """Re-cuts record batches so that each slice has about ``limit`` bytes of text, one row at least and ``rows`` at most."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths)
         lo = 0
         while lo < batch.num_rows:
             done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + limit, "right")))
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, done + limit, "right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

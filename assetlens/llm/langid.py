@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, mix64, only, slices, texts_of, widened
+from .common import appended, mix64, only, slices, stored, texts_of, widened
 
 SAMPLE_PER_LANGUAGE = 600
+#: Texts whose counts are held at once.
+ROWS = 512
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Families of languages (fixed values).
@@ -61,18 +63,18 @@ def vectors(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> np.ndarray:
-    """Weights (bias last) of a squared-hinge support vector machine, classes weighed equally."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
+    """Weights (bias last) of a squared-hinge support vector machine, classes weighed equally; all in float32."""
+    x, y = np.hstack([x, np.ones((len(x), 1), np.float32)]), y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32) * len(y)
     step = 1 / (1 + 2 * c * float((weight[:, None] * x**2).sum()) / len(y))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1], np.float32)
     ahead, t = w, 1.0
     for _ in range(rounds):  # accelerated gradient
         slack = np.maximum(0, 1 - y * (x @ ahead))
         new = ahead - step * (ahead - 2 * c / len(y) * ((weight * slack * y) @ x))
         t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, w = new + (was - 1) / t * (new - w), new
-    return w.astype(np.float32)
+    return w
 
 
 @dataclass
@@ -125,11 +127,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: i
     picked = rows.select("text", "lang", draw.alias("draw")).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
 
     def features(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, rows=ROWS):
             x = vectors(texts_of(batch.column("text")), buckets).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "draw", "x"])
 
-    drawn = picked.mapInArrow(features, "lang string, draw long, x binary")
+    drawn = stored(picked.mapInArrow(features, "lang string, draw long, x binary"), "language-sample")
     sample: dict[str, list] = {lang: drawn.filter(F.col("lang") == lang).orderBy("draw", "x").limit(per_language).collect() for lang in sorted(counts)}
     data = {lang: np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) for lang, got in sample.items() if got}
     members: dict[str, list[str]] = {}
@@ -154,7 +156,7 @@ def identify(docs: DataFrame, model: Model, buckets: int = BUCKETS) -> DataFrame
     sent = context.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, rows=ROWS):
             lang, score = sent.value.predict(vectors(texts_of(batch.column("text")), buckets))
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             lang[~letters], score[~letters] = UNKNOWN, 0.0

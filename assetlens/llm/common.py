@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables stored while a job runs; leaving the ``with`` block deletes them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(df.sparkSession, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for uri in self.paths:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            fs.delete_dir(path)
+
+
 def only(df: DataFrame, *drop: str) -> DataFrame:
     """``df`` without the columns named, whatever their case: results replace clashing inputs."""
     gone = {x.lower() for x in drop}
@@ -87,27 +111,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n:
-        steps = np.full(n, _BASE, np.uint64)
-        steps[0] = 1
-        _power = np.cumprod(steps)
-        steps[1:] = pow(_BASE, -1, 1 << 64)
-        _inverse = np.cumprod(steps)
-    return _power[:n], _inverse[:n]
-
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``codes`` (bytes or code points), by prefix sums."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(0x51)) * power[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one by BLAKE2b.
+LONG_WORD = 64
+
+
+@dataclass
+class Words:
+    """The words of texts that lie end to end in ``data``, each followed by a newline."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    upto: np.ndarray  # words before each text's end
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.upto, prepend=0)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of a 128-bit hash of each word; eight bytes at a time are mixed into the state."""
+        size = self.ends - self.starts
+        lanes = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        lo = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        hi = lo ^ np.uint64(0xC2B2AE3D27D4EB4F)
+        for at in range(0, LONG_WORD, 8):
+            live = np.flatnonzero(size > at)
+            if not len(live):
+                break
+            x = lanes[self.starts[live] + at] & _LANE[np.minimum(size[live] - at, 8)]
+            a, b = lo[live], hi[live]
+            a = mix64((a ^ x) * np.uint64(0xD6E8FEB86659FD93) + b)
+            lo[live], hi[live] = a, mix64((b + x) * np.uint64(0xA0761D6478BD642F) ^ a)
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16, key=b"assetlens").digest()
+            lo[k], hi[k] = np.frombuffer(digest, np.uint64)
+        return lo, hi
+
+
+def words_in(texts: list[bytes], lower: bool = False) -> Words:
+    """Words between ASCII blanks; ``lower`` lower-cases A-Z."""
+    whole = b"\n".join([*texts, bytes(8)])
+    data = np.frombuffer(whole.lower() if lower else whole, np.uint8)
+    blank = _BLANK[data[:-8]]
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(blank) and not blank[0]:
+        turns = np.concatenate([[0], turns])
+    starts, ends = turns[::2], turns[1::2]
+    return Words(data, starts, ends, np.searchsorted(starts, np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))))

@@ -1,6 +1,6 @@
 """Exact Jaccard join on word shingles, with set-relation skipping.
 
-A text's set is its distinct shingles of ``SHINGLE`` words (64-bit hashes).  Two sets link when
+A text's set is its distinct shingles of ``SHINGLE`` words, by 128-bit hashes.  Two sets link when
 ``den * intersection >= num * union``.  Equal sets form one class; only classes are joined, and
 the answer is each document's component, so copies are never expanded into pairs.
 
@@ -15,9 +15,9 @@ skipped without being looked at.
 
 Answers from similar sets.  In a list, not all pairs are compared.  First each set is compared
 with the one leader it shares most lists with; a linked set takes over the leader's component.
-Lists whose members all have one component are done.  In what remains, members of the smaller
-components are compared with the members of other components, some leaders of a list at a time,
-unless their known distances to a common leader differ by more than the threshold distance (the
+Lists whose members all have one component are done.  In what remains, members outside a list's
+largest component are compared with the members of other components, some leaders of a list at a
+time, unless their known distances to a common leader differ by more than the threshold distance (the
 Jaccard distance is a metric), or they have become connected meanwhile.  Rounds go on until no
 list has two components left, or all its pairs have been settled: no link between different sets
 is lost, and no list is ever cut off.
@@ -34,55 +34,61 @@ ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, span_hashes, stored, texts_of
+from .common import Scratch, mix64, slices, stored, texts_of, words_in
 
 SHINGLE, NUM, DEN, BITS = 4, 85, 100, 512
 #: Growth of the size classes; leaders of a list compared in rounds 1, 2, ...; members of one leader compared in one task.
 GROWTH, LEADERS, FAN = 1.6, (16, 256, 4096, 65536), 256
-#: Rows of one list held in memory; a longer one isn't divided into blocks.
-LIST_ROWS = 1 << 16
-
-_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def sets_of(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    data = np.frombuffer(b" ".join(texts).translate(_LOWER) + b" ", np.uint8)
-    blank = _BLANK[data]
-    edge = np.diff(blank.astype(np.int8), prepend=1)
-    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
-    word = span_hashes(data, starts, ends)
-    text_ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    upto = np.searchsorted(starts, text_ends)
-    from_ = np.concatenate([[0], upto[:-1]])
-    last = np.repeat(upto, upto - from_)  # end of each word's text, in words
-    place = np.arange(len(word))
-    mixed = np.zeros(len(word), np.uint64)
-    padded = np.concatenate([word, np.zeros(shingle, np.uint64)])
-    for k in range(shingle):
-        part = mix64(padded[k : k + len(word)] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64))
-        mixed += np.where(place + k < last, part, np.uint64(0))
-    mixed = mix64(mixed)
-    return [np.unique(mixed[a : max(a + 1, b - shingle + 1)]) if b > a else mixed[:0] for a, b in zip(from_.tolist(), upto.tolist())]
+#: Rows of one list held in memory, a longer one is cut as it streams by; sets that a task remembers having entered.
+LIST_ROWS, SEEN = 1 << 16, 1 << 19
+
+
+class Shingles(NamedTuple):
+    """A set: the sorted first halves of its elements' 128-bit hashes, and the second halves beside them."""
 
+    lo: np.ndarray
+    hi: np.ndarray
 
-def set_keys(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
+    @property
+    def key(self) -> tuple[int, int]:
+        """128 bits that name the set."""
+        return int(self.lo.sum(dtype=np.uint64).view(np.int64)), int(mix64(self.hi).sum(dtype=np.uint64).view(np.int64))
 
+    def common(self, other: Shingles) -> int:
+        """Number of common elements, by all 128 bits."""
+        _, i, j = np.intersect1d(self.lo, other.lo, assume_unique=True, return_indices=True)
+        return int((self.hi[i] == other.hi[j]).sum())
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+
+def sets_of(texts: list[bytes], shingle: int = SHINGLE) -> list[Shingles]:
+    """The set of each text: its distinct sequences of ``shingle`` words, or its only, shorter one."""
+    words = words_in(texts, lower=True)
+    halves, count, ends = words.hashes(), words.counts, words.upto
+    left = np.repeat(ends, count) - np.arange(len(halves[0]))  # words up to the text's end
+    mixed = [np.full(len(left), 0x9E3779B97F4A7C15, np.uint64), np.zeros(len(left), np.uint64)]
+    for k in range(shingle):
+        full = np.flatnonzero(left > k)
+        own, other = (h[full + k] for h in halves)
+        mixed[0][full] = mix64((mixed[0][full] ^ own) * np.uint64(0xD6E8FEB86659FD93) + other)
+        mixed[1][full] = mixed[1][full] * np.uint64(0xA0761D6478BD642F) + (own ^ other)
+    out = []
+    for a, b in zip((ends - count).tolist(), ends.tolist()):
+        lo, first = np.unique(mixed[0][a : max(a + 1, b - shingle + 1) if b > a else a], return_index=True)
+        out.append(Shingles(lo, mixed[1][a:b][first]))
+    return out
+
+
+def bitmaps(sets: list[Shingles]) -> np.ndarray:
     """Parity of the number of elements at each of BITS hashes, as rows of signed 64-bit numbers."""
-    owner = np.repeat(np.arange(len(sets)) * BITS, [len(s) for s in sets])
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)) * BITS, [len(s.lo) for s in sets])
+    every = np.concatenate([s.lo for s in sets]) if sets else np.zeros(0, np.uint64)
     place = (mix64(every ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BITS)).astype(np.int64)
     odd = (np.bincount(owner + place, minlength=len(sets) * BITS) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(len(sets), BITS), axis=1).view(np.int64)
@@ -111,13 +117,13 @@ class Parts:
         return which[some], group[some]
 
 
-def signatures(sets: list[np.ndarray], parts: Parts) -> tuple[np.ndarray, ...]:
+def signatures(sets: list[Shingles], parts: Parts) -> tuple[np.ndarray, ...]:
     """Index entries: list hash, set number, position, size."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s.lo) for s in sets], np.int64)
     which, group = parts.entries(sizes)
     if not len(which):
         return (np.zeros(0, np.int64),) * 4
-    elements = np.concatenate([sets[k] for k in which])
+    elements = np.concatenate([sets[k].lo for k in which])
     size, n_parts = sizes[which], parts.parts[group]
     base = np.cumsum(n_parts) - n_parts
     salt = mix64(group.astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
@@ -148,8 +154,8 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             sets = sets_of(texts_of(batch.column("text")), shingle)
-            keys = [set_keys(s) for s in sets]
-            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys])]
+            keys = [s.key for s in sets]
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s.lo) for s in sets], [k[0] for k in keys], [k[1] for k in keys])]
             bits = pa.array(bitmaps(sets).tolist(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, bits], names=["doc_id", "n_shingles", "k1", "k2", "bits"])
 
@@ -164,7 +170,9 @@ def index_entries(docs: DataFrame, shingle: int, num: int, den: int) -> DataFram
         for batch in slices(batches):
             ids, sets = [], []
             for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets_of(texts_of(batch.column("text")), shingle)):
-                if len(s) and (key := set_keys(s)) not in seen:
+                if len(s.lo) and (key := s.key) not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
                     seen.add(key)
                     ids.append(doc_id)
                     sets.append(s)
@@ -177,8 +185,12 @@ def index_entries(docs: DataFrame, shingle: int, num: int, den: int) -> DataFram
     return _rows(docs).mapInArrow(run, "list long, doc_id long, position int, size int")
 
 
-def index_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(block, doc_id): blocks of lists that may hold links; blocks of equal members have one name."""
+def index_blocks(entries: DataFrame, num: int, den: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(block, doc_id): blocks of lists that may hold links; blocks of equal members have one name.
+
+    A list of more than ``list_rows`` rows is cut while it streams by, with the largest size of its
+    class in place of its own; its blocks are named by number.
+    """
 
     def blocks(name, doc, position, size):
         """Blocks of whole lists that are sorted by list and position."""
@@ -198,28 +210,38 @@ def index_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(block), pa.array(doc)], names=["block", "doc_id"])
 
     def run(batches):
-        held, long_list = None, None
+        parts = Parts(num, den)
+        held, passing = None, None  # passing: name, largest size, last position and block number of a long list
+
+        def passed(doc, position):
+            name, most, last, number = passing
+            cut = np.diff(position, prepend=position[0] if last is None else last) * (den + num) > 2 * (den - num) * most
+            numbers = number + np.cumsum(cut)
+            passing[2:] = int(position[-1]), int(numbers[-1])
+            return out(mix64(mix64(numbers.astype(np.uint64) + np.uint64(1)) + np.uint64(name % 2**64)).view(np.int64), doc)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy().astype(np.int64) for c in ("list", "doc_id", "position", "size")]
-            if long_list is not None:  # rows of a list too long to hold
-                n = int(np.searchsorted(cols[0] != long_list, True)) if (cols[0] == long_list).any() else 0
+            if passing is not None:
+                n = int(np.argmax(np.append(cols[0] != passing[0], True)))
                 if n:
-                    yield out(cols[0][:n], cols[1][:n])
+                    yield passed(cols[1][:n], cols[2][:n])
                     cols = [c[n:] for c in cols]
                 if not len(cols[0]):
                     continue
-                long_list = None
+                passing = None
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = int(np.searchsorted(cols[0] == cols[0][-1], True))
             if last:
                 yield out(*blocks(*(c[:last] for c in cols)))
             held = [c[last:] for c in cols]
-            if len(held[0]) > LIST_ROWS:
-                long_list = held[0][0]
-                yield out(held[0], held[1])
+            if len(held[0]) > list_rows:
+                own = int(np.searchsorted(parts.low, held[3].max(), "right")) - 1
+                passing = [int(held[0][0]), int(parts.top[own]), None, 0]
+                yield passed(held[1], held[2])
                 held = None
         if held is not None and len(held[0]):
             yield out(*blocks(*held))
@@ -228,14 +250,15 @@ def index_blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "block long, doc_id long").dropDuplicates()
 
 
-def compare(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, shingle: int, kept: Scratch) -> DataFrame:
     """(a, b) -> (a, b, common, size_a, size_b, sets_a), exactly, from the texts.
 
     The ids grow with the input, so they are never broadcast: the joins are merge joins at any size.
     """
     texts = texts.hint("merge")
-    fan = F.floor((F.row_number().over(W.partitionBy("a").orderBy("b")) - 1) / FAN)
-    pairs = pairs.select("a", "b", fan.alias("fan"))
+    many = kept.stored(pairs.groupBy("a").count().filter(F.col("count") > FAN), "many").hint("merge")
+    fans = F.ceil(F.coalesce("count", F.lit(1)) / FAN)
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), fans).alias("fan"))
     left = pairs.select("a", "fan").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "fan", "b", "text")
 
@@ -250,8 +273,8 @@ def compare(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
                     key = (a, fan)
                     continue
                 # a doc_id of several rows has several sets: the most similar one counts
-                n, k = max(((len(np.intersect1d(s, x, assume_unique=True)), -len(x)) for x in leaders), default=(0, 0))
-                rows.append((a, b, n, -k, len(s), len(leaders)))
+                n, k = max(((s.common(x), -len(x.lo)) for x in leaders), default=(0, 0))
+                rows.append((a, b, n, -k, len(s.lo), len(leaders)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 6)], names=["a", "b", "common", "size_a", "size_b", "sets_a"])
 
     dealt = left.unionByName(right).repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first())
@@ -264,16 +287,16 @@ def _is_star(edges: DataFrame) -> bool:
     return n == m and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, kept: Scratch) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (u, v): the least node of each component, by star contraction."""
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = kept.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stored(small.filter("u <> v").distinct(), "edges")
+        edges = kept.stored(small.filter("u <> v").distinct(), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -281,13 +304,13 @@ def _links(compared: DataFrame, num: int, den: int) -> Column:
     return F.col("common") * (den + num) >= num * (F.col("size_a") + F.col("size_b"))
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame, links: DataFrame, kept: Scratch) -> DataFrame:
     """Labels (node, comp, ...) after joining the components of linked nodes (a, b)."""
     of = labels.select("node", "comp")
     ends = links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select("u", "v")
-    roots = components(ends)
+    roots = components(ends, kept)
     joined = labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-    return stored(joined.select("node", F.coalesce("root", "comp").alias("comp"), *[c for c in labels.columns if c not in ("node", "comp")]), "labels")
+    return kept.stored(joined.select("node", F.coalesce("root", "comp").alias("comp"), *[c for c in labels.columns if c not in ("node", "comp")]), "labels")
 
 
 def _side(rows: DataFrame, info: DataFrame, side: str) -> DataFrame:
@@ -305,67 +328,75 @@ def _near(num: int, den: int) -> Column:
 
 def _first_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     """For each member the leader (least member of a block) it shares most blocks with, of those it may link with."""
-    leader = lists.groupBy("block").agg(F.min("node").alias("a"))
-    shared = lists.join(leader, "block").filter("a <> node").groupBy("a", "node").count()
+    shared = lists.filter("a <> node").groupBy("a", "node").count()
     ends = _side(shared, info, "b").join(info.toDF("b_a", "a_size", "a_bits"), "b_a").filter(_near(num, den))
     best = ends.groupBy(F.col("b_node").alias("b")).agg(F.max(F.struct("b_count", (-F.col("b_a")).alias("less"))).alias("m"))
     return best.select((-F.col("m.less")).alias("a"), "b")
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame, leaders: int, kept: Scratch) -> DataFrame:
+    """Members of blocks with several components; ``lead``: about ``leaders`` of those outside the block's largest one.
+
+    Which members lead is told by a hash, so that no block has to be sorted in one task.
+    """
+    own = kept.stored(lists.join(labels, "node"), "own")
+    sizes = own.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
+    open_ = sizes.filter("n > top.count").select("block", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.count")).alias("others"))
+    place = F.shiftrightunsigned(F.xxhash64("block", "node"), 1)
+    lead = (F.col("comp") != F.col("top")) & (place.cast("double") * F.col("others") < leaders * 2.0**63)
+    return kept.stored(own.join(kept.stored(open_, "open"), "block").withColumn("lead", lead).withColumn("place", place).drop("top", "others"), "open-lists")
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int, kept: Scratch) -> DataFrame:
     """(node, comp) for class representatives that share a block with another one."""
     rep = sets.select("doc_id", F.col("rep").alias("node"))
     blocks = index_blocks(index_entries(docs, shingle, num, den), num, den)
-    lists = blocks.join(rep, "doc_id").select("block", "node").distinct()
-    several = lists.groupBy("block").count().filter("count > 1").select("block")
-    lists = stored(lists.join(several, "block", "left_semi"), "lists")
-    nodes = stored(lists.select("node").distinct(), "nodes")
+    lists = kept.stored(blocks.join(rep, "doc_id").select("block", "node").distinct(), "lists")
+    heads = kept.stored(lists.groupBy("block").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads")
+    lists = kept.stored(lists.join(heads, "block"), "lists")
+    nodes = kept.stored(lists.select("node").distinct(), "nodes")
     labels = nodes.select("node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("double").alias("distance"))
     if nodes.isEmpty():
         return labels
-    texts = stored(_rows(docs).join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = kept.stored(_rows(docs).join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
     known = sets.filter("doc_id = rep").join(nodes, F.col("rep") == F.col("node"), "left_semi").groupBy(F.col("rep").alias("node"))
     single = F.count(F.lit(1)) == 1  # a doc_id with several rows may have several sets
-    info = stored(known.agg(F.when(single, F.first("n_shingles")).alias("size"), F.when(single, F.first("bits")).alias("bits")), "info")
-    pairs, tried, limit = stored(_first_pairs(lists, info, num, den), "pairs"), None, 1 - num / den + 1e-9
+    info = kept.stored(known.agg(F.when(single, F.first("n_shingles")).alias("size"), F.when(single, F.first("bits")).alias("bits")), "info")
+    pairs, tried, limit = kept.stored(_first_pairs(lists, info, num, den), "pairs"), None, 1 - num / den + 1e-9
+    lists = lists.drop("a")
     for k in range(1 << 30):
         if not pairs.isEmpty():
-            done = stored(compare(pairs, texts, shingle), "compared")
+            done = kept.stored(compare(pairs, texts, shingle, kept), "compared")
             if k == 0:
                 apart = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
                 once = done.withColumn("d", apart).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("pivot"), F.min("d").alias("distance"), F.count("d").alias("n"), F.max("sets_a").alias("m"))
                 pivots = once.filter("n = 1 and m = 1").drop("n", "m")
                 labels = labels.drop("pivot", "distance").join(pivots, "node", "left")
-            labels = _merge(labels, done.filter(_links(done, num, den)))
+            labels = _merge(labels, done.filter(_links(done, num, den)), kept)
             tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-        # Blocks that still have several components; members of the smaller ones lead.
-        own = lists.join(labels, "node")
-        open_ = own.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("block")
-        own = own.join(open_, "block")
-        counted = own.withColumn("n", F.count("node").over(W.partitionBy("block", "comp")))
-        own = stored(counted.withColumn("rank", F.row_number().over(W.partitionBy("block").orderBy("n", "comp", "node"))), "open")
+        own = _open_lists(lists, labels, LEADERS[min(k, len(LEADERS) - 1)], kept)
         if own.isEmpty():
             return labels
-        leaders = LEADERS[min(k, len(LEADERS) - 1)]
-        a, b = _side(own.filter(F.col("rank") <= leaders), info, "a"), _side(own, info, "b")
+        a, b = _side(own.filter("lead"), info, "a"), _side(own, info, "b")
         far = F.coalesce((F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_distance") - F.col("b_distance")) > limit), F.lit(False))
-        apart = (F.col("a_comp") != F.col("b_comp")) & (F.col("b_rank") > F.col("a_rank")) & ~far
-        new = a.join(b, (F.col("a_block") == F.col("b_block")) & apart & _near(num, den))
+        once = ~F.col("b_lead") | (F.struct("a_place", "a_node") < F.struct("b_place", "b_node"))
+        new = a.join(b, (F.col("a_block") == F.col("b_block")) & (F.col("a_comp") != F.col("b_comp")) & once & ~far & _near(num, den))
         pairs = new.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         if tried is not None:
             known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        lists = own.filter(F.col("rank") > leaders).select("block", "node")
+        pairs = kept.stored(pairs, "pairs")
+        lists = own.filter("not lead").select("block", "node")
 
 
 def similarity_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets = stored(document_sets(docs, shingle), "sets")
-    known = sets.filter("doc_id is not null")
-    rep = known.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = stored(known.filter("n_shingles > 0").join(rep, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "bits"), "classes")
-    comps = linked_classes(docs, classes, shingle, num, den).select(F.col("node").alias("rep"), "comp")
-    joined = classes.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    alone = sets.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone)
+    with Scratch() as kept:
+        sets = kept.stored(document_sets(docs, shingle), "sets")
+        known = sets.filter("doc_id is not null and n_shingles > 0")
+        rep = kept.stored(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+        classes = kept.stored(known.join(rep, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "bits"), "members")
+        comps = linked_classes(docs, classes, shingle, num, den, kept).select(F.col("node").alias("rep"), "comp")
+        joined = classes.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+        alone = sets.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return stored(joined.unionByName(alone), "components")

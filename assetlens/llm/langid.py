@@ -5,8 +5,9 @@ isn't a letter a single space), damped and scaled to length one.  One-versus-res
 vector machines tell the family; within a family, a linear support vector machine for each pair of
 its languages votes, margins breaking ties.
 
-The models are fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled rows of each language, those of
-least hash, of which counts alone (not texts) reach the driver.
+The models are fitted on at most ``SAMPLE_PER_LANGUAGE`` distinct labelled texts of each language,
+those of least hash, of which counts alone (not texts) reach the driver: a text that fills a third
+of all rows counts once, and every language that has a text is in the sample.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; a text of any length is read
 whole; repeated documents get equal answers; with a single learnt language that one is predicted,
@@ -29,6 +30,8 @@ from .common import appended, mix64, only, slices, stored, texts_of, widened
 SAMPLE_PER_LANGUAGE = 600
 #: Texts whose counts are held at once.
 ROWS = 512
+#: Bytes whose n-grams are counted at once.
+STRETCH = 1 << 21
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Families of languages (fixed values).
@@ -47,17 +50,19 @@ def vectors(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Unit rows of damped n-gram counts, float32."""
     folded = [b" " + b" ".join(t.translate(_FOLD).split()) + b" " for t in texts]
     size = np.array([len(t) for t in folded], np.int64)
-    data = np.frombuffer(b"".join(folded), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), size)
-    last = np.cumsum(size)
-    left = np.repeat(last, size) - np.arange(len(data))  # bytes up to the text's end
+    data = np.frombuffer(b"".join(folded), np.uint8)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes up to the text's end
     counts = np.zeros(len(texts) * buckets)
-    gram = np.zeros(len(data), np.uint64)
-    for n in range(4):
-        gram[: len(data) - n] |= data[n:] << np.uint64(8 * n)
-        full = left > n
-        slot = (mix64(gram[full] + np.uint64((n + 1) << 40)) % np.uint64(buckets)).astype(np.int64)
-        counts += np.bincount(owner[full] * buckets + slot, minlength=len(counts))
+    for at in range(0, len(data), STRETCH):  # bounds the memory of a very long text
+        here = slice(at, at + STRETCH)
+        gram = np.zeros(len(data[here]), np.uint64)
+        for n in range(4):
+            part = data[at + n : at + STRETCH + n]
+            gram[: len(part)] |= part.astype(np.uint64) << np.uint64(8 * n)
+            full = left[here] > n
+            slot = (mix64(gram[full] + np.uint64((n + 1) << 40)) % np.uint64(buckets)).astype(np.int64)
+            counts += np.bincount(owner[here][full] * buckets + slot, minlength=len(counts))
     rows = np.sqrt(counts.reshape(len(texts), buckets)).astype(np.float32)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
@@ -118,13 +123,14 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
     """Learns from rows (text, lang) with letters; a bounded sample of each language is used."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    rows = rows.select("lang", "text", draw.alias("draw"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02)).collect()}
     if not counts:
         return Model([], np.zeros((0, 0)), {}, {})
-    # A share by hash that leaves about twice the sample, then the rows of least hash of these.
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    # A share of the hashes that leaves about twice the sample, then the least of these.
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2 * per_language / n))))
-    picked = rows.select("text", "lang", draw.alias("draw")).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
+    picked = rows.filter(F.col("draw") <= share[F.col("lang")] * 2.0**63).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def features(batches):
         for batch in slices(batches, rows=ROWS):
@@ -133,7 +139,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: i
 
     drawn = stored(picked.mapInArrow(features, "lang string, draw long, x binary"), "language-sample")
     sample: dict[str, list] = {lang: drawn.filter(F.col("lang") == lang).orderBy("draw", "x").limit(per_language).collect() for lang in sorted(counts)}
-    data = {lang: np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) for lang, got in sample.items() if got}
+    if empty := [lang for lang, got in sample.items() if not got]:
+        raise ValueError(f"no text drawn for {empty}")
+    data = {lang: np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) for lang, got in sample.items()}
     members: dict[str, list[str]] = {}
     for lang in data:
         members.setdefault(FAMILIES.get(lang, lang), []).append(lang)

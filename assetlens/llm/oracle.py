@@ -25,21 +25,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        count(*) FILTER (WHERE opens)::BIGINT AS n_blocks
 FROM e GROUP BY conv_id""",
     "op2_line_dedup": r"""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS line_text
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
-), k AS (
+), m AS (
   SELECT doc_id, line, list_transform(regexp_extract_all(line_text, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS t FROM l
-), p AS (
-  SELECT doc_id, line, len(t) || ' ' || array_to_string(t, ' ') AS template FROM k WHERE len(t) >= 5
-  UNION ALL
-  SELECT doc_id, line, len(t) || '/' || b || ' ' || array_to_string(list_transform(t, lambda x, i: CASE WHEN i - 1 >= 3 + (len(t) - 3) * b // 4 AND i - 1 < 3 + (len(t) - 3) * (b + 1) // 4 THEN '<*>' ELSE x END), ' ')
-  FROM k, range(4) r(b) WHERE len(t) >= 12
-), r AS (
-  SELECT template, min((doc_id, line)) AS first FROM p GROUP BY template HAVING min(doc_id) <> max(doc_id)
-), g AS (
-  SELECT DISTINCT p.doc_id, p.line FROM p JOIN r USING (template) WHERE (p.doc_id, p.line) <> r.first
-)
+), o AS (SELECT doc_id, line, array_to_string(t, ' ') AS masked, t FROM m WHERE len(t) > 0),
+p AS (SELECT doc_id, line, t, min((doc_id, line)) OVER (PARTITION BY masked) AS id FROM o),
+d AS (SELECT DISTINCT id, t, len(t) AS n, len(t) // 10 AS k FROM p),
+b AS (SELECT id, t, n, k, t[1:3] AS lead, b, t[n * b // (k + 1) + 1:n * (b + 1) // (k + 1)] AS block FROM d, range(k + 1) r(b)),
+h AS (SELECT n, lead, b, block, min(id) AS head FROM b GROUP BY ALL HAVING count(*) > 1),
+e AS (
+  SELECT DISTINCT h.head AS u, b.id AS v FROM b JOIN h ON b.n = h.n AND b.lead = h.lead AND b.b = h.b AND b.block = h.block JOIN d x ON x.id = h.head
+  WHERE b.id <> h.head AND len(list_filter(range(b.n), lambda i: b.t[i + 1] <> x.t[i + 1])) <= b.k
+), u AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT id AS node, id AS root FROM d UNION SELECT u.v, r.root FROM r JOIN u ON u.u = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+q AS (SELECT doc_id, line, root FROM p JOIN c ON c.node = p.id),
+f AS (SELECT root, min((doc_id, line)) AS first FROM q GROUP BY root HAVING min(doc_id) <> max(doc_id)),
+g AS (SELECT DISTINCT doc_id, line FROM q JOIN f USING (root) WHERE (doc_id, line) <> first)
 SELECT d.doc_id, d.n_lines, count(g.line)::BIGINT AS n_dropped, coalesce(string_agg(g.line::VARCHAR, ',' ORDER BY g.line), '') AS dropped
 FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents) d LEFT JOIN g USING (doc_id)
 GROUP BY d.doc_id, d.n_lines""",

@@ -21,7 +21,7 @@ MIX = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}, "
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.recurring_lines(read_table(spark, sf_dir, "documents"))
-    return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

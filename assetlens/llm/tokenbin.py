@@ -8,7 +8,8 @@ without copying.  Beside it an index file has each document's id, start and leng
 
 Encoding uses the tokenizer of the library.  Byte-pair merges never cross the pieces that the
 tokenizer's own splitting rule makes, so pieces are found by array operations, each distinct piece
-is encoded by the library once, and the ids of all texts are gathered from these.  What kind of
+(the string itself is the key) is encoded by the library once, and the ids of all texts are
+gathered from these.  What kind of
 character a code point is, is asked of the library's splitter as well.
 
 Order: rows are range-partitioned and sorted by doc_id; a partition writes its own shards, so
@@ -33,19 +34,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, stored
+from .common import slices, stored
 
 SEQUENCE = 2048
 BATCH = 128
 SHARD_IDS = 16 << 20
 END_ID = 2
 #: Pieces kept with their ids in each worker; beyond, the store starts anew.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 400_000
 PIECES_AT_ONCE = 5_000
 
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 4, 255
 
 
+class _Rows(dict):
+    """Numbers of pieces; ``new``: pieces that haven't been encoded yet, in order of their numbers."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class PieceEncoder:
     """Encodes many texts with a byte-level tokenizer by encoding each distinct piece once."""
 
@@ -60,7 +74,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = _Rows()
         self.flat, self.used = np.zeros(1 << 16, self.width), 0
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -113,16 +127,12 @@ class PieceEncoder:
         first[text_ends - lengths] = True
         lo = self.starts(codes, first[:-1])
         hi = np.append(lo[1:], len(codes))
-        hashes, where, inverse = np.unique(span_hashes(codes, lo, hi), return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_PIECES:
+        if len(self.rows) > KEPT_PIECES:
             self._clear()
-        place = np.searchsorted(self.keys, hashes)
-        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes if len(self.keys) else np.ones(len(hashes), bool))
-        if len(new):
-            spans = zip(lo[where[new]].tolist(), hi[where[new]].tolist())
-            self._keep(hashes[new], [whole[a:b] for a, b in spans])
-            place = np.searchsorted(self.keys, hashes)
-        rows = self.rows[place][inverse]
+        rows = np.fromiter((self.rows[whole[a:b]] for a, b in zip(lo.tolist(), hi.tolist())), np.int64, len(lo))
+        if self.rows.new:
+            self._keep(self.rows.new)
+            self.rows.new = []
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -130,8 +140,8 @@ class PieceEncoder:
         upto = np.concatenate([[0], ends])[cut]
         return ids, np.diff(upto, prepend=0)
 
-    def _keep(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encodes new pieces (in order of their keys) and keeps their ids."""
+    def _keep(self, pieces: list[str]) -> None:
+        """Encodes new pieces and keeps their ids."""
         ids, sizes = [], []
         for at in range(0, len(pieces), PIECES_AT_ONCE):
             some = pieces[at : at + PIECES_AT_ONCE]
@@ -142,12 +152,9 @@ class PieceEncoder:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), self.width)])
         self.flat[self.used : self.used + len(ids)] = ids
-        rows = np.arange(len(self.at), len(self.at) + len(keys))
         self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.used += len(ids)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -256,8 +263,12 @@ class TokenShard:
         self.sequence = self.file.schema.field("ids").type.list_size
         self.batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
+        self.held = None  # the batch read last: on a remote file it isn't fetched for each document
+
     def _values(self, column: str, batch: int) -> pa.Array:
-        return self.file.get_batch(batch).column(column).flatten()
+        if self.held is None or self.held[0] != batch:
+            self.held = batch, self.file.get_batch(batch)
+        return self.held[1].column(column).flatten()
 
     def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (a view of the mapped file) and mask of sequence k."""

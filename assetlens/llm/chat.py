@@ -45,46 +45,58 @@ def _between(before: Column, after: Column) -> Column:
     return F.when(before == after, F.lit(PART)).otherwise(F.concat(F.lit(CLOSE + OPEN), after, F.lit(SEP)))
 
 
-def _segment(text: Column, loss: Column) -> Column:
-    return F.struct(text.alias("text"), loss.alias("loss"))
+_RANGES = "array<struct<start:int,end:int>>"
 
 
 def _rendered(turns: Column) -> Column:
-    """Sorted turns of one chunk -> segments, where adjacent turns of one role are merged."""
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<struct<text:string,loss:boolean>>").alias("segments"))
+    """Sorted turns of one part -> (first, last role, text, loss), where adjacent turns of one role are merged."""
+    start = F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"), F.array().cast(_RANGES).alias("loss"))
 
     def add(acc: Column, x: Column) -> Column:
         joint = F.when(acc["role"].isNull(), F.lit("")).otherwise(_between(acc["role"], x["role"]))
-        more = F.array(_segment(joint, F.lit(False)), _segment(x["text"], x["role"] == LEARNED))
-        return F.struct(x["role"].alias("role"), F.concat(acc["segments"], more).alias("segments"))
+        lo = acc["at"] + F.length(joint)
+        hi = lo + F.length(x["text"])
+        own = F.array(F.struct(lo.alias("start"), hi.alias("end")))
+        loss = F.when(x["role"] == LEARNED, F.concat(acc["loss"], own)).otherwise(acc["loss"])
+        return F.struct(x["role"].alias("role"), hi.alias("at"), F.concat(acc["pieces"], F.array(joint, x["text"])).alias("pieces"), loss.alias("loss"))
 
-    return F.aggregate(turns, start, add)["segments"]
+    def finish(acc: Column) -> Column:
+        return F.struct(turns[0]["role"].alias("first"), acc["role"].alias("last"), F.array_join(acc["pieces"], "").alias("text"), acc["at"].alias("size"), acc["loss"].alias("loss"))
+
+    return F.aggregate(turns, start, add, finish)
 
 
 def format_chats(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, segments, text, n_blocks).
+    """(conv_id, turn, role, text) -> (conv_id, text, loss, n_blocks).
 
-    ``segments`` is the text in pieces, each with its loss flag: the loss mask of the text.
+    ``loss`` is the loss mask: ranges of code points of ``text``, ends exclusive, in order.
     """
     rows = turns.select(
         "conv_id",
         F.floor(F.col("turn") / chunk_turns).alias("chunk"),
         F.struct("turn", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text")).alias("row"),
     )
-    chunks = (
-        rows.groupBy("conv_id", "chunk")
-        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        .select("conv_id", F.struct("chunk", F.element_at("rows", 1)["role"].alias("first"), F.element_at("rows", -1)["role"].alias("last"), _rendered(F.col("rows")).alias("segments")).alias("part"))
-    )
-    parts = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    # Rows of one turn number may be any number: a chunk is cut into parts of bounded length again.
+    chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / chunk_turns).cast("int"))
+    parts = chunks.select("conv_id", "chunk", F.transform(numbers, lambda k: F.struct(k.alias("number"), F.slice("rows", k * chunk_turns + 1, chunk_turns).alias("turns"))).alias("parts"))
+    rendered = parts.select("conv_id", F.transform("parts", lambda p: F.struct(F.col("chunk"), p["number"].alias("number"), _rendered(p["turns"]).alias("part"))).alias("parts"))
+    whole = rendered.groupBy("conv_id").agg(F.transform(F.sort_array(F.flatten(F.collect_list("parts"))), lambda p: p["part"]).alias("parts"))
 
     def placed(part: Column, i: Column) -> Column:
         before = F.get(F.col("parts"), i - 1)["last"]
         lead = F.when(i == 0, F.concat(F.lit(OPEN), part["first"], F.lit(SEP))).otherwise(_between(before, part["first"]))
-        return F.concat(F.array(_segment(lead, F.lit(False))), part["segments"])
+        return F.struct(lead.alias("lead"), part["text"].alias("text"), part["size"].alias("size"), part["loss"].alias("loss"))
 
-    whole = F.concat(F.flatten(F.transform("parts", placed)), F.array(_segment(F.lit(CLOSE), F.lit(False))))
-    out = parts.select("conv_id", whole.alias("segments")).withColumn("text", F.array_join(F.col("segments.text"), ""))
+    def shifted(acc: Column, p: Column) -> Column:
+        base = acc["at"] + F.length(p["lead"])
+        ranges = F.transform(p["loss"], lambda r: F.struct((r["start"] + base).alias("start"), (r["end"] + base).alias("end")))
+        return F.struct((base + p["size"]).alias("at"), F.concat(acc["loss"], ranges).alias("loss"))
+
+    out = whole.select("conv_id", F.transform("parts", placed).alias("parts"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(CLOSE))
+    loss = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast(_RANGES).alias("loss")), shifted)["loss"]
+    out = out.select("conv_id", text.alias("text"), loss.alias("loss"))
     return out.withColumn("n_blocks", (F.size(F.split("text", r"\Q" + OPEN + r"\E", -1)) - 1).cast("long"))
 
 
@@ -101,16 +113,28 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), block)))
 
 
-def learned_text(segments: Column) -> Column:
-    """All text under the loss mask, in order, without escapes."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+def learned_text(text: Column, loss: Column) -> Column:
+    """All of ``text`` under the loss mask, in order, without escapes.
+
+    Ranges are cut out of stretches of CHUNK_TURNS ranges: a long text isn't walked through for each.
+    """
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(loss) - 1) / CHUNK_TURNS).cast("int")), lambda k: F.slice(loss, k * CHUNK_TURNS + 1, CHUNK_TURNS))
+
+    def stretch(g: Column) -> Column:
+        lo = F.element_at(g, 1)["start"]
+        return F.struct(lo.alias("at"), g.alias("ranges"), F.substring(text, lo + 1, F.element_at(g, -1)["end"] - lo).alias("text"))
+
+    def read(s: Column) -> Column:
+        return F.array_join(F.transform(s["ranges"], lambda r: unescaped(F.substring(s["text"], r["start"] - s["at"] + 1, r["end"] - r["start"]))), "")
+
+    return F.when(F.size(loss) > 0, F.array_join(F.transform(F.transform(groups, stretch), read), "")).otherwise("")
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
     """Digest of the formatted conversations, from the formatted output alone."""
     back = parse_chats(format_chats(turns))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.withColumn("learned", learned_text(F.col("segments"))).select(
+    return back.withColumn("learned", learned_text(F.col("text"), F.col("loss"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

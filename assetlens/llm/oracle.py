@@ -55,6 +55,11 @@ WITH m AS (
   SELECT doc_id, 'access', 1, 18, regexp_split_to_array(coalesce(text, ''), 'AKIA[A-Z0-9]+'), regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') FROM documents
   UNION ALL
   SELECT doc_id, 'hex', 2, 16, regexp_split_to_array(coalesce(text, ''), '[0-9a-f]{16,}'), regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}'), regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}') FROM documents
+  UNION ALL
+  SELECT doc_id, kind, rank, 1, regexp_split_to_array(text, pattern), regexp_extract_all(text, pattern), regexp_extract_all(text, pattern)
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), (VALUES
+    ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
+    ('login', 5, '[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@'), ('code_host', 6, 'gh[pousr]_[A-Za-z0-9]{20,}')) r(kind, rank, pattern)
 ), s AS (
   SELECT doc_id, kind, rank, least, unnest(found) AS hit, unnest(kept) AS kept, generate_subscripts(found, 1) AS i, gaps, found FROM m WHERE len(found) > 0
 ), e AS (
@@ -62,10 +67,11 @@ WITH m AS (
   FROM s WHERE length(kept) >= least
 ), j AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-         string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, rank) AS spans
+         string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, rank) AS spans,
+         string_agg(kind || ':' || lo || ':' || (lo + n), ',' ORDER BY lo, rank) FILTER (WHERE rank < 3) AS base
   FROM e GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN j USING (doc_id)""",
     "op7_decontamination": r"""
 WITH iw AS (

@@ -36,7 +36,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(read_table(spark, sf_dir, "documents"), shared_dir(spark, "secret-ledger"))
+    """Two versions of every document through one ledger, the earlier one under the base rules alone.
+
+    The second pass scans what the first left: new blobs, and further rules of blobs already seen.
+    """
+    documents, ledger = read_table(spark, sf_dir, "documents"), shared_dir(spark, "secret-ledger")
+    secrets.update_ledger(secrets.first_saved(documents), ledger)
+    return secrets.secret_digest(documents, ledger)
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

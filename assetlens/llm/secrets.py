@@ -7,6 +7,8 @@ does not hold yet, and findings are joined back to all paths that ever had the b
 Positions are code points with an exclusive end.  They come from splitting the text at the
 matches: the lengths of pieces and matches, summed up, are the positions.
 
+An entry that stands in the ledger twice (two runs at once, a repeated driver) counts once.
+
 Cases: null text counts as empty; repeated rows and equal texts share one blob and all get its
 findings; a null path is kept; an empty table gives no rows; further columns are ignored.
 """
@@ -16,9 +18,12 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -43,6 +48,13 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: Further rules, whose spans come beside the base ones.
+MORE_RULES = (
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{20,}"),
+)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -72,10 +84,12 @@ def address(versions: DataFrame) -> DataFrame:
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger so far; None before its first entry."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    try:
+        return spark.read.schema(f"blob_id string, rule_version string, findings {_FINDINGS}").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema(f"blob_id string, rule_version string, findings {_FINDINGS}").parquet(path)
 
 
 def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> None:
@@ -95,24 +109,39 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
 
 
 def find_secrets(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path, text) -> (path, blob_id, findings) for every row, by way of the ledger at ``ledger_path``."""
+    """(path, text) -> (path, blob_id, findings) for every row, by way of the ledger at ``ledger_path``.
+
+    An entry that two runs have added counts once.  Findings are put together and stored by blob
+    first, so that the paths of one blob with many can be joined by several tasks.
+    """
     update_ledger(versions, ledger_path, rules)
-    current = _ledger(versions.sparkSession, ledger_path).filter(F.col("rule_version").isin([r.version for r in rules]))
-    by_blob = current.groupBy("blob_id").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    return address(versions.select("path", "text")).select("path", "blob_id").join(by_blob, "blob_id", "left")
+    current = _ledger(versions.sparkSession, ledger_path).filter(F.col("rule_version").isin([r.version for r in rules]) & (F.size("findings") > 0))
+    entries = F.collect_set(F.struct("rule_version", "findings"))
+    by_blob = stored(current.groupBy("blob_id").agg(F.flatten(F.transform(entries, lambda x: x["findings"])).alias("found")), "secret-findings")
+    found = F.coalesce("found", F.array().cast(_FINDINGS)).alias("findings")
+    return address(versions.select("path", "text")).select("path", "blob_id").join(by_blob, "blob_id", "left").select("path", "blob_id", found)
+
+
+def first_saved(documents: DataFrame) -> DataFrame:
+    """The earlier version of each document: as first saved, with its first line alone."""
+    return documents.select(F.col("doc_id").alias("path"), F.substring_index("text", "\n", 1).alias("text"))
 
 
 def _of_kind(kind: str):
     return lambda f: f["kind"] == kind
 
 
-def secret_digest(documents: DataFrame, ledger_path: str) -> DataFrame:
-    """Per document: counts of each kind and all spans as text."""
-    order = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.kind, i)))
-    found = find_secrets(documents.select(F.col("doc_id").alias("path"), "text"), ledger_path)
-    sorted_spans = F.sort_array(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("rank"), f["kind"].alias("kind"), f["end"].alias("end"))))
-    spans = F.array_join(F.transform(sorted_spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+def _joined(findings: Column, rules: tuple[Rule, ...]) -> Column:
+    """kind:start:end by start, then in order of the rules."""
+    order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
+    spans = F.sort_array(F.transform(findings, lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("rank"), f["end"].alias("end"), f["kind"].alias("kind"))))
+    return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+
+def secret_digest(documents: DataFrame, ledger_path: str, more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
+    """Per document: counts and digest of the base rules' spans, and all spans as text."""
+    rules = (*RULES, *more)
+    found = find_secrets(documents.select(F.col("doc_id").alias("path"), "text"), ledger_path, rules)
+    base = F.filter("findings", lambda f: f["kind"].isin([r.kind for r in RULES]))
     counts = [F.size(F.filter("findings", _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES]
-    return found.select(F.col("path").alias("doc_id"), *counts, spans.alias("spans")).select(
-        "doc_id", *(f"n_{r.kind}" for r in RULES), F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans"
-    )
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_joined(base, RULES).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings"), rules).alias("spans"))

@@ -5,9 +5,11 @@ words of a benchmark item (a shorter item is one pattern).  For patterns of one
 table over blocks of two words tells how far the search may move; where the shift is nothing, the
 block's bucket, divided by the patterns' first words, names the patterns to compare directly.
 
-The benchmark is the stated query set.  It is searched in blocks of ``BLOCK_BYTES`` of item text;
-each block's patterns are collected and broadcast, and the documents pass once for each block
-(one pass unless the benchmark is larger than that).  Documents are never shuffled for one block.
+The benchmark is the stated query set.  It is searched in blocks of ``BLOCK_BYTES`` of item text:
+a block's tables are flat arrays (about ten bytes for each of text, words included), made once and
+broadcast, and a worker unpacks them once.  The documents pass once for each block (one pass unless
+the benchmark is larger than that), and a block is let go before the next one is made.  Documents
+are never shuffled for one block.
 
 Cases: null or empty text has no words and no hit; an item without words has no window; repeated
 items and repeated windows count for each item_id once; repeated documents are each answered;
@@ -20,14 +22,15 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, texts_of, widened
+from .common import only, stored, texts_of, widened
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Upper case becomes lower case; every other ASCII character but digits and letters a space.
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -37,63 +40,111 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+_A, _B, _C = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
 
 
 class WuManber:
-    """Patterns of one length over words."""
+    """Patterns of one length: places in an array of word numbers, and the items of each."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], tuple[str, ...]]):
+    def __init__(self, length: int, ids: np.ndarray, starts: np.ndarray, items: np.ndarray):
+        """``ids``: numbers (from 1) of all items' words; ``starts``, ``items``: place and item of each window."""
         self.length, self.block = length, min(2, length)
-        self.far = length - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for p, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = b" ".join(p[end - self.block : end])
-                self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            self.buckets[b" ".join(p[-self.block :])][p[0]].append((list(p), items))
-
-    def search(self, words: list[bytes]):
-        """Yields (first word, items) of each occurrence."""
-        m, far, shift, buckets, n = self.length, self.far, self.shift.get, self.buckets, len(words)
-        i, single = m - 1, self.block == 1
+        windows = np.ascontiguousarray(ids[starts[:, None] + np.arange(length)])
+        _, first, which = np.unique(windows.view(np.dtype((np.void, windows.itemsize * length))).ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((items, which))
+        which, items = which[order], items[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (items[1:] != items[:-1])
+        self.items = items[new].astype(np.uint32)
+        self.items_at = np.searchsorted(which[new], np.arange(len(first) + 1)).astype(np.uint32)
+        self.starts = starts[first].astype(np.uint32)
+        bits = max(10, int(8 * len(first)).bit_length())
+        self.mask, self.bucket_mask = (1 << bits) - 1, (1 << bits - 3) - 1
+        words = windows[first].astype(np.uint64)
+        self.shift = np.full(1 << bits, length - self.block + 1, np.uint8)
+        for end in range(self.block, length + 1):  # later blocks move less and overwrite earlier ones
+            self.shift[self._key(words, end)] = length - end
+        bucket = ((self._key(words, length).astype(np.uint64) * np.uint64(_C) + words[:, 0]) & np.uint64(self.bucket_mask)).astype(np.int64)
+        self.patterns = np.argsort(bucket, kind="stable").astype(np.uint32)
+        self.buckets = np.searchsorted(bucket[self.patterns], np.arange(self.bucket_mask + 2)).astype(np.uint32)
+
+    def _key(self, words: np.ndarray, end: int) -> np.ndarray:
+        key = words[:, end - 1] * np.uint64(_B)
+        if self.block == 2:
+            key = key + words[:, end - 2] * np.uint64(_A)
+        return (key & np.uint64(self.mask)).astype(np.int64)
+
+    def search(self, words: list[bytes], number, ids: memoryview):
+        """Yields (first word, items) of each occurrence; ``number`` gives a word's number or 0."""
+        m, mask, bucket_mask = self.length, self.mask, self.bucket_mask
+        shift, buckets, patterns, starts = (memoryview(x) for x in (self.shift, self.buckets, self.patterns, self.starts))
+        i, n, single = m - 1, len(words), self.block == 1
         while i < n:
-            key = words[i] if single else words[i - 1] + b" " + words[i]
-            if move := shift(key, far):
+            last = number(words[i], 0)
+            if not last:  # a word of no item
+                i += m
+                continue
+            key = last * _B
+            if not single:
+                before = number(words[i - 1], 0)
+                if not before:
+                    i += m - 1
+                    continue
+                key += before * _A
+            key &= mask
+            if move := shift[key]:
                 i += move
                 continue
-            for pattern, items in buckets[key].get(words[i - m + 1], ()):
-                if words[i - m + 1 : i + 1] == pattern:
-                    yield i - m + 1, items
+            low = i - m + 1
+            at = (key * _C + number(words[low], 0)) & bucket_mask
+            lo, hi = buckets[at], buckets[at + 1]
+            if lo < hi:
+                window = [number(w, 0) for w in words[low : i + 1]]
+                for k in range(lo, hi):
+                    p = patterns[k]
+                    if ids[starts[p] : starts[p] + m].tolist() == window:
+                        yield low, self.items[self.items_at[p] : self.items_at[p + 1]].tolist()
+                        break
             i += 1
 
 
-def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[WuManber]:
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            found[w].add(item)
-    by_length: dict[int, dict] = defaultdict(dict)
-    for w, ids in found.items():
-        by_length[len(w)][w] = tuple(ids)
-    return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
-
-
-def hits(searches: list[WuManber], words: list[bytes]) -> tuple[bytearray | None, set[str]]:
-    """Marks of the words hit (None: none) and the items found."""
-    marks, items = None, set()
-    for s in searches:
-        one = b"\1" * s.length
-        for at, found in s.search(words):
-            if marks is None:
-                marks = bytearray(len(words))
-            marks[at : at + s.length] = one
-            items.update(found)
-    return marks, items
+class Searches:
+    """All patterns of a block of items: one search for each length."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        number: dict[bytes, int] = {}
+        self.names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
+        ids, windows, at = [], defaultdict(list), 0
+        for name, text in items:
+            own = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
+            if own:
+                ids.append(np.array(own, np.uint32))
+                m = min(window, len(own))
+                windows[m].append((at, at + len(own) - m + 1, place[name]))
+                at += len(own)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.words = b" ".join(number)
+        self.by_length = []
+        for m, found in sorted(windows.items()):
+            lo, hi, item = np.array(found, np.int64).T
+            size = hi - lo
+            starts = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self.by_length.append(WuManber(m, self.ids, starts, np.repeat(item, size)))
+
+    def hits(self, words: list[bytes]) -> tuple[bytearray | None, set[str]]:
+        """Marks of the words hit (None: none) and the items found."""
+        if "number" not in self.__dict__:  # once in each worker
+            self.number = {w: k for k, w in enumerate(self.words.split(), 1)}
+        ids, marks, items = memoryview(self.ids), None, set()
+        for s in self.by_length:
+            one = b"\1" * s.length
+            for at, found in s.search(words, self.number.get, ids):
+                if marks is None:
+                    marks = bytearray(len(words))
+                marks[at : at + s.length] = one
+                items.update(found)
+        return marks, {self.names[k] for k in items}
 
 
 def _digest(items: list[str]) -> str:
@@ -111,13 +162,15 @@ def _runs(marks: bytearray) -> list[dict]:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Lists of (item_id, text) of about ``block_bytes`` of text each, one after the other."""
+    """Parts of the benchmark (item_id, text) of about ``block_bytes`` of text each."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"] or "", bytes(r["text"])) for r in part.collect()]
+    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _collected(block: DataFrame) -> list[tuple[str, bytes]]:
+    return [(r["item_id"] or "", bytes(r["text"])) for r in block.collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,17 +178,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     names = [x.split()[0] for x in _RESULT.split(", ")]
     docs = only(docs, *names)
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(block) for block in benchmark_blocks(benchmark, block_bytes)]
-    if len(sent) == 1:
-        block = sent[0]
+    blocks = list(benchmark_blocks(benchmark, block_bytes))
+    if len(blocks) == 1:
+        block = context.broadcast(Searches(_collected(blocks[0]), window))
 
         def scan(batches):
-            searches = build(block.value, window)
+            searches = block.value
             for batch in batches:
                 rows = []
                 for text in texts_of(batch.column("text")):
                     words = words_of(text)
-                    marks, items = hits(searches, words)
+                    marks, items = searches.hits(words)
                     rows.append((len(words), sum(marks) if marks else 0, len(items), _digest(items), bool(marks)))
                 cols = list(zip(*rows)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
@@ -146,22 +199,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     # Several blocks: a pass for each, merged by the text, on which alone the answer depends.
     def scan_block(block):
         def scan(batches):
-            searches = build(block.value, window)
+            searches = block.value
             for batch in batches:
                 out = []
                 for text in texts_of(batch.column("text")):
                     words = words_of(text)
-                    marks, items = hits(searches, words)
+                    marks, items = searches.hits(words)
                     if marks:
                         out.append({"sha": hashlib.sha256(text).hexdigest(), "n_words": len(words), "runs": _runs(marks), "items": sorted(items)})
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("sha", pa.string()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("items", pa.list_(pa.string()))]))
 
         return docs.select("text").mapInArrow(scan, "sha string, n_words long, runs array<struct<lo:long,hi:long>>, items array<string>")
 
-    parts = [scan_block(b) for b in sent]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = None
+    for one in blocks:
+        sent = context.broadcast(Searches(_collected(one), window))
+        part = stored(scan_block(sent), "decontamination")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
     # Equal texts have equal rows in each pass, so sets lose nothing.
     covered = F.aggregate(
         F.sort_array("runs"),

@@ -2,8 +2,9 @@
 
 A payload is stored as a lossless PNG image of 8-bit grey samples, 192 to a row, in ZIP archives
 without further compression.  The data source lists the archives (paths and sizes only) and plans
-partitions by byte ranges; each task reads its archive's directory, keeps the members that start
-in its range, and streams their bytes through Arrow in bounded batches.  A member that can't be
+partitions by byte ranges (at most an archive of full size each, several small ones together); each
+task reads its archives' directories once, keeps the members that start in its ranges, and streams
+their bytes through Arrow in bounded batches.  A member that can't be
 read, or whose checksum is wrong, is read again from its own offset, independently of the others.
 
 Archives are written under a name of the task attempt and renamed when complete, and their content
@@ -34,7 +35,8 @@ from .common import slices, stored, texts_of
 
 WIDTH = 192
 SHARD_BYTES = 128 << 20
-RANGE_BYTES = 8 << 20
+#: A partition's bytes: as many as give each task slot two partitions, between these bounds.
+RANGE_BYTES, LEAST_RANGE = 128 << 20, 4 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 3
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -133,60 +135,98 @@ def write_archives(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    lo: int
-    hi: int
+class ByteRanges(InputPartition):
+    """Ranges (archive, low, high) that one task reads: a part of an archive, or several small ones."""
+
+    parts: list[tuple[str, int, int]]
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 0)))
+        self.slots = int(options.get("slots", 1))
         self.tries = int(options.get("tries", TRIES))
 
     def partitions(self):
         fs, folder = pafs.FileSystem.from_uri(self.folder)
         files = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
         files = sorted((f.path, f.size) for f in files if f.is_file and f.base_name.endswith(".zip"))
-        return [ByteRange(p, lo, min(lo + self.range_bytes, size)) for p, size in files for lo in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
-
-    def member(self, fs, path: str, info: zipfile.ZipInfo) -> tuple[bytes, int]:
-        """Bytes of the member at its own offset and the tries it took."""
+        limit = self.range_bytes or min(RANGE_BYTES, max(LEAST_RANGE, sum(size for _, size in files) // (2 * self.slots)))
+        planned, parts, held = [], [], 0
+        for path, size in files:
+            for lo in range(0, size, limit):
+                hi = min(lo + limit, size)
+                if parts and held + hi - lo > limit:
+                    planned.append(ByteRanges(parts))
+                    parts, held = [], 0
+                parts.append((path, lo, hi))
+                held += hi - lo
+        return [*planned, ByteRanges(parts)]
+
+    def retried(self, archive: _Archive, where: str, work):
+        """Result of ``work`` and the tries it took; each try after a failure opens the archive anew."""
         for tried in range(1, self.tries + 1):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member starts here")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                    data = f.read(info.file_size)
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise ValueError("checksum differs")
-                return data, tried
-            except (OSError, ValueError) as e:
+                return work(archive.opened()), tried
+            except (OSError, ValueError, zipfile.BadZipFile) as e:
+                archive.close()
                 wrong = e
-        raise OSError(f"{path} at {info.header_offset}: {wrong}") from wrong
+        raise OSError(f"{archive.path} {where}: {wrong}") from wrong
+
+    def member(self, archive: _Archive, info: zipfile.ZipInfo) -> tuple[bytes, int]:
+        """Bytes of the member at its own offset and the tries it took."""
+
+        def read(f) -> bytes:
+            f.seek(info.header_offset)
+            head = f.read(30)
+            if head[:4] != b"PK\x03\x04":
+                raise ValueError("no member starts here")
+            f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
+            data = f.read(info.file_size)
+            if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+                raise ValueError("checksum differs")
+            return data
+
+        return self.retried(archive, f"at {info.header_offset}", read)
 
     def read(self, partition):
-        if not partition.path:
-            return
         fs = pafs.FileSystem.from_uri(self.folder)[0]
-        with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            mine = [i for i in z.infolist() if partition.lo <= i.header_offset < partition.hi]
         rows, held = [], 0
-        for info in mine:
-            data, tried = self.member(fs, partition.path, info)
-            rows.append((partition.path.rpartition("/")[2], info.filename.partition("/")[2], info.header_offset, data, tried))
-            held += len(data)
-            if held >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
+        for path, lo, hi in partition.parts:
+            archive = _Archive(fs, path)
+            members, _ = self.retried(archive, "directory", lambda f: zipfile.ZipFile(f).infolist())
+            for info in members:
+                if not lo <= info.header_offset < hi:
+                    continue
+                data, tried = self.member(archive, info)
+                rows.append((path.rpartition("/")[2], info.filename.partition("/")[2], info.header_offset, data, tried))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            archive.close()
         if rows:
             yield _batch(rows)
 
 
+class _Archive:
+    """One handle on an archive, opened when needed."""
+
+    def __init__(self, fs, path: str):
+        self.fs, self.path, self.handle = fs, path, None
+
+    def opened(self):
+        if self.handle is None:
+            self.handle = self.fs.open_input_file(self.path)
+        return self.handle
+
+    def close(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+            self.handle = None
+
+
 _MEMBERS = "archive string, member string, offset long, payload binary, tries int"
 
 
@@ -196,7 +236,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("payload_archive").load(folder)``; options ``rangeBytes`` and ``tries``."""
+    """``spark.read.format("payload_archive").load(folder)``; options ``rangeBytes``, ``slots`` (of tasks) and ``tries``."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,7 +251,7 @@ class ArchiveSource(DataSource):
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("payload_archive").options(**options).load(folder)
+    return spark.read.format("payload_archive").options(slots=str(spark.sparkContext.defaultParallelism), **options).load(folder)
 
 
 def media_digest(members: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ no probability above one.  A document is taken if the hash of its id and text, a
 to 1, is below its cell's probability, so a repeated run takes the same documents.
 
 The cells are an aggregate: one row for each combination that occurs.  Up to ``DRIVER_CELLS`` of
-them are raked in arrays and sent to the tasks; more are raked by Spark, margin by margin.
+them are raked in arrays and sent to the tasks; more are raked by Spark, margin by margin, by the
+same rule: rounds go on until no factor differs from one by more than ``TOLERANCE``, or ``ROUNDS``
+are over, when a warning tells the margin error that is left (targets may contradict each other).
 
 Cases: a null source or language is the category ``unknown``; null or empty text is the topic
 ``empty`` with no tokens and probability one times the rate of its cell; categories without a
@@ -18,11 +20,14 @@ columns are carried along, except those named like a result.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import Scratch, only, stored
 
 MARGINS = ("source", "lang", "topic")
 DRIVER_CELLS = 100_000
@@ -82,21 +87,28 @@ def rake(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], round
             off = max(off, float(np.abs(factor - 1).max(initial=0)))
             weight = weight * factor[codes[:, m]]
         if off < TOLERANCE:
-            break
+            return weight
+    _left(off)
     return weight
 
 
-def calibrated(tokens: np.ndarray, rate: np.ndarray, budget: float) -> float:
-    """Factor f for which the sum of tokens * min(1, f * rate) is the budget (at most all tokens)."""
-    order = np.argsort(-rate)
-    t, r = tokens[order].astype(float), rate[order]
-    whole, part = np.concatenate([[0], np.cumsum(t)]), np.concatenate([np.cumsum((t * r)[::-1])[::-1], [0]])
-    for k in range(len(t)):  # the first k cells are taken whole
-        if part[k] > 0:
-            f = max(0.0, budget - whole[k]) / part[k]
-            if f * r[k] <= 1:
-                return f
-    return 1 / r[r > 0].min() if (r > 0).any() else 0.0
+def _left(off: float) -> None:
+    warnings.warn(f"a margin is still off by a factor of {1 + off:.6g} after {ROUNDS} rounds", stacklevel=3)
+
+
+def calibrated(sums: Callable[[float], tuple[float, float]], budget: float) -> float:
+    """Factor f for which the sum of tokens * min(1, f * rate) is the budget (at most all tokens).
+
+    ``sums(f)``: tokens of the cells with f * rate >= 1, and the sum of tokens * rate of the others.
+    The cells taken whole only become more, so few rounds find them.
+    """
+    f = 0.0
+    while True:
+        whole, part = sums(f)
+        new = (budget - whole) / part if part > 0 else f
+        if new <= f * (1 + 1e-14):
+            return f
+        f = new
 
 
 def _cells(docs: DataFrame) -> DataFrame:
@@ -124,12 +136,17 @@ def probabilities(docs: DataFrame, wanted: dict[str, dict[str, float] | float],
         shares = targets_for(present, wanted[name])
         targets.append(np.array([shares[k] for k in names]))
     rate = np.divide(rake(tokens, codes, targets), tokens, out=np.ones(n), where=tokens > 0)
-    chance = np.minimum(1, rate * calibrated(tokens, rate, budget_share * tokens.sum()))
+
+    def sums(f: float) -> tuple[float, float]:
+        whole = f * rate >= 1
+        return float(tokens[whole].sum()), float((tokens * rate)[~whole].sum())
+
+    chance = np.minimum(1, rate * calibrated(sums, budget_share * tokens.sum()))
     # At most DRIVER_CELLS rows: sent to the tasks, so that documents aren't shuffled.
     return F.broadcast(spark.createDataFrame([(*(r[f"_{m}"] for m in MARGINS), float(w), float(p)) for r, w, p in zip(rows, rate, chance)], schema))
 
 
-def rake_by_spark(cells: DataFrame, wanted: dict[str, dict[str, float] | float], budget_share: float, rounds: int = 30) -> DataFrame:
+def rake_by_spark(cells: DataFrame, wanted: dict[str, dict[str, float] | float], budget_share: float, rounds: int = ROUNDS) -> DataFrame:
     """The same for any number of cells: margins are grouped sums, targets are joined, nothing is collected but sums."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     state = cells.withColumn("w", F.col("tokens").cast("double"))
@@ -148,20 +165,29 @@ def rake_by_spark(cells: DataFrame, wanted: dict[str, dict[str, float] | float],
         scaled = present.withColumn("raw", raw)
         scale = scaled.agg(F.sum("raw")).first()[0] or 1.0
         goals[col] = stored(scaled.select(col, (F.col("raw") / scale * total).alias("goal")), "goals")
-    for k in range(rounds):
-        for col, goal in goals.items():
-            factor = state.groupBy(col).agg(F.sum("w").alias("now")).join(goal, col).select(col, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("f"))
-            state = state.join(factor, col).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        state = stored(state, "raked")
-    state = state.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
-    low, high = 0.0, 1.0
-    expected = lambda f: state.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * f))).first()[0] or 0.0
-    while expected(high) < budget_share * total * (1 - 1e-9) and high < 1e18:
-        high *= 4
-    for _ in range(50):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expected(mid) < budget_share * total else (low, mid)
-    return state.select(*(f"_{m}" for m in MARGINS), "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+    off = 0.0
+    with Scratch() as kept:
+        for _ in range(rounds):
+            off = 0.0
+            for col, goal in goals.items():
+                factor = state.groupBy(col).agg(F.sum("w").alias("now")).join(goal, col).select(col, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("f"))
+                factor = kept.stored(factor, "factors")
+                off = max(off, factor.agg(F.coalesce(F.max(F.abs(F.col("f") - 1)), F.lit(0.0))).first()[0])
+                state = kept.stored(state.join(factor, col).withColumn("w", F.col("w") * F.col("f")).drop("f"), "raked")
+            if off < TOLERANCE:
+                break
+        else:
+            _left(off)
+        rate = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)
+        state = stored(state.withColumn("weight", rate), "raked")
+
+    def sums(f: float) -> tuple[float, float]:
+        whole = F.col("weight") * f >= 1
+        got = state.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("tokens") * F.col("weight")))).first()
+        return float(got[0] or 0), float(got[1] or 0)
+
+    chance = F.least(F.lit(1.0), F.col("weight") * calibrated(sums, budget_share * total))
+    return state.select(*(f"_{m}" for m in MARGINS), "weight", chance.alias("probability"))
 
 
 def mixed(docs: DataFrame, wanted: dict[str, dict[str, float] | float], budget_share: float) -> DataFrame:

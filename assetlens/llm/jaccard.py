@@ -334,15 +334,17 @@ def _first_pairs(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataF
     return best.select((-F.col("m.less")).alias("a"), "b")
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame, leaders: int, kept: Scratch) -> DataFrame:
-    """Members of blocks with several components; ``lead``: about ``leaders`` of those outside the block's largest one.
+def _open_lists(lists: DataFrame, labels: DataFrame, k: int, kept: Scratch) -> DataFrame:
+    """Members of blocks with several components; ``lead``: some of those outside the block's largest one.
 
-    Which members lead is told by a hash, so that no block has to be sorted in one task.
+    About LEADERS[k] members lead in round k.  Which ones is told by a hash, other for each round, so
+    that no block has to be sorted in one task.
     """
+    leaders = LEADERS[min(k, len(LEADERS) - 1)]
     own = kept.stored(lists.join(labels, "node"), "own")
     sizes = own.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
     open_ = sizes.filter("n > top.count").select("block", F.col("top.comp").alias("top"), (F.col("n") - F.col("top.count")).alias("others"))
-    place = F.shiftrightunsigned(F.xxhash64("block", "node"), 1)
+    place = F.shiftrightunsigned(F.xxhash64("block", "node", F.lit(k)), 1)
     lead = (F.col("comp") != F.col("top")) & (place.cast("double") * F.col("others") < leaders * 2.0**63)
     return kept.stored(own.join(kept.stored(open_, "open"), "block").withColumn("lead", lead).withColumn("place", place).drop("top", "others"), "open-lists")
 
@@ -374,7 +376,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, shingle: int, num: int, den
                 labels = labels.drop("pivot", "distance").join(pivots, "node", "left")
             labels = _merge(labels, done.filter(_links(done, num, den)), kept)
             tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-        own = _open_lists(lists, labels, LEADERS[min(k, len(LEADERS) - 1)], kept)
+        own = _open_lists(lists, labels, k, kept)
         if own.isEmpty():
             return labels
         a, b = _side(own.filter("lead"), info, "a"), _side(own, info, "b")

@@ -67,6 +67,7 @@ def test_media_members_are_retried_by_offset(tmp_path):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         z.writestr("0/1.png", b"abc" * 50)
         z.writestr("1/2.png", b"def" * 50)
+    (tmp_path / "y.zip").write_bytes(path.read_bytes())
     reader = media.ArchiveReader({"path": f"file://{tmp_path}"})
 
     class Flaky:
@@ -81,29 +82,89 @@ def test_media_members_are_retried_by_offset(tmp_path):
 
     import pyarrow.fs as pafs
 
+    local = pafs.LocalFileSystem()
     info = zipfile.ZipFile(path).infolist()[1]
-    assert reader.member(Flaky(pafs.LocalFileSystem()), str(path), info) == (b"def" * 50, 3)
+    assert reader.member(media._Archive(Flaky(local), str(path)), info) == (b"def" * 50, 3)
+    assert reader.retried(media._Archive(Flaky(local), str(path)), "directory", lambda f: len(zipfile.ZipFile(f).infolist())) == (2, 3)
+    assert len(reader.partitions()) == 1 and len(reader.partitions()[0].parts) == 2  # small archives share a partition
+    cut = media.ArchiveReader({"path": f"file://{tmp_path}", "rangeBytes": "100"}).partitions()
+    assert [hi - lo for p in cut for _, lo, hi in p.parts if hi - lo > 100] == [] and sum(b.num_rows for p in cut for b in reader.read(p)) == 4
     damaged = bytearray(path.read_bytes())
     damaged[info.header_offset + 40] ^= 1
     path.write_bytes(bytes(damaged))
     with pytest.raises(OSError, match="checksum"):
-        reader.member(pafs.LocalFileSystem(), str(path), info)
+        reader.member(media._Archive(local, str(path)), info)
+
+
+def masked_by_hand(line):
+    return ["<*>" if re.search("[0-9@]|://", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
+
+
+def recurring_by_hand(docs):
+    """The template tree, line by line: (n_lines, dropped) of each row."""
+    places, first = defaultdict(list), {}
+    for doc, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            if doc is not None and (t := tuple(masked_by_hand(line))):
+                places[t].append((doc, k))
+    first = {t: min(p) for t, p in places.items()}
+    root = {t: t for t in places}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    tree = defaultdict(list)
+    for t in places:
+        n = len(t)
+        for b in range(n // 10 + 1):
+            tree[n, t[:3], b, t[n * b // (n // 10 + 1) : n * (b + 1) // (n // 10 + 1)]].append(t)
+    for members in tree.values():
+        head = min(members, key=first.get)
+        for t in members:
+            if sum(x != y for x, y in zip(t, head)) <= len(t) // 10:
+                a, b = sorted((find(t), find(head)), key=first.get)
+                root[b] = a
+    joint = defaultdict(list)
+    for t in places:
+        joint[find(t)] += places[t]
+    gone = {p for ps in joint.values() if len({d for d, _ in ps}) > 1 for p in ps if p != min(ps)}
+    return sorted((str(doc), len((text or "").split("\n")), [k for k in range(len((text or "").split("\n"))) if (doc, k) in gone]) for doc, text in docs)
 
 
 def test_line_templates(spark, odd, empty):
-    long = "the quick brown fox jumps over the lazy dog and runs home to sleep"
+    long = "the quick brown fox jumps over the lazy dog and runs home to sleep until the cows come home again tonight".split()
+
+    def varied(*at):
+        return " ".join("other" if i in at else w for i, w in enumerate(long))
+
     docs = [
-        (1, f"{long}\nonly here in this one document\nuser 17 logged in from host 10.0.0.1"),
-        (2, f"{long.replace('lazy', 'sleepy')}\nuser 9 logged in from host 10.0.0.7\nshort one"),
-        (3, f"short one\n{long}\n{long}"),
+        (1, f"{varied()}\nonly here in this one document\nuser 17 logged in from host 10.0.0.1\n\n"),
+        (2, f"{varied(7, 17)}\nuser 9 logged in from host http://x/y\nshort one"),  # two blocks vary
+        (3, f"short  one\n{varied()}\n{varied()}\n{varied(1)}"),  # another leaf
         (4, None),
-        (None, long),
+        (None, varied()),
+        (5, varied(7, 8, 9)),  # too far
+        (6, "yes"),
+        (7, "yes\n"),
+        (7, "yes\n"),
     ]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["dropped"]) for r in linededup.recurring_lines(df).collect()}
-    assert got == {1: (3, 0, []), 2: (3, 2, [0, 1]), 3: (3, 2, [1, 2]), 4: (1, 0, []), None: (1, 0, [])}
-    texts = {r["doc_id"]: r["text"] for r in linededup.drop_lines(df).collect()}
-    assert texts[2] == "short one" and texts[3] == "short one" and texts[1] == docs[0][1] and texts[4] is None
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("version", F.lit("clash")).withColumn("_dropped", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.recurring_lines(df).collect())
+    assert got == recurring_by_hand(docs)
+    assert ("2", 3, [0, 1]) in got and ("3", 4, [0, 1, 2]) in got and ("5", 1, []) in got and ("7", 2, [0]) in got
+    texts = [(r["doc_id"], r["text"]) for r in linededup.drop_lines(df).collect()]
+    assert (2, "short one") in texts and (3, varied(1)) in texts and (4, None) in texts and texts.count((7, "")) == 2
+    assert linededup.drop_lines(df).columns == df.columns
+    # C-A and A-B are alike, C-B are not: one template, whose first line alone stays.
+    chain = [(1, varied(7, 8)), (2, varied(8)), (3, varied(8, 17))]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.recurring_lines(spark.createDataFrame(chain, "doc_id long, text string")).collect())
+    assert got == recurring_by_hand(chain) == [("1", 1, []), ("2", 1, [0]), ("3", 1, [0])]
+    r = random.Random(4)
+    many = [(i, "\n".join(" ".join(w if r.random() > 0.05 else r.choice(WORDS) for w in prose(r.randint(0, 6), 3 + 9 * r.randint(0, 5)).split()) for _ in range(r.randint(0, 5)))) for i in range(120)]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.recurring_lines(spark.createDataFrame(many, "doc_id long, text string").repartition(5)).collect())
+    assert got == recurring_by_hand(many) and sum(len(x[2]) for x in got) > 20
     assert linededup.recurring_lines(empty).count() == 0
     assert linededup.recurring_lines(odd).count() == len(ODD) + 1
 
@@ -126,14 +187,57 @@ def test_mixing_reaches_margins(spark, empty):
     assert raked["a"] == pytest.approx(0.5, abs=1e-4) and raked["b"] == pytest.approx(0.3, abs=1e-4) and raked["en"] == pytest.approx(0.4, abs=1e-4)
     taken = sum(x["n_tokens"] for x in got if x["sampled"])
     assert abs(taken / total - 0.4) < 0.08
-    by_cell = {(x["source"] or "unknown", x["lang"] or "unknown", x["topic"]): x["weight"] for x in got}
-    cells = mixing._cells(mixing.with_cells(docs.drop("weight")))
-    for x in mixing.rake_by_spark(cells, wanted, 0.4, rounds=8).collect():
-        if x["weight"] and by_cell[x["_source"], x["_lang"], x["_topic"]]:
-            assert x["weight"] == pytest.approx(by_cell[x["_source"], x["_lang"], x["_topic"]], rel=1e-2)
     assert mixing.mixed(empty, wanted, 0.5).count() == 0
 
 
+def test_mixing_by_hand(spark, monkeypatch):
+    """Raking and draw against a plain version, in arrays and by Spark; targets that converge slowly."""
+    import xxhash
+
+    r = random.Random(6)
+    data = [(i, prose(i, r.randint(1, 400)), "en" if r.random() < 0.97 - 0.9 * (i % 3 == 0) else "fr", "abc"[i % 3]) for i in range(300)] * 2
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    wanted = {"source": {"a": 0.1, "b": 0.3, "c": 0.6}, "lang": {"en": 0.4, "fr": 0.6}, "topic": 0.5}
+    out = mixing.mixed(docs, wanted, 0.3).collect()
+    assert len(out) == len(data)
+    tokens, total = Counter(), sum(x["n_tokens"] for x in out)
+    for x in out:
+        tokens[x["source"], x["lang"], x["topic"]] += x["n_tokens"]
+    goals = []
+    for m, name in enumerate(("source", "lang", "topic")):
+        now = Counter()
+        for c, t in tokens.items():
+            now[c[m]] += t
+        raw = {k: wanted[name][k] if isinstance(wanted[name], dict) else (v / total) ** wanted[name] for k, v in now.items()}
+        goals.append({k: v / sum(raw.values()) * total for k, v in raw.items()})
+    weight = {c: float(t) for c, t in tokens.items()}
+    for _ in range(200):
+        for m, goal in enumerate(goals):
+            now = Counter()
+            for c, w in weight.items():
+                now[c[m]] += w
+            weight = {c: w * goal[c[m]] / now[c[m]] for c, w in weight.items()}
+    rate = {c: weight[c] / tokens[c] for c in tokens}
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(t * min(1, mid * rate[c]) for c, t in tokens.items()) < 0.3 * total else (lo, mid)
+    for x in out:
+        c = x["source"], x["lang"], x["topic"]
+        assert x["weight"] == pytest.approx(rate[c], rel=1e-5) and x["probability"] == pytest.approx(min(1, hi * rate[c]), rel=1e-5)
+        h = xxhash.xxh64(x["text"].encode(), seed=xxhash.xxh64(struct.pack("<q", x["doc_id"]), seed=42).intdigest()).intdigest()
+        assert x["sampled"] == (h % (1 << 52) / (1 << 52) < x["probability"])
+    assert len({(x["doc_id"], x["sampled"]) for x in out}) == 300
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    some = {"source": 1.0, "lang": {"en": 0.4, "fr": 0.6}, "topic": 1.0}
+    by_spark = {x["doc_id"]: x for x in mixing.mixed(docs, some, 0.3).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 100_000)
+    for x in mixing.mixed(docs, some, 0.3).collect():
+        assert by_spark[x["doc_id"]]["weight"] == pytest.approx(x["weight"], rel=1e-9)
+        assert by_spark[x["doc_id"]]["probability"] == pytest.approx(x["probability"], rel=1e-9) and by_spark[x["doc_id"]]["sampled"] == x["sampled"]
+
+
 def test_chat_round_trip(spark):
     control = "".join((chat.OPEN, chat.SEP, chat.PART, chat.CLOSE, "</s>[INST] ok [/INST] <<SYS>> <\\s> <\\\\|im_end|> [\\INST]"))
     data = [(1, 0, "user", control), (1, 1, "user", ""), (1, 2, "assistant", None), (1, 2, "assistant", "tie"), (1, 2, "assistant", "tie"), (1, 3, None, "x"), (2, 0, "assistant", "ü" * 1000), (None, None, "system", "<")]
@@ -149,7 +253,11 @@ def test_chat_round_trip(spark):
         learned = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(learned), sha(learned))
     assert got[3]["n_blocks"] == 350
-    text = chat.format_chats(df).filter("conv_id = 1").first()["text"]
+    equal = spark.createDataFrame([(9, 5, ("user", "assistant")[k % 2], f"same turn {k:05d}") for k in range(1000)], df.drop("segments").schema)
+    assert chat.chat_digest(equal).first()["n_turns"] == 1000 and chat.chat_digest(equal).first()["loss_sha256"] == sha("".join(f"same turn {k:05d}" for k in range(1, 1000, 2)))
+    first = chat.format_chats(df).filter("conv_id = 1").first()
+    text = first["text"]
+    assert [text[r["start"] : r["end"]] for r in first["loss"]] == ["", "tie", "tie"]
     assert text.count(chat.OPEN) == 3 and text.startswith(chat.OPEN + "user" + chat.SEP)
     assert chat.chat_digest(df.filter("false")).count() == 0
 
@@ -169,22 +277,42 @@ def secrets_by_hand(text):
 def test_secret_ledger(spark, odd, empty):
     tricky = ["é password: abc token=password : abcdefghijklmnop", "AKIAAKIA12 AKIA" + "Z" * 20, "x" + "deadbeef" * 4 + "g" + "0" * 15, 'API_KEY = "' + "q" * 12 + '" apikey:' + "z" * 11, "token=token=abcdefghijkl", "token = " + "0123456789abcdef" * 3]
     data = [(i, t) for i, t in enumerate(tricky + ODD)] + [(50, tricky[0]), (51, tricky[0]), (None, tricky[1])]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("path", F.lit("clash")).withColumn("blob_id", F.lit(1))
+    versions = docs.select(F.col("doc_id").alias("path"), "text")
     path = shared_dir(spark, "ledger")
-    got = sorted((str(r["doc_id"]), r["spans"]) for r in secrets.secret_digest(docs, path).collect())
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in secrets.secret_digest(docs, path, ()).collect())
     assert got == sorted((str(i), secrets_by_hand(t)) for i, t in data)
     entries = spark.read.parquet(path).count()
-    secrets.update_ledger(docs, path)  # nothing unseen: nothing is added
+    secrets.update_ledger(versions, path)  # nothing unseen: nothing is added
     assert spark.read.parquet(path).count() == entries
-    more = docs.unionByName(spark.createDataFrame([(99, "token: " + "n" * 20)], docs.schema))
-    assert secrets.secret_digest(more, path).filter("doc_id = 99").first()["n_assign"] == 1
+    more = docs.unionByName(spark.createDataFrame([(99, "token: " + "n" * 20, "x", 1)], docs.schema))
+    assert secrets.secret_digest(more, path, ()).filter("doc_id = 99").first()["n_assign"] == 1
     assert spark.read.parquet(path).count() == entries + 3
     newer = (*secrets.RULES[:2], secrets.Rule("hex", "[0-9a-f]{8,}"))
-    secrets.update_ledger(docs, path, newer)  # a new rule version alone is scanned
+    secrets.update_ledger(versions, path, newer)  # a new rule version alone is scanned
     assert spark.read.parquet(path).groupBy("rule_version").count().count() == 4
+    held = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
+    held.write.mode("append").parquet(path)  # every entry twice: nothing counts twice
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in secrets.secret_digest(docs, path, ()).collect()) == got
     assert secrets.secret_digest(empty, shared_dir(spark, "ledger")).count() == 0
 
 
+def test_secret_versions_and_further_rules(spark):
+    kept = "token: " + "k" * 20
+    texts = ["plain", kept, f"{kept}\nAKIA{'B' * 16}", "a\nhttps://me:pass@host/x", "-----BEGIN RSA PRIVATE KEY-----\n" + "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = shared_dir(spark, "ledger")
+    secrets.update_ledger(secrets.first_saved(docs), path)
+    blobs = {t.split("\n")[0] for t in texts}
+    assert spark.read.parquet(path).count() == 3 * len(blobs)
+    got = {r["doc_id"]: r for r in secrets.secret_digest(docs, path).collect()}
+    assert got[1]["spans"] == "assign:0:27" and got[2]["spans"] == "assign:0:27,access:28:48"
+    assert got[3]["spans"] == "login:2:18" and got[3]["base_sha256"] == sha("") and got[4]["spans"] == "pem:0:31,jwt:32:64"
+    n = len(secrets.RULES) + len(secrets.MORE_RULES)
+    fresh = [t for t in texts if t not in blobs]
+    assert spark.read.parquet(path).count() == 3 * len(blobs) + n * len(fresh) + (n - 3) * (len(texts) - len(fresh))
+
+
 def test_token_files(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -209,6 +337,38 @@ def test_token_files(spark, odd, empty):
     assert tokenbin.token_digest(tokenbin.write_token_files(empty, nothing, path), nothing).count() == 0
 
 
+def thue_morse(n=1024):
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_equal_polynomial_hashes_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file()
+    docs = spark.createDataFrame(list(enumerate(thue_morse())) + [(None, "x")], "doc_id long, text string").coalesce(1)
+    folder = shared_dir(spark, "t")
+    got = {r["doc_id"]: r for r in tokenbin.token_digest(tokenbin.write_token_files(docs, folder, path), folder).collect()}
+    for i, t in enumerate(thue_morse()):
+        ids = Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+    assert got[None]["start"] == 0  # null sorts first
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.similarity_components(docs).collect()) == [("0", 1, "0"), ("1", 1, "1"), ("None", 1, "None")]
+    assert linededup.recurring_lines(docs).filter("n_dropped > 0").count() == 0
+
+
+def test_word_hashes():
+    from assetlens.llm.common import words_in
+
+    r = random.Random(2)
+    texts = [b"", b" ", b"x", *("".join(r.choice("ab c") for _ in range(r.randint(0, 300))).encode() for _ in range(50)), b"q" * 63, b"q" * 64, b"q" * 65, b"q" * 2000 + b" q\x0bq"]
+    words = words_in(texts)
+    want = [w for t in texts for w in t.split()]
+    assert [words.data[a:b].tobytes() for a, b in zip(words.starts, words.ends)] == want and words.counts.tolist() == [len(t.split()) for t in texts]
+    lo, hi = (h.tolist() for h in words.hashes())
+    assert len(set(lo)) == len(set(hi)) == len(set(want)) == len(set(zip(want, lo, hi)))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -262,6 +422,29 @@ def test_language_id(spark, odd, empty, sf_dir):
     assert langid.identify(odd, single).filter("doc_id = 7").first()["lang_pred"] == "fr"
 
 
+def test_language_sample_keeps_every_language(spark):
+    english = [(prose(k, 40), "en") for k in range(300)]
+    df = spark.createDataFrame(english + [("le chat est sur la table et il dort", "fr")] * 2000 + [("je ne sais pas", "fr")], "text string, lang string")
+    model = langid.fit(df, per_language=100)
+    assert sorted(x for m in model.members.values() for x in m) == ["en", "fr"]
+    french = spark.createDataFrame([(1, "le chat est la")], "doc_id long, text string")
+    assert langid.identify(french, model).first()["lang_pred"] == "fr"
+
+
+def test_language_vectors_by_hand(monkeypatch):
+    texts = [t.encode() for t in ("", "Ab1c", "xx  yy", "é" * 40, prose(1, 80))]
+    plain = langid.vectors(texts, 64)
+    monkeypatch.setattr(langid, "STRETCH", 7)  # a text longer than a stretch
+    assert np.array_equal(langid.vectors(texts, 64), plain)
+    for t, row in zip(texts, plain):
+        folded = b" " + b" ".join(t.translate(langid._FOLD).split()) + b" "
+        counts = Counter((n, folded[k : k + n + 1]) for n in range(4) for k in range(len(folded) - n))
+        want = np.zeros(64)
+        for (n, gram), c in counts.items():
+            want[int(langid.mix64(np.array([int.from_bytes(gram, "little") + ((n + 1) << 40)], np.uint64))[0] % 64)] += c
+        assert np.allclose(row, np.sqrt(want) / np.linalg.norm(np.sqrt(want)), atol=1e-6)
+
+
 def components_by_hand(data, num=85, den=100, n=4):
     sets, root = {}, {}
     for i, t in data:
@@ -314,11 +497,22 @@ def test_jaccard_components(spark, odd, empty, threshold):
 
 
 def test_jaccard_lists_longer_than_memory(spark, monkeypatch):
-    data = list(enumerate(near_copies(3, prose(77, 120), 60, 12)))
-    entries = jaccard.index_entries(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, 100)
-    blocks = jaccard.index_blocks(entries, 85, 100).groupBy("block").agg(F.collect_set("doc_id").alias("m")).collect()
-    sets = {tuple(sorted(b["m"])) for b in blocks}
-    assert sets and all(len(m) > 1 for m in sets)
+    """Lists that stream by, leaders of many members and small rounds give the same components."""
+    texts = near_copies(3, prose(77, 120), 60, 12) + near_copies(4, prose(78, 90), 40, 9) + [f"{prose(79, 50)} {prose(700 + k, 30)}" for k in range(30)]
+    data = list(enumerate(texts))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    entries = jaccard.index_entries(docs, 4, 85, 100)
+    sizes = []
+    for list_rows in (jaccard.LIST_ROWS, 3):
+        blocks = jaccard.index_blocks(entries, 85, 100, list_rows).groupBy("block").agg(F.collect_set("doc_id").alias("m")).collect()
+        sizes.append({tuple(sorted(b["m"])) for b in blocks if len(b["m"]) > 1})
+    pairs = [{(a, b) for m in s for a in m for b in m if a < b} for s in sizes]
+    assert pairs[0] and pairs[0] <= pairs[1]  # the class's largest size cuts less than the list's own
+    for name, value in (("FAN", 2), ("LEADERS", (4, 8)), ("LIST_ROWS", 3), ("SEEN", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard.index_blocks, "__defaults__", (3,))
+    got = sorted(tuple(x) for x in jaccard.similarity_components(docs).collect())
+    assert got == components_by_hand(data)
 
 
 def test_quality(spark, odd, empty):
@@ -348,3 +542,60 @@ def test_discriminant_by_hand():
     model = quality.Quadratic(0.5, (np.zeros(5), np.ones(5)), tuple((np.log(0.5), m, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())) for m in (mean, mean + 1)))
     d = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m) for m in (mean, mean + 1)]
     assert np.allclose(model.score(x), 1 / (1 + np.exp(d[0] - d[1])))
+
+
+def statistics_by_hand(text):
+    """Raw counts of one text, without arrays."""
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    kinds = Counter("U" if 65 <= b < 91 else "L" if 97 <= b < 123 else "D" if 48 <= b < 58 else "H" if b > 127 else "B" if b in b" \t\n\r\x0b\x0c" else "M" if b in b".,;:!?'\"-()" else "S" for b in text)
+    ink = len(text) - kinds["B"]
+
+    def odds(count, of, usual, few):
+        return np.log((count + usual * few) / (of - count + (1 - usual) * few))
+
+    n, few = len(words), quality.FEW_BYTES
+    entropy = -sum(c / len(text) * np.log2(c / len(text)) for c in Counter(text).values())
+    return [
+        np.log(max(n, 60)), np.log((ink + 150) / (n + 30)), np.log((len(text) + 600) / (len(lines) + 3)),
+        odds(kinds["U"] + kinds["L"], ink, 0.95, few), odds(kinds["U"], ink, 0.03, few), odds(kinds["D"], ink, 0.003, few),
+        odds(kinds["M"], ink, 0.03, few), odds(kinds["S"], ink, 0.003, few), odds(kinds["H"], ink, 0.02, few),
+        np.log(len(set(words)) + 30) / np.log(n + 30), odds(max(Counter(words).values(), default=0), n, 0.06, 30),
+        odds(sum(a == b for a, b in zip(words, words[1:])), n, 0.01, 30), odds(len(lines) - len(set(lines)), len(lines), 0.02, 3),
+        (len(text) * entropy + few * 4.2) / (len(text) + few),
+    ]
+
+
+def test_quality_by_hand(spark):
+    texts = [(t or "").encode() for t in ODD]
+    assert np.allclose(quality.statistics(texts), [statistics_by_hand(t) for t in texts])
+    data = [(i, prose(i, 20 + i % 60) + ("!" * (i % 7) if i % 2 else " 12 34" * (i % 5))) for i in range(200)] + [(None, "x")]
+    labels = [(i, i % 2) for i in range(200)] + [(0, 0), (3, None), (999, 1), (None, 1)]  # repeated, null and without a document
+    docs, known = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, known).collect()}
+    x = {i: np.array(statistics_by_hand(t.encode())) for i, t in data}
+    rows = [(x[i], q) for i, q in labels if i in x and i is not None and q is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    every = np.stack([a for a, _ in rows])
+    mean, spread = every.mean(0), every.std(0).clip(np.sqrt(1e-9))
+    density = []
+    for k in (0, 1):
+        z = (np.stack([a for a, q in rows if q == k]) - mean) / spread
+        s = quality.shrunk(np.cov(z.T, bias=True), len(z))
+        density.append((np.log(len(z) / len(rows)), z.mean(0), np.linalg.inv(s), np.linalg.slogdet(s)[1]))
+    for i, a in x.items():
+        z = (a - mean) / spread
+        d = [prior - 0.5 * (z - m) @ inverse @ (z - m) - 0.5 * det for prior, m, inverse, det in density]
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(d[0] - d[1])), abs=1e-6)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.7) and got[i]["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_media_of_null_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "a", "x"), (5, None, "y"), (5, None, "z")], "doc_id long, text string, feature string")
+    folder = shared_dir(spark, "m")
+    media.write_archives(docs, folder)
+    got = media.media_digest(media.read_archives(spark, folder)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "None"] and len({r["media_sha256"] for r in got if r["doc_id"] == 5}) == 1
+    image = media.encode_png(media.padded(b"a"), b"1")
+    one = next(r for r in got if r["doc_id"] is None)
+    assert one["media_bytes"] == len(image) and one["media_sha256"] == hashlib.sha256(image).hexdigest()
+    samples = np.frombuffer(media.padded(b"a"), np.uint8)
+    assert one["feature"].startswith(f"rows=1;mean={samples.mean():.4f};std={samples.std():.4f};")

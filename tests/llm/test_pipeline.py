@@ -1,6 +1,7 @@
 """The pipeline on whole tables, stage by stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assetlens.llm import decontam, langid, oracle, queries
@@ -28,6 +29,32 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
 
 
+def test_near_copies_by_hand(spark, sf_dir):
+    """Of each group of linked documents, the one of least doc_id stays."""
+    from test_llm_operators import components_by_hand
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, _, root in components_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()]) if i == root}
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Null, empty, repeated and very long texts, empty tables and further columns of clashing names."""
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").first()["text"]
+    rows = [(1, None, None, None), (2, "", "en", None), (3, "7 7", "fr", "s"), (4, text, "en", "s"), (4, text, "en", "s"), (5, text, None, "t"), (6, (text + " ") * 500, "en", "t"), (None, text, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(docs.columns).filter("doc_id > 20"))
+    for c in ("score", "n_tokens", "component_id", "n_hit", "sampled", "start"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and stage(spark, docs.filter("false"), sf_dir).count() == 0
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).filter("doc_id is null or doc_id < 10").collect()]
+    assert sorted(kept, key=str) == [1, 2, 3, 4, 4, 6, None]
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf_dir).filter("doc_id < 10").collect()} == {4, 5, 6}
+    assert corpus_pipeline.token_binary(spark, docs, sf_dir).count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_sql_gives_the_same_rows(spark, sf_dir, name):
     import duckdb

@@ -34,7 +34,7 @@ def scope_rows(sheets: DataFrame, devices: DataFrame, bays: DataFrame, role: str
         return sheets
     if site_id is None:
         return sheets.filter(F.col("created_by") == user_id)
-    owner = devices.join(F.broadcast(bays.select(F.col("id").alias("bay_id"), "site_id")), "bay_id").filter(F.col("site_id") == site_id)
+    owner = devices.join(bays.filter(F.col("site_id") == site_id).select(F.col("id").alias("bay_id")), "bay_id")
     mine = sheets.join(owner.select(F.col("id").alias("device_id")).distinct().withColumn("_here", F.lit(True)), "device_id", "left")
     own = F.coalesce(F.col("site_id") == site_id, F.lit(False)) if "site_id" in sheets.columns else F.lit(False)
     return mine.filter(own | F.col("_here").isNotNull()).select(sheets.columns)
@@ -47,7 +47,7 @@ def my_rows(sheets: DataFrame, user_id: int) -> DataFrame:
 def filter_by_reference_code(df: DataFrame, lookup: DataFrame, code: str, column: str) -> DataFrame:
     """Rows whose column equals the code's old name in the lookup (code, legacy), or the code if it has none."""
     known = lookup.filter(F.col("code") == code).select(F.coalesce(F.nullif("legacy", F.lit("")), "code").alias(column))
-    return df.join(F.broadcast(known.limit(1)), column, "left_semi")
+    return df.join(known.limit(1), column, "left_semi")
 
 
 def recent(df: DataFrame, now: Column, hours: int = 24, column: str = "created_at") -> DataFrame:
@@ -71,7 +71,7 @@ def due_intervals(configs: DataFrame, now: Column) -> DataFrame:
 def pluck_fields(jobs: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label, value) of the fields map; empties dropped; labels from the dictionary, else the key in title case."""
     rows = jobs.select("id", F.explode("fields").alias("key", "value")).filter(F.coalesce(F.trim("value"), F.lit("")) != "")
-    named = rows.join(F.broadcast(labels.select("key", "label")), "key", "left")
+    named = rows.join(labels.select("key", "label"), "key", "left")
     return named.select("id", F.coalesce("label", F.initcap(F.replace("key", F.lit("_"), F.lit(" ")))).alias("label"), "value")
 
 
@@ -109,9 +109,11 @@ def suggest(q: str, sites: DataFrame, bays: DataFrame, devices: DataFrame) -> Da
 
 
 def number_files(df: DataFrame, name: str = "name") -> DataFrame:
-    """Names in case-insensitive order numbered ``P_001``...; at most 999."""
+    """Names in case-insensitive order numbered ``P_001``...; more than 999 are refused before they are put in order."""
+    if df.limit(1000).count() > 999:
+        raise ValueError("more than 999 files")
     place = F.row_number().over(W.orderBy(F.lower(name), name))
-    return df.withColumn("place", place).withColumn("new_name", F.when(F.col("place") <= 999, F.format_string("P_%03d", "place")).otherwise(F.raise_error(F.lit("more than 999 files"))))
+    return df.withColumn("place", place).withColumn("new_name", F.format_string("P_%03d", "place"))
 
 
 def order_board(devices: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,12 +51,21 @@ def link_orphans(child: DataFrame, parent: DataFrame, link: str, child_key: str,
 def match_by_containment(df: DataFrame, parents: DataFrame, text: str) -> DataFrame:
     """Adds ``parent_id``: the lowest id whose name holds the text, else whose code does; blank texts match nothing.
 
-    The join has no key; parents are a reference list, so they are compared with each distinct text once.
+    A text stands in a name only if its first three letters (all, if it has fewer) do: these are the
+    join's key, and each distinct text is compared once with the parents that have them.
     """
     texts = df.select(F.col(text).alias("_t")).filter(F.trim("_t") != "").distinct()
     p = parents.select(F.col("id").alias("_id"), F.upper("name").alias("_n"), F.upper("code").alias("_c"))
+
+    def grams(c: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
+        return F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(c, i, n))))
+
+    empty = F.array().cast("array<string>")
+    p = p.withColumn("_g", F.explode(F.array_distinct(F.concat(F.coalesce(grams(F.col("_n")), empty), F.coalesce(grams(F.col("_c")), empty)))))
+    texts = texts.withColumn("_g", F.substring(F.upper("_t"), 1, 3))
     by_name, by_code = F.contains("_n", F.upper("_t")), F.contains("_c", F.upper("_t"))
-    pairs = texts.join(p, by_name | by_code).groupBy("_t").agg(F.min(F.when(by_name, F.col("_id"))).alias("_x"), F.min(F.when(by_code, F.col("_id"))).alias("_y"))
+    pairs = texts.join(p, (texts["_g"] == p["_g"]) & (by_name | by_code)).groupBy("_t").agg(F.min(F.when(by_name, F.col("_id"))).alias("_x"), F.min(F.when(by_code, F.col("_id"))).alias("_y"))
     found = pairs.select("_t", F.coalesce("_x", "_y").alias("parent_id"))
     return df.join(found, F.col(text) == F.col("_t"), "left").drop("_t")
 

@@ -147,7 +147,7 @@ def spatial_evidence(candidates: DataFrame, topology: DataFrame, anchors: DataFr
     cell = F.regexp_extract(F.coalesce("source_cell", F.lit("")), r"(?:^|:)(cover_row_\d+:(?:right_primary|right_secondary|left|right))(?::|$)", 1)
     region = (cx >= F.col("page_width") * 0.5) & (cy <= F.col("page_height") * 0.22)
     hit = F.when((F.col("kind") == "page_region") & (F.col("expected") == "top_right_header"), region.cast("double")).when((F.col("kind") == "cover_slot") & (cell != ""), (cell == F.col("expected")).cast("double"))
-    rules = candidates.join(F.broadcast(topology), "field").withColumn("_hit", hit).groupBy("candidate_id").agg(F.min("_hit").alias("topology_score"))
+    rules = candidates.join(topology, "field").withColumn("_hit", hit).groupBy("candidate_id").agg(F.min("_hit").alias("topology_score"))
     related = relate(candidates.join(anchors, "field"), F.col("relation"))
     best = related.groupBy("candidate_id").agg(F.max("score").alias("anchor_score"), F.max_by("anchor_id", F.when(F.col("matched"), F.struct("score", "anchor_id"))).alias("anchor_id"))
     out = candidates.select("candidate_id", "field").join(rules, "candidate_id", "left").join(best, "candidate_id", "left")
@@ -160,7 +160,7 @@ def validate_values(values: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: field, kind, options, pattern, low, high, required, active.
     """
-    pairs = values.join(F.broadcast(rules.filter("active")), "field", "left")
+    pairs = values.join(rules.filter("active"), "field", "left")
     checked = pairs.withColumn("_c", F.when(F.col("kind").isNotNull(), check_value(*(F.col(c) for c in ("value", "kind", "options", "pattern", "low", "high", "required")))))
     s = F.col("_c.status")
     agg = checked.groupBy("value_id").agg(F.count_if(s == "passed").alias("passed"), F.count_if(s.isin("passed", "failed")).alias("evaluated"), F.count_if((s == "failed") & F.col("required")).alias("broken"))
@@ -227,7 +227,7 @@ def rule_tables(default: DataFrame, overlay: DataFrame, known_kinds: list[str])
     """
     fields = default.select("field").distinct().withColumn("_known", F.lit(True))
     reason = F.when(F.col("_known").isNull(), "unknown_field").when(~F.col("kind").isin(known_kinds), "unknown_kind").when(F.coalesce(F.col("origin"), F.lit("")) != "user", "wrong_origin").when(F.coalesce(F.trim("author"), F.lit("")) == "", "author_missing")
-    judged = overlay.join(F.broadcast(fields), "field", "left").withColumn("reason", reason)
+    judged = overlay.join(fields, "field", "left").withColumn("reason", reason)
     good = judged.filter("reason is null").select(default.columns)
     return default.unionByName(good).filter(F.coalesce("status", F.lit("active")) == "active").distinct(), judged.filter("reason is not null").select(*overlay.columns, "reason")
 

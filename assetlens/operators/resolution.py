@@ -19,7 +19,9 @@ def resolve_fields(existing: DataFrame, blocks: DataFrame, aliases: list[tuple[s
     hits = layout.match_aliases(blocks, aliases).filter("value <> ''")
     placed = hits.join(blocks.drop("text"), ["document_id", "page_number", "block_id"])
     own = F.concat_ws("-", "document_id", "page_number", "block_id", "start", "field")
-    found = placed.withColumn("candidate_id", own).dropDuplicates(["document_id", "field", "value"])
+    named = placed.withColumn("candidate_id", own)
+    first = F.min_by(F.struct(*named.columns), F.struct("page_number", "block_id", "start"))  # of equal values the first in the document
+    found = named.groupBy(*(F.col(c).alias(f"_{c}") for c in ("document_id", "field", "value"))).agg(first.alias("_row")).select("_row.*")
     wanted = existing.filter("value is null").select("document_id", "field")
     found = found.join(wanted, ["document_id", "field"])
     spatial = pages.spatial_evidence(found.withColumns({"source_cell": F.lit(None).cast("string"), "page_width": F.lit(page_width), "page_height": F.lit(page_height)}), topology, anchors)
@@ -27,7 +29,7 @@ def resolve_fields(existing: DataFrame, blocks: DataFrame, aliases: list[tuple[s
     ruled = lambda df, name: df.select("field").distinct().withColumn(name, F.lit(True))
     rows = found.join(spatial.drop("field").withColumnRenamed("cap", "_sc"), "candidate_id").join(values.select(F.col("value_id").alias("candidate_id"), F.col("score").alias("_v"), F.col("cap").alias("_vc")), "candidate_id")
     for df, name in ((topology, "_t"), (anchors, "_a"), (value_rules.filter("active"), "_r")):
-        rows = rows.join(F.broadcast(ruled(df, name)), "field", "left")
+        rows = rows.join(ruled(df, name), "field", "left")
     signal = lambda name, score: F.when(F.col(name).isNull(), 1.0).otherwise(F.col(score))
     scored = pages.score_candidates(
         rows.withColumns(
@@ -38,7 +40,7 @@ def resolve_fields(existing: DataFrame, blocks: DataFrame, aliases: list[tuple[s
         )
     )
     keyed = scored.select(F.concat_ws("\t", "document_id", "field").alias("field"), "candidate_id", "score", F.col("cap").isNotNull().alias("constrained"))
-    decided = rank_candidates(keyed).select(F.split("field", "\t")[0].cast("long").alias("document_id"), F.split("field", "\t")[1].alias("field"), "leader", "margin", F.col("status").alias("_s"), "reasons")
+    decided = rank_candidates(keyed).select(F.split("field", "\t")[0].cast(existing.schema["document_id"].dataType).alias("document_id"), F.split("field", "\t")[1].alias("field"), "leader", "margin", F.col("status").alias("_s"), "reasons")
     leaders = scored.select(F.col("candidate_id").alias("leader"), F.col("value").alias("_value"))
     out = existing.join(decided.join(leaders, "leader"), ["document_id", "field"], "left")
     held = F.col("field").isin(locked) if locked else F.lit(False)

@@ -24,9 +24,11 @@ def active_version(sheets: DataFrame) -> DataFrame:
 
 def previous_version(sheets: DataFrame) -> DataFrame:
     """Adds ``previous_id``: the newest sheet of the device strictly earlier (highest id among equals); null without one."""
+    known = sheets.filter("device_id is not null")  # sheets without a device would all fall into one group
     earlier = W.partitionBy("device_id").orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
     found = F.max(F.struct("created_at", "id")).over(earlier)["id"]
-    return sheets.withColumn("previous_id", F.when(F.col("device_id").isNotNull(), found))
+    without = sheets.filter("device_id is null").withColumn("previous_id", F.lit(None).cast(sheets.schema["id"].dataType))
+    return known.withColumn("previous_id", found).unionByName(without)
 
 
 def first_by_role(signatures: DataFrame, roles: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def merge_spans(tokens: DataFrame) -> DataFrame:
     tokens: document_id, place, text, label, confidence, x1, y1, x2, y2.
     """
     w = W.partitionBy("document_id").orderBy("place")
-    kind = F.when(F.col("label") != "O", F.substring("label", 3, 1000))
+    kind = F.when(F.col("label") != "O", F.expr("substring(label, 3)"))
     tagged = tokens.withColumn("_kind", kind).withColumn("_before", F.lag("_kind").over(w))
     opens = F.startswith(F.col("label"), F.lit("B-")) | ~F.col("_kind").eqNullSafe(F.col("_before"))
     runs = _with_new(tagged, ["document_id"], "place", opens).filter("_kind is not null")
@@ -64,7 +66,7 @@ def sequence_violations(tokens: DataFrame, known: list[str]) -> DataFrame:
     """I- tags that don't follow B- or I- of their kind; unknown tags break a run."""
     w = W.partitionBy("document_id").orderBy("place")
     label = F.when(F.col("label").isin(known), F.col("label"))
-    kind = F.substring("_label", 3, 1000)
+    kind = F.expr("substring(_label, 3)")
     rows = tokens.withColumn("_label", label).withColumn("_kind", F.when(F.col("_label") != "O", kind)).withColumn("_before", F.lag("_kind").over(w))
     return rows.filter(F.startswith("_label", F.lit("I-")) & ~F.col("_kind").eqNullSafe(F.col("_before"))).select("document_id", "place", "label")
 
@@ -130,11 +132,14 @@ def explode_parameters(df: DataFrame, column: str, key: str = "sheet_id") -> Dat
 def diff_parameters(sheets: DataFrame, params: DataFrame) -> DataFrame:
     """(sheet_id, code, kind, old_value, new_value) of each sheet against the device's previous one."""
     pairs = previous_version(sheets).filter("previous_id is not null").select(F.col("id").alias("sheet_id"), "previous_id")
-    latest = last_parameters(params)
-    new = pairs.join(latest, "sheet_id").select("sheet_id", "code", F.col("value").alias("new_value"), F.lit(True).alias("_new"))
-    old = pairs.join(latest.withColumnRenamed("sheet_id", "previous_id"), "previous_id").select("sheet_id", "code", F.col("value").alias("old_value"), F.lit(True).alias("_old"))
-    both = old.join(new, ["sheet_id", "code"], "full")
-    kind = F.when(F.col("_old").isNull(), "ADDED").when(F.col("_new").isNull(), "REMOVED").when(differs(F.col("old_value"), F.col("new_value")), "CHANGED")
+    # A sheet's parameters are the new ones of itself and the old ones of its successors: one join, one evaluation.
+    side = F.array(F.struct(F.col("sheet_id").alias("_from"), "sheet_id", F.lit(True).alias("_new")), F.struct(F.col("previous_id").alias("_from"), "sheet_id", F.lit(False).alias("_new")))
+    sides = pairs.select(F.explode(side).alias("_s")).select("_s.*")
+    rows = sides.join(last_parameters(params).withColumnRenamed("sheet_id", "_from"), "_from")
+    of = lambda new: [F.max(F.when(F.col("_new") == new, F.col("value"))), F.count_if(F.col("_new") == new)]
+    (new_value, n_new), (old_value, n_old) = of(True), of(False)
+    both = rows.groupBy("sheet_id", "code").agg(new_value.alias("new_value"), n_new.alias("_n"), old_value.alias("old_value"), n_old.alias("_o"))
+    kind = F.when(F.col("_o") == 0, "ADDED").when(F.col("_n") == 0, "REMOVED").when(differs(F.col("old_value"), F.col("new_value")), "CHANGED")
     return both.withColumn("kind", kind).filter("kind is not null").select("sheet_id", "code", "kind", "old_value", "new_value")
 
 
@@ -201,7 +206,8 @@ def timeline(sheets: DataFrame, signatures: DataFrame, edits: DataFrame) -> Data
         .select(F.col("id").alias("sheet_id"), F.coalesce("sent_at", "created_at").alias("at"), F.lit("assigned").alias("kind"), F.col("assigned_to").cast("string").alias("who"), F.lit(2).alias("branch"))
     )
     edited = edits.select("sheet_id", F.try_to_timestamp("time").alias("at"), F.lit("edited").alias("kind"), F.col("user").cast("string").alias("who"), F.lit(3).alias("branch")).filter("at is not null")
-    return created.unionByName(signed).unionByName(assigned).unionByName(edited)
+    every = created.unionByName(signed).unionByName(assigned).unionByName(edited)
+    return every.orderBy("sheet_id", F.desc("at"), "branch", "kind", "who")
 
 
 def apply_edits(params: DataFrame, edits: DataFrame) -> DataFrame:

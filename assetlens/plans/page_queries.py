@@ -83,18 +83,18 @@ def i8_reconstruct_page(t):
 
 @query()
 def i9_code_records(t):
-    coded = F.when(F.col("block_id") % 3 == 0, F.concat(F.col("block_id") + 100, F.lit(".1 "), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    coded = F.when(F.col("block_id") % 3 == 0, F.concat(F.col("block_id") + 100, F.lit(".1 "), F.col("text"))).otherwise(F.col("text"))
     return L.group_code_records(t.blocks.withColumn("text", coded))
 
 
 @query("""
-b AS (SELECT *, block_id // 2 AS row_id, trim(CASE block_id % 6 WHEN 0 THEN (block_id + 10) || '.25 x' WHEN 1 THEN left(text, 20) || ':' WHEN 2 THEN upper(left(text, 12)) ELSE text END) AS tx FROM blocks),
+b AS (SELECT *, block_id // 2 AS row_id, trim(CASE block_id % 6 WHEN 0 THEN (block_id + 10) || '.25 x' WHEN 1 THEN text || ':' WHEN 2 THEN upper(text) ELSE text END) AS tx FROM blocks),
 s AS (SELECT *, median(y2 - y1) OVER (PARTITION BY document_id, page_number) AS m, row_number() OVER (PARTITION BY document_id, page_number, row_id ORDER BY x1, block_id) AS k, length(regexp_replace(tx, '\\P{L}', '', 'g')) AS n, length(regexp_replace(tx, '\\P{Lu}', '', 'g')) AS u FROM b),
 r AS (SELECT *, CASE WHEN regexp_matches(tx, '^([A-Za-z]{1,4}[- ]?)?[0-9]{2,4}[.][0-9]{2,4}([.][0-9]{1,4})?(\\b|\\s|$)') THEN 'parameter_code' WHEN tx LIKE '%:' AND length(tx) <= 100 THEN 'parameter_name'
   WHEN abs((x1 + x2) / 2 / 900.0 - 0.5) <= 0.18 AND length(tx) <= 120 AND y2 - y1 >= 1.08 * m AND n > 0 AND u / n >= 0.55 THEN 'section_heading' WHEN k > 1 AND (regexp_matches(tx, '(?i)[0-9]|[<>=±%Ω]|(^|[^\\p{L}\\p{N}_])(ms|s|A|V|kV|Hz|Ohm)($|[^\\p{L}\\p{N}_])') OR x1 / 900.0 >= 0.32) THEN 'parameter_value' WHEN k > 1 THEN 'parameter_name2' ELSE 'unassigned' END AS role FROM s);
 SELECT document_id, page_number, block_id, rtrim(role, '2') AS role, CASE role WHEN 'parameter_code' THEN 0.92 WHEN 'parameter_name' THEN 0.78 WHEN 'section_heading' THEN 0.72 WHEN 'parameter_value' THEN 0.58 WHEN 'parameter_name2' THEN 0.42 ELSE 0 END::DOUBLE AS role_confidence FROM r""")
 def i10_semantic_roles(t):
-    text = F.expr("CASE block_id % 6 WHEN 0 THEN concat(block_id + 10, '.25 x') WHEN 1 THEN concat(left(text, 20), ':') WHEN 2 THEN upper(left(text, 12)) ELSE text END")
+    text = F.expr("CASE block_id % 6 WHEN 0 THEN concat(block_id + 10, '.25 x') WHEN 1 THEN concat(text, ':') WHEN 2 THEN upper(text) ELSE text END")
     return P.semantic_roles(t.blocks.withColumns({"row_id": F.expr("block_id DIV 2"), "text": text}), 900.0)
 
 
@@ -251,9 +251,9 @@ def j1_drift_monitor(t):
     return J.drift_monitor(t.events.select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("at"), status, (F.col("event_id") % 50 + 1).cast("int").alias("every"), F.expr("CASE WHEN event_id % 97 = 0 THEN 'e' ELSE 'h' END AS unit"), (F.col("event_id") % 4 == 0).alias("manual")))
 
 
-@query("SELECT user_id AS ticket_id, least(count(*), 5) AS step, greatest(count(*) - 5, 0) AS rejected, count(*) >= 5 AS finished FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("SELECT user_id AS ticket_id, least(count(*), 5) AS step, greatest(count(*) - 5, 0) AS rejected, count(*) >= 5 AS finished FROM events GROUP BY 1")
 def j2_ticket_flow(t):
-    return J.ticket_flow(t.events.filter("event_type = 'error'").withColumnRenamed("user_id", "ticket_id"))
+    return J.ticket_flow(t.events.withColumnRenamed("user_id", "ticket_id"))
 
 
 @query("""
@@ -265,10 +265,14 @@ def j3_signature_flow(t):
     return J.signature_flow(signatures(t).selectExpr("id", "sheet_id", "role", "signed_at AS at"))
 
 
-@query("SELECT user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS idempotency_key, count(*) > 0 AS taken FROM events GROUP BY 1")
+@query("""
+RECURSIVE e AS (SELECT user_id || ':' || event_type AS idempotency_key, ts FROM events), g AS (
+  SELECT idempotency_key, min(ts) AS "at" FROM e GROUP BY 1 UNION ALL
+  SELECT g.idempotency_key, min(e.ts) AS "at" FROM g JOIN e ON e.idempotency_key = g.idempotency_key AND e.ts >= g."at" + INTERVAL 24 HOUR GROUP BY g.idempotency_key);
+SELECT idempotency_key, "at" FROM g""")
 def j4_ingest_once(t):
-    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd"))
-    return J.ingest_once(t.events.select(key.alias("idempotency_key"), F.col("ts").alias("at"))).select("idempotency_key", F.lit(True).alias("taken"))
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    return J.ingest_once(t.events.select(key.alias("idempotency_key"), F.col("ts").alias("at")))
 
 
 @query("SELECT user_id AS job_id, event_id AS id, row_number() OVER w AS sequence, round(max(greatest(0.0, least(100.0, (value - 5) / 80 * 100))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS percent, round(max(greatest(0.0, least(100.0, (value - 5) / 80 * 100))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) >= 100 AS terminal FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -277,12 +281,12 @@ def j5_monotonic_progress(t):
 
 
 @query("""
-h AS (SELECT event_id % 3000 AS job_id, ts AS header_at, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS header_status FROM events WHERE event_id < 3000 AND event_id % 6 <> 0), d AS (SELECT event_id % 3000 AS job_id, ts - INTERVAL 1 SECOND * (event_id % 1500) AS detail_at FROM events WHERE event_id < 3000);
+h AS (SELECT event_id AS job_id, ts + INTERVAL 1 DAY * (event_id % 6 = 0)::INTEGER AS header_at, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS header_status FROM events), d AS (SELECT event_id AS job_id, ts - INTERVAL 1 SECOND * (event_id % 1500) AS detail_at FROM events);
 SELECT d.job_id, detail_at, header_at, CASE WHEN h.job_id IS NULL THEN 'FAILED' WHEN header_status = 'FAILED' THEN 'SKIPPED' ELSE 'READY' END AS outcome FROM d LEFT JOIN h ON d.job_id = h.job_id AND header_at >= detail_at - INTERVAL 600 SECOND AND header_at <= detail_at + INTERVAL 600 SECOND""")
 def j6_pair_stages(t):
-    rows = t.events.filter("event_id < 3000").withColumn("at", F.col("ts").cast("timestamp"))
-    headers = rows.filter("event_id % 6 <> 0").selectExpr("event_id % 3000 AS job_id", "at AS header_at", "CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS header_status")
-    return J.pair_stages(headers, rows.selectExpr("event_id % 3000 AS job_id", "at - make_dt_interval(0, 0, 0, event_id % 1500) AS detail_at"))
+    rows = t.events.withColumn("at", F.col("ts").cast("timestamp"))
+    headers = rows.selectExpr("event_id AS job_id", "at + make_dt_interval(IF(event_id % 6 = 0, 1, 0)) AS header_at", "CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS header_status")
+    return J.pair_stages(headers, rows.selectExpr("event_id AS job_id", "at - make_dt_interval(0, 0, 0, event_id % 1500) AS detail_at"))
 
 
 @query("l AS (SELECT event_id % 777 AS job_id, arg_max(event_type, event_id) AS status, arg_max(user_id, event_id) % 5 AS creator FROM events GROUP BY 1); SELECT status, NULL::BIGINT AS creator, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT status, creator, count(*) FROM l GROUP BY 1, 2")
@@ -291,10 +295,23 @@ def j7_status_counts(t):
     return J.status_totals(latest)
 
 
-@query("SELECT event_id AS tick_id, ts AS tick, c_custkey AS id FROM events JOIN customer ON c_custkey % 3 <> 0 AND c_custkey % 40 = 7 AND timestamp '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 500) <= ts WHERE event_id % 100 = 0".replace("event_id AS tick_id, ", ""))
+@query("""
+b AS (SELECT 'C' || c_custkey % 700 AS code, coalesce(c_name, '') AS name, c_custkey AS k FROM customer), l AS (SELECT code, arg_max(name, k) AS name FROM b GROUP BY 1), s AS (SELECT 'C' || s_suppkey AS code, s_name AS name, s_nationkey::VARCHAR AS kind FROM supplier);
+SELECT code, coalesce(l.name, s.name) AS name, s.kind FROM s FULL JOIN l USING (code)""")
+def j8_sync_stream(t):
+    source, target = t.folder("batches"), t.folder("target")
+    t.customer.selectExpr("c_custkey AS k", "concat('C', c_custkey % 700) AS ext", "c_name AS label").write.parquet(source)
+    t.supplier.selectExpr("concat('C', s_suppkey) AS code", "s_name AS name", "CAST(s_nationkey AS STRING) AS kind").write.parquet(f"{target}/0")
+    told = []
+    batches = t.spark.readStream.schema("k long, ext string, label string").parquet(source)
+    J.sync_stream(batches, target, ["ext"], {"name": "label"}, "k", t.folder("sync"), lambda number, *rest: told.append(number)).awaitTermination()
+    return t.spark.read.parquet(f"{target}/{told[-1] + 1}")
+
+
+@query("SELECT tick, c_custkey AS id FROM (SELECT DISTINCT date_trunc('day', ts) AS tick FROM events) JOIN customer ON c_custkey % 3 <> 0 AND timestamp '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 500) <= tick")
 def j9_due_tick(t):
-    schedule = t.customer.filter("c_custkey % 40 = 7").selectExpr("c_custkey AS id", "c_custkey % 3 <> 0 AS enabled", "false AS paused", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, CAST(c_custkey % 500 AS INT)) AS next_at")
-    return J.due_tick(t.events.filter("event_id % 100 = 0").select(F.col("ts").cast("timestamp").alias("at")), schedule)
+    schedule = t.customer.selectExpr("c_custkey AS id", "c_custkey % 3 <> 0 AS enabled", "false AS paused", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, CAST(c_custkey % 500 AS INT)) AS next_at")
+    return J.due_tick(t.events.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).distinct(), schedule)
 
 
 @query("SELECT date_trunc('day', ts + INTERVAL 7 HOUR) - INTERVAL 7 HOUR AS start, count(*) AS n FROM events GROUP BY 1")

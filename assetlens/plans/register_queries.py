@@ -126,6 +126,30 @@ def a11_audit_manifest(t):
 # --- B
 
 
+@query("SELECT s_suppkey::BIGINT AS id, s_name AS name, 'n' || s_nationkey || ',s' || s_suppkey AS tags FROM supplier")
+def a7_write_xml(t):
+    path = t.folder("xml")
+    A.write_xml(t.supplier.selectExpr("s_suppkey AS id", "s_name AS name", "array(concat('n', s_nationkey), concat('s', s_suppkey)) AS tags"), path, "suppliers", "supplier")
+    back = t.spark.read.format("xml").option("rowTag", "supplier").schema("id long, name string, tags array<string>").load(path)
+    return back.select("id", "name", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT conv_id AS document_id, turn::INTEGER AS page_number, count(*) AS n, min(coalesce(text, '-')) AS low, max(coalesce(text, '-')) AS high FROM conversations GROUP BY ALL")
+def a9_write_page_json(t):
+    path = t.folder("pages")
+    A.write_page_json(t.conversations.selectExpr("conv_id AS document_id", "CAST(turn AS INT) AS page_number", "role", "coalesce(text, '-') AS text").repartition("document_id"), path)
+    back = t.spark.read.schema("role string, text string, document_id long, page_number int").json(path)
+    return back.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
+
+
+@query("SELECT 'nation=' || s_nationkey AS folder, sum(length(s_name) + 1)::BIGINT AS size, sha256(string_agg(s_name || chr(10), '' ORDER BY s_name)) AS sha256, 'txt' AS kind, 'text/plain' AS media_type FROM supplier GROUP BY s_nationkey")
+def a10_content_manifest(t):
+    path = t.folder("files")
+    lines = t.supplier.selectExpr("s_nationkey AS nation", "s_name").repartition("nation").sortWithinPartitions("nation", "s_name")
+    lines.write.partitionBy("nation").text(path)
+    return A.content_manifest(t.spark, path).select(F.split("path", "/")[0].alias("folder"), "size", "sha256", "kind", "media_type")
+
+
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(upper(p_name), 'RED') OR contains(upper(p_type), 'RED') OR contains(upper(p_brand), 'RED')")
 def b1_search_any(t):
     return B.search_any(t.part, "red", ["p_name", "p_type", "p_brand"]).select("p_partkey", "p_name", "p_type")
@@ -252,9 +276,9 @@ def c7_items_with_setting(t):
     return C.items_with_setting(items, _settings(t)).select("item_id", "device_id", "code", "standard")
 
 
-@query(_SETTINGS + "; SELECT o_orderkey AS check_id, code, 0.0::DOUBLE AS measured, 0.0::DOUBLE AS deviation, false AS within FROM orders JOIN settings ON device_id = o_custkey WHERE o_orderstatus = 'P'")
+@query(_SETTINGS + "; SELECT o_orderkey AS check_id, code, 0.0::DOUBLE AS measured, 0.0::DOUBLE AS deviation, false AS within FROM orders JOIN settings ON device_id = o_custkey")
 def c8_provision_items(t):
-    return C.provision_items(t.orders.filter("o_orderstatus = 'P'").selectExpr("o_orderkey AS check_id", "o_custkey AS device_id"), _settings(t))
+    return C.provision_items(t.orders.selectExpr("o_orderkey AS check_id", "o_custkey AS device_id"), _settings(t))
 
 
 @query("""SELECT g.g AS "group", p.p AS permission, EXISTS (SELECT 1 FROM part x WHERE x.p_brand = g.g AND x.p_type = p.p AND x.p_size > 40) AS granted FROM (SELECT DISTINCT p_brand AS g FROM part) g CROSS JOIN (SELECT DISTINCT p_type AS p FROM part) p""")
@@ -461,11 +485,11 @@ def d17_pool_predictions(t):
 
 
 @query("""
-w AS (SELECT user_id AS block_id, event_id AS word_index, event_type AS text, event_type AS label, round(value) AS confidence, value AS x1, value + 1 AS x2 FROM events WHERE event_id % 3 = 0),
+w AS (SELECT user_id AS block_id, event_id AS word_index, event_type AS text, event_type AS label, round(value) AS confidence, value AS x1, value + 1 AS x2 FROM events),
 v AS (SELECT block_id, label, sum(confidence) AS s, min(word_index) AS f FROM w GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC, f) AS k, count(*) OVER (PARTITION BY block_id) = 1 AS agree FROM v);
 SELECT block_id, b.label, agree, t.text, t.x1, t.x2 FROM b JOIN (SELECT block_id, string_agg(text, ' ' ORDER BY word_index) AS text, min(x1) AS x1, max(x2) AS x2 FROM w GROUP BY 1) t USING (block_id) WHERE k = 1""")
 def d18_vote_labels(t):
-    words = t.events.filter("event_id % 3 = 0").selectExpr("user_id AS block_id", "event_id AS word_index", "event_type AS text", "event_type AS label", "round(value) AS confidence", "value AS x1", "0D AS y1", "value + 1 AS x2", "1D AS y2")
+    words = t.events.selectExpr("user_id AS block_id", "event_id AS word_index", "event_type AS text", "event_type AS label", "round(value) AS confidence", "value AS x1", "0D AS y1", "value + 1 AS x2", "1D AS y2")
     return D.vote_labels(words).drop("y1", "y2")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def folder(self, name: str) -> str:
+        """A new folder below ``spark.checkpoint.dir``; a local session without it (tests) gets a temporary one."""
+        base = self.spark.conf.get("spark.checkpoint.dir", "") or self.spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not self.spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+            base = "file://" + tempfile.mkdtemp(prefix="spark-assetlens-")
+            self.spark.sparkContext.setCheckpointDir(base)
+        return f"{base.rstrip('/')}/assetlens/{name}-{uuid.uuid4().hex}"
+
     @cached_property
     def sites(self) -> DataFrame:
         return self.region.selectExpr("r_regionkey AS id", "r_name AS code")
@@ -81,8 +93,10 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     parts, _, select = sql.rpartition(";")
-    both = ", ".join(x for x in (head, parts.strip()) if x)
-    return (f"WITH {both} " if both else "") + select.strip()
+    parts = parts.strip()
+    word = "WITH RECURSIVE" if parts.startswith("RECURSIVE ") else "WITH"
+    both = ", ".join(x for x in (head, parts.removeprefix("RECURSIVE ")) if x)
+    return (f"{word} {both} " if both else "") + select.strip()
 
 
 def query(sql: str | None = None):

@@ -218,17 +218,17 @@ def g9_restart_jobs(t):
 
 
 @query("""
-s AS (SELECT p_partkey AS id, 'K' || p_partkey % 1200 AS code FROM part), j AS (SELECT p_partkey AS sheet_id, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'K' || p_partkey % 1500 END AS f FROM part WHERE p_partkey % 2 = 0);
+s AS (SELECT p_partkey AS id, 'K' || p_partkey % 1200 AS code FROM part), j AS (SELECT p_partkey AS sheet_id, CASE WHEN p_size % 5 = 0 OR p_partkey % 2 = 1 THEN '' ELSE 'K' || p_partkey % 1500 END AS f FROM part);
 SELECT id, CASE WHEN f <> '' AND NOT EXISTS (SELECT 1 FROM s o WHERE o.code = f AND o.id <> s.id) THEN f ELSE code END AS code, EXISTS (SELECT 1 FROM s o WHERE o.code = f AND o.id <> s.id) AS duplicate FROM s JOIN j ON sheet_id = id""")
 def g10_enrich_from_header(t):
     sheets = t.part.selectExpr("p_partkey AS id", "concat('K', p_partkey % 1200) AS code")
-    return V.enrich_from_header(t.part.filter("p_partkey % 2 = 0").selectExpr("p_partkey AS sheet_id", "CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('K', p_partkey % 1500) END AS found_code"), sheets)
+    return V.enrich_from_header(t.part.selectExpr("p_partkey AS sheet_id", "CASE WHEN p_size % 5 = 0 OR p_partkey % 2 = 1 THEN '' ELSE concat('K', p_partkey % 1500) END AS found_code"), sheets)
 
 
-@query("SELECT o_orderkey AS job_id, o_orderpriority AS station, o_orderkey % 9 AS records, o_orderstatus AS status_told, 'h' || o_custkey AS origin, '1,3,' || (3 + o_orderkey % 4) AS pages FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey AS job_id, o_orderpriority AS station, o_orderkey % 9 AS records, o_orderstatus AS status_told, 'h' || o_custkey AS origin, '1,3,' || (3 + o_orderkey % 4) AS pages FROM orders")
 def g11_merge_stage_results(t):
     header = t.orders.selectExpr("o_orderkey AS job_id", "map('station', o_orderpriority) AS fields", "map('status', 'header', 'origin', concat('h', o_custkey)) AS summary", "array(1) AS pages")
-    details = t.orders.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey AS job_id", "o_orderkey % 9 AS records", "map('status', o_orderstatus) AS summary", "array(3, CAST(3 + o_orderkey % 4 AS INT)) AS pages")
+    details = t.orders.selectExpr("o_orderkey AS job_id", "o_orderkey % 9 AS records", "map('status', o_orderstatus) AS summary", "array(3, CAST(3 + o_orderkey % 4 AS INT)) AS pages")
     out = V.merge_stage_results(header, details)
     return out.selectExpr("job_id", "fields['station'] AS station", "records", "summary['status'] AS status_told", "summary['origin'] AS origin", "array_join(CAST(pages AS ARRAY<STRING>), ',') AS pages")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,10 +122,22 @@ def signature_flow(signatures: DataFrame) -> DataFrame:
 
 
 def ingest_once(requests: DataFrame, key: str = "idempotency_key", column: str = "at") -> DataFrame:
-    """The first request of each key within 24 hours (a stream); of a table, the first of each key."""
+    """The first request of each key, and again the first one 24 hours or more after the last that was taken."""
     if requests.isStreaming:
         return requests.withWatermark(column, "24 hours").dropDuplicatesWithinWatermark([key])
-    return requests.dropDuplicates([key])
+
+    def taken(batches):
+        last = None  # key and time taken last; rows come in order
+        for batch in batches:
+            kept = []
+            for own, at in zip(batch.column(key).to_pylist(), batch.column("_at").to_pylist()):
+                kept.append(last is None or last[0] != own or at - last[1] >= 24 * 3600 * 10**6)
+                last = (own, at) if kept[-1] else last
+            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns("_at")
+
+    rest = [c for c in requests.columns if c not in (key, column)]
+    ordered = requests.withColumn("_at", F.unix_micros(F.col(column).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_at", *rest)
+    return ordered.mapInArrow(taken, requests.schema)
 
 
 # --- J5: progress
@@ -197,14 +210,15 @@ def live_status_counts(events: DataFrame, state_path: str, sink, checkpoint: str
 
 
 def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping: dict[str, str], order: str, checkpoint: str, report):
-    """Starts a stream that upserts each micro-batch into the table at ``target_path/<number>`` and reports (number, rows read, rows after)."""
+    """Starts a stream that upserts each micro-batch into the table at ``target_path/<number>`` and reports (number, rows read, rows after, status text)."""
     from ..operators.versions import upsert_by_code
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{target_path}/{number}")
         upsert_by_code(before, batch, codes, mapping, order).write.mode("overwrite").parquet(f"{target_path}/{number + 1}")
-        report(number, batch.count(), spark.read.parquet(f"{target_path}/{number + 1}").count())
+        read, after = batch.count(), spark.read.parquet(f"{target_path}/{number + 1}").count()
+        report(number, read, after, f"SUCCESS: {read} rows read, {after} rows known")
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -215,7 +229,7 @@ def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping:
 def due_tick(ticks: DataFrame, schedule: DataFrame) -> DataFrame:
     """(tick, id) of the devices due at each tick of a stream or table (``at``)."""
     due = schedule.filter("enabled AND NOT coalesce(paused, false)").select("id", "next_at")
-    return ticks.select(F.col("at").alias("tick")).join(F.broadcast(due) if ticks.isStreaming else due, F.col("next_at") <= F.col("tick")).select("tick", "id")
+    return ticks.select(F.col("at").alias("tick")).join(due, F.col("next_at") <= F.col("tick")).select("tick", "id")
 
 
 def minute_ticks(spark) -> DataFrame:

@@ -70,6 +70,13 @@ def test_ingest_once(spark, tmp_path):
     assert sorted(r["idempotency_key"] for r in got) == [0, 1, 2, 3] == sorted(r["idempotency_key"] for r in J.ingest_once(df).collect())
 
 
+def test_ingest_again_after_a_day(spark):
+    hours = (0, 5, 23, 24, 30, 47, 48, 100)
+    df = spark.createDataFrame([("k", h) for h in hours] + [("m", 3)], "idempotency_key string, h int").select("idempotency_key", F.expr("timestamp'2024-01-01' + make_dt_interval(0, h)").alias("at")).repartition(3)
+    got = sorted((r["idempotency_key"], r["at"].day, r["at"].hour) for r in J.ingest_once(df).collect())
+    assert got == [("k", 1, 0), ("k", 2, 0), ("k", 3, 0), ("k", 5, 4), ("m", 1, 3)]
+
+
 def test_stage_pairs(spark, tmp_path):
     at = lambda c: F.expr(f"timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {c})")
     headers = spark.createDataFrame([(1, 0, "SUCCESS"), (2, 0, "FAILED"), (3, 5000, "SUCCESS"), (9, 90000, "SUCCESS")], "job_id long, s int, header_status string").select("job_id", at("s").alias("header_at"), "header_status")
@@ -97,7 +104,7 @@ def test_sync_stream(spark, tmp_path):
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     told = []
     J.sync_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), ["c"], {"name": "title"}, "place", str(tmp_path / "cp"), lambda *x: told.append(x)).awaitTermination()
-    assert told == [(0, 2, 2)]
+    assert told == [(0, 2, 2, "SUCCESS: 2 rows read, 2 rows known")]
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "1")).select("code", "name", "extra").collect()) == [("a", "new", 1), ("b", "more", None)]
 
 

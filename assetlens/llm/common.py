@@ -132,23 +132,30 @@ class Words:
         return np.diff(self.upto, prepend=0)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Both halves of a 128-bit hash of each word; eight bytes at a time are mixed into the state."""
-        size = self.ends - self.starts
-        lanes = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        lo = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        hi = lo ^ np.uint64(0xC2B2AE3D27D4EB4F)
-        for at in range(0, LONG_WORD, 8):
-            live = np.flatnonzero(size > at)
-            if not len(live):
-                break
-            x = lanes[self.starts[live] + at] & _LANE[np.minimum(size[live] - at, 8)]
-            a, b = lo[live], hi[live]
-            a = mix64((a ^ x) * np.uint64(0xD6E8FEB86659FD93) + b)
-            lo[live], hi[live] = a, mix64((b + x) * np.uint64(0xA0761D6478BD642F) ^ a)
-        for k in np.flatnonzero(size > LONG_WORD).tolist():
-            digest = hashlib.blake2b(self.data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16, key=b"assetlens").digest()
-            lo[k], hi[k] = np.frombuffer(digest, np.uint64)
-        return lo, hi
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each span of ``data``, which has eight bytes more at its end.
+
+    Eight bytes at a time are mixed into the state; spans of more than LONG_WORD bytes go to BLAKE2b.
+    """
+    size = ends - starts
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    lo = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hi = lo ^ np.uint64(0xC2B2AE3D27D4EB4F)
+    for at in range(0, LONG_WORD, 8):
+        live = np.flatnonzero(size > at)
+        if not len(live):
+            break
+        x = lanes[starts[live] + at] & _LANE[np.minimum(size[live] - at, 8)]
+        a, b = lo[live], hi[live]
+        a = mix64((a ^ x) * np.uint64(0xD6E8FEB86659FD93) + b)
+        lo[live], hi[live] = a, mix64((b + x) * np.uint64(0xA0761D6478BD642F) ^ a)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16, key=b"assetlens").digest()
+        lo[k], hi[k] = np.frombuffer(digest, np.uint64)
+    return lo, hi
 
 
 def words_in(texts: list[bytes], lower: bool = False) -> Words:

@@ -8,8 +8,9 @@ without copying.  Beside it an index file has each document's id, start and leng
 
 Encoding uses the tokenizer of the library.  Byte-pair merges never cross the pieces that the
 tokenizer's own splitting rule makes, so pieces are found by array operations, each distinct piece
-(the string itself is the key) is encoded by the library once, and the ids of all texts are
-gathered from these.  What kind of
+is encoded by the library once, and the ids of all texts are gathered from these.  A piece is looked
+up by hash and its bytes are compared with the kept ones; texts for which they differ anywhere are
+left to the library.  What kind of
 character a code point is, is asked of the library's splitter as well.
 
 Order: rows are range-partitioned and sorted by doc_id; a partition writes its own shards, so
@@ -34,32 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, span_hashes, stored
 
 SEQUENCE = 2048
 BATCH = 128
 SHARD_IDS = 16 << 20
 END_ID = 2
 #: Pieces kept with their ids in each worker; beyond, the store starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 PIECES_AT_ONCE = 5_000
 
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 4, 255
 
 
-class _Rows(dict):
-    """Numbers of pieces; ``new``: pieces that haven't been encoded yet, in order of their numbers."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        row = self[piece] = len(self)
-        self.new.append(piece)
-        return row
-
-
 class PieceEncoder:
     """Encodes many texts with a byte-level tokenizer by encoding each distinct piece once."""
 
@@ -74,7 +62,8 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows = _Rows()
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.bytes_used, self.byte_at, self.byte_size = np.zeros(1 << 16, np.uint8), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, self.width), 0
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -111,15 +100,15 @@ class PieceEncoder:
             start[ends[ends < len(codes)]] = True
         return np.flatnonzero(start)
 
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(each) if each else np.zeros(0, self.width), np.array([len(e) for e in each], np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the count of each text."""
-        counts = np.zeros(len(texts), np.int64)
-        if any(s in t for s in self.special for t in texts):
-            each = [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.concatenate(each) if each else np.zeros(0, self.width), np.array([len(e) for e in each], np.int64)
         whole = "".join(texts)
-        if not whole:
-            return np.zeros(0, self.width), counts
+        if not whole or any(s in t for s in self.special for t in texts):
+            return self._by_library(texts)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
         text_ends = np.cumsum(lengths)
@@ -127,12 +116,25 @@ class PieceEncoder:
         first[text_ends - lengths] = True
         lo = self.starts(codes, first[:-1])
         hi = np.append(lo[1:], len(codes))
-        if len(self.rows) > KEPT_PIECES:
+        data = np.frombuffer(whole.encode("utf-8", "surrogatepass") + bytes(8), np.uint8)
+        places = np.arange(len(codes) + 1)
+        if len(data) - 8 != len(codes):
+            places[1:] = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+        byte_lo, byte_hi = places[lo], places[hi]
+        hashes, where, inverse = np.unique(span_hashes(data, byte_lo, byte_hi)[0], return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT_PIECES:
             self._clear()
-        rows = np.fromiter((self.rows[whole[a:b]] for a, b in zip(lo.tolist(), hi.tolist())), np.int64, len(lo))
-        if self.rows.new:
-            self._keep(self.rows.new)
-            self.rows.new = []
+        place = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != hashes if len(self.keys) else np.ones(len(hashes), bool))
+        if len(new):
+            chosen = where[new]
+            self._keep(hashes[new], [whole[a:b] for a, b in zip(lo[chosen].tolist(), hi[chosen].tolist())], data, byte_lo[chosen], byte_hi[chosen])
+            place = np.searchsorted(self.keys, hashes)
+        rows = self.rows[place][inverse]
+        size = byte_hi - byte_lo  # pieces lie end to end
+        kept = self.byte_size[rows]
+        if (kept != size).any() or (self.bytes[np.repeat(self.byte_at[rows] - byte_lo, size) + np.arange(len(data) - 8)] != data[:-8]).any():
+            return self._by_library(texts)
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -140,8 +142,8 @@ class PieceEncoder:
         upto = np.concatenate([[0], ends])[cut]
         return ids, np.diff(upto, prepend=0)
 
-    def _keep(self, pieces: list[str]) -> None:
-        """Encodes new pieces and keeps their ids."""
+    def _keep(self, keys: np.ndarray, pieces: list[str], data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Encodes new pieces (in order of their keys) and keeps their ids and bytes."""
         ids, sizes = [], []
         for at in range(0, len(pieces), PIECES_AT_ONCE):
             some = pieces[at : at + PIECES_AT_ONCE]
@@ -152,9 +154,19 @@ class PieceEncoder:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), self.width)])
         self.flat[self.used : self.used + len(ids)] = ids
+        rows = np.arange(len(self.at), len(self.at) + len(keys))
         self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.used += len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows)
+        size = hi - lo
+        ends = np.cumsum(size)
+        if self.bytes_used + ends[-1] > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.bytes_used], np.zeros(self.bytes_used + 2 * int(ends[-1]), np.uint8)])
+        self.bytes[self.bytes_used : self.bytes_used + ends[-1]] = data[np.repeat(lo - (ends - size), size) + np.arange(ends[-1])]
+        self.byte_at, self.byte_size = np.concatenate([self.byte_at, self.bytes_used + ends - size]), np.concatenate([self.byte_size, size])
+        self.bytes_used += int(ends[-1])
 
 
 _encoders: dict[str, PieceEncoder] = {}

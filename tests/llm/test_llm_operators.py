@@ -353,6 +353,23 @@ def test_equal_polynomial_hashes_are_told_apart(spark):
         ids = Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2]
         assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
     assert got[None]["start"] == 0  # null sorts first
+
+
+def test_pieces_of_equal_hash_are_left_to_the_library(monkeypatch):
+    encoder = tokenbin.PieceEncoder(queries.tokenizer_file())
+    texts = ["one two three", "two  é three's", "", "four"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(tokenbin, "span_hashes", lambda data, lo, hi: ((hi - lo).astype(np.uint64),) * 2)
+            encoder._clear()
+        for _ in range(2):
+            ids, counts = encoder.encode(texts)
+            assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_equal_polynomial_hashes_make_no_links(spark):
+    docs = spark.createDataFrame(list(enumerate(thue_morse())) + [(None, "x")], "doc_id long, text string").coalesce(1)
     assert sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.similarity_components(docs).collect()) == [("0", 1, "0"), ("1", 1, "1"), ("None", 1, "None")]
     assert linededup.recurring_lines(docs).filter("n_dropped > 0").count() == 0
 

@@ -166,6 +166,22 @@ def test_aliases(spark):
     assert got == [(0, "station", "E5"), (0, "bay", "273 MC"), (2, "kind", "7SJ62"), (2, "model", "7SJ62")]
 
 
+def test_aliases_without_accents(spark):
+    df = blocks(spark, [("TRAM: E5 ngan lo: 273", 10, 10), ("Tra\u0323m: E6", 10, 40), ("Đường dây: 1", 10, 70)])
+    got = [(r["alias"], r["start"], r["value"]) for r in L.match_aliases(df, [("Trạm", "station"), ("Ngăn lộ", "bay"), ("duong day", "line")]).orderBy("block_id", "start").collect()]
+    assert got == [("trạm", 0, "E5"), ("ngăn lộ", 9, "273"), ("trạm", 0, "E6"), ("duong day", 0, "1")]
+
+
+def test_block_jobs_need_no_shuffle(spark, capsys):
+    L.split_embedded_labels(L.match_aliases(blocks(spark, [("a", 0, 0)]), [("a", "b")]).selectExpr("document_id", "page_number", "block_id", "value AS text", "0D AS x1", "0D AS y1", "1D AS x2", "1D AS y2"), ["a"]).explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_wide_block_belongs_to_the_column_at_its_centre():
+    row = L.Row([L.Block(1, "wide", 50.0, 0.0, 400.0, 10.0), L.Block(2, "x", 420.0, 0.0, 440.0, 10.0)])
+    assert L.cells_of(row, [50.0, 200.0, 420.0]) == ["", "wide", "x"]
+
+
 def test_embedded_labels(spark):
     got = [(r["text"], r["x1"]) for r in L.split_embedded_labels(blocks(spark, [("Unit: A Range: 1-5", 0, 0)]), ["Unit", "Range"]).orderBy("part").collect()]
     assert [t for t, _ in got] == ["Unit: A", "Range: 1-5"] and got[0][1] == 0 < got[1][1]

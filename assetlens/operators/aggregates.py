@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import tag_spans
+
 
 def child_counts(parent: DataFrame, child: DataFrame, link: str) -> DataFrame:
     """Distinct children of each parent, zero included."""
@@ -38,8 +41,6 @@ def activity_series(df: DataFrame, start: str, end: str, monthly: bool | None =
     start, end = sorted((start, end))
     first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
     if monthly is None:
-        from datetime import date
-
         monthly = (date.fromisoformat(end) - date.fromisoformat(start)).days > 90
     local = F.from_utc_timestamp(column, zone).cast("date")
     bucket = (lambda c: F.trunc(c, "month")) if monthly else (lambda c: c)
@@ -50,6 +51,35 @@ def activity_series(df: DataFrame, start: str, end: str, monthly: bool | None =
     return axis.join(counts, "bucket", "left").select("bucket", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def period_bounds(period: str, today: date, start: str | None = None, end: str | None = None) -> tuple[date, date, bool]:
+    """First day, last day and whether months are counted, for a preset: ``this_month``, ``this_year``, ``custom``, else the last 7 days.
+
+    Reversed custom ends are swapped, and more than 90 days are counted by month.  If the start can't be read the default stays; if
+    only the end can't, the last day stays today.
+    """
+    if period == "this_month":
+        return today.replace(day=1), today, False
+    if period == "this_year":
+        return today.replace(month=1, day=1), today, True
+    first, last = today - timedelta(days=6), today
+    if period == "custom" and start and end:
+        try:
+            first = datetime.strptime(start, "%Y-%m-%d").date()
+            last = datetime.strptime(end, "%Y-%m-%d").date()
+        except ValueError:
+            return first, last, False
+        first, last = min(first, last), max(first, last)
+        return first, last, (last - first).days > 90
+    return first, last, False
+
+
+def activity_by_period(df: DataFrame, period: str, today: date, start: str | None = None, end: str | None = None, **options) -> DataFrame:
+    """``activity_series`` over a preset period; no rows if a start after today comes with an end that can't be read."""
+    first, last, monthly = period_bounds(period, today, start, end)
+    series = activity_series(df, first.isoformat(), last.isoformat(), monthly, **options)
+    return series if first <= last else series.limit(0)
+
+
 def totals(tables: dict[str, DataFrame]) -> DataFrame:
     """One row with the number of rows of each table."""
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
@@ -96,6 +126,17 @@ def prf_metrics(pairs: DataFrame, outside: str = "O") -> DataFrame:
     return rows.withColumns({"precision": p, "recall": r, "f1": f1})
 
 
+def span_metrics(tokens: DataFrame) -> DataFrame:
+    """``prf_metrics`` of whole entities: a span counts if class, first and last place are equal.
+
+    tokens: document_id, place, gold, predicted; tags B-, I- or O, where a stray I- opens an entity.
+    """
+    sides = [tag_spans(tokens, side).select("document_id", "entity", "first_place", "last_place", F.lit(side).alias("side")) for side in ("gold", "predicted")]
+    spans = sides[0].unionByName(sides[1]).groupBy("document_id", "entity", "first_place", "last_place")
+    found = spans.agg(*(F.max(F.when(F.col("side") == side, F.col("entity"))).alias(f"_{side}") for side in ("gold", "predicted")))
+    return prf_metrics(found.select(*(F.coalesce(f"_{side}", F.lit("O")).alias(side) for side in ("gold", "predicted"))))
+
+
 def acceptance_summary(plan: DataFrame, runs: DataFrame, required_families: list[str]) -> DataFrame:
     """One row on a run of a plan (execution_id, case_id, family): completeness, failures, coverage, repeatability.
 

@@ -45,6 +45,16 @@ def _with_new(rows: DataFrame, keys: list[str], order: str, new: Column) -> Data
     return rows.withColumn("_island", F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
+def tag_spans(tokens: DataFrame, column: str) -> DataFrame:
+    """Entities (document_id, entity, first_place, last_place) of the tags in a column; tags that are neither B- nor I- belong to none."""
+    w = W.partitionBy("document_id").orderBy("place")
+    kind = F.when(F.col(column).rlike("^[BI]-"), F.expr(f"substring({column}, 3)"))
+    tagged = tokens.withColumn("_kind", kind).withColumn("_before", F.lag("_kind").over(w))
+    opens = F.coalesce(F.startswith(F.col(column), F.lit("B-")), F.lit(False)) | ~F.col("_kind").eqNullSafe(F.col("_before"))
+    runs = _with_new(tagged, ["document_id"], "place", opens).filter("_kind is not null")
+    return runs.groupBy("document_id", "_island").agg(F.first("_kind").alias("entity"), F.min("place").alias("first_place"), F.max("place").alias("last_place")).drop("_island")
+
+
 def merge_spans(tokens: DataFrame) -> DataFrame:
     """Tag runs (B-, I-, O) as entities: label, first and last place, text, box, mean confidence; a stray I- opens one.
 

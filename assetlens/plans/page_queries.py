@@ -256,6 +256,18 @@ def j2_ticket_flow(t):
     return J.ticket_flow(t.events.withColumnRenamed("user_id", "ticket_id"))
 
 
+@query("""
+d AS (SELECT c_custkey AS id, c_custkey % 9 + 1 AS every, 'h' AS unit, c_custkey % 3 <> 0 AS paused, CASE WHEN c_custkey % 3 = 1 THEN 1 + c_custkey % 4 END AS saved_every FROM customer),
+e AS (SELECT user_id AS id FROM events GROUP BY 1 HAVING count(*) >= 5),
+r AS (SELECT d.*, e.id IS NOT NULL AS ended FROM d LEFT JOIN e USING (id)), n AS (SELECT *, CASE WHEN ended THEN coalesce(saved_every, every) ELSE every END AS new_every FROM r);
+SELECT id, new_every::INTEGER AS every, unit, paused AND NOT ended AS paused, CASE WHEN ended THEN timestamp '2024-03-01 08:00:00' + to_hours(new_every::INTEGER) END AS next_at, CASE WHEN NOT ended THEN saved_every END::INTEGER AS saved_every FROM n""")
+def j2_restore_schedules(t):
+    saved = "CASE WHEN c_custkey % 3 = 1 THEN struct(CAST(1 + c_custkey % 4 AS INT) AS every, 'h' AS unit) END AS saved"
+    devices = t.customer.selectExpr("c_custkey AS id", "CAST(c_custkey % 9 + 1 AS INT) AS every", "'h' AS unit", "CAST(NULL AS TIMESTAMP) AS last_at", "CAST(NULL AS TIMESTAMP) AS next_at", "c_custkey % 3 <> 0 AS paused", saved)
+    flow = J.ticket_flow(t.events.withColumnRenamed("user_id", "ticket_id")).filter("finished").withColumnRenamed("ticket_id", "device_id")
+    return J.restore_schedules(devices, flow, F.expr("timestamp '2024-03-01 08:00:00'")).select("id", "every", "unit", "paused", "next_at", F.col("saved.every").alias("saved_every"))
+
+
 @query("""
 s AS (SELECT event_id AS id, event_id % 800 AS sheet_id, CASE event_type WHEN 'click' THEN 'technician' WHEN 'view' THEN 'supervisor' WHEN 'purchase' THEN 'dispatcher' ELSE 'admin' END AS role, ts AS tm FROM events),
 t AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY tm, id) AS k FROM s), t1 AS (SELECT sheet_id, min(k) AS k FROM t WHERE role = 'technician' GROUP BY 1), t2 AS (SELECT sheet_id, min(t.k) AS k FROM t JOIN t1 USING (sheet_id) WHERE role = 'supervisor' AND t.k > t1.k GROUP BY 1), t3 AS (SELECT sheet_id, min(t.k) AS k FROM t JOIN t2 USING (sheet_id) WHERE role = 'admin' AND t.k > t2.k GROUP BY 1),

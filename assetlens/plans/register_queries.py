@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as D
@@ -410,6 +412,14 @@ def d5_activity_months(t):
     return D.activity_series(t.sheets.withColumn("created_at", F.col("created_at").cast("timestamp")), "1996-01-01", "1998-12-31")
 
 
+@query("""
+a AS (SELECT unnest(generate_series(date '1998-01-01', date '1998-06-01', INTERVAL 1 MONTH))::DATE AS bucket),
+n AS (SELECT date_trunc('month', created_at + INTERVAL 7 HOUR)::DATE AS d, count(*) AS n FROM sheets WHERE (created_at + INTERVAL 7 HOUR)::DATE <= date '1998-06-15' GROUP BY 1);
+SELECT bucket, 'T' || month(bucket) || '/' || year(bucket) AS label, coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN n ON d = bucket""")
+def d5_activity_this_year(t):
+    return D.activity_by_period(t.sheets.withColumn("created_at", F.col("created_at").cast("timestamp")), "this_year", datetime.date(1998, 6, 15))
+
+
 @query("SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM bays) AS bays, (SELECT count(*) FROM devices) AS devices, (SELECT count(*) FROM sheets) AS sheets")
 def d6_totals(t):
     return D.totals({"sites": t.sites, "bays": t.bays, "devices": t.devices, "sheets": t.sheets})
@@ -450,6 +460,26 @@ def d11_prf_metrics(t):
     return D.prf_metrics(pairs)
 
 
+_TAGS = "t AS (SELECT user_id AS document_id, event_id AS place, CASE WHEN event_id % 4 = 0 THEN 'O' WHEN event_id % 3 = 0 THEN 'B-' || event_type ELSE 'I-' || event_type END AS gold, CASE WHEN event_id % 5 = 0 THEN 'O' WHEN event_id % 3 = 0 THEN 'B-' || event_type ELSE 'I-' || event_type END AS predicted FROM events)"
+
+
+def _spans_sql(side):
+    return f"""{side}_k AS (SELECT document_id, place, {side} AS tag, CASE WHEN {side} <> 'O' THEN substr({side}, 3) END AS kind FROM t),
+{side}_l AS (SELECT *, (tag LIKE 'B-%' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY document_id ORDER BY place))::INTEGER AS opens FROM {side}_k),
+{side}_i AS (SELECT *, sum(opens) OVER (PARTITION BY document_id ORDER BY place) AS island FROM {side}_l),
+{side}_s AS (SELECT document_id, kind AS entity, min(place) AS a, max(place) AS b FROM {side}_i WHERE kind IS NOT NULL GROUP BY document_id, island, kind)"""
+
+
+@query(f"""{_TAGS}, {_spans_sql("gold")}, {_spans_sql("predicted")},
+m AS (SELECT coalesce(g.entity, p.entity) AS class, g.entity IS NOT NULL AS ing, p.entity IS NOT NULL AS inp FROM gold_s g FULL JOIN predicted_s p ON g.document_id = p.document_id AND g.entity = p.entity AND g.a = p.a AND g.b = p.b),
+n AS (SELECT class, count(*) FILTER (WHERE ing AND inp) AS tp, count(*) FILTER (WHERE NOT ing) AS fp, count(*) FILTER (WHERE NOT inp) AS fn FROM m GROUP BY 1),
+a AS (SELECT * FROM n UNION ALL SELECT 'micro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM n);
+SELECT class, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn), 6) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM a""")
+def d11_span_metrics(t):
+    tag = "CASE WHEN event_id % {n} = 0 THEN 'O' WHEN event_id % 3 = 0 THEN concat('B-', event_type) ELSE concat('I-', event_type) END AS {name}"
+    return D.span_metrics(t.events.selectExpr("user_id AS document_id", "event_id AS place", tag.format(n=4, name="gold"), tag.format(n=5, name="predicted")))
+
+
 @query("""
 p AS (SELECT 'e' || p_partkey AS execution_id FROM part), r AS (SELECT 'e' || p_partkey AS execution_id, 'c' || p_partkey % 50 AS case_id, p_brand AS family, CASE WHEN p_size = 1 THEN 'failed' ELSE 'passed' END AS status, p_partkey % 50 + p_size // 49 AS fp, p_partkey AS ws FROM part WHERE p_partkey % 100 <> 3),
 c AS (SELECT case_id FROM r GROUP BY 1 HAVING count(DISTINCT fp) > 1);

@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import next_occurrence
+
 DELAY = "10 minutes"
 
 # --- J1: drift monitor
@@ -84,6 +86,20 @@ def ticket_flow(signatures: DataFrame) -> DataFrame:
     return counts.select("ticket_id", F.least("n", F.lit(TICKET_STEPS)).alias("step"), F.greatest(F.col("n") - TICKET_STEPS, F.lit(0)).alias("rejected"), (F.col("n") >= TICKET_STEPS).alias("finished"))
 
 
+def restore_schedules(devices: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
+    """Devices after the tickets that have just finished: not paused, with the schedule saved (missing parts: 1, h) and the next time
+    counted from ``now``.  Other devices stay as they are.
+
+    devices: id, every, unit, last_at, next_at, paused, saved struct<every, unit>; finished: device_id.
+    """
+    ended = finished.select(F.col("device_id").alias("id")).distinct().withColumn("_ended", F.lit(True))
+    had = F.col("saved").isNotNull()
+    rows = devices.join(ended, "id", "left").withColumn("_ended", F.coalesce("_ended", F.lit(False)))
+    every, unit = F.when(had, F.coalesce("saved.every", F.lit(1))).otherwise(F.col("every")), F.when(had, F.coalesce("saved.unit", F.lit("h"))).otherwise(F.col("unit"))
+    new = {"every": every, "unit": unit, "last_at": now, "next_at": next_occurrence(now, every, unit), "paused": F.lit(False), "saved": F.lit(None)}
+    return rows.withColumns({c: F.when(~F.col("_ended"), F.col(c)).otherwise(value) for c, value in new.items()}).select(devices.columns)
+
+
 # --- J3: signatures in the order of roles
 
 ROLES = ("technician", "supervisor", "admin")

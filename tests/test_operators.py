@@ -1,5 +1,6 @@
 """Small inputs with exact outputs for the operators that SQL can't check, and the sources."""
 
+import datetime
 import json
 
 import pytest
@@ -221,6 +222,31 @@ def test_metrics(spark):
     assert D.status_counts(df.filter("false").withColumnRenamed("gold", "status"), {"a": ("A",)}).first()["a"] == 0
 
 
+def test_span_metrics(spark):
+    tags = [("B-A", "B-A"), ("I-A", "I-A"), ("O", "O"), ("I-B", "I-B"), ("I-B", "O"), ("B-B", "B-B"), ("O", None)]
+    df = spark.createDataFrame([(1, k, g, p) for k, (g, p) in enumerate(tags)], "document_id long, place int, gold string, predicted string")
+    got = {r["class"]: (r["tp"], r["fp"], r["fn"]) for r in D.span_metrics(df).collect()}
+    assert got == {"A": (1, 0, 0), "B": (1, 1, 1), "micro": (2, 1, 1)}
+    assert [r["class"] for r in D.span_metrics(df.limit(0)).collect()] in ([], ["micro"])
+
+
+@pytest.mark.parametrize(
+    "period, start, end, want",
+    [
+        ("this_month", None, None, ("2024-05-01", "2024-05-20", False)), ("this_year", None, None, ("2024-01-01", "2024-05-20", True)), ("7d", None, None, ("2024-05-14", "2024-05-20", False)), ("custom", "2024-03-01", "2024-01-01", ("2024-01-01", "2024-03-01", False)),
+        ("custom", "2023-01-01", "2024-01-01", ("2023-01-01", "2024-01-01", True)), ("custom", "x", "2024-01-01", ("2024-05-14", "2024-05-20", False)), ("custom", "2024-05-01", "x", ("2024-05-01", "2024-05-20", False)), ("custom", None, "2024-01-01", ("2024-05-14", "2024-05-20", False)),
+    ],
+)
+def test_period_bounds(period, start, end, want):
+    first, last, monthly = D.period_bounds(period, datetime.date(2024, 5, 20), start, end)
+    assert (first.isoformat(), last.isoformat(), monthly) == want
+
+
+def test_start_after_today_with_bad_end_is_empty(spark):
+    df = spark.createDataFrame([("2024-05-01",)], "created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert D.activity_by_period(df, "custom", datetime.date(2024, 5, 20), "2024-06-01", "x").count() == 0
+
+
 def test_envelopes(spark, tmp_path):
     rows = [{"id": 1, "name": "x"}, {"id": 2, "name": None}]
     for k, shape in enumerate(([{"lst": rows}], {"lst": rows}, rows)):

@@ -35,35 +35,57 @@ def words_from_blocks(blocks: DataFrame, page_width: float, page_height: float)
 
 
 #: Weights of the signals for a page reference (fixed values).
-REFERENCE_WEIGHTS = {"label": 0.3, "ticket": 0.2, "top": 0.5}
-PAGE_LABELS = ("page", "trang", "to")
+#: Patterns, weights and limits of page references (fixed values); shares are of the page's width or height.
 TICKET = r"[A-Za-z]\d+-\d+-\d{4}/[A-Za-z]\d+(?:\.\d+)?/\d+"
+REFERENCE = r"(?<![\d/])\d{1,4}\s*/\s*\d{1,4}(?![\d/])"
+REFERENCE_WEIGHTS = {"label": 0.3, "ticket": 0.2, "top": 0.5}
+HEADER, RIGHT_SIDE, TICKET_BELOW, TICKET_ASIDE, LABEL_GAP = 0.22, 0.52, 0.08, 0.18, 0.22
+
+
+def _label(c: Column) -> Column:
+    """Text as a label: without closing punctuation; null if nothing or a number is left, or for a ticket number."""
+    t = F.regexp_replace(F.trim(c), r"[:：.\- ]+$", "")
+    return F.when((t != "") & ~t.rlike(r"^\d+$") & ~t.rlike(TICKET), t)
 
 
-def detect_page_reference(blocks: DataFrame) -> DataFrame:
-    """The best ``x/y`` of each page's header: page, total and score; pages without one are absent.
+def detect_page_reference(blocks: DataFrame, page_width: float | None = None, page_height: float | None = None) -> DataFrame:
+    """Page, total, label and score of the best ``x/y`` in each page's header, else of a lone number near the ticket number (no total);
+    pages without either are absent.
 
-    Blocks in the top 22% take part.  The score adds the confidence, a label in the block or in the
-    block left of it, a ticket number in the header, the place to the right and nearness to the top.
+    A reference stands in the right half and, on a page with a ticket number in the header, close below or beside it.  The score adds
+    the confidence, a label (the text before it, or the nearest block to its left), the ticket, the place to the right and nearness to
+    the top.  Without a page height a wide, low page counts as a crop of the header.
     """
-    page = W.partitionBy(*PAGE)
-    sized = blocks.withColumns({"_w": F.max("x2").over(page), "_h": F.max("y2").over(page)})
-    head = sized.filter((F.col("y1") + F.col("y2")) / 2 <= 0.22 * F.col("_h"))
-    head = head.withColumns({"_ticket": F.max(F.col("text").rlike(TICKET)).over(page), "_left": F.lag("text").over(W.partitionBy(*PAGE).orderBy("y1", "x1", "block_id"))})
-    words = [F.array_contains(F.split(fold_text(c), " "), label) for c in (F.col("text"), F.coalesce("_left", F.lit(""))) for label in PAGE_LABELS]
-    label = words[0]
-    for x in words[1:]:
-        label = label | x
-    found = head.withColumn("_m", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\d/])(\d{1,4}\s*/\s*\d{1,4})(?![\d/])"), F.lit(1))))
-    parts = F.split("_m", "/")
-    rows = found.withColumns({"current_page": F.trim(parts[0]).cast("int"), "total_pages": F.trim(parts[1]).cast("int")}).filter("current_page >= 1 and total_pages >= current_page")
-    x = (F.col("x1") + F.col("x2")) / 2 / F.col("_w")
-    top = 1 - (F.col("y1") + F.col("y2")) / 2 / F.col("_h")
+    page, g = W.partitionBy(*PAGE), REFERENCE_WEIGHTS
+    width = F.lit(page_width) if page_width is not None else F.max("x2").over(page)
+    height = F.lit(page_height) if page_height is not None else F.max("y2").over(page)
+    sized = blocks.filter(F.trim("text") != "").withColumns({"_w": width, "_h": height})
+    crop = F.lit(page_height is None) & (F.col("_h") <= 0.5 * F.col("_w"))
+    head = sized.filter(F.col("y1") <= F.when(crop, F.col("_h")).otherwise(HEADER * F.col("_h"))).withColumn("_is_ticket", F.col("text").rlike(TICKET))
+    tickets = F.collect_set(F.when(F.col("_is_ticket"), F.struct("x1", "y1", "y2"))).over(page)
+    near = F.exists("_tickets", lambda t: (F.col("y1") >= t["y1"]) & (F.col("y1") - t["y2"] <= F.greatest(F.lit(40.0), TICKET_BELOW * F.col("_h"))) & (F.abs(F.col("x1") - t["x1"]) <= TICKET_ASIDE * F.col("_w")))
+    right = head.withColumn("_tickets", tickets).withColumn("_near", near).filter(~F.col("_is_ticket") & ((F.col("x1") + F.col("x2")) / 2 >= RIGHT_SIDE * F.col("_w")))
+
+    found, between = F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)), F.split("text", REFERENCE, -1)
+    pieces = F.flatten(F.transform(F.arrays_zip(between.alias("a"), found.alias("b")), lambda z: F.array(z["a"], z["b"])))
+    whole = right.filter((F.size("_tickets") == 0) | F.col("_near")).withColumn("_pieces", pieces).select("*", F.posexplode(found).alias("_k", "_m"))
+    number = [F.trim(F.split("_m", "/")[k]).cast("int") for k in (0, 1)]
+    prefix = F.array_join(F.slice("_pieces", 1, 2 * F.col("_k") + 1), "")
+    whole = whole.withColumns({"current_page": number[0], "total_pages": number[1], "_inline": _label(prefix)}).filter("current_page >= 1 AND total_pages >= current_page")
+    lone = right.filter(F.trim("text").rlike(r"^\d{1,3}$") & F.col("_near")).withColumns({"_k": F.lit(0), "current_page": F.trim("text").cast("int"), "total_pages": F.lit(None).cast("int"), "_inline": F.lit(None).cast("string")}).filter("current_page >= 1")
     confidence = F.coalesce(F.col("recognition_score"), F.lit(0.0)) if "recognition_score" in blocks.columns else F.lit(0.0)
-    g = REFERENCE_WEIGHTS
-    score = confidence + g["label"] * label.cast("int") + g["ticket"] * F.col("_ticket").cast("int") + x + g["top"] * top
-    best = rows.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages"), F.struct(F.round(score, 6), -F.col("block_id"))).alias("m"), F.round(F.max(score), 4).alias("score"))
-    return best.select(*PAGE, "m.*", "score")
+    place = (F.col("x1") + F.col("x2")) / F.greatest(F.lit(1.0), 2 * F.col("_w")) + g["top"] * (1 - F.col("y1") / F.greatest(F.lit(1.0), F.col("_h")))
+    rows = whole.drop("_pieces", "_m").unionByName(lone).withColumn("_base", confidence + g["ticket"] * F.col("_near").cast("int") + F.when(F.col("total_pages").isNotNull(), place).otherwise(0.0))
+    rows = rows.select(*PAGE, "block_id", "_k", "x1", "y1", "y2", "_w", "current_page", "total_pages", "_inline", "_base")
+
+    labels = head.select(*PAGE, F.col("block_id").alias("_other"), F.col("x2").alias("_lx"), F.col("y1").alias("_ly1"), F.col("y2").alias("_ly2"), _label(F.col("text")).alias("_left")).filter(F.col("_left").isNotNull() & ~F.col("_left").rlike(REFERENCE))
+    gap = F.col("x1") - F.col("_lx")
+    beside = (F.col("_other") != F.col("block_id")) & gap.between(F.lit(-20.0), LABEL_GAP * F.col("_w")) & (overlap_1d(F.col("y1"), F.col("y2"), F.col("_ly1"), F.col("_ly2")) >= 0.25)
+    left = rows.join(labels, PAGE).filter(beside).groupBy(*PAGE, "block_id", "_k", F.col("total_pages").isNull().alias("_lone")).agg(F.min_by("_left", F.struct(F.abs(gap), "_other")).alias("_left"))
+    told = rows.withColumn("_lone", F.col("total_pages").isNull()).join(left, [*PAGE, "block_id", "_k", "_lone"], "left").withColumn("label", F.coalesce("_inline", "_left"))
+    told = told.withColumn("score", F.round(F.col("_base") + g["label"] * F.col("label").isNotNull().cast("int"), 6))
+    best = told.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages", "label", "score"), F.struct(~F.col("_lone"), "score", -F.col("block_id"), -F.col("_k"))).alias("m"))
+    return best.select(*PAGE, "m.current_page", "m.total_pages", "m.label", F.round("m.score", 4).alias("score"))
 
 
 #: Phrases of a cover page in folded text, with their weights (fixed values).
@@ -77,13 +99,24 @@ COVER_PHRASES = [
 ]
 
 
-def page_evidence(blocks: DataFrame, phrases: list[tuple[str, float]] | None = None, ticket: str = TICKET) -> DataFrame:
-    """Per page: cover score (weights of the phrases found, at most 1), ticket number (top-most block's) and number of blocks."""
+#: Cover scores below this are no signature (fixed value).
+LEAST_COVER = 0.20
+
+
+def page_evidence(blocks: DataFrame, phrases: list[tuple[str, float]] | None = None, ticket: str = TICKET, references: DataFrame | None = None) -> DataFrame:
+    """Per page: cover score (weights of the phrases found, at most 1), ticket number (the top-most, then the surest, then the first by
+    name), number of blocks and warnings; those on the page reference need ``references`` from ``detect_page_reference``."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_id", "text"))), lambda b: b["text"]), " ")
-    tickets = F.min(F.when(F.col("text").rlike(ticket), F.struct("y1", "block_id", F.regexp_extract("text", f"({ticket})", 1).alias("t"))))
+    sure = -F.coalesce(F.col("recognition_score"), F.lit(0.0)) if "recognition_score" in blocks.columns else F.lit(0.0)
+    tickets = F.min(F.when(F.col("text").rlike(ticket), F.struct("y1", sure.alias("s"), F.array_min(F.regexp_extract_all("text", F.lit(ticket), F.lit(0))).alias("t"))))
     pages = blocks.groupBy(*PAGE).agg(fold_text(lines).alias("_text"), tickets["t"].alias("ticket_number"), F.count(F.lit(1)).alias("n_blocks"))
     score = sum((F.when(F.contains("_text", F.lit(p)), w).otherwise(0.0) for p, w in phrases or COVER_PHRASES), F.lit(0.0))
-    return pages.select(*PAGE, F.round(F.least(F.lit(1.0), score), 4).alias("cover_score"), "ticket_number", "n_blocks")
+    pages = pages.withColumn("cover_score", F.round(F.least(F.lit(1.0), score), 4))
+    warned = [F.when(F.col("cover_score") < LEAST_COVER, "no_cover_signature")]
+    if references is not None:
+        pages = pages.join(references.select(*PAGE, "current_page", "total_pages"), PAGE, "left")
+        warned = [F.when(F.col("current_page").isNull(), "pagination_not_detected").when(F.col("total_pages").isNull(), "pagination_total_missing"), *warned]
+    return pages.select(*PAGE, "cover_score", "ticket_number", "n_blocks", F.concat_ws(",", *warned).alias("warnings"))
 
 
 def semantic_roles(rows: DataFrame, page_width: float) -> DataFrame:
@@ -181,20 +214,25 @@ def score_candidates(candidates: DataFrame, weights: dict[str, float] | None = N
     return out.withColumn("level", confidence_level(F.col("score")))
 
 
-def document_result(fields: DataFrame, settings: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row for each document: its fields by name, settings numbered within pages, warnings, and whether it needs review.
+def document_result(fields: DataFrame, settings: DataFrame, warnings: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """One row for each document: its fields by name, settings numbered within pages, notes, warnings, and whether it needs review.
 
-    fields: document_id, field, value, status; settings: document_id, page_number, place, name, value;
-    warnings: document_id, code.
+    fields: document_id, field, value, status, confidence (may be absent); settings: document_id, page_number, place, name, value;
+    warnings: document_id, code; notes: document_id, page_number, place, text.  A note asks for review.
     """
-    f = fields.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("field", "value", "status"))).alias("fields"), F.bool_or(F.col("status") == "review_required").alias("_review"))
+    if notes is None:
+        notes = settings.limit(0).select("document_id", "page_number", "place", F.col("name").alias("text"))
+    if "confidence" not in fields.columns:
+        fields = fields.withColumn("confidence", F.lit(None).cast("double"))
+    f = fields.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("field", "value", "status", "confidence"))).alias("fields"), F.bool_or(F.col("status") == "review_required").alias("_review"))
     number = F.row_number().over(W.partitionBy("document_id", "page_number").orderBy("place"))
     s = settings.withColumn("number", number).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "number", "name", "value"))).alias("settings"))
     w = warnings.groupBy("document_id").agg(F.array_sort(F.collect_set("code")).alias("warnings"))
-    out = f.join(s, "document_id", "full").join(w, "document_id", "full")
-    empty = {"fields": "array<struct<field:string,value:string,status:string>>", "warnings": "array<string>"}
+    n = notes.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "place", "text"))).alias("notes"))
+    out = f.join(s, "document_id", "full").join(w, "document_id", "full").join(n, "document_id", "full")
+    empty = {"fields": f.schema["fields"].dataType, "notes": n.schema["notes"].dataType, "warnings": "array<string>"}
     out = out.withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in empty.items()}).withColumn("settings", F.coalesce("settings", F.filter("settings", lambda _: F.lit(False)), F.array().cast(s.schema["settings"].dataType)))
-    return out.withColumn("review", F.coalesce("_review", F.lit(False)) | (F.size("warnings") > 0)).drop("_review")
+    return out.withColumn("review", F.coalesce("_review", F.lit(False)) | (F.size("warnings") > 0) | (F.size("notes") > 0)).drop("_review")
 
 
 def validate_result(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -219,6 +257,43 @@ def validate_result(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+#: Keys that a public payload must not hold (fixed values).
+FORBIDDEN_KEYS = ("exception", "image_path", "input_pdf", "model_object", "output_root", "raw_ocr", "stack_trace", "stacktrace", "temporary_path", "traceback")
+
+
+def envelope_violations(results: DataFrame, warnings: DataFrame, pages: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Violations (document_id, rule) of the rules between a result's status and its parts.
+
+    results: document_id, status (success, success_with_warnings, else failed), review_status, page_count, business (JSON or null), error;
+    warnings: document_id; pages: document_id, page_number, review_status; evidence (fields to review, settings, notes): document_id.
+    """
+    count = F.count(F.lit(1))
+    warned = warnings.groupBy("document_id").agg(count.alias("_warnings"))
+    paged = pages.groupBy("document_id").agg(count.alias("_pages"), F.max("page_number").alias("_last"), F.bool_or(F.col("review_status") == "review_required").alias("_page_review"))
+    nested = evidence.groupBy("document_id").agg(count.alias("_evidence"))
+    rows = results.join(warned, "document_id", "left").join(paged, "document_id", "left").join(nested, "document_id", "left")
+    good, n = F.col("status").isin("success", "success_with_warnings"), F.coalesce("_warnings", F.lit(0))
+    to_review = F.coalesce("_page_review", F.lit(False)) | (F.coalesce("_evidence", F.lit(0)) > 0)
+    no_review = ~F.col("review_status").eqNullSafe("review_required")
+    covered = (F.coalesce("_pages", F.lit(0)) == F.col("page_count")) & (F.coalesce("_last", F.lit(0)) == F.col("page_count"))
+    value = r'[:\[,]\s*"(?:/|\\\\\\\\|[A-Za-z]:(?:\\\\|/))(?!(?:[^"\\]|\\.)*"\s*:)'
+    rules = {
+        "success_has_warnings": (F.col("status") == "success") & (n > 0),
+        "warnings_missing": (F.col("status") == "success_with_warnings") & (n == 0),
+        "success_without_payload": good & (F.col("business").isNull() | F.col("page_count").isNull()),
+        "success_has_error": good & F.col("error").isNotNull(),
+        "pages_do_not_cover": good & ~covered,
+        "review_not_raised": good & to_review & no_review,
+        "failed_has_business": ~good & F.col("business").isNotNull(),
+        "failed_without_error": ~good & F.col("error").isNull(),
+        "failed_without_review": ~good & no_review,
+        "forbidden_key": F.col("business").rlike(r'(?i)[{,]\s*"(?:' + "|".join(FORBIDDEN_KEYS) + r')"\s*:'),
+        "absolute_path": F.col("business").rlike(value),
+    }
+    broken = F.array_compact(F.array(*(F.when(holds, name) for name, holds in rules.items())))
+    return rows.select("document_id", F.explode(broken).alias("rule"))
+
+
 def rule_tables(default: DataFrame, overlay: DataFrame, known_kinds: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rules (field, kind, argument, status, origin, author) after a user's overlay, and the overlay's invalid rows with reasons.
 

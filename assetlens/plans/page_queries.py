@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
@@ -26,24 +27,34 @@ def i1_words_from_blocks(t):
 
 
 @query("""
-pg AS (SELECT *, max(x2) OVER (PARTITION BY document_id, page_number) AS w, max(y2) OVER (PARTITION BY document_id, page_number) AS h, CASE WHEN block_id % 5 = 1 THEN 'Page ' || (block_id % 3 + 1) || ' / ' || (block_id % 4 + 1) || ' x' ELSE text END AS tx FROM blocks),
-hd AS (SELECT *, coalesce(lag(tx) OVER (PARTITION BY document_id, page_number ORDER BY y1, x1, block_id), '') AS l FROM pg WHERE (y1 + y2) / 2 <= 0.22 * h),
-m AS (SELECT *, block_id % 3 + 1 AS a, block_id % 4 + 1 AS b FROM hd WHERE block_id % 5 = 1 AND block_id % 3 <= block_id % 4),
-s AS (SELECT *, round(0.3 + (x1 + x2) / 2 / w + 0.5 * (1 - (y1 + y2) / 2 / h), 6) AS sc, 0.3 + (x1 + x2) / 2 / w + 0.5 * (1 - (y1 + y2) / 2 / h) AS raw FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY sc DESC, block_id) AS k, max(raw) OVER (PARTITION BY document_id, page_number) AS best FROM s);
-SELECT document_id, page_number, a::INTEGER AS current_page, b::INTEGER AS total_pages, round(best, 4) AS score FROM r WHERE k = 1""")
+t AS (SELECT document_id, page_number, block_id, x1 + CASE WHEN block_id % 5 IN (0, 1, 2) THEN 500 ELSE 0 END AS x1, y1, x2 + CASE WHEN block_id % 5 IN (0, 1, 2) THEN 500 ELSE 0 END AS x2, y2, block_id % 40 = 0 AND document_id % 3 <> 0 AS tk,
+  block_id % 5 = 1 AND document_id % 4 <> 2 AS ref, block_id % 5 = 2 AS lone, block_id % 3 + 1 AS a, block_id % 4 + 1 AS b, block_id % 2 = 0 AS lab FROM blocks),
+pg AS (SELECT *, max(x2) OVER p AS w, max(y2) OVER p AS h FROM t WINDOW p AS (PARTITION BY document_id, page_number)),
+hd AS (SELECT * FROM pg WHERE y1 <= CASE WHEN h <= 0.5 * w THEN h ELSE 0.22 * h END),
+tk AS (SELECT document_id, page_number, x1 AS tx, y1 AS ty1, y2 AS ty2 FROM hd WHERE tk),
+c AS (SELECT hd.*, tx IS NOT NULL AS has, coalesce(y1 >= ty1 AND y1 - ty2 <= greatest(40.0, 0.08 * h) AND abs(x1 - tx) <= 0.18 * w, false) AS near FROM hd LEFT JOIN tk USING (document_id, page_number) WHERE NOT hd.tk AND (x1 + x2) / 2 >= 0.52 * w),
+m AS (SELECT *, true AS full_ref, CASE WHEN lab THEN 'Page' END AS label, a AS cur, b AS tot, CASE WHEN lab THEN 0.3 ELSE 0 END + CASE WHEN near THEN 0.2 ELSE 0 END + (x1 + x2) / greatest(1.0, 2 * w) + 0.5 * (1 - y1 / greatest(1.0, h)) AS sc FROM c WHERE ref AND a <= b AND (near OR NOT has)
+  UNION ALL SELECT *, false, NULL, block_id % 900 + 1, NULL, 0.2 FROM c WHERE lone AND near),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY full_ref DESC, round(sc, 6) DESC, block_id) AS k FROM m);
+SELECT document_id, page_number, cur::INTEGER AS current_page, tot::INTEGER AS total_pages, label, round(round(sc, 6), 4)::DOUBLE AS score FROM r WHERE k = 1""")
 def i2_page_reference(t):
-    text = F.when(F.col("block_id") % 5 == 1, F.concat(F.lit("Page "), F.col("block_id") % 3 + 1, F.lit(" / "), F.col("block_id") % 4 + 1, F.lit(" x"))).otherwise(F.regexp_replace("text", r"\d+\s*/\s*\d+", "#"))
-    return P.detect_page_reference(t.blocks.withColumn("text", text))
+    reference = F.concat(F.when(F.col("block_id") % 2 == 0, "Page: ").otherwise(""), F.col("block_id") % 3 + 1, F.lit(" / "), F.col("block_id") % 4 + 1, F.lit(" x"))
+    text = F.when((F.col("block_id") % 40 == 0) & (F.col("document_id") % 3 != 0), "A1-29-2026/E5.8/220").when((F.col("block_id") % 5 == 1) & (F.col("document_id") % 4 != 2), reference).when(F.col("block_id") % 5 == 2, (F.col("block_id") % 900 + 1).cast("string"))
+    shift = F.when(F.col("block_id") % 5 < 3, 500.0).otherwise(0.0)
+    return P.detect_page_reference(t.blocks.withColumns({"text": text.otherwise("-"), "x1": F.col("x1") + shift, "x2": F.col("x2") + shift}))
 
 
 _PHRASES = [("the thon", 0.2), ("of the", 0.18), ("and", 0.18), ("de la", 0.3), ("license", 0.1), ("is", 0.5)]
 
 
 @query("""
-g AS (SELECT document_id, page_number, trim(regexp_replace(replace(strip_accents(lower(string_agg(text, ' ' ORDER BY block_id))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS f, count(*) AS n, arg_min(regexp_extract(text, '([0-9]{4,})', 1), y1 * 100000 + block_id) FILTER (WHERE regexp_matches(text, '[0-9]{4,}')) AS tk FROM blocks GROUP BY ALL);
-SELECT document_id, page_number, round(least(1.0, contains(f, 'the thon')::INTEGER * 0.2 + contains(f, 'of the')::INTEGER * 0.18 + contains(f, 'and')::INTEGER * 0.18 + contains(f, 'de la')::INTEGER * 0.3 + contains(f, 'license')::INTEGER * 0.1 + contains(f, 'is')::INTEGER * 0.5), 4)::DOUBLE AS cover_score, tk AS ticket_number, n AS n_blocks FROM g""")
+g AS (SELECT document_id, page_number, trim(regexp_replace(replace(strip_accents(lower(string_agg(text, ' ' ORDER BY block_id))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS f, count(*) AS n, arg_min(list_min(regexp_extract_all(text, '[0-9]{4,}')), y1) FILTER (WHERE regexp_matches(text, '[0-9]{4,}')) AS tk FROM blocks GROUP BY ALL);
+SELECT document_id, page_number, round(least(1.0, contains(f, 'the thon')::INTEGER * 0.2 + contains(f, 'of the')::INTEGER * 0.18 + contains(f, 'and')::INTEGER * 0.18 + contains(f, 'de la')::INTEGER * 0.3 + contains(f, 'license')::INTEGER * 0.1 + contains(f, 'is')::INTEGER * 0.5), 4)::DOUBLE AS cover_score, tk AS ticket_number, n AS n_blocks,
+  concat_ws(',', CASE WHEN r.document_id IS NULL THEN 'pagination_not_detected' WHEN r.total IS NULL THEN 'pagination_total_missing' END, CASE WHEN least(1.0, contains(f, 'the thon')::INTEGER * 0.2 + contains(f, 'of the')::INTEGER * 0.18 + contains(f, 'and')::INTEGER * 0.18 + contains(f, 'de la')::INTEGER * 0.3 + contains(f, 'license')::INTEGER * 0.1 + contains(f, 'is')::INTEGER * 0.5) < 0.2 THEN 'no_cover_signature' END) AS warnings
+FROM g LEFT JOIN (SELECT document_id, page_number, CASE WHEN document_id % 2 = 0 THEN 9 END AS total FROM blocks WHERE block_id % 40 = 5) r USING (document_id, page_number)""")
 def i3_page_evidence(t):
-    return P.page_evidence(t.blocks, _PHRASES, r"\d{4,}")
+    references = t.blocks.filter("block_id % 40 = 5").selectExpr("document_id", "page_number", "page_number AS current_page", "CASE WHEN document_id % 2 = 0 THEN 9 END AS total_pages")
+    return P.page_evidence(t.blocks, _PHRASES, r"\d{4,}", references)
 
 
 @query()
@@ -185,9 +196,9 @@ def i19_resolve_fields(t):
 
 @query()
 def i20_document_result(t):
-    fields = t.events.selectExpr("user_id AS document_id", "event_type AS field", "CAST(value AS STRING) AS value", "CASE WHEN value > 90 THEN 'review_required' ELSE 'auto_selected' END AS status")
+    fields = t.events.selectExpr("user_id AS document_id", "event_type AS field", "CAST(value AS STRING) AS value", "CASE WHEN value > 90 THEN 'review_required' ELSE 'auto_selected' END AS status", "round(value / 100, 4) AS confidence")
     settings = t.events.selectExpr("user_id AS document_id", "event_id % 3 AS page_number", "event_id AS place", "event_type AS name", "CAST(value AS STRING) AS value")
-    return P.document_result(fields, settings, t.events.filter("event_type = 'error'").selectExpr("user_id AS document_id", "concat('W', event_id % 5) AS code"))
+    return P.document_result(fields, settings, t.events.filter("event_type = 'error'").selectExpr("user_id AS document_id", "concat('W', event_id % 5) AS code"), t.events.filter("event_type = 'view'").selectExpr("user_id AS document_id", "event_id % 3 AS page_number", "event_id AS place", "event_type AS text"))
 
 
 @query("""
@@ -203,6 +214,24 @@ def i21_validate_result(t):
     return P.validate_result(pages, artifacts)
 
 
+@query("""
+r AS (SELECT c_custkey AS d, CASE c_custkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'success_with_warnings' WHEN 2 THEN 'failed' ELSE 'success' END AS st, CASE WHEN c_custkey % 3 = 0 THEN 'review_required' ELSE 'not_required' END AS rv, c_custkey % 5 AS pc, c_custkey % 7 <> 0 AS biz, c_custkey % 11 = 0 OR c_custkey % 4 = 2 AND c_custkey % 5 <> 0 AS err FROM customer),
+o AS (SELECT o_custkey AS d, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS bad FROM orders GROUP BY 1), e AS (SELECT DISTINCT o_custkey AS d FROM orders WHERE o_orderpriority = '1-URGENT'), x AS (SELECT DISTINCT o_custkey AS d FROM orders WHERE o_orderpriority = '5-LOW'),
+a AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, e.d IS NOT NULL AS ev, x.d IS NOT NULL AS w, st <> 'failed' AS good FROM r LEFT JOIN o USING (d) LEFT JOIN e USING (d) LEFT JOIN x USING (d));
+SELECT d AS document_id, 'success_has_warnings' AS rule FROM a WHERE st = 'success' AND w UNION ALL SELECT d, 'warnings_missing' FROM a WHERE st = 'success_with_warnings' AND NOT w UNION ALL SELECT d, 'success_without_payload' FROM a WHERE good AND NOT biz UNION ALL SELECT d, 'success_has_error' FROM a WHERE good AND err
+UNION ALL SELECT d, 'pages_do_not_cover' FROM a WHERE good AND n <> pc UNION ALL SELECT d, 'review_not_raised' FROM a WHERE good AND rv <> 'review_required' AND (ev OR bad > 0) UNION ALL SELECT d, 'failed_has_business' FROM a WHERE NOT good AND biz UNION ALL SELECT d, 'failed_without_error' FROM a WHERE NOT good AND NOT err
+UNION ALL SELECT d, 'failed_without_review' FROM a WHERE NOT good AND rv <> 'review_required' UNION ALL SELECT d, 'forbidden_key' FROM a WHERE biz AND d % 13 = 0 UNION ALL SELECT d, 'absolute_path' FROM a WHERE biz AND d % 17 = 0""")
+def i21_result_envelope(t):
+    results = t.customer.selectExpr(
+        "c_custkey AS document_id", "CASE c_custkey % 4 WHEN 1 THEN 'success_with_warnings' WHEN 2 THEN 'failed' ELSE 'success' END AS status", "CASE WHEN c_custkey % 3 = 0 THEN 'review_required' ELSE 'not_required' END AS review_status", "c_custkey % 5 AS page_count",
+        "CASE WHEN c_custkey % 7 <> 0 THEN to_json(map('name', c_name, if(c_custkey % 13 = 0, 'Raw_OCR', 'raw'), 'x', 'file', if(c_custkey % 17 = 0, '/srv/a', 'a/b'))) END AS business", "CASE WHEN c_custkey % 11 = 0 OR c_custkey % 4 = 2 AND c_custkey % 5 <> 0 THEN 'E' END AS error",
+    )
+    number = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = t.orders.select(F.col("o_custkey").alias("document_id"), number.alias("page_number"), F.when(F.col("o_orderstatus") == "F", "review_required").alias("review_status"))
+    orders = t.orders.withColumnRenamed("o_custkey", "document_id")
+    return P.envelope_violations(results, orders.filter("o_orderpriority = '5-LOW'"), pages, orders.filter("o_orderpriority = '1-URGENT'"))
+
+
 _OVER = "o AS (SELECT p_brand || CASE WHEN p_size % 7 = 0 THEN '?' ELSE '' END AS field, CASE WHEN p_size % 5 = 0 THEN 'magic' ELSE 'enum' END AS kind, p_name AS argument, 'active' AS status, CASE WHEN p_size % 11 = 0 THEN 'default' ELSE 'user' END AS origin, CASE WHEN p_size % 13 = 0 THEN '' ELSE 'me' END AS author FROM part)"
 
 

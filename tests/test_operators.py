@@ -247,6 +247,41 @@ def test_start_after_today_with_bad_end_is_empty(spark):
     assert D.activity_by_period(df, "custom", datetime.date(2024, 5, 20), "2024-06-01", "x").count() == 0
 
 
+PAGE_BLOCKS = "document_id long, page_number int, block_id int, text string, x1 double, y1 double, x2 double, y2 double"
+
+
+def references(spark, *rows):
+    """rows: (text, x1, y1, x2) on a page of 1000 by 1400."""
+    df = spark.createDataFrame([(1, 1, k, t, float(x), float(y), float(r), float(y) + 20) for k, (t, x, y, r) in enumerate(rows)], PAGE_BLOCKS)
+    return [(r["current_page"], r["total_pages"], r["label"]) for r in P.detect_page_reference(df, 1000.0, 1400.0).collect()]
+
+
+def test_page_reference(spark):
+    ticket = ("A1-29-2026/E5.8/220", 700, 40, 900)
+    for label in ("Page", "Tờ", "Leaf marker"):
+        assert references(spark, (f"{label}: 1/7", 700, 80, 800)) == references(spark, (label, 600, 80, 690), ("1/7", 700, 80, 760)) == [(1, 7, label)]
+    assert references(spark, ("1/7", 100, 80, 160)) == []  # left half
+    assert references(spark, ("1/7", 700, 600, 760)) == []  # below the header
+    assert references(spark, ticket, ("2/7", 300, 80, 900), ("1/7", 710, 80, 760)) == [(1, 7, None)]  # away from the ticket
+    assert references(spark, ticket, ("x", 600, 80, 690), ("3", 710, 80, 730)) == [(3, None, "x")]
+    assert references(spark, ("3", 710, 80, 730)) == []  # a lone number needs the ticket
+    assert references(spark, ("7/5 and 2/5 and 3/5", 700, 80, 900)) == [(2, 5, "7/5 and")]
+
+
+def test_ticket_of_page_by_score(spark):
+    df = spark.createDataFrame([(1, 1, 0, "A1-1-2026/E5/1", 10.0, 0.2), (1, 1, 1, "B1-1-2026/E5/1", 10.0, 0.9), (1, 1, 2, "C1-1-2026/E5/1", 50.0, 1.0)], "document_id long, page_number int, block_id int, text string, y1 double, recognition_score double")
+    row = P.page_evidence(df, references=df.limit(0).selectExpr("document_id", "page_number", "1 AS current_page", "1 AS total_pages")).first()
+    assert (row["ticket_number"], row["warnings"]) == ("B1-1-2026/E5/1", "pagination_not_detected,no_cover_signature")
+
+
+@pytest.mark.parametrize("business, want", [('{"a":"C:\\\\x"}', ["absolute_path"]), ('{"a":"b/c","/k":1}', []), ('{"a":["/x"]}', ["absolute_path"]), ('{"a":"\\\\\\\\srv"}', ["absolute_path"]), ('{"a":{"Traceback":1}}', ["forbidden_key"]), ('{"a":"traceback"}', [])])
+def test_public_payload(spark, business, want):
+    results = spark.createDataFrame([(1, "success", "none", 1, business, None)], "document_id long, status string, review_status string, page_count int, business string, error string")
+    pages = spark.createDataFrame([(1, 1, None)], "document_id long, page_number int, review_status string")
+    none = pages.limit(0)
+    assert [r["rule"] for r in P.envelope_violations(results, none, pages, none).collect()] == want
+
+
 def test_envelopes(spark, tmp_path):
     rows = [{"id": 1, "name": "x"}, {"id": 2, "name": None}]
     for k, shape in enumerate(([{"lst": rows}], {"lst": rows}, rows)):

@@ -136,6 +136,20 @@ def a7_write_xml(t):
     return back.select("id", "name", F.array_join("tags", ",").alias("tags"))
 
 
+@query("""
+r AS (SELECT o_custkey AS document_id, o_orderpriority AS name, o_orderkey || ' | ' || o_orderstatus AS vals, o_orderstatus <> 'P' AS kept FROM orders);
+SELECT part, document_id, count(*) AS n, min(vals) AS low, max(name) AS high FROM (SELECT 'by_document' AS part, * FROM r WHERE kept UNION ALL SELECT 'all', * FROM r WHERE kept UNION ALL SELECT 'unassigned', * FROM r WHERE NOT kept) GROUP BY ALL""")
+def a8_record_files(t):
+    path = t.folder("records")
+    rows = t.orders.selectExpr("o_custkey AS document_id", "o_orderpriority AS name", "array(CAST(o_orderkey AS STRING), o_orderstatus) AS vals", "o_orderstatus AS status")
+    kept, rest = (rows.filter(f).drop("status").repartition("document_id") for f in ("status <> 'P'", "status = 'P'"))
+    A.write_record_files(kept, rest, path, ["vals"])
+    columns = {"by_document": "name string, vals string, document_id long", "all": "document_id long, name string, vals string"}
+    back = [t.spark.read.schema(columns.get(part, columns["all"])).csv(f"{path}/{part}", header=True).select(F.lit(part).alias("part"), "document_id", "name", "vals") for part in ("by_document", "all", "unassigned")]
+    every = back[0].unionByName(back[1]).unionByName(back[2])
+    return every.groupBy("part", "document_id").agg(F.count(F.lit(1)).alias("n"), F.min("vals").alias("low"), F.max("name").alias("high"))
+
+
 @query("SELECT conv_id AS document_id, turn::INTEGER AS page_number, count(*) AS n, min(coalesce(text, '-')) AS low, max(coalesce(text, '-')) AS high FROM conversations GROUP BY ALL")
 def a9_write_page_json(t):
     path = t.folder("pages")

@@ -97,6 +97,13 @@ def write_record_csv(df: DataFrame, path: str, multi: list[str]) -> None:
     record_lines(df, multi).write.partitionBy("document_id").option("header", True).mode("overwrite").csv(path)
 
 
+def write_record_files(records: DataFrame, unassigned: DataFrame, path: str, multi: list[str]) -> None:
+    """Records by document below ``by_document``, all of them below ``all``, and rows that belong to no record below ``unassigned``."""
+    write_record_csv(records, f"{path}/by_document", multi)
+    for name, df in (("all", records), ("unassigned", unassigned)):
+        record_lines(df, [c for c in multi if c in df.columns]).write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
+
+
 def write_page_json(df: DataFrame, path: str) -> None:
     """One JSON file folder for each document and page."""
     df.write.partitionBy("document_id", "page_number").mode("overwrite").json(path)

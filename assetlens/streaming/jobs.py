@@ -225,15 +225,26 @@ def live_status_counts(events: DataFrame, state_path: str, sink, checkpoint: str
 # --- J8: reference data
 
 
-def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping: dict[str, str], order: str, checkpoint: str, report):
-    """Starts a stream that upserts each micro-batch into the table at ``target_path/<number>`` and reports (number, rows read, rows after, status text)."""
+def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping: dict[str, str], order: str, checkpoint: str, report, parents: DataFrame | None = None, link: tuple[str, str, str] | None = None):
+    """Starts a stream that upserts each micro-batch into the table at ``target_path/<number>`` and reports (number, rows read, rows after, status text).
+
+    ``link`` (column, own key, parent's key) fills that column of rows without it from ``parents``.  A batch that fails is reported with
+    the start of its error and ends the stream, which takes it up again when started anew.
+    """
+    from ..operators.joins import link_orphans
     from ..operators.versions import upsert_by_code
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{target_path}/{number}")
-        upsert_by_code(before, batch, codes, mapping, order).write.mode("overwrite").parquet(f"{target_path}/{number + 1}")
-        read, after = batch.count(), spark.read.parquet(f"{target_path}/{number + 1}").count()
+        spark, new = batch.sparkSession, f"{target_path}/{number + 1}"
+        try:
+            rows = upsert_by_code(spark.read.parquet(f"{target_path}/{number}"), batch, codes, mapping, order)
+            if parents is not None and link is not None:
+                rows = link_orphans(rows, parents, *link).select(rows.columns)
+            rows.write.mode("overwrite").parquet(new)
+            read, after = batch.count(), spark.read.parquet(new).count()
+        except Exception as error:
+            report(number, 0, 0, f"FAILED: {str(error)[:50]}")
+            raise
         report(number, read, after, f"SUCCESS: {read} rows read, {after} rows known")
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,6 +109,24 @@ def test_sync_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "1")).select("code", "name", "extra").collect()) == [("a", "new", 1), ("b", "more", None)]
 
 
+def test_sync_stream_links_and_reports_failures(spark, tmp_path):
+    spark.createDataFrame([("a", "old", None, 7), ("z", "far", None, None)], "code string, site string, site_id long, extra int").write.parquet(str(tmp_path / "t" / "0"))
+    parents = spark.createDataFrame([(1, "S1"), (2, "S1"), (3, " ")], "id long, code string")
+    batch = spark.createDataFrame([(1, "a", "S1"), (2, "b", " ")], "place int, c string, s string")
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = []
+
+    def run(target):
+        stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+        J.sync_stream(stream, str(target), ["c"], {"site": "s"}, "place", str(target) + "-cp", lambda *x: told.append(x), parents, ("site_id", "site", "code")).awaitTermination()
+
+    run(tmp_path / "t")
+    assert sorted((r["code"], r["site_id"]) for r in spark.read.parquet(str(tmp_path / "t" / "1")).collect()) == [("a", 1), ("b", None), ("z", None)]
+    with pytest.raises(Exception):
+        run(tmp_path / "absent")
+    assert told[0][3].startswith("SUCCESS: 2 rows") and told[1][3].startswith("FAILED: ") and len(told[1][3]) <= 58
+
+
 def test_activity(spark, sf_dir, tmp_path):
     df = events(spark, sf_dir)
     last = {r["start"]: r["n"] for r in streamed(spark, df.select("ts"), tmp_path, J.activity_stream, "ts", mode="update")}

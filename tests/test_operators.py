@@ -197,6 +197,17 @@ def test_cover_and_labelled_fields(spark):
     assert got == {"station": ("E5.8", None), "purpose": ("test", None), "ticket": ("A1-29", None), "model": (None, "model_missing")}
 
 
+def test_label_over_two_lines(spark):
+    rows = [("Purpose of", 10, 10), ("the ticket", 10, 32), ("to test", 200, 32), ("Device", 10, 100), ("model: 7SJ", 10, 122)]
+    got = {r["field"]: r["value"] for r in L.labelled_fields(blocks(spark, rows), {"purpose": ["Purpose of the ticket"], "model": ["Device model"], "other": ["Purpose at"]}, ("other",)).collect()}
+    assert got == {"purpose": "to test", "model": "7SJ", "other": None}
+
+
+def test_confidence_of_code_records(spark):
+    rows = [("040.076", 50, 100), ("Starting", 200, 100), ("On", 420, 100), ("040.078", 50, 140), ("Off", 420, 140), ("and more", 420, 160), ("040.079", 50, 200)]
+    assert [r["confidence"] for r in L.group_code_records(blocks(spark, rows)).orderBy("row_id").collect()] == [0.85, 0.84, 0.46]
+
+
 def test_anchors_and_tables(spark):
     rows = [(f"a{k}", 10, 30 * k) for k in range(4)] + [(f"b{k}", 200 + k, 30 * k) for k in range(4)]
     df = blocks(spark, rows)

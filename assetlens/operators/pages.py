@@ -83,8 +83,8 @@ def detect_page_reference(blocks: DataFrame, page_width: float | None = None, pa
     beside = (F.col("_other") != F.col("block_id")) & gap.between(F.lit(-20.0), LABEL_GAP * F.col("_w")) & (overlap_1d(F.col("y1"), F.col("y2"), F.col("_ly1"), F.col("_ly2")) >= 0.25)
     left = rows.join(labels, PAGE).filter(beside).groupBy(*PAGE, "block_id", "_k", F.col("total_pages").isNull().alias("_lone")).agg(F.min_by("_left", F.struct(F.abs(gap), "_other")).alias("_left"))
     told = rows.withColumn("_lone", F.col("total_pages").isNull()).join(left, [*PAGE, "block_id", "_k", "_lone"], "left").withColumn("label", F.coalesce("_inline", "_left"))
-    told = told.withColumn("score", F.round(F.col("_base") + g["label"] * F.col("label").isNotNull().cast("int"), 6))
-    best = told.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages", "label", "score"), F.struct(~F.col("_lone"), "score", -F.col("block_id"), -F.col("_k"))).alias("m"))
+    told = told.withColumn("score", F.col("_base") + g["label"] * F.col("label").isNotNull().cast("int"))
+    best = told.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages", "label", "score"), F.struct(~F.col("_lone"), F.round("score", 6), -F.col("block_id"), -F.col("_k"))).alias("m"))
     return best.select(*PAGE, "m.current_page", "m.total_pages", "m.label", F.round("m.score", 4).alias("score"))
 
 

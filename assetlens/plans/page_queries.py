@@ -36,7 +36,7 @@ c AS (SELECT hd.*, tx IS NOT NULL AS has, coalesce(y1 >= ty1 AND y1 - ty2 <= gre
 m AS (SELECT *, true AS full_ref, CASE WHEN lab THEN 'Page' END AS label, a AS cur, b AS tot, CASE WHEN lab THEN 0.3 ELSE 0 END + CASE WHEN near THEN 0.2 ELSE 0 END + (x1 + x2) / greatest(1.0, 2 * w) + 0.5 * (1 - y1 / greatest(1.0, h)) AS sc FROM c WHERE ref AND a <= b AND (near OR NOT has)
   UNION ALL SELECT *, false, NULL, block_id % 900 + 1, NULL, 0.2 FROM c WHERE lone AND near),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY full_ref DESC, round(sc, 6) DESC, block_id) AS k FROM m);
-SELECT document_id, page_number, cur::INTEGER AS current_page, tot::INTEGER AS total_pages, label, round(round(sc, 6), 4)::DOUBLE AS score FROM r WHERE k = 1""")
+SELECT document_id, page_number, cur::INTEGER AS current_page, tot::INTEGER AS total_pages, label, round(sc, 4)::DOUBLE AS score FROM r WHERE k = 1""")
 def i2_page_reference(t):
     reference = F.concat(F.when(F.col("block_id") % 2 == 0, "Page: ").otherwise(""), F.col("block_id") % 3 + 1, F.lit(" / "), F.col("block_id") % 4 + 1, F.lit(" x"))
     text = F.when((F.col("block_id") % 40 == 0) & (F.col("document_id") % 3 != 0), "A1-29-2026/E5.8/220").when((F.col("block_id") % 5 == 1) & (F.col("document_id") % 4 != 2), reference).when(F.col("block_id") % 5 == 2, (F.col("block_id") % 900 + 1).cast("string"))

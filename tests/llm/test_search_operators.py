@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetlens.llm import ranked
+from assetlens.llm import ranked, topk
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -90,3 +90,73 @@ def test_segments_of_many_terms(spark, monkeypatch):
     assert row[0] == sum(map(bool, bags)) and row[1] == sum(map(len, bags))
     df = Counter(t for w in bags for t in set(w))
     assert dict(zip(row[4].tolist(), row[5].tolist())) == {number[t.encode()]: n for t, n in df.items() if t.encode() in number}
+
+
+def best_by_hand(rows, top=20, asked=20):
+    kept = []
+    for i, x in rows:
+        if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x):
+            kept.append((i, [math.floor(64 * v) for v in x]))
+    out = []
+    for a, (i, q) in enumerate(kept):
+        if i % asked == 0:
+            scores = sorted((-sum(p * r for p, r in zip(q, z)), j) for b, (j, z) in enumerate(kept) if a != b)[:top]
+            out += [(i, k, j, -s) for k, (s, j) in enumerate(scores, 1)]
+    return out
+
+
+def vector_cases(seed, n):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(5, 6))
+    rows = [(int(i), (centres[i % 5] + 0.05 * r.normal(size=6)).tolist()) for i in range(n)]
+    rows += [(1000 + i, rows[3][1]) for i in range(70)] + [(20, rows[3][1]), (20, rows[7][1]), (-40, rows[9][1])]
+    odd = [(None, rows[0][1]), (2000, None), (2020, [1.0, None]), (2040, [math.nan] * 6), (2060, [math.inf] * 6), (2080, []), (2100, [0.5]), (2120, [1.0] * 9), (2140, [-0.0] * 6)]
+    return rows + odd
+
+
+@pytest.mark.parametrize("n, fans, cells, part, held", [(90, (2, 16), 1 << 16, 1 << 16, 1 << 20), (200, (1, 3), 30, 20, 10), (12, (2, 16), 6, 4, 1)])
+def test_top_inner(spark, monkeypatch, n, fans, cells, part, held):
+    for name, value in {"FANS": fans, "PAGE_CELLS": cells, "BLOCK_CELLS": 4 * cells, "PART_ROWS": part, "PIVOTS": 4, "RINGS": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    rows = vector_cases(n, n)
+    given = spark.createDataFrame([(i, x, "clash") for i, x in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    found = topk.top_inner(given)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, found.collect())) == sorted(best_by_hand(rows))
+    assert topk.top_inner(given.filter("false")).count() == topk.top_inner(given.filter("vec_id % 20 <> 0")).count() == 0
+
+
+def test_top_inner_of_few_and_of_large_numbers(spark):
+    one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    assert topk.top_inner(one).count() == 0
+    rows = [(k * 20, [3e7 + k / 64, 1e7, -2e7]) for k in range(5)]
+    found = topk.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, found.collect())) == sorted(best_by_hand(rows))
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(1)
+    z = r.integers(-50, 50, (400, 8)).astype(float)
+    keys = topk.fit_keys(z[:100])
+    cell, ring, near = keys.of(z)
+    q, apart = z[:60], topk.distances(z[:60], keys.pivots)
+    scores = topk.inner(q, z)
+    for c, k in set(zip(cell.tolist(), ring.tolist())):
+        here = (cell == c) & (ring == k)
+        most = topk.bounds((q * q).sum(1), apart[:, c], near[here].min(), near[here].max(), (z[here] ** 2).sum(1).max())
+        assert (scores[:, here].max(1) <= most).all()
+
+
+def test_block_picks_the_best(monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 5)
+    r = np.random.default_rng(2)
+    z, q = r.integers(-3, 4, (60, 4)).astype(float), r.integers(-3, 4, (7, 4)).astype(float)
+    keys = topk.fit_keys(z)
+    directory = topk.Directory(*(np.array([x]) for x in (0, 0, 0.0, 1e9, 1e9)))
+    pack = lambda m: [x.astype("<i4").tobytes() for x in m]
+    block = topk.Block({"query": list(range(7)), "z": pack(q), "tau": [None] * 7, "rings": [[0]] * 7}, keys, directory, 4, 6)
+    for at in range(0, 60, 10):
+        block.meet(0, 0, 0.0, 1e9, 1e9, np.arange(at, at + 10), np.arange(at, at + 10) // 2, z[at : at + 10])
+    got = sorted(zip(*(c.to_pylist() for c in block.best().columns)))
+    want = [(k, e, e // 2, int(q[k] @ z[e])) for k in range(7) for e in sorted(range(60), key=lambda e: (-(q[k] @ z[e]), e // 2, e))[:6]]
+    assert got == sorted(want)

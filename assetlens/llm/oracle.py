@@ -102,6 +102,31 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root)::BIGINT AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY ALL""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), b AS (
+  SELECT c, n, c - c % 20 AS base, list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: [ascii(substring(c::VARCHAR, i::INTEGER, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM (SELECT c, count(*) AS n FROM t GROUP BY c)
+), h AS (
+  SELECT c, n, base, xor(list_reduce(steps, lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM b
+), l AS (SELECT h.*, least(h.h, coalesce(x.n, 0)) AS led FROM h LEFT JOIN h x ON x.c = h.base),
+r AS (
+  SELECT l.c, t.pos, role, text FROM l JOIN t ON t.c = l.base AND t.pos <= l.h
+  UNION ALL SELECT l.c, t.pos - h + led, role, text FROM l JOIN t USING (c) WHERE t.pos > h
+), p AS (
+  SELECT c, pos AS d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY pos) AS k, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM l
+), e AS (SELECT *, sha256(k) AS node, sha256(left(k, length(k) - 64)) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+n AS (
+  SELECT node, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM e GROUP BY node, d
+), k AS (SELECT up, count(*) AS n FROM n WHERE d > 0 GROUP BY up),
+o AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.node),
+s AS (SELECT e.node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * o.words) AS saved FROM o JOIN e ON e.c = o.conv_id AND e.d <= o.d GROUP BY e.node)
+SELECT o.conv_id, o.d::BIGINT AS depth, x.conv_id AS parent_conv_id, o.n_convs, o.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (node) LEFT JOIN o x ON o.d > 0 AND x.node = o.up""",
     "op12_top_inner": """
 WITH v AS (
   SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS z FROM embeddings

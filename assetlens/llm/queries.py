@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, linededup, media, mixing, quality, ranked, secrets, tokenbin, topk
+from . import chat, decontam, jaccard, langid, linededup, media, mixing, prefixtrie, quality, ranked, secrets, tokenbin, topk
 from .common import read_table, shared_dir
 
 
@@ -76,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(read_table(spark, sf_dir, "embeddings"))
 
@@ -84,4 +88,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_chat_formatting, op5_secret_scan, op6_token_binary, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_quality, op12_top_inner, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_source_mixing, op4_chat_formatting, op5_secret_scan, op6_token_binary, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_quality, op11_prefix_trie, op12_top_inner, op13_ranked_search)}

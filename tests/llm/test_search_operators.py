@@ -1,15 +1,17 @@
 """Ranked search, exact top-k search and the prefix trie against brute force."""
 
+import hashlib
 import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetlens.llm import ranked, topk
+from assetlens.llm import prefixtrie, ranked, topk
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -160,3 +162,75 @@ def test_block_picks_the_best(monkeypatch):
     got = sorted(zip(*(c.to_pylist() for c in block.best().columns)))
     want = [(k, e, e // 2, int(q[k] @ z[e])) for k in range(7) for e in sorted(range(60), key=lambda e: (-(q[k] @ z[e]), e // 2, e))[:6]]
     assert got == sorted(want)
+
+
+def trie_by_hand(rows):
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    turns = {c: [(r, t) for _, _, r, _, t in sorted(x)] for c, x in convs.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % 4
+        path = turns.get(c - int(math.fmod(c, 20)), [])[:h] + turns[c][h:]
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+        ends[tuple(path)].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    sums = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [sums[x] for x in children[node]]
+        saved = (len(members[node]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        sums[node] = (sum(x[0] for x in below) or 1, saved + sum(x[1] for x in below))
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return [(m[0], len(x), members[x[:-1]][0] if x else None, len(m), len(children[x]), *sums[x], digest(ends[x])) for x, m in members.items()]
+
+
+def trie_cases():
+    r = random.Random(3)
+    rows = []
+    for c in range(-45, 90):
+        if c % 20 or c % 40 == 0:
+            rows += [(c, t, ("user", "assistant")[t % 2], r.choice(["a b", "c", "d\ne f"])) for t in range(r.randint(1, 6))]
+    for c in range(100, 140):  # copies, and a long common beginning with many ends
+        rows += [(c, t, "user", f"turn {t}") for t in range(9)] + ([(c, 20, "user", f"own {c}")] if c % 3 else [])
+    rows += [(200, t, "user", f"long {t}") for t in range(50)] + [(201, t, "user", f"long {t}") for t in range(50)] + [(203, t, "user", f"long {t}") for t in range(40)]
+    rows += [(300, None, "user", "first"), (300, 0, None, None), (300, 0, None, ""), (300, 1, "b", "x"), (300, 1, "a", "y"), (300, 1, "a", "x"), (None, 1, "user", "nobody"), (301, 0, "us", "er"), (302, 0, "use", "r")]
+    return rows
+
+
+@pytest.mark.parametrize("shard_nodes, characters", [(1 << 20, 1 << 16), (16, 10)])
+def test_conversation_trie(spark, monkeypatch, shard_nodes, characters):
+    monkeypatch.setattr(prefixtrie, "ID_CHARACTERS", characters)
+    rows = trie_cases()
+    given = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, depth string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", shard_nodes > 1000)  # else conversations span several ranges
+    try:
+        found = prefixtrie.conversation_trie(given, shard_nodes)
+        assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, trie_by_hand(rows)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert prefixtrie.conversation_trie(given.filter("false")).count() == 0
+
+
+def test_node_table():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        lo, hi = r.integers(0, 2**63, (2, n)).astype(np.uint64)
+        lo[: n // 2] = 7  # told apart by the other half
+        table = prefixtrie.NodeTable(lo, hi)
+        assert sorted(table.slots(lo, hi).tolist()) == list(range(n))
+        assert (table.slots(lo + np.uint64(1), hi) == -1).all() and (table.slots(lo, ~hi) == -1).all()
+    with pytest.raises(ValueError, match="twice"):
+        prefixtrie.NodeTable(np.array([5, 5], np.uint64), np.array([6, 6], np.uint64))
+
+
+def test_colliding_prefixes_are_found_out(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 5, 0, 0, 5, 8, 3, True), (2, 1, 5, 5, 0, 0, 5, 9, 3, True)], "conv_id long, d long, d1 long, d2 long, p1 long, p2 long, first long, k1 long, words long, ends boolean")
+    with pytest.raises(Exception, match="digests of different prefixes are equal"):
+        prefixtrie.trie_nodes(rows).collect()

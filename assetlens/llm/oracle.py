@@ -58,8 +58,8 @@ WITH m AS (
   UNION ALL
   SELECT doc_id, kind, rank, 1, regexp_split_to_array(text, pattern), regexp_extract_all(text, pattern), regexp_extract_all(text, pattern)
   FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), (VALUES
-    ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
-    ('login', 5, '[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@'), ('code_host', 6, 'gh[pousr]_[A-Za-z0-9]{20,}')) r(kind, rank, pattern)
+    ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,250}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'),
+    ('login', 5, '[a-z][a-z0-9+.-]{0,31}://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@'), ('code_host', 6, 'gh[pousr]_[A-Za-z0-9]{20,}')) r(kind, rank, pattern)
 ), s AS (
   SELECT doc_id, kind, rank, least, unnest(found) AS hit, unnest(kept) AS kept, generate_subscripts(found, 1) AS i, gaps, found FROM m WHERE len(found) > 0
 ), e AS (

@@ -48,11 +48,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
-#: Further rules, whose spans come beside the base ones.
+#: Further rules, whose spans come beside the base ones.  A scheme has 32 characters at most and a token's header 253, so that a long run of
+#: such characters is read a bounded number of times.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,250}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("login", r"[a-z][a-z0-9+.-]{0,31}://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{20,}"),
 )
 

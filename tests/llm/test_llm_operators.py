@@ -313,6 +313,18 @@ def test_secret_versions_and_further_rules(spark):
     assert spark.read.parquet(path).count() == 3 * len(blobs) + n * len(fresh) + (n - 3) * (len(texts) - len(fresh))
 
 
+@pytest.mark.parametrize("unit, tail", [("a", ""), ("eyJ", ""), ("AKIA", ""), ("eyJ-", "."), ("a1+.-", "://user:word@"), ("0f", ""), ("-----BEGIN ", ""), ("x://u", ":"), ("password ", "= 'abcdefghijkl'")])
+def test_secret_rules_read_long_runs_in_linear_time(spark, unit, tail):
+    """A megabyte of one run; times are not told, a quadratic rule takes hours."""
+    text = unit * (1_000_000 // len(unit)) + tail
+    rules = (*secrets.RULES, *secrets.MORE_RULES)
+    found = spark.createDataFrame([(text,)], "t string").select(*(secrets._spans(F.col("t"), r).alias(r.kind) for r in rules)).first()
+    for r in rules:
+        if r.kind in ("access", "hex", "code_host", "login"):
+            want = [(m.start(), m.end()) for m in re.finditer(r.pattern, text)]
+            assert [(f["start"], f["end"]) for f in found[r.kind]] == want
+
+
 def test_token_files(spark, odd, empty):
     from tokenizers import Tokenizer
 

@@ -274,10 +274,27 @@ def d16_table_candidates(t):
 # --- J
 
 
-@query()
+@query("""
+RECURSIVE e AS (
+  SELECT user_id AS d, ts AS tm, CASE event_type WHEN 'error' THEN 'MISMATCH' WHEN 'purchase' THEN 'continue' ELSE 'MATCH' END AS status, (event_id % 50 + 1)::INTEGER AS ev, CASE WHEN event_id % 97 = 0 THEN 'e' WHEN event_id % 5 = 0 THEN 'M' ELSE 'h' END AS un, event_id % 4 = 0 AS man FROM events
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY d ORDER BY tm, status, ev, un, man) AS k, NOT man AND status <> 'continue' AS auto,
+         CASE un WHEN 'M' THEN tm + to_months(ev) WHEN 'h' THEN tm + to_hours(ev) END AS nxt FROM e
+), g AS (
+  SELECT d, 0::BIGINT AS k, NULL::TIMESTAMP AS tm, NULL::VARCHAR AS status, false AS paused, NULL::INTEGER AS sev, NULL::VARCHAR AS sun, true AS enabled, NULL::TIMESTAMP AS next_at, NULL::INTEGER AS every, NULL::VARCHAR AS unit, NULL::VARCHAR AS action FROM (SELECT DISTINCT d FROM r)
+  UNION ALL
+  SELECT d, k, tm, status, CASE WHEN does THEN mis OR paused AND NOT res ELSE paused END, CASE WHEN does AND mis AND NOT paused THEN ev WHEN does AND res THEN NULL ELSE sev END, CASE WHEN does AND mis AND NOT paused THEN un WHEN does AND res THEN NULL ELSE sun END,
+         enabled AND NOT (does AND auto AND u = 'e'),
+         CASE WHEN does AND auto AND u = 'e' THEN NULL WHEN does AND res THEN CASE sun WHEN 'M' THEN tm + to_months(sev) WHEN 'h' THEN tm + to_hours(sev) END WHEN does AND auto AND NOT mis AND NOT paused THEN nxt ELSE next_at END,
+         CASE WHEN does AND res THEN sev ELSE ev END, CASE WHEN does THEN u ELSE un END,
+         CASE WHEN NOT does THEN CASE WHEN enabled THEN 'skipped' ELSE 'disabled' END WHEN mis AND paused THEN 'kept_paused' WHEN mis THEN 'paused' WHEN res THEN 'resumed' WHEN auto AND u = 'e' THEN 'one_shot_done' ELSE 'none' END
+  FROM (SELECT r.*, g.paused, g.sev, g.sun, g.enabled, g.next_at, NOT auto OR NOT g.paused AND g.enabled AS does, r.status = 'MISMATCH' AS mis, r.status <> 'MISMATCH' AND g.paused AS res, CASE WHEN r.status <> 'MISMATCH' AND g.paused THEN g.sun ELSE r.un END AS u FROM g JOIN r ON r.d = g.d AND r.k = g.k + 1)
+);
+SELECT d AS device_id, tm AS "at", status, paused, every, unit, action, next_at FROM g WHERE k > 0""")
 def j1_drift_monitor(t):
     status = F.expr("CASE event_type WHEN 'error' THEN 'MISMATCH' WHEN 'purchase' THEN 'continue' ELSE 'MATCH' END AS status")
-    return J.drift_monitor(t.events.select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("at"), status, (F.col("event_id") % 50 + 1).cast("int").alias("every"), F.expr("CASE WHEN event_id % 97 = 0 THEN 'e' ELSE 'h' END AS unit"), (F.col("event_id") % 4 == 0).alias("manual")))
+    unit = F.expr("CASE WHEN event_id % 97 = 0 THEN 'e' WHEN event_id % 5 = 0 THEN 'M' ELSE 'h' END AS unit")
+    return J.drift_monitor(t.events.select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("at"), status, (F.col("event_id") % 50 + 1).cast("int").alias("every"), unit, (F.col("event_id") % 4 == 0).alias("manual")))
 
 
 @query("SELECT user_id AS ticket_id, least(count(*), 5) AS step, greatest(count(*) - 5, 0) AS rejected, count(*) >= 5 AS finished FROM events GROUP BY 1")

@@ -6,73 +6,164 @@ Each job takes an event table, read with ``readStream`` or ``read``.  Late rows:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.scalars import next_occurrence
 
 DELAY = "10 minutes"
 
+# --- Rows of a key in the order of their times
+
+Step = Callable[[tuple | None, object, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class HeldUntilWatermark(StatefulProcessor):
+    """Keeps the rows of a key until the watermark has passed their time, then gives them to ``step`` in order.
+
+    A timer stands at the earliest time that is held.  Rows at the watermark or before are late and dropped by Spark, so what a timer
+    finds up to the watermark is complete, however the rows were dealt to micro-batches.
+    """
+
+    def __init__(self, step: Step, columns: list[str], order: list[str], held: T.StructType, state: str):
+        self.step, self.columns, self.order, self.held_schema, self.state_schema = step, columns, order, held, state
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.state_schema)
+        self.held = handle.getListState("held", self.held_schema)
+
+    def _wake(self, earliest: pd.Timestamp) -> None:
+        self.handle.registerTimer(-int(-_micros(earliest) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            # Whole numbers beside a null come as doubles.
+            kinds = [int if isinstance(f.dataType, T.IntegralType) else None for f in self.held_schema]
+            columns = [[None if pd.isna(v) else kind(v) if kind else v for v in pdf[c]] for c, kind in zip(self.columns, kinds)]
+            self.held.appendList(list(zip(*columns)))
+            self._wake(pdf[self.order[0]].min())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rows = pd.DataFrame(list(self.held.get()), columns=self.columns, dtype=object)
+        past = rows[self.order[0]].map(_micros) <= timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = rows[past], rows[~past]
+        if len(ready):
+            state, out = self.step(self.state.get() if self.state.exists() else None, key[0], ready.sort_values(self.order, kind="stable"))
+            self.state.update(state)
+            if len(later):
+                self.held.put(list(later.itertuples(index=False, name=None)))
+                self._wake(later[self.order[0]].min())
+            else:
+                self.held.clear()
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(at) -> int:
+    """Microseconds since 1970, of an instant or of a time in UTC."""
+    at = pd.Timestamp(at)
+    return (at.tz_localize("UTC") if at.tzinfo is None else at).value // 1000
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], step: Step, out: str, state: str) -> DataFrame:
+    """``step`` over the rows of each key in ``order``, whose first column is their time; state is what it returns beside its rows.
+
+    A table is sorted within tasks and streams through them, so that no key is held in memory.  A stream is held back by the watermark
+    (``DELAY``); it needs the RocksDB state store, which is set here, and a session in UTC.  Rows without key or time take no part.
+    """
+    at, columns = order[0], [c for c in rows.columns if c != key]
+    rows = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    if rows.isStreaming:
+        if rows.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+            raise ValueError("times that are held back need a session in UTC")
+        rows.sparkSession.conf.set(*_PROVIDER)
+        held = T.StructType([rows.schema[c] for c in columns])
+        return rows.withWatermark(at, DELAY).groupBy(key).transformWithStateInPandas(HeldUntilWatermark(step, columns, order, held, state), out, "append", "eventTime")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, None
+        for pdf in frames:
+            for own, part in pdf.groupby(key, sort=False):
+                known, done = step(known if own == last else None, own, part)
+                last = own
+                yield done
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+
+
 # --- J1: drift monitor
 
-_DRIFT = "device_id long, at timestamp, status string, paused boolean, every int, unit string, action string"
-_DRIFT_STATE = "paused boolean, every int, unit string, enabled boolean"
+_DRIFT = "device_id long, at timestamp, status string, paused boolean, every int, unit string, action string, next_at timestamp"
+_DRIFT_STATE = "paused boolean, every int, unit string, enabled boolean, next_at timestamp"
+_OFFSETS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "M": "months", "y": "years"}
+
+
+@cache
+def _offset(every: int, unit: str) -> pd.DateOffset | pd.Timedelta:
+    return pd.DateOffset(**{_OFFSETS[unit]: every}) if unit in ("M", "y") else pd.Timedelta(**{_OFFSETS.get(unit, "hours"): every if unit in _OFFSETS else 1})
+
+
+def _next_time(at: pd.Timestamp, every: int | None, unit: str | None) -> pd.Timestamp | None:
+    """``next_occurrence`` of one row."""
+    return None if unit == "e" or every is None else pd.Timestamp(at) + _offset(int(every), unit)
 
 
 def _drift_steps(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-    """State (paused, saved every, saved unit, enabled) after the device's checks in order, and a row for each.
+    """State (paused, saved every, saved unit, enabled, next time) after the device's checks in order, and a row for each.
 
-    MISMATCH pauses and saves the schedule (the first one while paused stays); MATCH or ``continue``
-    while paused restores it; a one-shot schedule (unit e) is disabled after its check; checks of a
-    paused device that aren't a recheck are skipped.
+    MISMATCH pauses and saves the schedule (the first one while paused stays) and leaves the next time alone; MATCH or ``continue``
+    while paused restores it and counts the next time from there.  A check by schedule is skipped while paused or disabled; else it sets
+    the next time, or, with a one-shot schedule (unit e), disables the device.  A manual recheck sets no next time.
     """
-    paused, every, unit, enabled = state or (False, None, None, True)
+    paused, every, unit, enabled, next_at = state or (False, None, None, True, None)
     out = []
     for at, status, e, u, manual in rows[["at", "status", "every", "unit", "manual"]].itertuples(index=False):
-        action = "none"
-        if not enabled:
-            action = "disabled"
-        elif paused and not manual and status != "continue":
-            action = "skipped"
-        elif status == "MISMATCH":
-            action = "kept_paused" if paused else "paused"
-            if not paused:
-                paused, every, unit = True, int(e), u
-        elif paused:
-            action, e, u = "resumed", every, unit
-            paused, every, unit = False, None, None
-        if enabled and not paused and action != "skipped" and u == "e":
-            enabled, action = False, "one_shot_done"
-        out.append((at, status, paused, None if e is None else int(e), u, action))
-    return (paused, every, unit, enabled), out
-
-
-def _drift_frame(device: int, rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(device, *r) for r in rows], columns=[x.split()[0] for x in _DRIFT.split(", ")])
+        e, scheduled, action = None if pd.isna(e) else int(e), not manual and status != "continue", "none"
+        if scheduled and (paused or not enabled):
+            action = "skipped" if enabled else "disabled"
+        else:
+            if status == "MISMATCH":
+                action = "kept_paused" if paused else "paused"
+                if not paused:
+                    paused, every, unit = True, e, u
+            elif paused:
+                action, e, u = "resumed", every, unit
+                paused, every, unit = False, None, None
+                next_at = _next_time(at, e, u)
+            if scheduled and u == "e":
+                enabled, next_at, action = False, None, "one_shot_done" if action == "none" else action
+            elif scheduled and not paused:
+                next_at = _next_time(at, e, u)
+        out.append((at, status, paused, e, u, action, next_at))
+    return (paused, every, unit, enabled, None if next_at is None else pd.Timestamp(next_at).to_pydatetime()), out
 
 
 def drift_monitor(checks: DataFrame) -> DataFrame:
-    """checks (device_id, at, status, every, unit, manual) -> a row for each with pause and schedule after it."""
-    if not checks.isStreaming:
-
-        def batch(key, pdf):
-            return _drift_frame(key[0], _drift_steps(None, pdf.sort_values(["at", "status"]))[1])
+    """checks (device_id, at, status, every, unit, manual) -> a row for each with pause, schedule and next time after it.
 
-        return checks.groupBy("device_id").applyInPandas(batch, _DRIFT)
+    Checks of one device at one time are ordered by status, then by the rest.
+    """
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "status"])
-        after, out = _drift_steps(state.get if state.exists else None, rows)
-        state.update(after)
-        yield _drift_frame(key[0], out)
+    def step(state, device, rows):
+        after, out = _drift_steps(state, rows)
+        return after, pd.DataFrame([(device, *r) for r in out], columns=[x.split()[0] for x in _DRIFT.split(", ")])
 
-    return checks.withWatermark("at", DELAY).groupBy("device_id").applyInPandasWithState(step, _DRIFT, _DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
+    given = checks.select("device_id", F.col("at").cast("timestamp").alias("at"), "status", "every", "unit", "manual")
+    return in_order(given, "device_id", ["at", "status", "every", "unit", "manual"], step, _DRIFT, _DRIFT_STATE)
 
 
 # --- J2: tickets
@@ -119,19 +210,15 @@ def signature_flow(signatures: DataFrame) -> DataFrame:
             accepted = accepted | (F.col(f"_{role}") & ~F.col(f"_had_{role}"))
         return rows.select("id", "sheet_id", "role", "at", accepted.alias("accepted"))
 
-    def step(key, frames, state: GroupState):
-        (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        taken = []
+    def step(state, sheet, rows):
+        (n,), taken = state or (0,), []
         for role in rows["role"]:
             good = n < len(ROLES) and role == ROLES[n]
             taken.append(good)
             n += good
-        state.update((n,))
-        yield rows.assign(accepted=taken)[["id", "sheet_id", "role", "at", "accepted"]]
+        return (n,), rows.assign(sheet_id=sheet, accepted=taken)[["id", "sheet_id", "role", "at", "accepted"]]
 
-    rows = signatures.select("id", "sheet_id", "role", "at").withWatermark("at", DELAY)
-    return rows.groupBy("sheet_id").applyInPandasWithState(step, "id long, sheet_id long, role string, at timestamp, accepted boolean", "n int", "append", GroupStateTimeout.NoTimeout)
+    return in_order(signatures.select("id", "sheet_id", "role", "at"), "sheet_id", ["at", "id"], step, "id long, sheet_id long, role string, at timestamp, accepted boolean", "n int")
 
 
 # --- J4: idempotent intake

@@ -1,5 +1,7 @@
 """Streams give what their batch twins give, over files read with availableNow."""
 
+import random
+import time
 from functools import reduce
 
 import pytest
@@ -27,30 +29,68 @@ def events(spark, sf_dir, n=400):
     return spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_id") < n).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def test_drift_monitor(spark, sf_dir, tmp_path):
-    status = F.expr("CASE event_type WHEN 'error' THEN 'MISMATCH' WHEN 'purchase' THEN 'continue' ELSE 'MATCH' END AS status")
-    checks = events(spark, sf_dir).select(F.col("user_id").alias("device_id"), F.col("ts").alias("at"), status, (F.col("event_id") % 50 + 1).cast("int").alias("every"), F.lit("h").alias("unit"), (F.col("event_id") % 4 == 0).alias("manual"))
-    got = streamed(spark, checks, tmp_path, J.drift_monitor, "at")
-    assert sorted(map(str, got)) == sorted(map(str, J.drift_monitor(checks).collect()))
-    actions = {r["action"] for r in got}
-    assert {"paused", "resumed", "skipped"} <= actions
+def arriving(rows, minutes, files=5):
+    """Rows (minute first) as files in the order of arrival, each up to ``minutes`` late; a last file moves the watermark past them all."""
+    r = random.Random(5)
+    arrival = sorted(rows, key=lambda x: (x[0] + r.uniform(0, minutes), r.random()))
+    size = -(-len(arrival) // files)
+    return [arrival[k : k + size] for k in range(0, len(arrival), size)]
+
+
+def stream_of(spark, tmp_path, files, names):
+    path = str(tmp_path / "in")
+    at = F.expr("timestamp'2024-01-31 10:00:00' + make_dt_interval(0, 0, minute)")
+    for rows in files:
+        spark.createDataFrame(rows, names).withColumn("at", at).drop("minute").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)  # files are read by their times
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path), spark.read.parquet(path)
+
+
+def collected(job, stream, tmp_path):
+    out = []
+    job(stream).writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_drift_monitor_of_shuffled_batches(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(m, r.randrange(3), r.choice(["MATCH", "MATCH", "MISMATCH", "continue"]), r.choice([1, 2, None]), r.choice("hhmMyd" if m < 60 else "e"), r.random() < 0.4) for m in range(80)]
+    names = "minute int, device_id long, status string, every int, unit string, manual boolean"
+    stream, table = stream_of(spark, tmp_path, [*arriving(rows, 8), [(10_000, 99, "MATCH", 1, "h", False)], [(1, 1, "late", 1, "h", False)], [(20_000, 98, "MATCH", 1, "h", False)]], names)
+    got = [x for x in collected(J.drift_monitor, stream, tmp_path) if x["device_id"] < 90]
+    want = J.drift_monitor(table.filter("status <> 'late' AND device_id < 90")).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+    assert {x["action"] for x in got} == {"none", "paused", "kept_paused", "resumed", "skipped", "disabled", "one_shot_done"}
+    assert any(x["action"] == "resumed" and x["next_at"] is not None for x in got)
+
+
+def test_signatures_of_shuffled_batches(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(m, m, m % 4, r.choice(J.ROLES)) for m in range(60)]
+    stream, table = stream_of(spark, tmp_path, [*arriving(rows, 8), [(10_000, 900, 99, "admin")], [(20_000, 901, 99, "admin")]], "minute int, id long, sheet_id long, role string")
+    got = [x for x in collected(J.signature_flow, stream, tmp_path) if x["sheet_id"] < 90]
+    want = J.signature_flow(table.filter("sheet_id < 90")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(x["accepted"] for x in got) == 12
 
 
 def test_drift_rules():
     import pandas as pd
 
-    rows = pd.DataFrame([(1, "MISMATCH", 5, "h", False), (2, "MATCH", 9, "d", False), (3, "MISMATCH", 7, "m", True), (4, "MATCH", 1, "m", True), (5, "MATCH", 2, "e", False), (6, "MATCH", 2, "h", False)], columns=["at", "status", "every", "unit", "manual"])
+    at = [pd.Timestamp(2024, 1, d) for d in range(1, 10)]
+    given = [("MISMATCH", 5, "h", False), ("MATCH", 9, "d", False), ("MISMATCH", 7, "m", True), ("MATCH", 1, "m", True), ("MATCH", 1, "M", False), ("MATCH", 2, "d", True), ("MISMATCH", 2, "e", False), ("MATCH", 3, "h", True), ("MATCH", 2, "h", False)]
+    rows = pd.DataFrame([(t, *g) for t, g in zip(at, given)], columns=["at", "status", "every", "unit", "manual"])
     state, out = J._drift_steps(None, rows)
-    assert [r[-1] for r in out] == ["paused", "skipped", "kept_paused", "resumed", "one_shot_done", "disabled"]
-    assert out[3][3:5] == (5, "h") and state == (False, None, None, False)
+    assert [r[-2] for r in out] == ["paused", "skipped", "kept_paused", "resumed", "none", "none", "paused", "resumed", "disabled"]
+    assert out[3][3:5] == (5, "h") and state == (False, None, None, False, None)
+    # A resume counts from itself, a manual check sets nothing, a one-shot check ends the schedule although it pauses.
+    assert [r[-1] for r in out] == [None, None, None, at[3] + pd.Timedelta(hours=5), pd.Timestamp(2024, 2, 5), pd.Timestamp(2024, 2, 5), None, None, None]
+    assert J._next_time(pd.Timestamp(2024, 1, 31), 1, "M") == pd.Timestamp(2024, 2, 29) and J._next_time(pd.Timestamp(2024, 2, 29), 1, "y") == pd.Timestamp(2025, 2, 28)
 
 
-def test_signature_flow(spark, tmp_path):
+def test_signature_rules(spark):
     roles = ["supervisor", "technician", "admin", "supervisor", "technician", "admin", "admin"]
     df = spark.createDataFrame([(k, 1, r, k) for k, r in enumerate(roles)], "id long, sheet_id long, role string, k int").select("id", "sheet_id", "role", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, k)").alias("at"))
-    want = [False, True, False, True, False, True, False]
-    assert [r["accepted"] for r in J.signature_flow(df).orderBy("id").collect()] == want
-    assert [r["accepted"] for r in sorted(streamed(spark, df, tmp_path, J.signature_flow, "id"), key=lambda r: r["id"])] == want
+    assert [r["accepted"] for r in J.signature_flow(df).orderBy("id").collect()] == [False, True, False, True, False, True, False]
 
 
 def test_progress(spark, sf_dir, tmp_path):

@@ -188,14 +188,18 @@ def correction_rows(logs: DataFrame, now: Column, items: DataFrame) -> DataFrame
     return rows.withColumn("status", F.lit("RECEIVED"))
 
 
+def code_of(codes: list[str]) -> Column:
+    """The first of the columns ``codes`` with text."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in codes))
+
+
 def upsert_by_code(target: DataFrame, batch: DataFrame, codes: list[str], mapping: dict[str, str], order: str) -> DataFrame:
     """Target rows with the batch's last row of each code applied and new codes added.
 
     The code is the first of ``codes`` with text; rows without one are skipped.  A mapped column is
     overwritten (with '' where the batch row has none); the others stay.
     """
-    code = F.coalesce(*(F.nullif(c, F.lit("")) for c in codes))
-    rows = batch.withColumn("code", code).filter("code is not null")
+    rows = batch.withColumn("code", code_of(codes)).filter("code is not null")
     last = rows.groupBy("code").agg(F.max_by(F.struct(*(F.coalesce(F.col(s), F.lit("")).alias(t) for t, s in mapping.items())), order).alias("_new"))
     joined = target.join(last, "code", "full")
     out = [F.col("code")] + [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in mapping else F.col(c) for c in target.columns if c != "code"]

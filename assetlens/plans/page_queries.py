@@ -353,17 +353,27 @@ def j7_status_counts(t):
     return J.status_totals(latest)
 
 
+@query("l AS (SELECT event_id % 777 AS job_id, arg_max(event_type, event_id) AS status, arg_max(user_id, event_id) % 5 AS creator FROM events GROUP BY 1); SELECT status, NULL::BIGINT AS creator, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT status, creator, count(*) FROM l GROUP BY 1, 2")
+def j7_live_changes(t):
+    """The same totals by way of the stream of changes."""
+    source, changes = t.folder("statuses"), t.folder("changes")
+    t.events.selectExpr("event_id % 777 AS job_id", "event_id AS id", "event_type AS status", "user_id % 5 AS creator", "CAST(ts AS TIMESTAMP) AS at").write.parquet(source)
+    events = t.spark.readStream.schema("job_id long, id long, status string, creator long, at timestamp").option("maxFilesPerTrigger", 4).parquet(source)
+    J.live_status_counts(events, changes, lambda *_: None, t.folder("live")).awaitTermination()
+    return J.status_totals_of(t.spark, changes)
+
+
 @query("""
 b AS (SELECT 'C' || c_custkey % 700 AS code, coalesce(c_name, '') AS name, c_custkey AS k FROM customer), l AS (SELECT code, arg_max(name, k) AS name FROM b GROUP BY 1), s AS (SELECT 'C' || s_suppkey AS code, s_name AS name, s_nationkey::VARCHAR AS kind FROM supplier);
 SELECT code, coalesce(l.name, s.name) AS name, s.kind FROM s FULL JOIN l USING (code)""")
 def j8_sync_stream(t):
     source, target = t.folder("batches"), t.folder("target")
     t.customer.selectExpr("c_custkey AS k", "concat('C', c_custkey % 700) AS ext", "c_name AS label").write.parquet(source)
-    t.supplier.selectExpr("concat('C', s_suppkey) AS code", "s_name AS name", "CAST(s_nationkey AS STRING) AS kind").write.parquet(f"{target}/0")
-    told = []
+    table = J.SyncedTable(t.spark, target)
+    table.create(t.supplier.selectExpr("concat('C', s_suppkey) AS code", "s_name AS name", "CAST(s_nationkey AS STRING) AS kind"))
     batches = t.spark.readStream.schema("k long, ext string, label string").parquet(source)
-    J.sync_stream(batches, target, ["ext"], {"name": "label"}, "k", t.folder("sync"), lambda number, *rest: told.append(number)).awaitTermination()
-    return t.spark.read.parquet(f"{target}/{told[-1] + 1}")
+    J.sync_stream(batches, table, ["ext"], {"name": "label"}, "k", t.folder("sync"), lambda *_: None).awaitTermination()
+    return table.read()
 
 
 @query("SELECT tick, c_custkey AS id FROM (SELECT DISTINCT date_trunc('day', ts) AS tick FROM events) JOIN customer ON c_custkey % 3 <> 0 AND timestamp '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 500) <= tick")
@@ -372,6 +382,12 @@ def j9_due_tick(t):
     return J.due_tick(t.events.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).distinct(), schedule)
 
 
+@query("SELECT tick, id FROM (SELECT c_custkey AS id, timestamp '2024-01-01' + INTERVAL 17 MINUTE * (c_custkey % 5000) AS next_at FROM customer WHERE c_custkey % 3 <> 0) JOIN (SELECT DISTINCT date_trunc('day', ts) AS tick FROM events) ON next_at <= tick AND next_at > tick - INTERVAL 1 DAY")
+def j9_newly_due(t):
+    schedule = t.customer.selectExpr("c_custkey AS id", "c_custkey % 3 <> 0 AS enabled", "false AS paused", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(17 * (c_custkey % 5000) AS INT)) AS next_at")
+    return J.due_tick(t.events.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at")).distinct(), schedule, "1 day")
+
+
 @query("SELECT date_trunc('day', ts + INTERVAL 7 HOUR) - INTERVAL 7 HOUR AS start, count(*) AS n FROM events GROUP BY 1")
 def j10_activity_windows(t):
     return J.activity_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")))

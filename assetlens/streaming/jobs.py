@@ -293,45 +293,160 @@ def status_totals(latest: DataFrame) -> DataFrame:
     return latest.groupingSets([["status"], ["status", "creator"]], "status", "creator").agg(F.count(F.lit(1)).alias("n"))
 
 
-def live_status_counts(events: DataFrame, state_path: str, sink, checkpoint: str):
-    """Starts a stream that keeps the latest status of every job as a table and gives ``sink`` the totals of each batch.
+_LATEST = "at timestamp, id long, status string, creator long"
 
-    The table is written anew under the batch's number, so a repeated batch starts from the same state.
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """A stream of retractions: for each job whose latest status or creator changes, the old one with -1 and the new one with +1.
+
+    The latest row is the one of greatest (at, id), so the order of arrival doesn't matter; only this row of a job is kept as state.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        known = batch.select("job_id", "id", "status", "creator", "at")
-        if number:
-            known = known.unionByName(batch.sparkSession.read.parquet(f"{state_path}/{number - 1}"))
-        latest_status(known).write.mode("overwrite").parquet(f"{state_path}/{number}")
-        sink(status_totals(batch.sparkSession.read.parquet(f"{state_path}/{number}")), number)
+    def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
+        known = before = tuple(state.get) if state.exists else None
+        for pdf in frames:
+            top = pdf.sort_values(["at", "id"]).iloc[-1]
+            if known is None or (_micros(top["at"]), top["id"]) > (_micros(known[0]), known[1]):
+                known = (top["at"].to_pydatetime(), int(top["id"]), top["status"], None if pd.isna(top["creator"]) else int(top["creator"]))
+        if known != before:
+            state.update(known)
+        out = [] if before and known[2:] == before[2:] else [(*known[2:], 1)] + ([(*before[2:], -1)] if before else [])
+        yield pd.DataFrame(out, columns=["status", "creator", "n"])
+
+    rows = events.select("job_id", F.col("at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id"), "status", F.col("creator").cast("long").alias("creator"))
+    return rows.groupBy("job_id").applyInPandasWithState(step, "status string, creator long, n long", _LATEST, "append", GroupStateTimeout.NoTimeout)
+
+
+def live_status_counts(events: DataFrame, changes_path: str, sink, checkpoint: str):
+    """Starts a stream that writes the changes of the totals of each batch (by status, and by status and creator) and gives them to ``sink``.
+
+    What is written is a row for each total that the batch changes, in a folder of the batch's number, so a repeated batch replaces
+    itself.  ``status_totals_of`` adds them up.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        path = f"{changes_path}/batch={number}"
+        batch.groupingSets([["status"], ["status", "creator"]], "status", "creator").agg(F.sum("n").alias("n"), F.grouping("creator").cast("boolean").alias("overall")).filter("n <> 0").write.mode("overwrite").parquet(path)
+        sink(batch.sparkSession.read.schema(_CHANGES).parquet(path), number)
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return status_changes(events).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_CHANGES = "status string, creator long, n long, overall boolean"
+
+
+def status_totals_of(spark, changes_path: str) -> DataFrame:
+    """The totals as of now: (status, creator, n), as ``status_totals`` gives them."""
+    changes = spark.read.schema(_CHANGES).option("recursiveFileLookup", True).parquet(changes_path)
+    return changes.groupBy("status", "creator", "overall").agg(F.sum("n").alias("n")).filter("n <> 0").drop("overall")
 
 
 # --- J8: reference data
 
 
-def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping: dict[str, str], order: str, checkpoint: str, report, parents: DataFrame | None = None, link: tuple[str, str, str] | None = None):
-    """Starts a stream that upserts each micro-batch into the table at ``target_path/<number>`` and reports (number, rows read, rows after, status text).
+class SyncedTable:
+    """A table in ``buckets`` buckets by code, with a manifest for each version: which folder holds each bucket, and its rows.
+
+    A version writes the buckets that it touches and then its manifest, whose commit makes it the current one; a version that was
+    cut short is written anew.  Files that neither the current nor the previous version names are deleted; a reader of an older one
+    must read again.
+    """
 
-    ``link`` (column, own key, parent's key) fills that column of rows without it from ``parents``.  A batch that fails is reported with
-    the start of its error and ends the stream, which takes it up again when started anew.
+    def __init__(self, spark, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _folder(self, name: str):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, ascending."""
+        fs, path = self._folder("manifest")
+        found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(p.getName()) for p in found if self._folder(f"manifest/{p.getName()}/_SUCCESS")[0].exists(self._folder(f"manifest/{p.getName()}/_SUCCESS")[1]))
+
+    def manifest(self, version: int) -> dict[int, tuple[str, int]]:
+        """Folder and rows of each bucket that has rows; ``buckets`` entries at most."""
+        return {r["bucket"]: (r["folder"], r["n"]) for r in self.spark.read.parquet(f"{self.path}/manifest/{version}").collect()}
+
+    @property
+    def schema(self) -> T.StructType:
+        """Column names and types, from the file beside the first manifest."""
+        return T.StructType.fromDDL(self.spark.read.text(f"{self.path}/schema").first()[0])
+
+    def bucket(self, code: str = "code") -> Column:
+        return F.pmod(F.xxhash64(code), F.lit(self.buckets)).cast("int")
+
+    def create(self, rows: DataFrame) -> None:
+        """Version 0; a column ``code`` names the rows."""
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        self.spark.createDataFrame([(ddl,)], "ddl string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
+        self.write(rows, 0, {}, range(self.buckets))
+
+    def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """Rows of the current version, or of the buckets ``only``."""
+        version = self.versions()[-1] if version is None else version
+        folders = [folder for b, (folder, _) in self.manifest(version).items() if only is None or b in only]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{x}" for x in folders))
+
+    def write(self, rows: DataFrame, version: int, before: dict[int, tuple[str, int]], touched) -> int:
+        """``rows`` of the ``touched`` buckets become version ``version``; returns the rows of the whole table."""
+        data = f"data/{version}"
+        rows.withColumn("_bucket", self.bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{data}")
+        fs, path = self._folder(data)
+        there = [f.getPath().getName() for f in fs.listStatus(path)]
+        there = [int(x.partition("=")[2]) for x in there if x.startswith("_bucket=")]
+        counts = dict.fromkeys(there, 0)
+        if there:
+            written = self.spark.read.parquet(f"{self.path}/{data}").groupBy("_bucket").count()
+            counts = dict(map(tuple, written.collect()))  # a row for each bucket
+        now = {b: x for b, x in before.items() if b not in set(touched)} | {b: (f"{data}/_bucket={b}", n) for b, n in counts.items()}
+        entries = self.spark.createDataFrame([(b, *x) for b, x in sorted(now.items())], "bucket int, folder string, n long")
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version}")
+        return sum(n for _, n in now.values())
+
+    def expire(self) -> None:
+        """Deletes manifests before the previous one, and the files that only these name."""
+        *old, previous, current = [-1, *self.versions()] if len(self.versions()) < 2 else self.versions()
+        kept = {folder for v in (previous, current) if v >= 0 for folder, _ in self.manifest(v).values()}
+        for version in (v for v in old if v >= 0):
+            for folder, _ in self.manifest(version).values():
+                if folder not in kept:
+                    fs, path = self._folder(folder)
+                    fs.delete(path, True)
+            fs, path = self._folder(f"manifest/{version}")
+            fs.delete(path, True)
+
+
+def sync_stream(batches: DataFrame, target: SyncedTable, codes: list[str], mapping: dict[str, str], order: str, checkpoint: str, report, parents: DataFrame | None = None, link: tuple[str, str, str] | None = None):
+    """Starts a stream that upserts each micro-batch into the table and reports (number, rows read, rows after, status text).
+
+    Only the buckets of the batch's codes are read and written.  ``link`` (column, own key, parent's key) fills that column of rows
+    without it from ``parents``.  A batch that fails is reported with the start of its error and ends the stream; started anew, the stream
+    takes it up again from the last complete version.
     """
     from ..operators.joins import link_orphans
-    from ..operators.versions import upsert_by_code
+    from ..operators.versions import code_of, upsert_by_code
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, f"{target_path}/{number + 1}"
+        batch = batch.persist()
         try:
-            rows = upsert_by_code(spark.read.parquet(f"{target_path}/{number}"), batch, codes, mapping, order)
+            before = target.manifest(number)
+            touched = [r[0] for r in batch.select(code_of(codes).alias("code")).filter("code is not null").select(target.bucket()).distinct().collect()]
+            rows = upsert_by_code(target.read(number, touched), batch, codes, mapping, order)
             if parents is not None and link is not None:
                 rows = link_orphans(rows, parents, *link).select(rows.columns)
-            rows.write.mode("overwrite").parquet(new)
-            read, after = batch.count(), spark.read.parquet(new).count()
+            after = target.write(rows.select(target.schema.names), number + 1, before, touched)
+            target.expire()
+            read = batch.count()
         except Exception as error:
             report(number, 0, 0, f"FAILED: {str(error)[:50]}")
             raise
+        finally:
+            batch.unpersist()
         report(number, read, after, f"SUCCESS: {read} rows read, {after} rows known")
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -340,10 +455,28 @@ def sync_stream(batches: DataFrame, target_path: str, codes: list[str], mapping:
 # --- J9: ticks
 
 
-def due_tick(ticks: DataFrame, schedule: DataFrame) -> DataFrame:
-    """(tick, id) of the devices due at each tick of a stream or table (``at``)."""
-    due = schedule.filter("enabled AND NOT coalesce(paused, false)").select("id", "next_at")
-    return ticks.select(F.col("at").alias("tick")).join(due, F.col("next_at") <= F.col("tick")).select("tick", "id")
+def _hour(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at) / 3600)
+
+
+def due_tick(ticks: DataFrame, schedule: DataFrame, every: str | None = None) -> DataFrame:
+    """(tick, id) of the devices due at each tick (``at``) of a stream or table, by a calendar of hours.
+
+    Devices stand at the hour of their next time; a tick looks up hours and compares the times within.  With ``every``, the time from one
+    tick to the next, a device is told at the first tick at or after its next time alone, and a tick looks up the hours of that span; a
+    stream always does so (``1 minute`` unless stated).  Without it a tick tells all devices that are due, from the calendar's first hour.
+    """
+    due = schedule.filter("enabled AND NOT coalesce(paused, false)").select("id", "next_at", _hour(F.col("next_at")).alias("_hour"))
+    every = "1 minute" if every is None and ticks.isStreaming else every
+    rows = ticks.select(F.col("at").alias("tick"))
+    if every is None:
+        first = due.agg(F.min("_hour")).first()[0]
+        rows, since = rows.filter(_hour(F.col("tick")) >= F.lit(first)), F.lit(True)
+        hours = F.sequence(F.lit(first), _hour(F.col("tick")))
+    else:
+        before = F.col("tick") - F.expr(f"INTERVAL {every}")
+        hours, since = F.sequence(_hour(before), _hour(F.col("tick"))), F.col("next_at") > before
+    return rows.withColumn("_hour", F.explode(hours)).join(due, "_hour").filter((F.col("next_at") <= F.col("tick")) & since).select("tick", "id")
 
 
 def minute_ticks(spark) -> DataFrame:

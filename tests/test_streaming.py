@@ -2,7 +2,6 @@
 
 import random
 import time
-from functools import reduce
 
 import pytest
 from pyspark.sql import Window as W
@@ -134,23 +133,68 @@ def test_live_counts(spark, sf_dir, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = {}
-    J.live_status_counts(stream, str(tmp_path / "state"), lambda d, n: seen.update({n: d.collect()}), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(str, seen[max(seen)])) == sorted(map(str, J.status_totals(J.latest_status(df)).collect()))
+    J.live_status_counts(stream, str(tmp_path / "changes"), lambda d, n: seen.update({n: d.collect()}), str(tmp_path / "cp")).awaitTermination()
+    want = sorted(map(str, J.status_totals(J.latest_status(df)).collect()))
+    assert len(seen) == 3 and sorted(map(str, J.status_totals_of(spark, str(tmp_path / "changes")).collect())) == want
+    assert any(r["n"] < 0 for r in seen[2])
+    # One more job, and rows older than what is known, change that job's totals alone.
+    old = df.withColumn("at", F.col("at") - F.expr("INTERVAL 9 YEARS"))
+    old.unionByName(df.limit(1).withColumn("job_id", F.lit(999).cast("long"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    J.live_status_counts(stream, str(tmp_path / "changes"), lambda d, n: seen.update({n: d.collect()}), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["n"] for r in seen[3]) == [1, 1]
+
+
+def synced(spark, tmp_path, rows, schema, buckets=4):
+    table = J.SyncedTable(spark, str(tmp_path / "t"), buckets)
+    table.create(spark.createDataFrame(rows, schema))
+    return table
 
 
 def test_sync_stream(spark, tmp_path):
-    target = spark.createDataFrame([("a", "old", 1)], "code string, name string, extra int")
-    target.write.parquet(str(tmp_path / "t" / "0"))
+    table = synced(spark, tmp_path, [("a", "old", 1)], "code string, name string, extra int")
     batch = spark.createDataFrame([(1, "a", "new"), (2, "b", "more")], "place int, c string, title string")
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     told = []
-    J.sync_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), ["c"], {"name": "title"}, "place", str(tmp_path / "cp"), lambda *x: told.append(x)).awaitTermination()
+    J.sync_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), table, ["c"], {"name": "title"}, "place", str(tmp_path / "cp"), lambda *x: told.append(x)).awaitTermination()
     assert told == [(0, 2, 2, "SUCCESS: 2 rows read, 2 rows known")]
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "1")).select("code", "name", "extra").collect()) == [("a", "new", 1), ("b", "more", None)]
+    assert sorted(tuple(r) for r in table.read().select("code", "name", "extra").collect()) == [("a", "new", 1), ("b", "more", None)]
+
+
+def test_sync_writes_touched_buckets_and_expires_old_ones(spark, tmp_path):
+    table = synced(spark, tmp_path, [(f"c{k}", "old") for k in range(40)], "code string, name string", buckets=8)
+    first = table.manifest(0)
+    schema = "place int, c string, title string"
+    for k in range(4):
+        spark.createDataFrame([(1, "c3", f"new {k}"), (2, "c3", f"newer {k}"), (3, "", "nobody")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+        J.sync_stream(stream, table, ["c"], {"name": "title"}, "place", str(tmp_path / "cp"), lambda *_: None).awaitTermination()
+    assert table.versions() == [3, 4]
+    now = table.manifest(4)
+    assert sum(now[b] != first[b] for b in first) == 1 and sum(n for _, n in now.values()) == 40
+    names = {r["code"]: r["name"] for r in table.read().collect()}
+    assert names.pop("c3") == "newer 3" and set(names.values()) == {"old"} and len(names) == 39
+    kept = {p.parent.relative_to(tmp_path / "t").as_posix() for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    assert kept == {folder for v in (3, 4) for folder, _ in table.manifest(v).values()}
+
+
+@pytest.mark.parametrize("where", ["data", "manifest"])
+def test_sync_killed_and_started_anew(spark, tmp_path, monkeypatch, where):
+    table = synced(spark, tmp_path, [(f"c{k}", "old") for k in range(10)], "code string, name string")
+    spark.createDataFrame([(1, "c3", "new"), (2, "c11", "more")], "place int, c string, title string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("place int, c string, title string").parquet(str(tmp_path / "in"))
+    start = lambda: J.sync_stream(stream, table, ["c"], {"name": "title"}, "place", str(tmp_path / "cp"), lambda *_: None).awaitTermination()
+    with monkeypatch.context() as m:  # the driver goes after the files are written, or before any is
+        frame = type(spark.range(0))
+        m.setattr(frame, "coalesce" if where == "manifest" else "repartition", lambda *_: 1 / 0)
+        with pytest.raises(Exception):
+            start()
+    assert {r["name"] for r in table.read().collect()} == {"old"} and table.versions() == [0]
+    start()
+    assert sorted(r["name"] for r in table.read().collect()) == ["more", "new"] + ["old"] * 9 and table.versions() == [0, 1]
 
 
 def test_sync_stream_links_and_reports_failures(spark, tmp_path):
-    spark.createDataFrame([("a", "old", None, 7), ("z", "far", None, None)], "code string, site string, site_id long, extra int").write.parquet(str(tmp_path / "t" / "0"))
+    table = synced(spark, tmp_path, [("a", "old", None, 7), ("z", "far", None, None)], "code string, site string, site_id long, extra int")
     parents = spark.createDataFrame([(1, "S1"), (2, "S1"), (3, " ")], "id long, code string")
     batch = spark.createDataFrame([(1, "a", "S1"), (2, "b", " ")], "place int, c string, s string")
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -158,12 +202,12 @@ def test_sync_stream_links_and_reports_failures(spark, tmp_path):
 
     def run(target):
         stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-        J.sync_stream(stream, str(target), ["c"], {"site": "s"}, "place", str(target) + "-cp", lambda *x: told.append(x), parents, ("site_id", "site", "code")).awaitTermination()
+        J.sync_stream(stream, target, ["c"], {"site": "s"}, "place", f"{target.path}-cp", lambda *x: told.append(x), parents, ("site_id", "site", "code")).awaitTermination()
 
-    run(tmp_path / "t")
-    assert sorted((r["code"], r["site_id"]) for r in spark.read.parquet(str(tmp_path / "t" / "1")).collect()) == [("a", 1), ("b", None), ("z", None)]
+    run(table)
+    assert sorted((r["code"], r["site_id"]) for r in table.read().collect()) == [("a", 1), ("b", None), ("z", None)]
     with pytest.raises(Exception):
-        run(tmp_path / "absent")
+        run(J.SyncedTable(spark, str(tmp_path / "absent")))
     assert told[0][3].startswith("SUCCESS: 2 rows") and told[1][3].startswith("FAILED: ") and len(told[1][3]) <= 58
 
 
@@ -173,8 +217,22 @@ def test_activity(spark, sf_dir, tmp_path):
     assert last == {r["start"]: r["n"] for r in J.activity_stream(df).collect()}
 
 
+def due_cases(spark):
+    schedule = spark.createDataFrame([(1, True, False, 5), (2, True, True, 5), (3, True, False, 50), (4, True, None, 61), (5, False, False, 1), (6, True, False, None)], "id long, enabled boolean, paused boolean, m int").withColumn("next_at", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)"))
+    return schedule, lambda *minutes: spark.createDataFrame([(m,) for m in minutes], "m int").select(F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)").alias("at"))
+
+
 def test_due_tick(spark):
-    schedule = spark.createDataFrame([(1, True, False, 5), (2, True, True, 5), (3, True, False, 50)], "id long, enabled boolean, paused boolean, m int").withColumn("next_at", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)"))
-    ticks = reduce(lambda a, b: a.unionAll(b), (spark.range(1).select(F.expr(f"timestamp'2024-01-01 00:{m}:00'").alias("at")) for m in ("01", "10", "59")))
-    assert sorted((r["tick"].minute, r["id"]) for r in J.due_tick(ticks, schedule).collect()) == [(10, 1), (59, 1), (59, 3)]
-    assert J.minute_ticks(spark).isStreaming
+    schedule, ticks = due_cases(spark)
+    told = lambda df: sorted((r["tick"].hour * 60 + r["tick"].minute, r["id"]) for r in df.collect())
+    assert told(J.due_tick(ticks(1, 10, 59), schedule)) == [(10, 1), (59, 1), (59, 3)]
+    assert told(J.due_tick(ticks(0, 30, 60, 90, 120), schedule, "30 minutes")) == [(30, 1), (60, 3), (90, 4)]
+    assert told(J.due_tick(ticks(1), schedule.filter("false"))) == []
+    plan = J.due_tick(ticks(1, 10), schedule)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and J.minute_ticks(spark).isStreaming
+
+
+def test_ticks_of_a_stream_tell_each_device_once(spark, tmp_path):
+    schedule, ticks = due_cases(spark)
+    got = streamed(spark, ticks(*range(70)), tmp_path, lambda t: J.due_tick(t, schedule), "at")
+    assert sorted((r["tick"].hour * 60 + r["tick"].minute, r["id"]) for r in got) == [(5, 1), (50, 3), (61, 4)]

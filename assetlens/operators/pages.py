@@ -48,13 +48,13 @@ def _label(c: Column) -> Column:
     return F.when((t != "") & ~t.rlike(r"^\d+$") & ~t.rlike(TICKET), t)
 
 
-def detect_page_reference(blocks: DataFrame, page_width: float | None = None, page_height: float | None = None) -> DataFrame:
+def detect_page_reference(blocks: DataFrame, page_width: float | None = None, page_height: float | None = None, with_block: bool = False) -> DataFrame:
     """Page, total, label and score of the best ``x/y`` in each page's header, else of a lone number near the ticket number (no total);
     pages without either are absent.
 
     A reference stands in the right half and, on a page with a ticket number in the header, close below or beside it.  The score adds
     the confidence, a label (the text before it, or the nearest block to its left), the ticket, the place to the right and nearness to
-    the top.  Without a page height a wide, low page counts as a crop of the header.
+    the top.  Without a page height a wide, low page counts as a crop of the header.  ``with_block`` adds its block.
     """
     page, g = W.partitionBy(*PAGE), REFERENCE_WEIGHTS
     width = F.lit(page_width) if page_width is not None else F.max("x2").over(page)
@@ -84,8 +84,15 @@ def detect_page_reference(blocks: DataFrame, page_width: float | None = None, pa
     left = rows.join(labels, PAGE).filter(beside).groupBy(*PAGE, "block_id", "_k", F.col("total_pages").isNull().alias("_lone")).agg(F.min_by("_left", F.struct(F.abs(gap), "_other")).alias("_left"))
     told = rows.withColumn("_lone", F.col("total_pages").isNull()).join(left, [*PAGE, "block_id", "_k", "_lone"], "left").withColumn("label", F.coalesce("_inline", "_left"))
     told = told.withColumn("score", F.col("_base") + g["label"] * F.col("label").isNotNull().cast("int"))
-    best = told.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages", "label", "score"), F.struct(~F.col("_lone"), F.round("score", 6), -F.col("block_id"), -F.col("_k"))).alias("m"))
-    return best.select(*PAGE, "m.current_page", "m.total_pages", "m.label", F.round("m.score", 4).alias("score"))
+    best = told.groupBy(*PAGE).agg(F.max_by(F.struct("current_page", "total_pages", "label", "score", "block_id"), F.struct(~F.col("_lone"), F.round("score", 6), -F.col("block_id"), -F.col("_k"))).alias("m"))
+    block = ["m.block_id"] if with_block else []
+    return best.select(*PAGE, "m.current_page", "m.total_pages", "m.label", F.round("m.score", 4).alias("score"), *block)
+
+
+def mark_page_numbers(blocks: DataFrame, page_width: float | None = None, page_height: float | None = None) -> DataFrame:
+    """Blocks with ``is_page_number``: whether the page's reference stands in them."""
+    found = detect_page_reference(blocks, page_width, page_height, with_block=True).select(*PAGE, "block_id", F.lit(True).alias("_is"))
+    return blocks.join(found, [*PAGE, "block_id"], "left").withColumn("is_page_number", F.coalesce("_is", F.lit(False))).drop("_is")
 
 
 #: Phrases of a cover page in folded text, with their weights (fixed values).

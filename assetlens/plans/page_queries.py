@@ -92,6 +92,22 @@ def i8_reconstruct_page(t):
     return L.records(L.reconstruct_page(t.blocks))
 
 
+def _grids(t):
+    """A grid on every second page: four columns, and a line every 40 units below the first 100."""
+    pages = t.blocks.filter("page_number % 2 = 1").select("document_id", "page_number").distinct()
+    return pages.selectExpr("*", "1 AS region", "array(0D, 120D, 320D, 560D, 900D) AS across", "transform(sequence(100, 700, 40), y -> CAST(y AS DOUBLE)) AS down")
+
+
+@query()
+def i8_gridded_pages(t):
+    return L.reconstruct_page(P.mark_page_numbers(t.blocks), _grids(t)).drop("crossing").withColumn("cells", F.to_json("cells"))
+
+
+@query()
+def i8_document_layouts(t):
+    return L.document_layouts(L.page_layouts(t.blocks, _grids(t))).withColumn("families", F.to_json("families"))
+
+
 @query()
 def i9_code_records(t):
     coded = F.when(F.col("block_id") % 3 == 0, F.concat(F.col("block_id") + 100, F.lit(".1 "), F.col("text"))).otherwise(F.col("text"))

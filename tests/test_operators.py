@@ -320,3 +320,90 @@ def test_csv_and_sinks(spark, tmp_path):
     (tmp_path / "files" / "sub" / "x.json").write_bytes(b"{}")
     row = A.content_manifest(spark, str(tmp_path / "files")).first()
     assert (row["path"], row["size"], row["media_type"]) == ("sub/x.json", 2, "application/json") and len(row["sha256"]) == 64
+
+
+def page_of(spark, boxes):
+    """boxes: (text, x1, y1) of 70 by 18, or (text, x1, y1, x2, y2)."""
+    rows = [(1, 1, k, b[0], *map(float, b[1:] if len(b) == 5 else (b[1], b[2], b[1] + 70, b[2] + 18))) for k, b in enumerate(boxes)]
+    return spark.createDataFrame(rows, PAGE_BLOCKS)
+
+
+def grid_of(spark, across, down):
+    return spark.createDataFrame([(1, 1, 1, [float(x) for x in across], [float(y) for y in down])], "document_id long, page_number int, region int, across array<double>, down array<double>")
+
+
+FOUR = (80, 180, 350, 650, 900)
+
+
+def read_records(spark, boxes, grid=None):
+    rows = L.reconstruct_page(page_of(spark, boxes), grid).orderBy("row_id").collect()
+    records = L.records(L.reconstruct_page(page_of(spark, boxes), grid)).collect()
+    out = {}
+    for r in records:
+        out.setdefault(r["record_id"], {})[r["role"]] = r["text"]
+    return [r["row_type"] for r in rows], [out[k] for k in sorted(out)]
+
+
+def line_of(y, *cells):
+    return [(text, x, y) for text, x in cells if text]
+
+
+def test_three_columns_without_grid(spark):
+    kinds, found = read_records(spark, line_of(100, ("Code", 100), ("Parameter", 300), ("Value", 700)) + line_of(140, ("09.0A", 100), ("Setting Group 4", 300), ("Disabled", 700)))
+    assert found[-1] == {"parameter_code": "09.0A", "parameter_name": "Setting Group 4", "value": "Disabled"}
+    kinds, found = read_records(spark, line_of(100, ("0103", 100), ("Parameter one", 300), ("Enabled", 700)) + line_of(140, ("0104", 100), ("Parameter two", 300), ("Disabled", 700)))
+    assert kinds == ["record", "record"] and found[1]["parameter_code"] == "0104"
+
+
+def test_headings_of_a_grid_by_its_lines(spark):
+    heads = line_of(100, ("Group/Attributes", 160), ("Value Set", 514), ("Unit", 694), ("Description", 788))
+    data = line_of(140, ("AI1_Ch1_Ratio", 160), ("1100", 514), ("-", 694), ("For AC analog input ch#1", 788))
+    grid = grid_of(spark, (156, 510, 691, 783, 1462), (90, 120, 160))
+    kinds, found = read_records(spark, heads + data, grid)
+    assert kinds == ["table_header", "record"]
+    assert found == [{"parameter_name": "AI1_Ch1_Ratio", "value": "1100", "unit": "-", "description": "For AC analog input ch#1"}]
+    layout = L.page_layouts(page_of(spark, heads + data), grid).first()
+    assert layout["region_roles"] == {"1": "parameter_name,value,unit,description"} and layout["family"] == "bon_cot_can_chinh"
+    assert (layout["n_rows"], layout["n_columns"], layout["n_regions"], layout["n_groups"], layout["n_records"], layout["n_blocks"]) == (2, 4, 1, 0, 1, 8)
+
+
+def test_merged_heading_keeps_the_usual_roles(spark):
+    boxes = line_of(100, ("Index Item", 100), ("Description", 400), ("Setting", 800)) + line_of(140, ("2", 100), ("21D", 220), ("Distance protection", 400), ("Enable", 800))
+    layout = L.page_layouts(page_of(spark, boxes), grid_of(spark, FOUR, (90, 120, 160))).first()
+    assert layout["region_roles"] == {"1": "record_key,parameter_name,description,value"}
+
+
+def test_two_columns_of_values_are_one_field(spark):
+    boxes = [b for k, (x, v) in enumerate(((500, "Disabled"), (800, "Definite Time only"), (500, "Enabled"), (800, "50 Hz"))) for b in line_of(100 + 30 * k, (f"010{3 + k}", 100), (f"Parameter {k}", 300), (v, x))]
+    _, found = read_records(spark, boxes)
+    assert [r["value"] for r in found] == ["Disabled", "Definite Time only", "Enabled", "50 Hz"] and all("description" not in r for r in found)
+
+
+def test_bands_of_a_grid_part_tall_boxes(spark):
+    boxes = [("12", 100, 125, 160, 158), ("50/51P1", 210, 123, 330, 146), ("Enable stage 1", 380, 123, 620, 146), ("Enable", 700, 123, 820, 146), ("13", 100, 145, 160, 180), ("50/51P2", 210, 163, 330, 184), ("Enable stage 2", 380, 163, 620, 184), ("Disable", 700, 163, 820, 184)]
+    _, found = read_records(spark, boxes, grid_of(spark, FOUR, (120, 160, 200)))
+    assert [r["record_key"] for r in found] == ["12", "13"]
+    crossing = {r["row_id"]: r["crossing"] for r in L.reconstruct_page(page_of(spark, [*boxes, ("wide", 100, 205, 400, 220)]), grid_of(spark, FOUR, (120, 160, 200, 240))).collect()}
+    assert crossing == {0: [], 1: [4], 2: [8]}
+
+
+def test_rows_that_go_on_and_rows_that_do_not(spark):
+    kinds, found = read_records(spark, line_of(100, ("0103", 100), ("Parameter one", 300), ("Enabled", 700)) + line_of(130, ("", 0), ("Parameter two", 300), ("Disabled", 700)))
+    assert kinds == ["record", "record"] and found[1]["parameter_name"] == "Parameter two"
+    kinds, found = read_records(spark, line_of(100, ("0103", 100), ("Long parameter", 300), ("Enabled", 700)) + line_of(130, ("0104", 100), ("Second parameter", 300), ("Disabled", 700)) + line_of(160, ("continued description", 300)))
+    assert kinds == ["record", "record", "continuation"] and found[1]["parameter_name"] == "Second parameter continued description"
+
+
+def test_groups_metadata_and_page_numbers(spark):
+    boxes = line_of(20, ("Số phiếu", 100), ("A1", 300)) + line_of(60, ("GENERAL", 100)) + line_of(100, ("0103", 100), ("One", 300), ("On", 700)) + line_of(140, ("LINE", 100)) + line_of(180, ("0104", 100), ("Two", 300), ("Off", 700)) + line_of(220, ("7", 700))
+    df = page_of(spark, boxes).withColumn("is_page_number", F.col("block_id") == 10)
+    rows = L.reconstruct_page(df).orderBy("row_id").collect()
+    assert [(r["row_type"], r["group_id"]) for r in rows] == [("document_metadata", 0), ("group", 1), ("record", 1), ("group", 2), ("record", 2), ("document_metadata", 2)]
+    layouts = L.page_layouts(df)
+    assert layouts.first()["groups"] == ["GENERAL", "LINE"] and layouts.first()["family"] == "ba_cot_can_chinh"
+    assert L.document_layouts(layouts.unionByName(layouts.withColumn("page_number", F.lit(2)))).first().asDict() == {"document_id": 1, "pages": 2, "records": 4, "families": {"ba_cot_can_chinh": 2}}
+
+
+def test_page_number_blocks_are_marked(spark):
+    df = page_of(spark, [("Page", 600, 80, 690, 100), ("1/7", 700, 80, 760, 100), ("text", 100, 900, 300, 920), ("1/9", 100, 80, 160, 100)])
+    assert [r["block_id"] for r in P.mark_page_numbers(df, 1000.0, 1400.0).filter("is_page_number").collect()] == [1]

@@ -142,6 +142,19 @@ def i13_cover_fields(t):
     return L.cover_fields(t.blocks, slots)
 
 
+@query()
+def i13_ruled_cover_fields(t):
+    slots = {(k, side): f"{side}_{k}" for k in range(7) for side in L.LABEL_SHARE}
+    return L.cover_fields(t.blocks, slots, grids=_grids(t))
+
+
+@query()
+def i14_fields_and_versions(t):
+    labels = {"device": ["the", "die", "la"], "program": ["of", "der", "de"], "device_version": ["and", "und", "et"], "program_version": ["and", "und", "et"]}
+    blocks = t.blocks.withColumn("text", F.regexp_replace("text", r"\b(the|of|and|die|der|und|la|de|et)\b", "$1:"))
+    return L.labelled_fields(blocks, labels, ("program",), {"device_version": "device", "program_version": "program"}, grids=_grids(t))
+
+
 @query()
 def i14_labelled_fields(t):
     return L.labelled_fields(t.blocks, {"station": ["the", "die"], "purpose": ["of", "de la"], "ticket": ["and the"]}, ("ticket",))

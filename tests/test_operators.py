@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def test_cover_and_labelled_fields(spark):
     assert got == {"a": "v0", "b": "free text", "c": "v6"}
     rows = [("Station", 10, 10), ("E5.8", 200, 10), ("Purpose: test", 10, 40), ("Ticket", 10, 70), ("A1-29", 10, 95)]
     got = {r["field"]: (r["value"], r["warning"]) for r in L.labelled_fields(blocks(spark, rows), {"station": ["Station"], "purpose": ["Purpose"], "ticket": ["Ticket"], "model": ["Model"]}, ("model",)).collect()}
-    assert got == {"station": ("E5.8", None), "purpose": ("test", None), "ticket": ("A1-29", None), "model": (None, "model_missing")}
+    assert got == {"station": ("E5.8", None), "purpose": ("test", None), "ticket": ("A1-29", None), "model": (None, "missing_required_field:model")}
 
 
 def test_label_over_two_lines(spark):
@@ -407,3 +408,82 @@ def test_groups_metadata_and_page_numbers(spark):
 def test_page_number_blocks_are_marked(spark):
     df = page_of(spark, [("Page", 600, 80, 690, 100), ("1/7", 700, 80, 760, 100), ("text", 100, 900, 300, 920), ("1/9", 100, 80, 160, 100)])
     assert [r["block_id"] for r in P.mark_page_numbers(df, 1000.0, 1400.0).filter("is_page_number").collect()] == [1]
+
+
+def test_smallest_bands_are_merged():
+    def by_scan(lines, bands):
+        lines = list(lines)
+        while len(lines) - 1 > bands:
+            k = min(range(len(lines) - 1), key=lambda i: lines[i + 1] - lines[i])
+            lines.pop(k or 1)
+        return lines
+
+    r = random.Random(4)
+    for _ in range(200):
+        lines = sorted(r.sample(range(1000), r.randint(3, 30)))
+        bands = r.randint(1, 8)
+        assert L.merged_lines(lines, bands) == by_scan(lines, bands)
+    assert L.merged_lines([0, 100, 103, 200], 2) == [0, 103, 200] and L.merged_lines([0, 4, 100], 1) == [0, 100]
+
+
+COVER = {(0, "left"): "equipment", (0, "right"): "kind", (1, "left"): "breaker", (1, "right_primary"): "relay", (1, "right_secondary"): "version", (6, "right"): "circuit"}
+
+
+def test_cover_table_by_lines(spark):
+    boxes = [
+        ("Thiết bị được bảo vệ:", 10, 120, 200, 145), ("MC 273", 350, 120, 480, 145), ("Loại bảo vệ: so lệch", 510, 120, 740, 145), ("dọc", 760, 120, 800, 145),
+        ("Máy cắt", 10, 220, 100, 245), ("273", 350, 220, 420, 245), ("Tên rơ-le: 7SD", 510, 220, 700, 245), ("Phiên bản", 810, 220, 880, 245), ("V4.8", 930, 220, 990, 245), ("Mạch", 510, 720, 560, 745),
+    ]
+    small = grid_of(spark, (0, 500, 1000), (10, 60, 90)).withColumn("region", F.lit(2))
+    grid = grid_of(spark, (0, 500, 800, 1000), (100, 103, 200, 300, 400, 500, 598, 600, 700, 800)).unionByName(small)
+    got = {r["field"]: (r["slot"], r["label"], r["value"]) for r in L.cover_fields(page_of(spark, boxes), COVER, grids=grid).collect()}
+    assert got == {
+        "equipment": ("cover_row_0:left", "Thiết bị được bảo vệ", "MC 273"), "kind": ("cover_row_0:right", "Loại bảo vệ", "so lệch dọc"), "breaker": ("cover_row_1:left", "Máy cắt", "273"),
+        "relay": ("cover_row_1:right_primary", "Tên rơ-le", "7SD"), "version": ("cover_row_1:right_secondary", "Phiên bản", "V4.8"), "circuit": ("cover_row_6:right", "Mạch", None),
+    }
+    assert L.cover_fields(page_of(spark, boxes), COVER, grids=small).count() == 0
+
+
+def test_slots_of_the_cover_table():
+    assert L.cover_slots([0, 500, 800, 1000]) == {"left": (0, 500), "right": (500, 1000), "right_primary": (500, 800), "right_secondary": (800, 1000)}
+    assert L.cover_slots([0, 100, 1000])["right_primary"] == (500, 810)  # neither a middle nor a second line
+    assert L.cover_slots([0, 600, 820, 840, 1000])["right_secondary"] == (830, 1000)
+
+
+FIELDS = {"relay": ["Tên rơ-le"], "software": ["Phần mềm"], "relay_version": ["Phiên bản"], "software_version": ["Phiên bản"], "breaker": ["Máy cắt"], "ratio": ["Tỷ số/ chỉ danh biến dòng điện"], "maker": ["Hãng sản xuất", "Nhà sản xuất"], "purpose": ["Mục đích ban hành phiếu chỉnh định"], "station": ["Trạm"]}
+VERSIONS = {"relay_version": "relay", "software_version": "software"}
+
+
+def fields_of(spark, boxes, grid=None, **more):
+    return {r["field"]: r["value"] for r in L.labelled_fields(page_of(spark, boxes), FIELDS, versions=VERSIONS, grids=grid, **more).collect()}
+
+
+def test_versions_belong_to_the_thing_beside(spark):
+    boxes = [("Tên rơ-le:", 520, 120, 640, 145), ("PCS-902 Phiên bản: V2.1", 650, 120, 940, 145), ("Phần mềm:", 520, 200, 640, 225), ("PCSExplorer Phiên bản: V3.4", 650, 200, 950, 225)]
+    want = {"relay": "PCS-902", "relay_version": "V2.1", "software": "PCSExplorer", "software_version": "V3.4"}
+    assert fields_of(spark, boxes, grid_of(spark, (0, 500, 1000), (100, 180, 260))) == want == fields_of(spark, boxes)
+    assert fields_of(spark, boxes[:3]) == {"relay": "PCS-902", "relay_version": "V2.1"}  # the version is too far from the software
+
+
+def test_labels_over_two_lines_and_equal_wordings(spark):
+    boxes = [("Tỷ số/ chỉ danh biến", 10, 115, 210, 140), ("dòng điện:", 10, 140, 120, 165), ("1500/5A (TI272)", 250, 120, 430, 150), ("Nhà sản xuất: AREVA", 520, 220, 820, 250)]
+    assert fields_of(spark, boxes, grid_of(spark, (0, 500, 1000), (100, 200, 300))) == {"ratio": "1500/5A (TI272)", "maker": "AREVA"}
+
+
+def test_values_go_down_to_a_rule_or_the_next_label(spark):
+    boxes = [("Mục đích ban hành phiếu chỉnh định:", 100, 500, 500, 525), ("Cải tạo", 550, 500, 800, 525), ("nhánh 220kV", 550, 530, 800, 555), ("Trạm: E5.8", 100, 600, 300, 625)]
+    assert fields_of(spark, boxes) == {"purpose": "Cải tạo nhánh 220kV", "station": "E5.8"}
+    rule = grid_of(spark, (90, 900), (528,))
+    assert fields_of(spark, boxes, rule) == {"purpose": "Cải tạo", "station": "E5.8"}
+    aside = grid_of(spark, (900, 990), (528,))  # a rule elsewhere on the page
+    assert fields_of(spark, boxes, aside)["purpose"] == "Cải tạo nhánh 220kV"
+
+
+def test_short_labels_in_values_and_repeated_texts(spark):
+    boxes = [("Máy cắt", 10, 100, 100, 125), ("Máy cắt liên lạc 220kV", 150, 100, 400, 125)]
+    assert fields_of(spark, boxes) == {"breaker": "Máy cắt liên lạc 220kV"}
+    assert fields_of(spark, [("MAY CAT 273", 10, 100, 100, 125), ("273", 150, 100, 200, 125), ("273 MC", 250, 100, 300, 125)]) == {"breaker": "273 MC"}
+    got = L.labelled_fields(page_of(spark, [("Trạm:", 10, 10, 60, 30)]), FIELDS, ("station", "maker")).collect()
+    assert sorted((r["field"], r["warning"]) for r in got) == [("maker", "missing_required_field:maker"), ("station", "empty_required_field:station")]
+    boxes = [("Trạm: E", 10, 100, 100, 125), ("220kV Hoành Bồ", 150, 100, 300, 125)]
+    assert fields_of(spark, boxes, least={"station": 5}) == {"station": "220kV Hoành Bồ"}

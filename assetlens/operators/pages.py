@@ -181,12 +181,12 @@ def spatial_evidence(candidates: DataFrame, topology: DataFrame, anchors: DataFr
     """Per candidate: the least score of its region and slot rules, the best anchor's score and id, and a cap on any mismatch.
 
     candidates: candidate_id, field, source_cell, page_width, page_height, x1..y2; topology: field,
-    kind (page_region, cover_slot), expected; anchors: field, relation, anchor_id, ax1..ay2.
+    kind (page_region, cover_slot, source_policy: met by any value), expected; anchors: field, relation, anchor_id, ax1..ay2.
     """
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     cell = F.regexp_extract(F.coalesce("source_cell", F.lit("")), r"(?:^|:)(cover_row_\d+:(?:right_primary|right_secondary|left|right))(?::|$)", 1)
     region = (cx >= F.col("page_width") * 0.5) & (cy <= F.col("page_height") * 0.22)
-    hit = F.when((F.col("kind") == "page_region") & (F.col("expected") == "top_right_header"), region.cast("double")).when((F.col("kind") == "cover_slot") & (cell != ""), (cell == F.col("expected")).cast("double"))
+    hit = F.when((F.col("kind") == "page_region") & (F.col("expected") == "top_right_header"), region.cast("double")).when((F.col("kind") == "cover_slot") & (cell != ""), (cell == F.col("expected")).cast("double")).when(F.col("kind") == "source_policy", 1.0)
     rules = candidates.join(topology, "field").withColumn("_hit", hit).groupBy("candidate_id").agg(F.min("_hit").alias("topology_score"))
     related = relate(candidates.join(anchors, "field"), F.col("relation"))
     best = related.groupBy("candidate_id").agg(F.max("score").alias("anchor_score"), F.max_by("anchor_id", F.when(F.col("matched"), F.struct("score", "anchor_id"))).alias("anchor_id"))

@@ -1,49 +1,117 @@
-"""Field resolution: candidates from text, their evidence and scores, and the decision for each empty field."""
+"""Field resolution: candidates from values and text, their evidence and scores, and the decision for each field."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import layout, pages
+from ..functions.scalars import fold_text
+from . import joins, layout, pages
+from .joins import PAGE
+from .shared import written
 from .versions import rank_candidates
 
+BOX = ["x1", "y1", "x2", "y2"]
+_CANDIDATE = ["candidate_id", *PAGE, "field", "value", "blocks", *BOX, "confidence", "source_cell", "alias", "separator", "existing"]
 
-def resolve_fields(existing: DataFrame, blocks: DataFrame, aliases: list[tuple[str, str]], value_rules: DataFrame, topology: DataFrame, anchors: DataFrame, locked: list[str], page_width: float, page_height: float) -> DataFrame:
-    """(document_id, field, value, status, candidate_id, margin, reasons) of every field of ``existing`` (document_id, field, value).
 
-    A value that is there stays.  Otherwise the candidates are the values after the field's aliases
-    in the document's blocks; a signal of which the field has no rule counts fully.  A field in
-    ``locked`` (its structure decides that it is empty) is only proposed for review.
+def _plain(value: Column) -> Column:
+    """A value as it is compared: letters and digits without accents and case."""
+    return F.trim(F.regexp_replace(fold_text(value), r"[^\p{L}\p{N}]+", " "))
+
+
+def found_candidates(blocks: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """Values after the fields' aliases; where an alias has none in its block, the nearest block without an alias beside or below it."""
+    hits = written(layout.match_aliases(blocks, aliases), "alias-hits").join(blocks.drop("text"), [*PAGE, "block_id"])
+    sure = F.col("recognition_score") if "recognition_score" in blocks.columns else F.lit(1.0)
+    own = F.concat_ws("-", *PAGE, "block_id", "start", "field").alias("candidate_id")
+    told = hits.withColumn("confidence", sure).select(own, *PAGE, "block_id", "field", "value", *BOX, "confidence", F.col("separated").cast("double").alias("separator"))
+    there = told.filter("value <> ''").withColumn("blocks", F.array("block_id"))
+    bare = told.filter("value = ''").drop("value")
+    plain = blocks.join(hits.select(*PAGE, "block_id").distinct(), [*PAGE, "block_id"], "left_anti").filter(F.trim("text") != "")
+    near = joins.adjacent_value(bare.select(*PAGE, "block_id", *BOX).distinct(), plain).select(*PAGE, "block_id", "value_id")
+    beside = plain.withColumn("_sure", sure).select(*PAGE, F.col("block_id").alias("value_id"), F.trim("text").alias("value"), *(F.col(c).alias(f"v_{c}") for c in BOX), "_sure")
+    ends = {**{c: F.least(c, f"v_{c}") for c in ("x1", "y1")}, **{c: F.greatest(c, f"v_{c}") for c in ("x2", "y2")}}
+    adjacent = bare.join(near, [*PAGE, "block_id"]).join(beside, [*PAGE, "value_id"]).withColumns({**ends, "confidence": (F.col("confidence") + F.col("_sure")) / 2, "blocks": F.array("block_id", "value_id")})
+    rows = there.drop("block_id").unionByName(adjacent.drop("block_id", "value_id", "_sure", *(f"v_{c}" for c in BOX)))
+    return rows.withColumns({"source_cell": F.lit(None).cast("string"), "alias": F.lit(1.0), "existing": F.lit(False)}).select(*_CANDIDATE)
+
+
+def existing_candidates(existing: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The values that are there and have a box (page_number, x1, y1, x2, y2); blocks, source_cell, confidence, alias and separator may be told."""
+    block = blocks.schema["block_id"].dataType.simpleString()
+    given = {"blocks": F.array().cast(f"array<{block}>"), "source_cell": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "alias": F.lit(0.0), "separator": F.lit(0.0), **{c: F.lit(None).cast("double") for c in BOX}, "page_number": F.lit(None).cast("int")}
+    rows = existing.withColumns({c: default for c, default in given.items() if c not in existing.columns})
+    rows = rows.withColumns({"candidate_id": F.concat_ws("-", F.lit("existing"), "document_id", "field"), "existing": F.lit(True), "blocks": F.coalesce("blocks", given["blocks"])})
+    return rows.filter("value is not null and x1 is not null and page_number is not null").select(*_CANDIDATE)
+
+
+def distinct_candidates(found: DataFrame, there: DataFrame) -> DataFrame:
+    """Both kinds, without what repeats: a found candidate of the same value goes if an earlier one holds one of its blocks, or one that is
+    there holds one of its blocks or lies over it."""
+    named = found.withColumn("_v", _plain(F.col("value")))
+    held = named.select(*PAGE, "field", "_v", "candidate_id", F.explode("blocks").alias("_b"))
+    at = ["document_id", "page_number", "field", "_v", "_b"]
+    later = held.join(held.groupBy(*at).agg(F.min("candidate_id").alias("_first")), at).filter("candidate_id <> _first").select("candidate_id").distinct()
+    old = there.select("document_id", "field", _plain(F.col("value")).alias("_v"), F.col("page_number").alias("_p"), F.col("blocks").alias("_blocks"), *(F.col(c).alias(f"_{c}") for c in BOX))
+    over = (F.col("page_number") == F.col("_p")) & (F.least("x2", "_x2") > F.greatest("x1", "_x1")) & (F.least("y2", "_y2") > F.greatest("y1", "_y1"))
+    same = named.join(old, ["document_id", "field", "_v"]).filter(over | F.arrays_overlap("blocks", "_blocks")).select("candidate_id").distinct()
+    return named.drop("_v").join(later, "candidate_id", "left_anti").join(same, "candidate_id", "left_anti").unionByName(there)
+
+
+def sibling_evidence(candidates: DataFrame, siblings: DataFrame) -> DataFrame:
+    """(candidate_id, sibling_score, sibling_id): the best relation to a candidate of a sibling field on the page, by rules (field, relation,
+    anchor_field)."""
+    anchors = candidates.select(*PAGE, F.col("field").alias("anchor_field"), F.col("candidate_id").alias("anchor_id"), *(F.col(c).alias(f"a{c}") for c in BOX)).join(siblings, "anchor_field")
+    related = pages.relate(candidates.select(*PAGE, "candidate_id", "field", *BOX).join(anchors, [*PAGE, "field"]), F.col("relation")).filter("matched")
+    return related.groupBy("candidate_id").agg(F.max("score").alias("sibling_score"), F.max_by("anchor_id", F.struct("score", "anchor_id")).alias("sibling_id"))
+
+
+def resolve_fields(
+    existing: DataFrame, blocks: DataFrame, aliases: list[tuple[str, str]], value_rules: DataFrame, topology: DataFrame, anchors: DataFrame, locked: list[str], page_width: float, page_height: float,
+    siblings: DataFrame | None = None, cover: list[str] = [],  # noqa: B006
+) -> DataFrame:
+    """(document_id, field, value, status, candidate_id, margin, reasons, score, anchor_id) of every field of ``existing`` (document_id, field, value).
+
+    A value that is there stays; with a box it is a candidate beside those found, so that its evidence and margin are told too.  A
+    signal of which the field has no rule counts fully.  Anchors are given boxes, or by ``siblings`` the candidates of other fields.  A field
+    in ``locked`` (its structure decides that it is empty) is only proposed for review, and so is one in ``cover`` whose candidate
+    neither stands in the slot expected nor at an anchor.
     """
-    hits = layout.match_aliases(blocks, aliases).filter("value <> ''")
-    placed = hits.join(blocks.drop("text"), ["document_id", "page_number", "block_id"])
-    own = F.concat_ws("-", "document_id", "page_number", "block_id", "start", "field")
-    named = placed.withColumn("candidate_id", own)
-    first = F.min_by(F.struct(*named.columns), F.struct("page_number", "block_id", "start"))  # of equal values the first in the document
-    found = named.groupBy(*(F.col(c).alias(f"_{c}") for c in ("document_id", "field", "value"))).agg(first.alias("_row")).select("_row.*")
-    wanted = existing.filter("value is null").select("document_id", "field")
-    found = found.join(wanted, ["document_id", "field"])
-    spatial = pages.spatial_evidence(found.withColumns({"source_cell": F.lit(None).cast("string"), "page_width": F.lit(page_width), "page_height": F.lit(page_height)}), topology, anchors)
-    values = pages.validate_values(found.select(F.col("candidate_id").alias("value_id"), "field", "value"), value_rules)
-    ruled = lambda df, name: df.select("field").distinct().withColumn(name, F.lit(True))
-    rows = found.join(spatial.drop("field").withColumnRenamed("cap", "_sc"), "candidate_id").join(values.select(F.col("value_id").alias("candidate_id"), F.col("score").alias("_v"), F.col("cap").alias("_vc")), "candidate_id")
-    for df, name in ((topology, "_t"), (anchors, "_a"), (value_rules.filter("active"), "_r")):
-        rows = rows.join(ruled(df, name), "field", "left")
-    signal = lambda name, score: F.when(F.col(name).isNull(), 1.0).otherwise(F.col(score))
-    scored = pages.score_candidates(
+    siblings = siblings if siblings is not None else anchors.sparkSession.createDataFrame([], "field string, relation string, anchor_field string")
+    wanted = existing.select("document_id", "field").distinct()
+    found = written(found_candidates(blocks, aliases), "found-candidates")
+    both = written(distinct_candidates(found, existing_candidates(existing, blocks)).join(wanted, ["document_id", "field"]), "candidates")
+    sized = both.withColumns({"page_width": F.lit(page_width), "page_height": F.lit(page_height)})
+    spatial = pages.spatial_evidence(sized, topology, anchors).select("candidate_id", "topology_score", "anchor_score", F.col("anchor_id").alias("_fixed"), F.col("cap").alias("_sc"))
+    values = pages.validate_values(both.select(F.col("candidate_id").alias("value_id"), "field", "value"), value_rules).select(F.col("value_id").alias("candidate_id"), F.col("score").alias("_v"), F.col("cap").alias("_vc"))
+    rows = both.join(spatial, "candidate_id").join(values, "candidate_id").join(sibling_evidence(both, siblings), "candidate_id", "left")
+    anchored = anchors.select("field").unionByName(siblings.select("field"))
+    slots = topology.filter("kind = 'cover_slot'")
+    for df, name in ((topology, "_t"), (anchored, "_a"), (value_rules.filter("active"), "_r"), (slots, "_slot")):
+        rows = rows.join(df.select("field").distinct().withColumn(name, F.lit(True)), "field", "left")
+    signal = lambda name, score: F.when(F.col(name).isNull(), 1.0).otherwise(score)
+    aliased = F.col("field").isin(sorted({name for _, name in aliases}))
+    best_anchor = F.greatest("anchor_score", F.coalesce("sibling_score", F.lit(0.0)))
+    signals = pages.score_candidates(
         rows.withColumns(
             {
-                "topology": signal("_t", "topology_score"), "anchor": signal("_a", "anchor_score"), "value_validation": signal("_r", "_v"), "alias": F.lit(1.0), "separator": F.lit(1.0),
-                "ocr_confidence": F.coalesce("recognition_score", F.lit(1.0)) if "recognition_score" in blocks.columns else F.lit(1.0), "cap": F.coalesce("_sc", "_vc"),
+                "topology": signal("_t", F.col("topology_score")), "anchor": signal("_a", best_anchor), "value_validation": signal("_r", F.col("_v")), "alias": F.when(aliased, F.col("alias")).otherwise(1.0),
+                "ocr_confidence": F.coalesce("confidence", F.lit(0.0)), "cap": F.coalesce("_sc", "_vc"), "anchor_id": F.when(F.coalesce("sibling_score", F.lit(0.0)) > F.col("anchor_score"), F.col("sibling_id")).otherwise(F.col("_fixed")),
             }
         )
     )
+    owned = (F.col("_slot").isNotNull() & (F.col("topology_score") > 0)) | F.col("anchor_id").isNotNull()
+    scored = written(signals.select("document_id", "field", "candidate_id", "value", "score", "cap", "anchor_id", owned.alias("_owned")), "scored-candidates")
     keyed = scored.select(F.concat_ws("\t", "document_id", "field").alias("field"), "candidate_id", "score", F.col("cap").isNotNull().alias("constrained"))
-    decided = rank_candidates(keyed).select(F.split("field", "\t")[0].cast(existing.schema["document_id"].dataType).alias("document_id"), F.split("field", "\t")[1].alias("field"), "leader", "margin", F.col("status").alias("_s"), "reasons")
-    leaders = scored.select(F.col("candidate_id").alias("leader"), F.col("value").alias("_value"))
-    out = existing.join(decided.join(leaders, "leader"), ["document_id", "field"], "left")
+    ranked = F.split("field", "\t")
+    decided = rank_candidates(keyed).select(ranked[0].cast(existing.schema["document_id"].dataType).alias("document_id"), ranked[1].alias("field"), "leader", "margin", F.col("status").alias("_s"), "reasons", "score")
+    leaders = scored.select(F.col("candidate_id").alias("leader"), F.col("value").alias("_value"), "anchor_id", "_owned")
+    out = existing.select("document_id", "field", "value").join(decided.join(leaders, "leader"), ["document_id", "field"], "left")
+    empty, selected = F.col("value").isNull(), F.col("_s") == "auto_selected"
     held = F.col("field").isin(locked) if locked else F.lit(False)
-    auto = F.col("value").isNull() & (F.col("_s") == "auto_selected") & ~held
-    status = F.when(F.col("value").isNotNull(), "preserved_existing").when(F.col("_s").isNull(), "not_available").when(auto, "auto_selected").otherwise("review_required")
-    return out.select("document_id", "field", F.when(auto, F.col("_value")).otherwise(F.col("value")).alias("value"), status.alias("status"), F.col("leader").alias("candidate_id"), "margin", "reasons")
+    unsure = (F.col("field").isin(cover) if cover else F.lit(False)) & ~held & ~F.col("_owned") & selected
+    auto = empty & selected & ~held & ~unsure
+    why = F.concat_ws(",", "reasons", F.when(empty & held, "structure_owned_null_not_overridden").when(empty & unsure, "cover_ownership_evidence_required"))
+    status = F.when(~empty, "preserved_existing").when(F.col("_s").isNull(), "not_available").when(auto, "auto_selected").otherwise("review_required")
+    return out.select("document_id", "field", F.when(auto, F.col("_value")).otherwise(F.col("value")).alias("value"), status.alias("status"), F.col("leader").alias("candidate_id"), "margin", F.when(F.col("_s").isNotNull(), why).alias("reasons"), "score", "anchor_id")

@@ -223,6 +223,21 @@ def i19_resolve_fields(t):
     return resolve_fields(existing, blocks, [("the", "station"), ("of", "purpose"), ("la", "station"), ("und", "ticket")], rules, topology, anchors, ["ticket"], 900.0, 820.0)
 
 
+@query()
+def i19_sibling_fields(t):
+    """Values that are there with their boxes, and anchors that are candidates of other fields."""
+    fields = F.explode(F.array(*map(F.lit, ("station", "purpose", "ticket"))))
+    first = t.blocks.filter("page_number = 1").groupBy("document_id").agg(F.min_by(F.struct("block_id", "text", "x1", "y1", "x2", "y2"), "block_id").alias("b"))
+    there = F.when((F.col("document_id") % 3 == 0) & (F.col("field") == "station"), F.col("b.text")).alias("value")
+    existing = first.withColumn("field", fields).select("document_id", "field", there, F.lit(1).alias("page_number"), F.array("b.block_id").alias("blocks"), *(f"b.{c}" for c in ("x1", "y1", "x2", "y2")))
+    blocks = t.blocks.withColumn("text", F.regexp_replace("text", r"\b(the|of|la|und)\b", "$1:"))
+    none = {"rules": "field string, kind string, options array<string>, pattern string, low double, high double, required boolean, active boolean", "topology": "field string, kind string, expected string", "anchors": "field string, relation string, anchor_id string, ax1 double, ay1 double, ax2 double, ay2 double"}
+    rules, topology, anchors = (t.spark.createDataFrame([], x) for x in none.values())
+    siblings = t.spark.createDataFrame([("purpose", "below", "station"), ("ticket", "right", "purpose")], "field string, relation string, anchor_field string")
+    aliases = [("the", "station"), ("of", "purpose"), ("la", "station"), ("und", "ticket")]
+    return resolve_fields(existing, blocks, aliases, rules, topology, anchors, [], 900.0, 820.0, siblings, ["ticket"])
+
+
 @query()
 def i20_document_result(t):
     fields = t.events.selectExpr("user_id AS document_id", "event_type AS field", "CAST(value AS STRING) AS value", "CASE WHEN value > 90 THEN 'review_required' ELSE 'auto_selected' END AS status", "round(value / 100, 4) AS confidence")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_folder
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -26,13 +26,7 @@ class Tables:
 
     def folder(self, name: str) -> str:
         """A new folder below ``spark.checkpoint.dir``; a local session without it (tests) gets a temporary one."""
-        base = self.spark.conf.get("spark.checkpoint.dir", "") or self.spark.sparkContext.getCheckpointDir()
-        if not base:
-            if not self.spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-            base = "file://" + tempfile.mkdtemp(prefix="spark-assetlens-")
-            self.spark.sparkContext.setCheckpointDir(base)
-        return f"{base.rstrip('/')}/assetlens/{name}-{uuid.uuid4().hex}"
+        return shared_folder(self.spark, name)
 
     @cached_property
     def sites(self) -> DataFrame:

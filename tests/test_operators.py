@@ -487,3 +487,62 @@ def test_short_labels_in_values_and_repeated_texts(spark):
     assert sorted((r["field"], r["warning"]) for r in got) == [("maker", "missing_required_field:maker"), ("station", "empty_required_field:station")]
     boxes = [("Trạm: E", 10, 100, 100, 125), ("220kV Hoành Bồ", 150, 100, 300, 125)]
     assert fields_of(spark, boxes, least={"station": 5}) == {"station": "220kV Hoành Bồ"}
+
+
+NONE = {"rules": "field string, kind string, options array<string>, pattern string, low double, high double, required boolean, active boolean", "topology": "field string, kind string, expected string", "anchors": "field string, relation string, anchor_id string, ax1 double, ay1 double, ax2 double, ay2 double", "siblings": "field string, relation string, anchor_field string"}
+
+
+def resolved(spark, boxes, existing, aliases, locked=(), cover=(), **given):
+    tables = {k: spark.createDataFrame(given.get(k, []), schema) for k, schema in NONE.items()}
+    known = spark.createDataFrame(existing, "document_id long, field string, value string, page_number int, blocks array<int>, x1 double, y1 double, x2 double, y2 double, source_cell string, confidence double, alias double, separator double")
+    out = resolve_fields(known, page_of(spark, boxes), aliases, tables["rules"], tables["topology"], tables["anchors"], list(locked), 1000.0, 1400.0, tables["siblings"], list(cover))
+    return {r["field"]: r for r in out.collect()}
+
+
+def null_field(name):
+    return (1, name, *[None] * 11)
+
+
+def test_existing_values_are_candidates_without_their_duplicates(spark):
+    there = (1, "model", "7SJ 62", 1, [0], 10.0, 10.0, 200.0, 30.0, None, 0.9, 1.0, 1.0)
+    boxes = [("Model: 7sj-62", 10, 10, 200, 30), ("Model: 7UT", 10, 300, 200, 320)]
+    got = resolved(spark, boxes[:1], [there], [("Model", "model")])["model"]
+    assert (got["value"], got["status"], got["candidate_id"], got["margin"], got["reasons"]) == ("7SJ 62", "preserved_existing", "existing-1-model", None, "auto_select_conditions_satisfied")
+    got = resolved(spark, boxes, [there], [("Model", "model")])["model"]  # another value stays beside it
+    assert got["margin"] is not None and "winner_margin_below_minimum" in got["reasons"] and got["value"] == "7SJ 62"
+    over = (*there[:4], [77], *there[5:])  # of other blocks, but over the one found
+    assert resolved(spark, boxes[:1], [over], [("Model", "model")])["model"]["margin"] is None
+    apart = (*over[:5], 500.0, 10.0, 600.0, 30.0, *over[9:])
+    assert resolved(spark, boxes[:1], [apart], [("Model", "model")])["model"]["margin"] is not None
+
+
+def test_values_beside_bare_aliases_and_separators(spark):
+    boxes = [("Station:", 10, 10, 90, 30), ("E5.8", 120, 10, 200, 30), ("Model:", 10, 60, 90, 80), ("7SJ", 10, 90, 90, 110)]
+    got = resolved(spark, boxes, [null_field("station"), null_field("model")], [("Station", "station"), ("Model", "model")])
+    assert {f: (r["value"], r["status"]) for f, r in got.items()} == {"station": ("E5.8", "auto_selected"), "model": ("7SJ", "auto_selected")}
+    bare = resolved(spark, [("Model 7SJ", 10, 60, 90, 80)], [null_field("model")], [("Model", "model")])["model"]
+    assert bare["score"] == 85.0 and got["model"]["score"] == 100.0  # a separator adds, its lack takes nothing away
+
+
+def test_sibling_fields_are_anchors(spark):
+    boxes = [("Relay: 7SD", 510, 100, 700, 120), ("Version: V4.8", 720, 100, 900, 120), ("Version: V9", 720, 400, 900, 420)]
+    aliases = [("Relay", "relay"), ("Version", "version")]
+    alone = resolved(spark, boxes, [null_field("relay"), null_field("version")], aliases)["version"]
+    assert (alone["value"], alone["status"], alone["margin"]) == (None, "review_required", 0.0)
+    got = resolved(spark, boxes, [null_field("relay"), null_field("version")], aliases, siblings=[("version", "same_row_right", "relay")])["version"]
+    assert (got["value"], got["status"], got["anchor_id"]) == ("V4.8", "auto_selected", "1-1-0-0-relay") and got["margin"] >= 15
+
+
+def test_cover_fields_need_a_slot_or_an_anchor(spark):
+    boxes, aliases = [("Relay: 7SD", 510, 100, 700, 120), ("Maker: AREVA", 720, 100, 900, 120)], [("Relay", "relay"), ("Maker", "maker")]
+    fields = [null_field("relay"), null_field("maker")]
+    got = resolved(spark, boxes, fields, aliases, cover=["maker"], locked=["relay"])
+    assert (got["maker"]["value"], got["maker"]["status"]) == (None, "review_required") and got["maker"]["reasons"].endswith("cover_ownership_evidence_required")
+    assert got["relay"]["reasons"].endswith("structure_owned_null_not_overridden") and got["relay"]["value"] is None
+    got = resolved(spark, boxes, fields, aliases, cover=["maker"], siblings=[("maker", "right", "relay")])
+    assert (got["maker"]["value"], got["maker"]["status"]) == ("AREVA", "auto_selected")
+    slot = (1, "maker", "ABB", 1, [5], 720.0, 100.0, 900.0, 120.0, "table_01:cover_row_3:right", 0.9, 1.0, 1.0)
+    got = resolved(spark, boxes, [slot], aliases, topology=[("maker", "cover_slot", "cover_row_3:right")])["maker"]
+    assert got["value"] == "ABB" and got["candidate_id"] == "existing-1-maker"
+    got = resolved(spark, boxes, [slot], aliases, topology=[("maker", "source_policy", "right_cell")])["maker"]
+    assert got["value"] == "ABB" and got["candidate_id"] == "1-1-1-0-maker"  # read more surely

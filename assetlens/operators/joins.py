@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import overlap_1d
 from .filters import search_any
@@ -88,6 +92,33 @@ def grant_matrix(groups: DataFrame, permissions: DataFrame, grants: DataFrame) -
     return groups.join(permissions).join(given, ["group", "permission"], "left").select("group", "permission", F.col("_g").isNotNull().alias("granted"))
 
 
+#: Side of the squares in which boxes of a page look for each other; the boxes may have any size.
+SQUARE = 64.0
+
+
+def _squares(rows: DataFrame, axes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row for each square that the stretch of each axis touches, in columns ``_x`` and ``_y``; ``_fx`` and ``_fy`` are the first ones."""
+    for axis, (lo, hi) in axes.items():
+        first, last = F.floor(lo / SQUARE), F.floor(hi / SQUARE)
+        rows = rows.withColumn(f"_f{axis}", first).withColumn(f"_{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
+    return rows
+
+
+def touching(blocks: DataFrame, others: DataFrame, axes: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """Pairs of blocks and other boxes of the page that touch along each axis (columns lo, hi of both): they meet in squares, and each pair
+    counts in the first square that both touch, so no page is multiplied out."""
+    a = _squares(blocks, {k: (F.col(lo), F.col(hi)) for k, (lo, hi, _, _) in axes.items()})
+    b = _squares(others, {k: (F.col(lo), F.col(hi)) for k, (_, _, lo, hi) in axes.items()})
+    keys = [*PAGE, *(f"_{k}" for k in axes)]
+    pairs = a.join(b.withColumnsRenamed({f"_f{k}": f"_g{k}" for k in axes}), keys)
+    for k in axes:
+        pairs = pairs.filter(F.col(f"_{k}") == F.greatest(f"_f{k}", f"_g{k}"))
+    return pairs.drop(*(f"{p}{k}" for k in axes for p in ("_", "_f", "_g")))
+
+
+_DOWN, _ACROSS = ("y1", "y2", "cy1", "cy2"), ("x1", "x2", "cx1", "cx2")
+
+
 def assign_to_bands(blocks: DataFrame, bands: DataFrame) -> DataFrame:
     """Blocks with the row band of largest vertical overlap in their region (first on ties) and whether they cross its inner lines.
 
@@ -95,7 +126,7 @@ def assign_to_bands(blocks: DataFrame, bands: DataFrame) -> DataFrame:
     """
     centre = (F.col("x1") + F.col("x2")) / 2
     common = F.least("y2", "by2") - F.greatest("y1", "by1")
-    pairs = blocks.join(bands, PAGE).filter((centre >= F.col("rx1")) & (centre <= F.col("rx2")) & (common > 0))
+    pairs = touching(blocks, bands, {"y": ("y1", "y2", "by1", "by2")}).filter((centre >= F.col("rx1")) & (centre <= F.col("rx2")) & (common > 0))
     best = pairs.groupBy(*PAGE, "block_id", "region_id").agg(
         F.max_by("band", F.struct(common, -F.col("band"))).alias("band"), F.max(common).alias("overlap"),
         F.bool_or((F.col("y1") < F.col("by1") - 2) & (F.col("y2") > F.col("by1") + 2)).alias("crosses"),
@@ -105,20 +136,34 @@ def assign_to_bands(blocks: DataFrame, bands: DataFrame) -> DataFrame:
 
 def assign_to_cells(blocks: DataFrame, cells: DataFrame, rule: str = "overlap") -> DataFrame:
     """Blocks in cells (row, col, cx1, cy1, cx2, cy2) by shares of overlap or by their centre."""
-    pairs = blocks.join(cells, PAGE)
     if rule == "centre":
-        cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-        inside = (cx >= F.col("cx1")) & (cx < F.col("cx2")) & (cy >= F.col("cy1")) & (cy < F.col("cy2"))
+        centred = blocks.withColumns({"_cx": (F.col("x1") + F.col("x2")) / 2, "_cy": (F.col("y1") + F.col("y2")) / 2})
+        pairs = touching(centred, cells, {"x": ("_cx", "_cx", "cx1", "cx2"), "y": ("_cy", "_cy", "cy1", "cy2")})
+        inside = (F.col("_cx") >= F.col("cx1")) & (F.col("_cx") < F.col("cx2")) & (F.col("_cy") >= F.col("cy1")) & (F.col("_cy") < F.col("cy2"))
     else:
+        pairs = touching(blocks, cells, {"x": _ACROSS, "y": _DOWN})
         inside = (overlap_1d(F.col("y1"), F.col("y2"), F.col("cy1"), F.col("cy2")) >= 0.35) & (overlap_1d(F.col("x1"), F.col("x2"), F.col("cx1"), F.col("cx2")) >= 0.25)
     return pairs.filter(inside).select(*PAGE, "block_id", "row", "col")
 
 
 def assign_to_nearest(blocks: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Blocks with the row of nearest centre (row, centre) and the first column (col, right) not ending left of their centre."""
+    """Blocks with the row of nearest centre (row, centre) and the first column (col, right) not ending left of their centre.
+
+    Centres and edges are put in order with the blocks: a block looks at the row before and the row after it, and at the least column
+    among the edges from its centre on.
+    """
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    near = blocks.join(rows, PAGE).groupBy(*PAGE, "block_id").agg(F.min_by("row", F.struct(F.abs(cy - F.col("centre")), "row")).alias("row"))
-    first = blocks.join(columns, PAGE).filter(F.col("right") >= cx).groupBy(*PAGE, "block_id").agg(F.min("col").alias("col"))
+    empty = F.lit(None)
+    told = blocks.select(*PAGE, "block_id", cy.alias("at"), empty.cast("struct<centre:double,row:bigint>").alias("r"))
+    lines = rows.groupBy(*PAGE, "centre").agg(F.min("row").alias("row")).select(*PAGE, empty.cast(blocks.schema["block_id"].dataType).alias("block_id"), F.col("centre").cast("double").alias("at"), F.struct(F.col("centre").cast("double").alias("centre"), F.col("row").cast("bigint").alias("row")).alias("r"))
+    w = W.partitionBy(*PAGE).orderBy("at", F.col("r").isNull())
+    both = told.unionByName(lines).withColumns({"_b": F.last("r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_a": F.first("r", True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    pick = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.centre")).alias("d"), F.col(f"{c}.row").alias("row")))
+    near = both.filter("r is null").select(*PAGE, "block_id", F.least(pick("_b"), pick("_a"))["row"].cast(rows.schema["row"].dataType).alias("row")).filter("row is not null")
+    kind = columns.schema["col"].dataType
+    ends = blocks.select(*PAGE, "block_id", cx.alias("at"), empty.cast(kind).alias("col"), F.lit(1).alias("k")).unionByName(columns.select(*PAGE, empty.cast(blocks.schema["block_id"].dataType).alias("block_id"), F.col("right").cast("double").alias("at"), "col", F.lit(0).alias("k")))
+    v = W.partitionBy(*PAGE).orderBy(F.desc("at"), "k").rowsBetween(W.unboundedPreceding, 0)
+    first = ends.withColumn("_col", F.min("col").over(v)).filter("k = 1 and _col is not null").select(*PAGE, "block_id", F.col("_col").alias("col"))
     return near.join(first, [*PAGE, "block_id"], "left")
 
 
@@ -126,7 +171,7 @@ def cells_to_reread(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells that a block overlaps by more than 4 square units while it crosses a cell edge by the larger of 4 units and 22%, unless it is alone in its row."""
     wide = F.least("x2", "cx2") - F.greatest("x1", "cx1")
     high = F.least("y2", "cy2") - F.greatest("y1", "cy1")
-    pairs = blocks.join(cells, PAGE).withColumns({"_w": wide, "_h": high}).filter("_w > 0 and _h > 0 and _w * _h > 4")
+    pairs = touching(blocks, cells, {"x": _ACROSS, "y": _DOWN}).withColumns({"_w": wide, "_h": high}).filter("_w > 0 and _h > 0 and _w * _h > 4")
     limit = F.greatest(F.lit(4.0), 0.22 * (F.col("x2") - F.col("x1")))
     over = F.greatest(F.col("cx1") - F.col("x1"), F.col("x2") - F.col("cx2")) >= limit
     peers = W.partitionBy(*PAGE, "row")
@@ -134,22 +179,72 @@ def cells_to_reread(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     return counted.filter(over & (F.col("_n") > 1)).select(*PAGE, "row", "col").distinct()
 
 
-def nearest_neighbours(rows: DataFrame) -> DataFrame:
-    """Typed edges (source, target, kind, distance) between blocks of (row_id): left and right in the row, above and below."""
+#: How far centres of neighbours above and below may be apart (or the wider one's width), how far left edges of aligned blocks, and their
+#: centres down the page; shares of the page (fixed values).
+CENTRES_APART, EDGES_APART, DOWN_APART = 0.04, 0.018, 0.25
+
+
+def nearest_below(boxes: list[tuple], apart: float) -> list[tuple]:
+    """(source, target, gap): for each box (id, x1, y1, x2, y2) the nearest one below it whose centre is no farther aside than the wider one's
+    width or ``apart``; the least id of equals.
+
+    One sweep from the bottom: boxes enter, by their tops, the columns of width ``apart`` that hold their centre and those within their
+    reach; a box asks, at its bottom, the columns that it reaches and the one of its centre, latest first.
+    """
+    entries = []
+    for i, x1, y1, x2, y2 in boxes:
+        reach = max(x2 - x1, apart)
+        entries.append((y1, i, (x1 + x2) / 2, reach, y2))
+    columns = lambda c, reach: range(int((c - reach) // apart), int((c + reach) // apart) + 1)
+    by_top = sorted(entries, key=lambda e: (-e[0], -e[1]))
+    centred: dict[int, list] = defaultdict(list)
+    reached: dict[int, list] = defaultdict(list)
+    out, entered = [], 0
+    for top, i, centre, reach, bottom in sorted(entries, key=lambda e: -e[4]):
+        while entered < len(by_top) and by_top[entered][0] >= bottom:
+            e = by_top[entered]
+            centred[int(e[2] // apart)].append(e)
+            for k in columns(e[2], e[3]):
+                reached[k].append(e)
+            entered += 1
+        best = None
+        for held in (*(centred[k] for k in columns(centre, reach) if k in centred), reached.get(int(centre // apart), ())):
+            for e in reversed(held):
+                if best is not None and e[:2] >= best:
+                    break
+                if e[1] != i and abs(e[2] - centre) <= max(reach, e[3]):
+                    best = e[:2]
+                    break
+        if best is not None:
+            out.append((i, best[1], best[0] - bottom))
+    return out
+
+
+def nearest_neighbours(rows: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Typed edges (source, target, kind, distance) between blocks of (row_id): the next ones left and right in the row, the nearest above and
+    below, and ``aligned_left`` between blocks with left edges close together and centres within a quarter of the page."""
     w = W.partitionBy(*PAGE, "row_id").orderBy("x1", "block_id")
     line = rows.withColumns({"_next": F.lead("block_id").over(w), "_gap": F.lead("x1").over(w) - F.col("x2")}).filter("_next is not null")
     right = line.select(*PAGE, F.col("block_id").alias("source"), F.col("_next").alias("target"), F.lit("right").alias("kind"), F.greatest(F.lit(0.0), "_gap").alias("distance"))
     left = right.select(*PAGE, F.col("target").alias("source"), F.col("source").alias("target"), F.lit("left").alias("kind"), "distance")
-    a = rows.select(*PAGE, *(F.col(c).alias(f"a_{c}") for c in ("block_id", "row_id", "x1", "y1", "x2", "y2")))
-    b = rows.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("block_id", "row_id", "x1", "y1", "x2", "y2")))
-    overlap = overlap_1d(F.col("a_x1"), F.col("a_x2"), F.col("b_x1"), F.col("b_x2"))
-    pairs = a.join(b, PAGE).filter((F.col("b_y1") >= F.col("a_y2")) & (F.col("a_row_id") != F.col("b_row_id")) & (overlap >= 0.2))
-    gap = F.col("b_y1") - F.col("a_y2")
-    below = pairs.groupBy(*PAGE, F.col("a_block_id").alias("source")).agg(F.min(F.struct(gap.alias("g"), F.col("b_block_id").alias("id"))).alias("m"))
-    below = below.select(*PAGE, "source", F.col("m.id").alias("target"), F.lit("below").alias("kind"), F.col("m.g").alias("distance"))
-    above = pairs.groupBy(*PAGE, F.col("b_block_id").alias("source")).agg(F.min(F.struct(gap.alias("g"), F.col("a_block_id").alias("id"))).alias("m"))
-    above = above.select(*PAGE, "source", F.col("m.id").alias("target"), F.lit("above").alias("kind"), F.col("m.g").alias("distance"))
-    return right.unionByName(left).unionByName(below).unionByName(above)
+
+    def vertical(key, pdf):
+        boxes = list(pdf[["block_id", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
+        turned = [(i, x1, -y2, x2, -y1) for i, x1, y1, x2, y2 in boxes]
+        apart = CENTRES_APART * page_width
+        found = [(*key, s, t, kind, g) for kind, b in (("below", boxes), ("above", turned)) for s, t, g in nearest_below(b, apart)]
+        return pd.DataFrame(found, columns=[*PAGE, "source", "target", "kind", "distance"])
+
+    box = rows.select(*PAGE, "block_id", "x1", "y1", "x2", "y2")
+    updown = box.groupBy(*PAGE).applyInPandas(vertical, T.StructType([*(right.schema[c] for c in (*PAGE, "source", "target")), T.StructField("kind", T.StringType()), T.StructField("distance", T.DoubleType())]))
+    # Blocks meet in cells as wide and high as the limits, each looking into the cells around its own.
+    wide, high, centre = EDGES_APART * page_width, DOWN_APART * page_height, (F.col("y1") + F.col("y2")) / 2
+    own = box.select(*PAGE, F.col("block_id").alias("source"), "x1", centre.alias("cy"), F.floor(F.col("x1") / wide).alias("i"), F.floor(centre / high).alias("j"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    other = own.select(*PAGE, F.col("source").alias("target"), F.col("x1").alias("_x1"), F.col("cy").alias("_cy"), around("i").alias("i"), "j").withColumn("j", around("j"))
+    offset = F.abs(F.col("x1") - F.col("_x1"))
+    aligned = own.join(other, [*PAGE, "i", "j"]).filter((F.col("source") != F.col("target")) & (offset <= wide) & (F.abs(F.col("cy") - F.col("_cy")) <= high))
+    return right.unionByName(left).unionByName(updown).unionByName(aligned.select(*PAGE, "source", "target", F.lit("aligned_left").alias("kind"), offset.alias("distance")))
 
 
 def nearest_left_label(values: DataFrame, labels: DataFrame, page_width: float) -> DataFrame:

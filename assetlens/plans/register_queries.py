@@ -360,11 +360,14 @@ _ROWED = "b AS (SELECT *, block_id // 2 AS row_id FROM blocks)"
 
 
 @query(_ROWED + """, l AS (SELECT document_id, page_number, block_id AS s, lead(block_id) OVER w AS n, lead(x1) OVER w - x2 AS g FROM b WINDOW w AS (PARTITION BY document_id, page_number, row_id ORDER BY x1, block_id)),
-p AS (SELECT a.document_id, a.page_number, a.block_id AS u, b.block_id AS v, b.y1 - a.y2 AS g FROM b a JOIN b ON a.document_id = b.document_id AND a.page_number = b.page_number WHERE b.y1 >= a.y2 AND a.row_id <> b.row_id AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / greatest(1.0, least(a.x2 - a.x1, b.x2 - b.x1)) >= 0.2);
+e AS (SELECT a.document_id, a.page_number, a.block_id AS u, b.block_id AS v, b.y1 - a.y2 AS g, abs(a.x1 - b.x1) AS d, abs(a.y1 + a.y2 - b.y1 - b.y2) / 2 AS h, abs(a.x1 + a.x2 - b.x1 - b.x2) / 2 <= greatest(a.x2 - a.x1, b.x2 - b.x1, 36.0)
+  OR greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / greatest(1.0, least(a.x2 - a.x1, b.x2 - b.x1)) >= 0.2 AS near FROM b a JOIN b ON a.document_id = b.document_id AND a.page_number = b.page_number AND a.block_id <> b.block_id),
+p AS (SELECT * FROM e WHERE near AND g >= 0);
 SELECT document_id, page_number, s AS source, n AS target, 'right' AS kind, greatest(0.0, g) AS distance FROM l WHERE n IS NOT NULL UNION ALL SELECT document_id, page_number, n, s, 'left', greatest(0.0, g) FROM l WHERE n IS NOT NULL
-UNION ALL SELECT document_id, page_number, u, arg_min(v, g * 1000000 + v), 'below', min(g) FROM p GROUP BY document_id, page_number, u UNION ALL SELECT document_id, page_number, v, arg_min(u, g * 1000000 + u), 'above', min(g) FROM p GROUP BY document_id, page_number, v""")
+UNION ALL SELECT document_id, page_number, u, arg_min(v, g * 1000000 + v), 'below', min(g) FROM p GROUP BY document_id, page_number, u UNION ALL SELECT document_id, page_number, v, arg_min(u, g * 1000000 + u), 'above', min(g) FROM p GROUP BY document_id, page_number, v
+UNION ALL SELECT document_id, page_number, u, v, 'aligned_left', d FROM e WHERE d <= 0.018 * 900 AND h <= 0.25 * 820""")
 def c13_neighbours(t):
-    return C.nearest_neighbours(t.blocks.withColumn("row_id", F.expr("block_id div 2")))
+    return C.nearest_neighbours(t.blocks.withColumn("row_id", F.expr("block_id div 2")), 900.0, 820.0)
 
 
 @query("""

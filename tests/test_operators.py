@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from assetlens.functions import scalars as S
 from assetlens.operators import aggregates as D
 from assetlens.operators import filters as B
+from assetlens.operators import joins as C
 from assetlens.operators import layout as L
 from assetlens.operators import pages as P
 from assetlens.operators import versions as V
@@ -546,3 +548,41 @@ def test_cover_fields_need_a_slot_or_an_anchor(spark):
     assert got["value"] == "ABB" and got["candidate_id"] == "existing-1-maker"
     got = resolved(spark, boxes, [slot], aliases, topology=[("maker", "source_policy", "right_cell")])["maker"]
     assert got["value"] == "ABB" and got["candidate_id"] == "1-1-1-0-maker"  # read more surely
+
+
+def below_by_hand(boxes, apart):
+    out = []
+    for i, x1, y1, x2, y2 in boxes:
+        near = [(b1, j) for j, a1, b1, a2, _ in boxes if j != i and b1 >= y2 and abs(a1 + a2 - x1 - x2) / 2 <= max(a2 - a1, x2 - x1, apart)]
+        if near:
+            top, j = min(near)
+            out.append((i, j, top - y2))
+    return out
+
+
+def test_neighbours_below():
+    r = random.Random(8)
+    for n in (1, 2, 7, 60):
+        for _ in range(30):
+            boxes = [(k, float(x := r.randrange(-50, 900)), float(y := r.randrange(0, 800, 10)), float(x + r.choice((0, 5, 60, 400))), float(y + r.choice((0, 10, 30)))) for k in range(n)]
+            assert sorted(C.nearest_below(boxes, 36.0)) == sorted(below_by_hand(boxes, 36.0))
+
+
+def test_neighbours_of_a_long_page():
+    r = random.Random(9)
+    boxes = [(k, float(x := r.randrange(900)), float(12 * k), float(x + r.choice((10, 60, 300))), 12.0 * k + 10) for k in range(10_000)]
+    began = time.perf_counter()
+    found = C.nearest_below(boxes, 36.0)
+    assert len(found) >= 9_990 and time.perf_counter() - began < 20
+    assert max(g for _, _, g in found) < 12 * 60
+
+
+def test_no_page_is_multiplied_out(spark):
+    """Pairs that meet in squares are far fewer than blocks times cells, and none is missed."""
+    rows = [(1, 1, k, 7.0 * (k % 90), 9.0 * k, 7.0 * (k % 90) + 40 + k % 300, 9.0 * k + 8 + k % 50) for k in range(300)]
+    df = spark.createDataFrame(rows, "document_id long, page_number int, block_id int, x1 double, y1 double, x2 double, y2 double")
+    cells = spark.range(600).selectExpr("1L AS document_id", "1 AS page_number", "CAST(id DIV 6 AS INT) AS row", "CAST(id % 6 AS INT) AS col", "150D * (id % 6) AS cx1", "27D * (id DIV 6) AS cy1", "150D * (id % 6) + 150 AS cx2", "27D * (id DIV 6) + 27 AS cy2")
+    met = C.touching(df, cells, {"x": ("x1", "x2", "cx1", "cx2"), "y": ("y1", "y2", "cy1", "cy2")})
+    touch = "x1 <= cx2 AND x2 >= cx1 AND y1 <= cy2 AND y2 >= cy1"
+    assert met.filter(touch).count() == df.crossJoin(cells.drop("document_id", "page_number")).filter(touch).count() == met.filter(touch).select("block_id", "row", "col").distinct().count()
+    assert met.count() < 0.1 * 300 * 600

@@ -1,13 +1,20 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line's tokens that hold a digit, "@" or "://" are variable fields and become ``<*>``.  The tree
-is parsed by the number of tokens, then by the ``LEAD`` leading tokens; a leaf's branches are its
-blocks of tokens: a line of n tokens has n // OPEN + 1 equal blocks and stands in the branch of each.
-A branch's template is its first line in order of doc_id and line; a line of the branch that
-differs from it in at most n // OPEN tokens joins it, and the positions that differ are open.  (Two
-lines that differ in so few tokens share a block, so they meet in a branch.)  Templates that share
-a line are one.  Branches are found by hash and split over tasks: no leaf is gathered in one, and
-only a line's distance to the templates of its branches is measured, on the tokens themselves.
+is parsed by the number of tokens, then by the ``LEAD`` leading tokens.  A leaf holds any number of
+templates, of two kinds:
+
+* a line of ``LEAST`` tokens or more with one token after the leading ones left open: all lines of the
+  leaf that differ in this token alone are of this template, whatever else the leaf holds;
+* in a branch (a block of tokens: a line of n tokens has n // OPEN + 1 equal ones, and at least two from
+  ``LEAST`` tokens on) the first line in order of doc_id and line: a line of the branch that differs from it in at
+  most n // OPEN tokens joins it, and the positions that differ are open.
+
+So up to 19 tokens, where at most one may be open, every two lines that are near enough share a template;
+of longer lines each joins every line that differs in one token, and the first of each branch in more.
+Templates that share a line are one.  Two lines that are near share a block, so only lines whose block is
+another line's too are read again.  Branches and templates are found by hash and split over tasks: no leaf
+is gathered in one, and only a line's distance to the first lines of its branches is measured, on the tokens.
 
 A template that recurs in two documents or more is boilerplate: of all its lines, those of all
 templates joined to it included, only the first in order of doc_id and line stays.
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, mix64, only, slices, stored, texts_of, words_in
 from .jaccard import components
 
-LEAD, OPEN = 3, 10
+LEAD, OPEN, LEAST = 2, 10, 5
 FIELD = "<*>"
 _VARIABLE = np.zeros(256, bool)
 _VARIABLE[[*b"0123456789@"]] = True
@@ -64,7 +71,7 @@ class Lines:
         place = np.arange(self.n.sum()) - np.repeat(self.start, self.n)
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.halves[0] + place.astype(np.uint64)))])
         leaf = mix64(upto[self.start + np.minimum(self.n, LEAD)] - upto[self.start] + self.n.astype(np.uint64))
-        blocks = self.n // OPEN + 1
+        blocks = np.maximum(self.n // OPEN + 1, np.where(self.n >= LEAST, 2, 1))
         first = np.cumsum(blocks) - blocks
         owner = np.repeat(np.arange(len(self.n)), blocks)
         b = np.arange(blocks.sum()) - first[owner]
@@ -147,6 +154,15 @@ def _fits(a: Column, b: Column) -> Column:
     return (F.size(x) == F.size(y)) & (F.slice(x, 1, LEAD) == F.slice(y, 1, LEAD)) & (differ <= F.floor(F.size(x) / OPEN))
 
 
+def open_templates(texts: DataFrame) -> DataFrame:
+    """(t1, t2, at): hashes of each line (at, masked) with one token after the leading ones left open, and of the place of this token."""
+    tokens = F.split("masked", " ")
+    rows = texts.withColumn("t", tokens).filter(F.size("t") >= LEAST)
+    rest = lambda i: F.concat_ws(" ", F.slice("t", 1, i), F.lit("\0"), F.slice("t", i + 2, F.size("t")))
+    opened = rows.select("at", F.explode(F.transform(F.sequence(F.lit(LEAD), F.size("t") - 1), rest)).alias("line"))
+    return opened.select(F.xxhash64("line").alias("t1"), F.xxhash64(F.lit(1), "line").alias("t2"), "at")
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, n_lines, n_dropped, dropped) of every row; ``dropped``: line numbers, ascending, from 0."""
     # What is joined grows with the input, so it is never broadcast: the plan is the same at any size.
@@ -160,7 +176,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         places = pairs.select(F.explode(F.array("u", "v")).alias("p")).select("p.*").distinct()
         texts = kept.stored(line_texts(docs, places).select(place.alias("at"), "masked").dropDuplicates(["at"]), "line-texts").hint("merge")
         ends = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").filter(_fits(F.col("a"), F.col("b")))
-        roots = components(ends.select("u", "v"), kept).toDF("first", "root")
+        opened = kept.stored(open_templates(texts), "open-templates")
+        shared = kept.stored(opened.groupBy("t1", "t2").agg(F.min("at").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-templates").hint("merge")
+        alike = opened.join(shared, ["t1", "t2"]).filter("u <> at").select("u", F.col("at").alias("v"))
+        roots = components(ends.select("u", "v").unionByName(alike), kept).toDF("first", "root")
         roots = kept.stored(roots.unionByName(roots.select(F.col("root").alias("first"), "root").distinct()), "roots").hint("merge")
         # A template's root is its first line.
         joined = lines.drop("branches").join(roots, "first")

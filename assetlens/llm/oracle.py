@@ -33,12 +33,15 @@ WITH RECURSIVE l AS (
 ), o AS (SELECT doc_id, line, array_to_string(t, ' ') AS masked, t FROM m WHERE len(t) > 0),
 p AS (SELECT doc_id, line, t, min((doc_id, line)) OVER (PARTITION BY masked) AS id FROM o),
 d AS (SELECT DISTINCT id, t, len(t) AS n, len(t) // 10 AS k FROM p),
-b AS (SELECT id, t, n, k, t[1:3] AS lead, b, t[n * b // (k + 1) + 1:n * (b + 1) // (k + 1)] AS block FROM d, range(k + 1) r(b)),
+b AS (SELECT id, t, n, k, t[1:2] AS lead, b, t[n * b // (k + 1) + 1:n * (b + 1) // (k + 1)] AS block FROM d, range(k + 1) r(b)),
 h AS (SELECT n, lead, b, block, min(id) AS head FROM b GROUP BY ALL HAVING count(*) > 1),
 e AS (
   SELECT DISTINCT h.head AS u, b.id AS v FROM b JOIN h ON b.n = h.n AND b.lead = h.lead AND b.b = h.b AND b.block = h.block JOIN d x ON x.id = h.head
   WHERE b.id <> h.head AND len(list_filter(range(b.n), lambda i: b.t[i + 1] <> x.t[i + 1])) <= b.k
-), u AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+), o1 AS (SELECT id, i, t[1:i] AS a, t[i + 2:] AS z FROM d, range(2, n) r(i) WHERE n >= 5),
+o2 AS (SELECT i, a, z, min(id) AS head FROM o1 GROUP BY ALL HAVING count(*) > 1),
+y AS (SELECT u, v FROM e UNION SELECT o2.head, o1.id FROM o1 JOIN o2 ON o1.i = o2.i AND o1.a = o2.a AND o1.z = o2.z WHERE o1.id <> o2.head),
+u AS (SELECT u, v FROM y UNION ALL SELECT v, u FROM y),
 r AS (SELECT id AS node, id AS root FROM d UNION SELECT u.v, r.root FROM r JOIN u ON u.u = r.node),
 c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
 q AS (SELECT doc_id, line, root FROM p JOIN c ON c.node = p.id),

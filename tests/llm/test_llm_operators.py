@@ -119,13 +119,21 @@ def recurring_by_hand(docs):
     for t in places:
         n = len(t)
         for b in range(n // 10 + 1):
-            tree[n, t[:3], b, t[n * b // (n // 10 + 1) : n * (b + 1) // (n // 10 + 1)]].append(t)
+            tree[n, t[:2], b, t[n * b // (n // 10 + 1) : n * (b + 1) // (n // 10 + 1)]].append(t)
     for members in tree.values():
         head = min(members, key=first.get)
         for t in members:
             if sum(x != y for x, y in zip(t, head)) <= len(t) // 10:
                 a, b = sorted((find(t), find(head)), key=first.get)
                 root[b] = a
+    opened = defaultdict(list)
+    for t in places:
+        for i in range(2, len(t)) if len(t) >= 5 else ():
+            opened[i, t[:i], t[i + 1 :]].append(t)
+    for members in opened.values():
+        for t in members:
+            a, b = sorted((find(t), find(members[0])), key=first.get)
+            root[b] = a
     joint = defaultdict(list)
     for t in places:
         joint[find(t)] += places[t]
@@ -161,6 +169,12 @@ def test_line_templates(spark, odd, empty):
     chain = [(1, varied(7, 8)), (2, varied(8)), (3, varied(8, 17))]
     got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.recurring_lines(spark.createDataFrame(chain, "doc_id long, text string")).collect())
     assert got == recurring_by_hand(chain) == [("1", 1, []), ("2", 1, [0]), ("3", 1, [0])]
+    # An unlike first line of the only common branch hides nothing, and short lines have an open token too.
+    five = "alpha beta gamma delta eps "
+    hidden = [(1, five + "one two three four five"), (2, five + "a b c d e"), (3, five + "a b c d f"), (4, "Posted by alice in news today"), (5, "Posted by bob in news today"), (6, "Posted by carol in news tonight"), (7, "by alice in it"), (8, "by alice in that")]
+    got = {r["doc_id"]: r["dropped"] for r in linededup.recurring_lines(spark.createDataFrame(hidden, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [0], 4: [], 5: [0], 6: [], 7: [], 8: []}
+    assert sorted((str(d), 1, x) for d, x in got.items()) == recurring_by_hand(hidden)
     r = random.Random(4)
     many = [(i, "\n".join(" ".join(w if r.random() > 0.05 else r.choice(WORDS) for w in prose(r.randint(0, 6), 3 + 9 * r.randint(0, 5)).split()) for _ in range(r.randint(0, 5)))) for i in range(120)]
     got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.recurring_lines(spark.createDataFrame(many, "doc_id long, text string").repartition(5)).collect())

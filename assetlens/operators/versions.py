@@ -207,7 +207,7 @@ def upsert_by_code(target: DataFrame, batch: DataFrame, codes: list[str], mappin
 
 
 def timeline(sheets: DataFrame, signatures: DataFrame, edits: DataFrame) -> DataFrame:
-    """(sheet_id, at, kind, who) of creation, signatures, assignment and edits, newest first.
+    """(sheet_id, at, kind, who) of creation, signatures, assignment and edits; the rows of a sheet lie together, newest first.
 
     edits: sheet_id, time (text; unparsable dropped), user.  Assignment is dated by the first
     dispatcher signature, else by creation.
@@ -221,7 +221,7 @@ def timeline(sheets: DataFrame, signatures: DataFrame, edits: DataFrame) -> Data
     )
     edited = edits.select("sheet_id", F.try_to_timestamp("time").alias("at"), F.lit("edited").alias("kind"), F.col("user").cast("string").alias("who"), F.lit(3).alias("branch")).filter("at is not null")
     every = created.unionByName(signed).unionByName(assigned).unionByName(edited)
-    return every.orderBy("sheet_id", F.desc("at"), "branch", "kind", "who")
+    return every.repartition("sheet_id").sortWithinPartitions("sheet_id", F.desc("at"), "branch", "kind", "who")
 
 
 def apply_edits(params: DataFrame, edits: DataFrame) -> DataFrame:

@@ -169,18 +169,28 @@ def _pairs(t):
     return pairs.withColumn("rel", F.element_at(F.array(*map(F.lit, P.RELATIONS)), F.col("block_id") % 7 + 1))
 
 
-@query(_PAIRS + """, q AS (SELECT *, greatest(1.0, (y2 - y1 + ay2 - ay1) / 2) AS sc, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (ax1 + ax2) / 2 AS ax, (ay1 + ay2) / 2 AS ay,
+#: Relations of the pairs ``pr``.
+_RELATED = """q AS (SELECT *, greatest(1.0, (y2 - y1 + ay2 - ay1) / 2) AS sc, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, (ax1 + ax2) / 2 AS ax, (ay1 + ay2) / 2 AS ay,
   greatest(0, least(x2, ax2) - greatest(x1, ax1)) / greatest(1.0, least(x2 - x1, ax2 - ax1)) AS ho, greatest(0, least(y2, ay2) - greatest(y1, ay1)) / greatest(1.0, least(y2 - y1, ay2 - ay1)) AS vo FROM pr),
 e AS (SELECT *, abs(cy - ay) / sc AS re, least(abs(x1 - ax1), abs(cx - ax), abs(x2 - ax2)) / sc AS ce, greatest(0, greatest(x1, ax1) - least(x2, ax2)) / sc AS gx, greatest(0, greatest(y1, ay1) - least(y2, ay2)) / sc AS gy, rel IN ('left', 'right', 'same_row', 'same_row_right') AS side, CASE WHEN rel LIKE 'same%' THEN 12.0 ELSE 8.0 END AS lim FROM q),
 f AS (SELECT *, CASE WHEN side THEN gx ELSE gy END AS d, CASE rel WHEN 'above' THEN cy < ay WHEN 'below' THEN cy > ay WHEN 'left' THEN cx < ax WHEN 'right' THEN cx > ax WHEN 'same_row_right' THEN cx > ax ELSE true END AS way,
-  CASE WHEN rel IN ('same_row', 'same_row_right') THEN re <= 0.75 WHEN side THEN vo >= 0.2 OR re <= 0.75 ELSE ho >= 0.2 OR ce <= 2 END AS al FROM e);
+  CASE WHEN rel IN ('same_row', 'same_row_right') THEN re <= 0.75 WHEN side THEN vo >= 0.2 OR re <= 0.75 ELSE ho >= 0.2 OR ce <= 2 END AS al FROM e)"""
+
+
+@query(_PAIRS + ", " + _RELATED + """;
 SELECT document_id, page_number, block_id, anchor_id, rel, way AND al AND d <= lim AS matched, round(d, 4) AS distance, round(CASE WHEN side THEN re ELSE ce END, 4) AS alignment, round(CASE WHEN side THEN vo ELSE ho END, 4) AS overlap, round(CASE WHEN way AND al AND d <= lim THEN greatest(0, 1 - d / lim) ELSE 0 END, 4) AS score,
   CASE WHEN NOT way THEN 'direction_mismatch' WHEN NOT al THEN 'axis_alignment_mismatch' WHEN d > lim THEN 'normalized_distance_exceeded' ELSE 'relation_matched' END AS reason FROM f""")
 def i15_relate(t):
     return P.relate(_pairs(t), F.col("rel")).drop("x1", "y1", "x2", "y2", "ax1", "ay1", "ax2", "ay2", "text")
 
 
-@query()
+@query("""c AS (SELECT concat_ws('-', document_id, page_number, block_id) AS candidate_id, 'f' || block_id % 3 AS field, CASE WHEN block_id % 2 = 0 THEN 'cover_row_' || block_id % 7 || ':left' END AS cell, x1, y1, x2, y2 FROM blocks),
+an AS (SELECT * FROM (VALUES ('f0', 'below', 'a1', 0.0::DOUBLE, 0.0::DOUBLE, 60.0::DOUBLE, 18.0::DOUBLE), ('f2', 'right', 'a2', 0.0, 300.0, 40.0, 320.0), ('f2', 'same_row', 'a3', 10.0, 200.0, 90.0, 215.0)) v(field, rel, anchor_id, ax1, ay1, ax2, ay2)),
+pr AS (SELECT * FROM c JOIN an USING (field)), """ + _RELATED + """,
+m AS (SELECT candidate_id, anchor_id, way AND al AND d <= lim AS matched, round(CASE WHEN way AND al AND d <= lim THEN greatest(0, 1 - d / lim) ELSE 0 END, 4) AS s FROM f),
+b AS (SELECT candidate_id, max(s) AS s, max(CASE WHEN matched THEN (s, anchor_id) END) AS best FROM m GROUP BY 1),
+r AS (SELECT candidate_id, field, CASE field WHEN 'f0' THEN ((x1 + x2) / 2 >= 450 AND (y1 + y2) / 2 <= 820 * 0.22)::INTEGER WHEN 'f1' THEN CASE WHEN cell IS NOT NULL THEN (cell = 'cover_row_4:left')::INTEGER END END AS t FROM c);
+SELECT candidate_id, field, coalesce(t, 0)::DOUBLE AS topology_score, coalesce(s, 0)::DOUBLE AS anchor_score, best[2] AS anchor_id, CASE WHEN t = 0 THEN 'LOW' END AS cap FROM r LEFT JOIN b USING (candidate_id)""")
 def i16_spatial_evidence(t):
     c = t.blocks.selectExpr("concat_ws('-', document_id, page_number, block_id) AS candidate_id", "concat('f', block_id % 3) AS field", "CASE WHEN block_id % 2 = 0 THEN concat('cover_row_', block_id % 7, ':left') END AS source_cell", "900D AS page_width", "820D AS page_height", "x1", "y1", "x2", "y2")
     topology = t.spark.createDataFrame([("f0", "page_region", "top_right_header"), ("f1", "cover_slot", "cover_row_4:left")], "field string, kind string, expected string")
@@ -305,7 +315,13 @@ def c16_match_aliases(t):
     return L.match_aliases(t.blocks, [("the", "article"), ("of the", "genitive"), ("de la", "genitive"), ("de la", "place"), ("und", "joint"), ("license", "license")])
 
 
-@query()
+@query("""
+RECURSIVE o AS (SELECT document_id AS d, page_number AS p, x1, row_number() OVER (PARTITION BY document_id, page_number ORDER BY (y1 + y2) / 2, x1, block_id) AS k FROM blocks WHERE regexp_matches(text, '\\S')),
+g AS (SELECT DISTINCT d, p, 0::BIGINT AS k, []::STRUCT(m DOUBLE, n BIGINT)[] AS a FROM o UNION ALL
+  SELECT d, p, k, CASE WHEN h IS NULL THEN list_append(a, {'m': x1, 'n': 1::BIGINT}) ELSE list_transform(a, lambda z, i: CASE WHEN i = h THEN {'m': z.m + (x1 - z.m) / (z.n + 1), 'n': z.n + 1} ELSE z END) END
+  FROM (SELECT g.d, g.p, o.k, o.x1, g.a, nullif(list_position(list_transform(g.a, lambda z: abs(o.x1 - z.m) <= 12), true), 0) AS h FROM g JOIN o ON o.d = g.d AND o.p = g.p AND o.k = g.k + 1)),
+l AS (SELECT d, p, arg_max(a, k) AS a FROM g GROUP BY d, p), u AS (SELECT d, p, unnest(a) AS z FROM l);
+SELECT d AS document_id, p AS page_number, round(z.m, 4) AS x, z.n::INTEGER AS support FROM u WHERE z.n >= 2""")
 def d15_column_anchors(t):
     return L.column_anchors(t.blocks)
 

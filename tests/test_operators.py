@@ -586,3 +586,11 @@ def test_no_page_is_multiplied_out(spark):
     touch = "x1 <= cx2 AND x2 >= cx1 AND y1 <= cy2 AND y2 >= cy1"
     assert met.filter(touch).count() == df.crossJoin(cells.drop("document_id", "page_number")).filter(touch).count() == met.filter(touch).select("block_id", "row", "col").distinct().count()
     assert met.count() < 0.1 * 300 * 600
+
+
+def test_sources_whose_pages_are_not_one_to_n_are_refused():
+    page = {"current_page": None, "total_pages": None, "ticket_number": None, "cover_score": 0.0}
+    for indices in ([1, 3], [2, 3], [1, 1, 2]):
+        (row,) = L.split_pages([{**page, "page_index": i} for i in indices])
+        assert (row["segment"], row["warnings"], row["start_page"], row["end_page"]) == (0, "pages_are_not_1_to_n", indices[0], indices[-1])
+    assert [s["segment"] for s in L.split_pages([{**page, "page_index": i} for i in (2, 1)])] == [1]

@@ -55,21 +55,24 @@ def link_orphans(child: DataFrame, parent: DataFrame, link: str, child_key: str,
 def match_by_containment(df: DataFrame, parents: DataFrame, text: str) -> DataFrame:
     """Adds ``parent_id``: the lowest id whose name holds the text, else whose code does; blank texts match nothing.
 
-    A text stands in a name only if its first three letters (all, if it has fewer) do: these are the
-    join's key, and each distinct text is compared once with the parents that have them.
+    A text stands in a name only if each three letters of it do (the text itself, if it is shorter).  The three that fewest parents have
+    are the join's key; a text with three that none has matches nothing.  Each distinct text is compared once.
     """
     texts = df.select(F.col(text).alias("_t")).filter(F.trim("_t") != "").distinct()
     p = parents.select(F.col("id").alias("_id"), F.upper("name").alias("_n"), F.upper("code").alias("_c"))
 
-    def grams(c: Column) -> Column:
+    def grams(c: Column, *sizes: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
-        return F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(c, i, n))))
+        return F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.substring(c, i, n))))
 
     empty = F.array().cast("array<string>")
-    p = p.withColumn("_g", F.explode(F.array_distinct(F.concat(F.coalesce(grams(F.col("_n")), empty), F.coalesce(grams(F.col("_c")), empty)))))
-    texts = texts.withColumn("_g", F.substring(F.upper("_t"), 1, 3))
+    p = p.withColumn("_g", F.explode(F.array_distinct(F.concat(F.coalesce(grams(F.col("_n"), 1, 2, 3), empty), F.coalesce(grams(F.col("_c"), 1, 2, 3), empty)))))
+    own = F.when(F.length("_t") <= 3, F.array(F.upper("_t"))).otherwise(F.filter(F.array_distinct(grams(F.upper("_t"), 3)), lambda g: F.length(g) == 3))
+    frequency = p.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"))
+    counted = texts.withColumn("_g", F.explode(own)).join(frequency, "_g", "left")
+    rarest = counted.groupBy("_t").agg(F.min(F.struct(F.coalesce("_k", F.lit(0)).alias("k"), F.col("_g").alias("g"))).alias("m")).filter("m.k > 0").select("_t", F.col("m.g").alias("_g"))
     by_name, by_code = F.contains("_n", F.upper("_t")), F.contains("_c", F.upper("_t"))
-    pairs = texts.join(p, (texts["_g"] == p["_g"]) & (by_name | by_code)).groupBy("_t").agg(F.min(F.when(by_name, F.col("_id"))).alias("_x"), F.min(F.when(by_code, F.col("_id"))).alias("_y"))
+    pairs = rarest.join(p, (rarest["_g"] == p["_g"]) & (by_name | by_code)).groupBy("_t").agg(F.min(F.when(by_name, F.col("_id"))).alias("_x"), F.min(F.when(by_code, F.col("_id"))).alias("_y"))
     found = pairs.select("_t", F.coalesce("_x", "_y").alias("parent_id"))
     return df.join(found, F.col(text) == F.col("_t"), "left").drop("_t")
 

@@ -6,6 +6,7 @@ Each job takes an event table, read with ``readStream`` or ``read``.  Late rows:
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -24,6 +25,7 @@ DELAY = "10 minutes"
 
 # --- Rows of a key in the order of their times
 
+Forget = Callable[[tuple], datetime.datetime]
 Step = Callable[[tuple | None, object, pd.DataFrame], tuple[tuple, pd.DataFrame]]
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -35,8 +37,8 @@ class HeldUntilWatermark(StatefulProcessor):
     finds up to the watermark is complete, however the rows were dealt to micro-batches.
     """
 
-    def __init__(self, step: Step, columns: list[str], order: list[str], held: T.StructType, state: str):
-        self.step, self.columns, self.order, self.held_schema, self.state_schema = step, columns, order, held, state
+    def __init__(self, step: Step, columns: list[str], order: list[str], held: T.StructType, state: str, forget: Forget | None = None):
+        self.step, self.columns, self.order, self.held_schema, self.state_schema, self.forget = step, columns, order, held, state, forget
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -57,11 +59,16 @@ class HeldUntilWatermark(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         rows = pd.DataFrame(list(self.held.get()), columns=self.columns, dtype=object)
-        past = rows[self.order[0]].map(_micros) <= timerValues.getCurrentWatermarkInMs() * 1000
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        past = rows[self.order[0]].map(_micros) <= watermark
         ready, later = rows[past], rows[~past]
+        if self.forget and not len(rows) and self.state.exists() and _micros(self.forget(self.state.get())) <= watermark:
+            self.state.clear()
         if len(ready):
             state, out = self.step(self.state.get() if self.state.exists() else None, key[0], ready.sort_values(self.order, kind="stable"))
             self.state.update(state)
+            if self.forget:
+                self._wake(self.forget(state))
             if len(later):
                 self.held.put(list(later.itertuples(index=False, name=None)))
                 self._wake(later[self.order[0]].min())
@@ -79,8 +86,9 @@ def _micros(at) -> int:
     return (at.tz_localize("UTC") if at.tzinfo is None else at).value // 1000
 
 
-def in_order(rows: DataFrame, key: str, order: list[str], step: Step, out: str, state: str) -> DataFrame:
+def in_order(rows: DataFrame, key: str, order: list[str], step: Step, out: str | T.StructType, state: str, forget: Forget | None = None) -> DataFrame:
     """``step`` over the rows of each key in ``order``, whose first column is their time; state is what it returns beside its rows.
+    ``forget`` tells from a state when it has no effect any more; a stream then drops it.
 
     A table is sorted within tasks and streams through them, so that no key is held in memory.  A stream is held back by the watermark
     (``DELAY``); it needs the RocksDB state store, which is set here, and a session in UTC.  Rows without key or time take no part.
@@ -92,7 +100,7 @@ def in_order(rows: DataFrame, key: str, order: list[str], step: Step, out: str,
             raise ValueError("times that are held back need a session in UTC")
         rows.sparkSession.conf.set(*_PROVIDER)
         held = T.StructType([rows.schema[c] for c in columns])
-        return rows.withWatermark(at, DELAY).groupBy(key).transformWithStateInPandas(HeldUntilWatermark(step, columns, order, held, state), out, "append", "eventTime")
+        return rows.withWatermark(at, DELAY).groupBy(key).transformWithStateInPandas(HeldUntilWatermark(step, columns, order, held, state, forget), out, "append", "eventTime")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, None
@@ -225,9 +233,24 @@ def signature_flow(signatures: DataFrame) -> DataFrame:
 
 
 def ingest_once(requests: DataFrame, key: str = "idempotency_key", column: str = "at") -> DataFrame:
-    """The first request of each key, and again the first one 24 hours or more after the last that was taken."""
+    """The first request of each key, and again the first one 24 hours or more after the last that was taken.
+
+    A stream holds requests until the watermark (``DELAY``), so that it takes the same ones in whatever order they come, and forgets a key
+    24 hours after the one it took.
+    """
+    day, names = datetime.timedelta(hours=24), requests.columns
     if requests.isStreaming:
-        return requests.withWatermark(column, "24 hours").dropDuplicatesWithinWatermark([key])
+
+        def step(state, own, rows):
+            last, kept = None if state is None else pd.Timestamp(state[0]), []
+            for at in pd.to_datetime(rows[column]):
+                kept.append(last is None or at - last >= day)
+                last = at if kept[-1] else last
+            return (last.to_pydatetime(),), rows[kept].assign(**{key: own})[names]
+
+        others = [c for c in requests.columns if c not in (key, column)]
+        typed = requests.withColumn(column, F.col(column).cast("timestamp"))
+        return in_order(typed, key, [column, *others], step, typed.schema, "last timestamp", lambda state: state[0] + day)
 
     def taken(batches):
         last = None  # key and time taken last; rows come in order

@@ -105,9 +105,15 @@ def test_tickets(spark, sf_dir, tmp_path):
 
 
 def test_ingest_once(spark, tmp_path):
-    df = spark.createDataFrame([(k % 4, k) for k in range(12)], "idempotency_key long, k int").select("idempotency_key", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, k)").alias("at"))
-    got = streamed(spark, df, tmp_path, J.ingest_once, "at")
-    assert sorted(r["idempotency_key"] for r in got) == [0, 1, 2, 3] == sorted(r["idempotency_key"] for r in J.ingest_once(df).collect())
+    """Requests a day apart are taken again, in whatever order they come; a stream forgets what it no longer needs."""
+    r = random.Random(6)
+    rows = [(60 * h + r.randrange(60), f"k{r.randrange(4)}", h) for h in range(0, 130, 2)]
+    stream, table = stream_of(spark, tmp_path, [*arriving(rows, 8), [(10_000, "last", 0)], [(20_000, "last", 1)], [(30_000, "end", 1)]], "minute int, idempotency_key string, n int")
+    got = [x for x in collected(J.ingest_once, stream, tmp_path) if x["idempotency_key"].startswith("k")]
+    want = J.ingest_once(table.filter("idempotency_key like 'k%'")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and 12 <= len(got) < 30
+    state = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "cp"))
+    assert state.count() == 0  # a day after its last request each key is forgotten
 
 
 def test_ingest_again_after_a_day(spark):

@@ -2,12 +2,14 @@
 repeated rows, empty tables and further columns whose names clash with results."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -474,6 +476,58 @@ def test_language_sample_keeps_every_language(spark):
     assert langid.identify(french, model).first()["lang_pred"] == "fr"
 
 
+def svm_loss(w, x, y, c=10.0):
+    """Squared hinge with classes weighed equally, as the models minimise it."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
+    return 0.5 * w @ w + c / len(y) * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+
+def test_linear_svm_by_hand():
+    """No step along any axis or along the gradient lowers the loss noticeably."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * r.normal(size=120) > 0.4, 1.0, -1.0)
+    w = langid.linear_svm(x, y).astype(float)
+    least = svm_loss(w, x, y)
+    for axis in np.eye(6):
+        for step in (-0.05, 0.05):
+            assert svm_loss(w + step * axis, x, y) > least - 1e-6
+    slope = np.array([(svm_loss(w + 1e-5 * e, x, y) - svm_loss(w - 1e-5 * e, x, y)) / 2e-5 for e in np.eye(6)])
+    assert np.abs(slope).max() < 1e-2 and ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.85
+
+
+def test_language_predictions_by_hand(spark):
+    """Family by the largest margin, language by votes of the pairs, score from both, one text at a time in doubles."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(documents.filter(~langid.held_out()), per_language=60)
+    assert set(model.pairs) == {tuple(sorted(p)) for m in model.members.values() for p in combinations(m, 2)}
+    rows = documents.filter("doc_id < 150").select("doc_id", "text")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(rows, model).collect()}
+    unlike = 0
+    for doc_id, text in rows.collect():
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        x = np.append(langid.vectors([text.encode()])[0].astype(float), 1.0)
+        margins = {f: math.exp(4 * max(-10, min(10, float(x @ w)))) for f, w in zip(model.families, model.family_weights.astype(float))}
+        family = max(margins, key=margins.get)
+        score, members = margins[family] / sum(margins.values()), model.members[family]
+        votes, total = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                m = float(x @ w.astype(float))
+                votes[a if m >= 0 else b] += 1
+                total[a] += m
+                total[b] -= m
+        lang = max(members, key=lambda k: votes[k] + 1e-3 * math.tanh(total[k]))
+        if len(members) > 1:
+            score /= 1 + math.exp(-4 * max(-10, min(10, total[lang] / (len(members) - 1))))
+        unlike += got[doc_id][0] != lang  # margins of almost nothing round either way
+        assert got[doc_id][0] != lang or abs(got[doc_id][1] - score) < 1e-3
+    assert unlike <= 1
+
+
 def test_language_vectors_by_hand(monkeypatch):
     texts = [t.encode() for t in ("", "Ab1c", "xx  yy", "é" * 40, prose(1, 80))]
     plain = langid.vectors(texts, 64)

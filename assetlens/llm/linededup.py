@@ -57,14 +57,33 @@ class Lines:
     words: Words
     variable: np.ndarray
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each masked line: its tokens' hashes, mixed with their places, summed up."""
+    def terms(self) -> list[np.ndarray]:
+        """For both halves, hashes of all tokens mixed with their places in the line."""
         place = (np.arange(self.n.sum()) - np.repeat(self.start, self.n)).astype(np.uint64) + np.uint64(1)
-        sums = []
+        out = []
         for half in self.halves:
             place = mix64(place)
-            sums.append(mix64(np.add.reduceat(mix64(half ^ place), self.start) + self.n.astype(np.uint64)))
-        return tuple(sums)
+            out.append(mix64(half ^ place))
+        return out
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each masked line: its terms summed up."""
+        return tuple(mix64(np.add.reduceat(t, self.start) + self.n.astype(np.uint64)) for t in self.terms())
+
+    def open_ids(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """128 bits of each of the lines with one token after the leading ones left open: the sum without its term, and its place; and
+        how many there are before each line."""
+        n = np.where(self.n[picked] >= LEAST, self.n[picked] - LEAD, 0)
+        before = np.concatenate([[0], np.cumsum(n)])
+        owner = np.repeat(np.arange(len(picked)), n)
+        at = np.arange(before[-1]) - before[owner] + LEAD
+        token = self.start[picked][owner] + at
+        mark = at.astype(np.uint64) + (self.n[picked][owner].astype(np.uint64) << np.uint64(32))
+        ids = []
+        for t in self.terms():
+            mark = mix64(mark + np.uint64(0x9E3779B97F4A7C15))
+            ids.append(mix64(np.add.reduceat(t, self.start)[picked][owner] - t[token] + mark).view(np.int64))
+        return before, *ids
 
     def branches(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the branches of each line (number of tokens, leading tokens, block), and where each line's start."""
@@ -125,7 +144,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, line, version, masked) of the lines at the places ``chosen``."""
+    """(doc_id, line, version, masked, t1, t2) of the lines at the places ``chosen``; t1, t2: their open templates."""
     places = chosen.groupBy("doc_id", "version").agg(F.collect_set("line").alias("chosen"))
     rows = _rows(docs).withColumn("version", version(F.col("text"))).join(places.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "chosen")
 
@@ -137,9 +156,11 @@ def line_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             picked = np.flatnonzero(np.isin(lines.owner << 32 | lines.number, owner << 32 | wanted.flatten().to_numpy()))
             doc_id, at = (batch.column(c).take(pa.array(lines.owner[picked])) for c in ("doc_id", "version"))
             texts = pa.array([lines.text(k) for k in picked.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(lines.number[picked], pa.int32()), at, texts], names=["doc_id", "line", "version", "masked"])
+            before, *ids = lines.open_ids(picked) if len(picked) else (np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
+            opened = [pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(x)) for x in ids]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(lines.number[picked], pa.int32()), at, texts, *opened], names=["doc_id", "line", "version", "masked", "t1", "t2"])
 
-    return rows.mapInArrow(run, "doc_id long, line int, version long, masked string")
+    return rows.mapInArrow(run, "doc_id long, line int, version long, masked string, t1 array<long>, t2 array<long>")
 
 
 def version(text: Column) -> Column:
@@ -154,15 +175,6 @@ def _fits(a: Column, b: Column) -> Column:
     return (F.size(x) == F.size(y)) & (F.slice(x, 1, LEAD) == F.slice(y, 1, LEAD)) & (differ <= F.floor(F.size(x) / OPEN))
 
 
-def open_templates(texts: DataFrame) -> DataFrame:
-    """(t1, t2, at): hashes of each line (at, masked) with one token after the leading ones left open, and of the place of this token."""
-    tokens = F.split("masked", " ")
-    rows = texts.withColumn("t", tokens).filter(F.size("t") >= LEAST)
-    rest = lambda i: F.concat_ws(" ", F.slice("t", 1, i), F.lit("\0"), F.slice("t", i + 2, F.size("t")))
-    opened = rows.select("at", F.explode(F.transform(F.sequence(F.lit(LEAD), F.size("t") - 1), rest)).alias("line"))
-    return opened.select(F.xxhash64("line").alias("t1"), F.xxhash64(F.lit(1), "line").alias("t2"), "at")
-
-
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, n_lines, n_dropped, dropped) of every row; ``dropped``: line numbers, ascending, from 0."""
     # What is joined grows with the input, so it is never broadcast: the plan is the same at any size.
@@ -174,9 +186,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         heads = kept.stored(at.groupBy("branch").agg(F.min("first").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("branch", "u"), "heads").hint("merge")
         pairs = kept.stored(at.join(heads, "branch").filter("u <> first").select("u", F.col("first").alias("v")).distinct(), "pairs")
         places = pairs.select(F.explode(F.array("u", "v")).alias("p")).select("p.*").distinct()
-        texts = kept.stored(line_texts(docs, places).select(place.alias("at"), "masked").dropDuplicates(["at"]), "line-texts").hint("merge")
+        read = kept.stored(line_texts(docs, places).select(place.alias("at"), "masked", "t1", "t2").dropDuplicates(["at"]), "line-texts")
+        texts = read.select("at", "masked").hint("merge")
         ends = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").filter(_fits(F.col("a"), F.col("b")))
-        opened = kept.stored(open_templates(texts), "open-templates")
+        opened = read.select("at", F.explode(F.arrays_zip("t1", "t2")).alias("t")).select("t.t1", "t.t2", "at")
         shared = kept.stored(opened.groupBy("t1", "t2").agg(F.min("at").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-templates").hint("merge")
         alike = opened.join(shared, ["t1", "t2"]).filter("u <> at").select("u", F.col("at").alias("v"))
         roots = components(ends.select("u", "v").unionByName(alike), kept).toDF("first", "root")

@@ -87,9 +87,16 @@ def i7_column_roles(t):
     return L.infer_roles(t.blocks)
 
 
+def _three_columns(t):
+    """The blocks dealt to three columns, so that rows have several cells; every fourth first cell is a code."""
+    left, top = F.expr("260D * (block_id % 3)"), F.expr("20D * (block_id div 3)")
+    code = F.when(F.col("block_id") % 12 == 0, F.format_string("%04d", "block_id")).otherwise(F.substring("text", 1, 30))
+    return t.blocks.withColumns({"text": code, "x1": left, "y1": top, "x2": left + F.least(F.length("text"), F.lit(30)) * 7, "y2": top + 12})
+
+
 @query()
 def i8_reconstruct_page(t):
-    return L.records(L.reconstruct_page(t.blocks))
+    return L.records(L.reconstruct_page(_three_columns(t)))
 
 
 def _grids(t):

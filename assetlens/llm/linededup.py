@@ -12,9 +12,10 @@ templates, of two kinds:
 
 So up to 19 tokens, where at most one may be open, every two lines that are near enough share a template;
 of longer lines each joins every line that differs in one token, and the first of each branch in more.
-Templates that share a line are one.  Two lines that are near share a block, so only lines whose block is
-another line's too are read again.  Branches and templates are found by hash and split over tasks: no leaf
-is gathered in one, and only a line's distance to the first lines of its branches is measured, on the tokens.
+Templates that share a line are one.  Two lines that are near share a block, and all blocks but one if
+they differ in one token, so only such lines are read again and opened.  Branches and templates are
+found by hash and split over tasks: no leaf is gathered in one, and only a line's distance to the first
+lines of its branches is measured, on the tokens.
 
 A template that recurs in two documents or more is boilerplate: of all its lines, those of all
 templates joined to it included, only the first in order of doc_id and line stays.
@@ -70,10 +71,10 @@ class Lines:
         """128 bits of each masked line: its terms summed up."""
         return tuple(mix64(np.add.reduceat(t, self.start) + self.n.astype(np.uint64)) for t in self.terms())
 
-    def open_ids(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """128 bits of each of the lines with one token after the leading ones left open: the sum without its term, and its place; and
-        how many there are before each line."""
-        n = np.where(self.n[picked] >= LEAST, self.n[picked] - LEAD, 0)
+    def open_ids(self, picked: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """128 bits of each of the lines ``wanted`` with one token after the leading ones left open: the sum without its term, and its
+        place; and how many there are before each line."""
+        n = np.where(wanted & (self.n[picked] >= LEAST), self.n[picked] - LEAD, 0)
         before = np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(picked)), n)
         at = np.arange(before[-1]) - before[owner] + LEAD
@@ -144,19 +145,22 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, line, version, masked, t1, t2) of the lines at the places ``chosen``; t1, t2: their open templates."""
-    places = chosen.groupBy("doc_id", "version").agg(F.collect_set("line").alias("chosen"))
-    rows = _rows(docs).withColumn("version", version(F.col("text"))).join(places.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "chosen")
+    """(doc_id, line, version, masked, t1, t2) of the lines at the places ``chosen``; t1, t2: the open templates of those that are ``near``."""
+    places = chosen.groupBy("doc_id", "version").agg(F.collect_set("line").alias("chosen"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
+    rows = _rows(docs).withColumn("version", version(F.col("text"))).join(places.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "text", "chosen", "near")
 
     def run(batches):
         for batch in slices(batches):
             lines = lines_of(texts_of(batch.column("text")))
-            wanted = batch.column("chosen")
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy())
-            picked = np.flatnonzero(np.isin(lines.owner << 32 | lines.number, owner << 32 | wanted.flatten().to_numpy()))
+            named = lines.owner << 32 | lines.number
+            told = []
+            for wanted in (batch.column("chosen"), batch.column("near")):
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy())
+                told.append(np.isin(named, owner << 32 | wanted.flatten().to_numpy()))
+            picked = np.flatnonzero(told[0])
             doc_id, at = (batch.column(c).take(pa.array(lines.owner[picked])) for c in ("doc_id", "version"))
             texts = pa.array([lines.text(k) for k in picked.tolist()], pa.string())
-            before, *ids = lines.open_ids(picked) if len(picked) else (np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
+            before, *ids = lines.open_ids(picked, told[1][picked]) if len(picked) else (np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
             opened = [pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(x)) for x in ids]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(lines.number[picked], pa.int32()), at, texts, *opened], names=["doc_id", "line", "version", "masked", "t1", "t2"])
 
@@ -182,16 +186,18 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         parsed = kept.stored(parsed_lines(docs), "parsed-lines")
         place = F.struct("doc_id", "line", "version")
         lines = kept.stored(parsed.groupBy("id1", "id2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(place).alias("first"), F.first("branches").alias("branches")), "lines")
-        at = lines.select(F.explode("branches").alias("branch"), "first")
+        at = lines.select(F.explode("branches").alias("branch"), F.size("branches").alias("blocks"), "first")
         heads = kept.stored(at.groupBy("branch").agg(F.min("first").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("branch", "u"), "heads").hint("merge")
-        pairs = kept.stored(at.join(heads, "branch").filter("u <> first").select("u", F.col("first").alias("v")).distinct(), "pairs")
-        places = pairs.select(F.explode(F.array("u", "v")).alias("p")).select("p.*").distinct()
+        shared = kept.stored(at.join(heads, "branch").select("u", "first", "blocks"), "shared-blocks")
+        pairs = kept.stored(shared.filter("u <> first").select("u", F.col("first").alias("v")).distinct(), "pairs")
+        # A line that differs from another one in one token shares all its blocks but one.
+        places = shared.groupBy("first").agg((F.max("blocks") - F.count(F.lit(1)) <= 1).alias("near")).select("first.*", "near")
         read = kept.stored(line_texts(docs, places).select(place.alias("at"), "masked", "t1", "t2").dropDuplicates(["at"]), "line-texts")
         texts = read.select("at", "masked").hint("merge")
         ends = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").filter(_fits(F.col("a"), F.col("b")))
         opened = read.select("at", F.explode(F.arrays_zip("t1", "t2")).alias("t")).select("t.t1", "t.t2", "at")
-        shared = kept.stored(opened.groupBy("t1", "t2").agg(F.min("at").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-templates").hint("merge")
-        alike = opened.join(shared, ["t1", "t2"]).filter("u <> at").select("u", F.col("at").alias("v"))
+        recur = kept.stored(opened.groupBy("t1", "t2").agg(F.min("at").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared-templates").hint("merge")
+        alike = opened.join(recur, ["t1", "t2"]).filter("u <> at").select("u", F.col("at").alias("v"))
         roots = components(ends.select("u", "v").unionByName(alike), kept).toDF("first", "root")
         roots = kept.stored(roots.unionByName(roots.select(F.col("root").alias("first"), "root").distinct()), "roots").hint("merge")
         # A template's root is its first line.

@@ -61,7 +61,7 @@ def test_sql_gives_the_same_rows(spark, sf_dir, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "benchmark", "conversations", "labels", "embeddings"):
         db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     told = db.sql(oracle.SQL[name])

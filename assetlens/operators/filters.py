@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def search_any(df: DataFrame, q: str | None, columns: list[str]) -> DataFrame:
     """Rows where ``q`` is a part of any of the columns, whatever its case; all rows for an empty q."""
@@ -82,8 +84,45 @@ def header_blocks(blocks: DataFrame, share: float, by: str = "centre") -> DataFr
     return blocks.withColumn("_height", F.max("y2").over(page)).filter(y <= F.col("_height") * share).drop("_height")
 
 
+#: Pages that end within so many rows are the top rows of the order; later ones are read from an index.
+TOP_ROWS = 10_000
+
+
+class PageIndex:
+    """Rows written once in the order of their pages, so that any page is read from the files that hold it.
+
+    Rows are dealt by ranges of ``order`` and sorted within them; nothing is put in order by one task.  A row's mark is its
+    range and its place there, so a page is a span of marks in one range or a few, which the files' statistics find.
+    Rows that ``order`` can't tell apart stand in any order; an empty table has one page without rows.
+    """
+
+    def __init__(self, df: DataFrame, *order: Column):
+        self.columns = df.columns
+        self.rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mark", F.monotonically_increasing_id()), "pages")
+        pieces = self.rows.groupBy(F.shiftright("_mark", 33).alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        # One row for each range, not for each row.
+        self.pieces = written(pieces.withColumn("before", before), "page-ranges")
+        self.total: int = self.pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def numbered(self, name: str = "place") -> DataFrame:
+        """All rows with their place in the whole order, from 1."""
+        placed = self.rows.withColumn("piece", F.shiftright("_mark", 33)).join(self.pieces, "piece")
+        place = F.col("before") + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        return placed.select(*self.columns, place.alias(name))
+
+    def span(self, first: int, n: int) -> DataFrame:
+        """``n`` rows from place ``first`` (from 0) on, in order."""
+        held = self.pieces.filter((F.col("before") < first + n) & (F.col("before") + F.col("n") > first)).collect()  # n ranges at most
+        marks = [((r["piece"] << 33) + max(0, first - r["before"]), (r["piece"] << 33) + min(r["n"], first + n - r["before"]) - 1) for r in held]
+        return self.rows.filter(reduce(or_, [F.col("_mark").between(*m) for m in marks], F.lit(False))).orderBy("_mark").select(*self.columns)
+
+
 def paginate(df: DataFrame, page: str | int, size: int, *order: Column) -> DataFrame:
-    """Rows of a page with page, pages and total; no number means the first page, out of range the last."""
+    """Rows of a page with page, pages and total; no number means the first page, out of range the last.
+
+    A page deep in the order comes from a ``PageIndex``; who turns many pages keeps one.
+    """
     total = df.count()
     pages = max(1, -(-total // size))
     try:
@@ -91,7 +130,8 @@ def paginate(df: DataFrame, page: str | int, size: int, *order: Column) -> DataF
     except (TypeError, ValueError):
         wanted = 1
     wanted = wanted if 1 <= wanted <= pages else pages
-    rows = df.orderBy(*order).offset((wanted - 1) * size).limit(size)
+    first = (wanted - 1) * size
+    rows = df.orderBy(*order).limit(first + size).offset(first) if first + size <= TOP_ROWS else PageIndex(df, *order).span(first, size)
     return rows.withColumns({"page": F.lit(wanted).cast("long"), "pages": F.lit(pages).cast("long"), "total": F.lit(total).cast("long")})
 
 

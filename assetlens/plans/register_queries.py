@@ -548,6 +548,20 @@ def f1_paginate(t):
     return B.paginate(t.part.select("p_partkey", "p_name"), "3", 25, F.col("p_name"), F.col("p_partkey"))
 
 
+@query("""
+r AS (SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, count(*) OVER () AS total, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS k FROM lineitem), p AS (SELECT *, (total + 39) // 40 AS pages FROM r);
+SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, least(1200, pages)::BIGINT AS page, pages::BIGINT AS pages, total FROM p WHERE k // 40 + 1 = least(1200, pages)""")
+def f1_deep_page(t):
+    order = F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    return B.paginate(t.lineitem.select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"), 1200, 40, *order)
+
+
+@query("SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS place FROM events")
+def f1_numbered_rows(t):
+    rows = t.events.select("event_id", "user_id", "ts")
+    return B.PageIndex(rows, F.col("user_id"), F.col("ts"), F.col("event_id")).numbered().drop("ts")
+
+
 @query("SELECT id, created_at FROM sheets WHERE status = 'ISSUED' ORDER BY created_at DESC, id DESC LIMIT 15")
 def f2_top_recent(t):
     return B.top_recent(t.sheets.filter("status = 'ISSUED'"), 15).select("id", "created_at")

@@ -70,6 +70,30 @@ def test_paginate(spark, page, want):
     assert {r["page"] for r in rows} == {want} and [r["id"] for r in rows] == list(range((want - 1) * 10, min(25, want * 10)))
 
 
+@pytest.mark.parametrize("page, want", [("2", 2), ("x", 1), ("99", 17), (None, 1), (16, 16)])
+def test_paginate_by_index(spark, page, want, monkeypatch):
+    """Pages from the index are those of a plain sort: nulls, ties, a hot value, descending order."""
+    monkeypatch.setattr(B, "TOP_ROWS", 0)
+    data = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"v{i % 7}") for i in range(161)]
+    df = spark.createDataFrame(data, "id long, v string").repartition(5)
+    rows = B.paginate(df, page, 10, F.desc_nulls_first("v"), F.col("id")).collect()
+    plain = sorted(data, key=lambda r: r[0])
+    plain = [r for r in plain if r[1] is None] + sorted((r for r in plain if r[1]), key=lambda r: r[1], reverse=True)
+    assert [(r["id"], r["v"]) for r in rows] == plain[(want - 1) * 10 : want * 10]
+    assert {(r["page"], r["pages"], r["total"]) for r in rows} == {(want, 17, 161)}
+
+
+def test_page_index(spark, monkeypatch):
+    monkeypatch.setattr(B, "TOP_ROWS", 0)
+    index = B.PageIndex(spark.range(1000).repartition(7), F.desc("id"))
+    assert sorted((r["place"], r["id"]) for r in index.numbered().collect()) == [(k + 1, 999 - k) for k in range(1000)]
+    assert [r["id"] for r in index.span(0, 1000).collect()] == list(range(999, -1, -1)) and index.span(1000, 5).count() == 0
+    repeated = B.PageIndex(spark.createDataFrame([("a",)] * 50 + [(None,)] * 3, "v string"), F.col("v"))
+    assert [r["v"] for r in repeated.span(0, 60).collect()] == [None] * 3 + ["a"] * 50 and repeated.total == 53
+    empty = spark.range(0)
+    assert B.paginate(empty, 3, 10, F.col("id")).count() == 0 and B.PageIndex(empty, F.col("id")).numbered().count() == 0
+
+
 def test_previous_version_is_strictly_earlier(spark):
     rows = [(1, 7, "2024-01-01"), (2, 7, "2024-01-02"), (3, 7, "2024-01-02"), (4, 7, "2024-01-03"), (5, None, "2024-01-01")]
     df = spark.createDataFrame(rows, "id long, device_id long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))

@@ -255,13 +255,38 @@ def i19_sibling_fields(t):
     return resolve_fields(existing, blocks, aliases, rules, topology, anchors, [], 900.0, 820.0, siblings, ["ticket"])
 
 
-@query()
-def i20_document_result(t):
+def _document_results(t):
     fields = t.events.selectExpr("user_id AS document_id", "event_type AS field", "CAST(value AS STRING) AS value", "CASE WHEN value > 90 THEN 'review_required' ELSE 'auto_selected' END AS status", "round(value / 100, 4) AS confidence")
     settings = t.events.selectExpr("user_id AS document_id", "event_id % 3 AS page_number", "event_id AS place", "event_type AS name", "CAST(value AS STRING) AS value")
     return P.document_result(fields, settings, t.events.filter("event_type = 'error'").selectExpr("user_id AS document_id", "concat('W', event_id % 5) AS code"), t.events.filter("event_type = 'view'").selectExpr("user_id AS document_id", "event_id % 3 AS page_number", "event_id AS place", "event_type AS text"))
 
 
+@query()
+def i20_document_result(t):
+    return _document_results(t)
+
+
+@query("""
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS num FROM events);
+SELECT user_id AS document_id,
+  string_agg(event_type || '=' || value::VARCHAR || '/' || CASE WHEN value > 90 THEN 'review_required' ELSE 'auto_selected' END, '|' ORDER BY event_type, value::VARCHAR, value) AS fields,
+  string_agg((event_id % 3)::VARCHAR || '.' || num::VARCHAR || ':' || event_type || '=' || value::VARCHAR, '|' ORDER BY event_id % 3, num) AS settings,
+  coalesce(string_agg(DISTINCT 'W' || (event_id % 5)::VARCHAR, '|' ORDER BY 'W' || (event_id % 5)::VARCHAR) FILTER (WHERE event_type = 'error'), '') AS warnings,
+  coalesce(string_agg((event_id % 3)::VARCHAR || ':' || event_type, '|' ORDER BY event_id % 3, event_id) FILTER (WHERE event_type = 'view'), '') AS notes,
+  bool_or(value > 90 OR event_type IN ('error', 'view')) AS review FROM e GROUP BY 1""")
+def i20_result_lines(t):
+    """The same results with each list in one line."""
+    line = lambda column, of: F.array_join(F.transform(column, of), "|").alias(column)
+    return _document_results(t).select(
+        "document_id",
+        line("fields", lambda x: F.concat(x["field"], F.lit("="), x["value"], F.lit("/"), x["status"])),
+        line("settings", lambda x: F.concat(x["page_number"], F.lit("."), x["number"], F.lit(":"), x["name"], F.lit("="), x["value"])),
+        line("warnings", lambda x: x),
+        line("notes", lambda x: F.concat(x["page_number"], F.lit(":"), x["text"])),
+        "review",
+    )
+
+
 @query("""
 p AS (SELECT conv_id AS document_id, (turn + 1 + (conv_id % 7 = 0 AND turn > 1)::INTEGER) AS n, CASE WHEN turn = 0 THEN 'cover' WHEN turn = 1 AND conv_id % 5 <> 0 THEN 'skipped' ELSE 'detail' END AS role, length(text) % 50 <> 0 AS pay FROM conversations), per AS (SELECT document_id, count(*) AS c, count(DISTINCT n) AS d, min(n) AS lo, max(n) AS hi FROM p GROUP BY 1);
 SELECT document_id, 'pages_not_unique' AS rule FROM per WHERE c <> d UNION SELECT document_id, 'pages_not_contiguous' FROM per WHERE lo <> 1 OR hi - lo + 1 <> d UNION SELECT document_id, 'wrong_role' FROM p WHERE role <> CASE n WHEN 1 THEN 'cover' WHEN 2 THEN 'skipped' ELSE 'detail' END

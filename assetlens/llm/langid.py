@@ -6,8 +6,10 @@ vector machines tell the family; within a family, a linear support vector machin
 its languages votes, margins breaking ties.
 
 The models are fitted on at most ``SAMPLE_PER_LANGUAGE`` distinct labelled texts of each language,
-those of least hash, of which counts alone (not texts) reach the driver: a text that fills a third
-of all rows counts once, and every language that has a text is in the sample.
+those of least hash, and ``SAMPLE_TEXTS`` of all languages, shared alike; of these, counts alone
+(not texts) reach the driver, in one job.  A text that fills a third of all rows counts once, and
+every language that has a text is in the sample.  More than ``MAX_LANGUAGES`` values of ``lang``
+are not languages (a column that holds something else): ``fit`` refuses them.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; a text of any length is read
 whole; repeated documents get equal answers; with a single learnt language that one is predicted,
@@ -23,11 +25,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import appended, mix64, only, slices, stored, texts_of, widened
+from .common import appended, mix64, only, slices, texts_of, widened
 
 SAMPLE_PER_LANGUAGE = 600
+#: Texts of the sample at most (16 KB each on the driver) and languages that are learnt at most.
+SAMPLE_TEXTS, MAX_LANGUAGES = 20_000, 500
 #: Texts whose counts are held at once.
 ROWS = 512
 #: Bytes whose n-grams are counted at once.
@@ -130,9 +135,12 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: i
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     draw = F.shiftrightunsigned(F.xxhash64("text"), 1)
     rows = rows.select("lang", "text", draw.alias("draw"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02)).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02)).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return Model([], np.zeros((0, 0)), {}, {})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    per_language = min(per_language, max(1, SAMPLE_TEXTS // len(counts)))
     # A share of the hashes that leaves about twice the sample, then the least of these.
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2 * per_language / n))))
     picked = rows.filter(F.col("draw") <= share[F.col("lang")] * 2.0**63).groupBy("lang", "draw").agg(F.min("text").alias("text"))
@@ -142,11 +150,15 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, buckets: i
             x = vectors(texts_of(batch.column("text")), buckets).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "draw", "x"])
 
-    drawn = stored(picked.mapInArrow(features, "lang string, draw long, x binary"), "language-sample")
-    sample: dict[str, list] = {lang: drawn.filter(F.col("lang") == lang).orderBy("draw", "x").limit(per_language).collect() for lang in sorted(counts)}
+    # About twice the sample is left of each language, so the window is over few rows.
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "x"))
+    drawn = picked.mapInArrow(features, "lang string, draw long, x binary").withColumn("place", place).filter(F.col("place") <= per_language)
+    sample: dict[str, list] = {lang: [] for lang in sorted(counts)}
+    for r in drawn.select("lang", "place", "x").collect():
+        sample[r["lang"]].append((r["place"], r["x"]))
     if empty := [lang for lang, got in sample.items() if not got]:
         raise ValueError(f"no text drawn for {empty}")
-    data = {lang: np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) for lang, got in sample.items()}
+    data = {lang: np.stack([np.frombuffer(x, np.float16) for _, x in sorted(got)]).astype(np.float32) for lang, got in sample.items()}
     members: dict[str, list[str]] = {}
     for lang in data:
         members.setdefault(FAMILIES.get(lang, lang), []).append(lang)

@@ -483,6 +483,19 @@ def svm_loss(w, x, y, c=10.0):
     return 0.5 * w @ w + c / len(y) * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Many languages share the sample; a column of other values is refused, not collected."""
+    data = [(f"wort{k} und satz{k} {chr(97 + k % 26) * 5}", f"l{k % 12}") for k in range(240)]
+    df = spark.createDataFrame(data, "text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 24)
+    drawn = []
+    monkeypatch.setattr(langid, "linear_svm", lambda x, y: drawn.append(len(x)) or np.zeros(x.shape[1] + 1, np.float32))
+    assert sorted(langid.fit(df).families) == sorted({f"l{k}" for k in range(12)}) and set(drawn) == {24}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 11)
+    with pytest.raises(ValueError, match="more than 11 languages"):
+        langid.fit(df)
+
+
 def test_linear_svm_by_hand():
     """No step along any axis or along the gradient lowers the loss noticeably."""
     r = np.random.default_rng(3)

@@ -5,11 +5,11 @@ words of a benchmark item (a shorter item is one pattern).  For patterns of one
 table over blocks of two words tells how far the search may move; where the shift is nothing, the
 block's bucket, divided by the patterns' first words, names the patterns to compare directly.
 
-The benchmark is the stated query set.  It is searched in blocks of ``BLOCK_BYTES`` of item text:
-a block's tables are flat arrays (about ten bytes for each of text, words included), made once and
-broadcast, and a worker unpacks them once.  The documents pass once for each block (one pass unless
-the benchmark is larger than that), and a block is let go before the next one is made.  Documents
-are never shuffled for one block.
+The benchmark is the stated query set.  It is cut into blocks of about ``BLOCK_BYTES`` of item text;
+tasks make each block's tables, flat arrays of about ten bytes for each of text, and write them
+below ``spark.checkpoint.dir``.  The documents pass once, whatever the size of the benchmark, and are
+never shuffled: a task holds one block's tables at a time and a few MB of texts, over which the
+blocks pass; a worker keeps the tables it opened last, so a single block is opened once.
 
 Cases: null or empty text has no words and no hit; an item without words has no window; repeated
 items and repeated windows count for each item_id once; repeated documents are each answered;
@@ -20,17 +20,23 @@ a result's name, which the result replaces.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored, texts_of, widened
+from .common import appended, only, shared_dir, slices, texts_of, widened
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents over which the blocks pass at once.
+SLICE_BYTES = 32 << 20
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Upper case becomes lower case; every other ASCII character but digits and letters a space.
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -132,11 +138,11 @@ class Searches:
             starts = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
             self.by_length.append(WuManber(m, self.ids, starts, np.repeat(item, size)))
 
-    def hits(self, words: list[bytes]) -> tuple[bytearray | None, set[str]]:
-        """Marks of the words hit (None: none) and the items found."""
+    def hits(self, words: list[bytes], marks: bytearray | None = None) -> tuple[bytearray | None, set[str]]:
+        """Marks of the words hit (None: none), added to those given, and the items found."""
         if "number" not in self.__dict__:  # once in each worker
             self.number = {w: k for k, w in enumerate(self.words.split(), 1)}
-        ids, marks, items = memoryview(self.ids), None, set()
+        ids, items = memoryview(self.ids), set()
         for s in self.by_length:
             one = b"\1" * s.length
             for at, found in s.search(words, self.number.get, ids):
@@ -147,99 +153,63 @@ class Searches:
         return marks, {self.names[k] for k in items}
 
 
-def _digest(items: list[str]) -> str:
+def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _runs(marks: bytearray) -> list[dict]:
-    out, at = [], marks.find(1)
-    while at >= 0:
-        end = marks.find(0, at)
-        end = len(marks) if end < 0 else end
-        out.append({"lo": at, "hi": end})
-        at = marks.find(1, end)
-    return out
+def write_blocks(benchmark: DataFrame, folder: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Files of the tables of each block of the benchmark (item_id, text), written by tasks.
 
-
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Parts of the benchmark (item_id, text) of about ``block_bytes`` of text each."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    A repeated item counts once.  Attempts write files of their own; those of the attempt that counted are returned.
+    """
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = items.filter("text IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    keyed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-total // block_bytes)))))
+
+    def build(block: pa.Table) -> pa.Table:
+        made = Searches(list(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist())), window)
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path)
+        name = f"block-{block.column('block')[0].as_py()}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write(pickle.dumps(made))
+        return pa.table({"file": [f"{folder}/{name}"]})
 
+    return sorted(r[0] for r in keyed.groupBy("block").applyInArrow(build, "file string").collect())
 
-def _collected(block: DataFrame) -> list[tuple[str, bytes]]:
-    return [(r["item_id"] or "", bytes(r["text"])) for r in block.collect()]
+
+@lru_cache(maxsize=1)
+def opened(file: str) -> Searches:
+    """A block's tables; a worker holds those of one block."""
+    fs, path = pafs.FileSystem.from_uri(file)
+    with fs.open_input_stream(path) as source:
+        return pickle.loads(source.read())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    names = [x.split()[0] for x in _RESULT.split(", ")]
-    docs = only(docs, *names)
-    context = docs.sparkSession.sparkContext
-    blocks = list(benchmark_blocks(benchmark, block_bytes))
-    if len(blocks) == 1:
-        block = context.broadcast(Searches(_collected(blocks[0]), window))
-
-        def scan(batches):
-            searches = block.value
-            for batch in batches:
-                rows = []
-                for text in texts_of(batch.column("text")):
-                    words = words_of(text)
-                    marks, items = searches.hits(words)
-                    rows.append((len(words), sum(marks) if marks else 0, len(items), _digest(items), bool(marks)))
-                cols = list(zip(*rows)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*batch.schema.names, *names])
-
-        return docs.mapInArrow(scan, widened(docs, _RESULT))
-
-    # Several blocks: a pass for each, merged by the text, on which alone the answer depends.
-    def scan_block(block):
-        def scan(batches):
-            searches = block.value
-            for batch in batches:
-                out = []
-                for text in texts_of(batch.column("text")):
-                    words = words_of(text)
-                    marks, items = searches.hits(words)
-                    if marks:
-                        out.append({"sha": hashlib.sha256(text).hexdigest(), "n_words": len(words), "runs": _runs(marks), "items": sorted(items)})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("sha", pa.string()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("items", pa.list_(pa.string()))]))
-
-        return docs.select("text").mapInArrow(scan, "sha string, n_words long, runs array<struct<lo:long,hi:long>>, items array<string>")
-
-    found = None
-    for one in blocks:
-        sent = context.broadcast(Searches(_collected(one), window))
-        part = stored(scan_block(sent), "decontamination")
-        sent.destroy()
-        found = part if found is None else found.unionByName(part)
-    # Equal texts have equal rows in each pass, so sets lose nothing.
-    covered = F.aggregate(
-        F.sort_array("runs"),
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda a, r: F.struct(F.greatest(a["end"], r["hi"]).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), r["hi"] - F.greatest(a["end"], r["lo"]))).alias("n")),
-    )["n"]
-    found = (
-        found.groupBy("sha")
-        .agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select(F.col("sha").alias("_sha"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"))
-    )
-
-    def count(batches):
-        for batch in batches:
+    docs = only(docs, *(x.split()[0] for x in _RESULT.split(", ")))
+    files = write_blocks(benchmark, shared_dir(docs.sparkSession, "benchmark-blocks"), window, block_bytes)
+
+    def scan(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             texts = texts_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([len(words_of(t)) for t in texts], pa.int64())], names=[*batch.schema.names, "_sha", "n_words"])
-
-    keyed = docs.mapInArrow(count, widened(docs, "_sha string, n_words long"))
-    return keyed.join(found, "_sha", "left").select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
-    )
+            sizes, marks, items = [0] * len(texts), [None] * len(texts), [set() for _ in texts]
+            for file in files or [None]:
+                block = opened(file) if file else Searches([])
+                for k, text in enumerate(texts):
+                    words = words_of(text)
+                    marks[k], found = block.hits(words, marks[k])
+                    sizes[k] = len(words)
+                    items[k] |= found
+            yield appended(
+                batch,
+                n_words=pa.array(sizes, pa.int64()),
+                n_hit=pa.array([sum(m) if m else 0 for m in marks], pa.int64()),
+                n_items=pa.array([len(x) for x in items], pa.int64()),
+                items_sha256=pa.array([_digest(x) for x in items], pa.string()),
+                contaminated=pa.array([bool(m) for m in marks], pa.bool_()),
+            )
+
+    return docs.mapInArrow(scan, widened(docs, _RESULT))

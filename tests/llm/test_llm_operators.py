@@ -445,6 +445,8 @@ def test_decontamination(spark, odd, empty, block_bytes):
     got = rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = sorted(((i, *hits_by_hand(t, items)) for i, t in data), key=lambda t: tuple((True, str(x)) for x in t))
     assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1  # one pass over the documents, however many blocks
     assert decontam.decontaminate(docs.filter("false"), bench).count() == 0
     assert decontam.decontaminate(docs, bench.filter("false")).filter("contaminated").count() == 0
 

@@ -27,7 +27,13 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_run(spark, sf_dir):
+    import glob
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/assetlens/stage-*"))
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+    left = set(glob.glob(f"{shared}/assetlens/stage-*")) - before
+    assert len(left) == 1 and "stage-4" in left.pop()
 
 
 def test_near_copies_by_hand(spark, sf_dir):
@@ -54,6 +60,7 @@ def test_stages_on_odd_tables(spark, sf_dir):
     assert kept == sorted((i for i, _ in known if i is None or i in roots), key=str) and kept.count(4) == 2 and 5 not in kept
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf_dir).filter("doc_id < 10").collect()} == {4, 5, 6}
     assert corpus_pipeline.token_binary(spark, docs, sf_dir).count() == docs.count()
+    assert corpus_pipeline.token_binary(spark, docs.filter("false"), sf_dir).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))

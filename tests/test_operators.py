@@ -618,3 +618,35 @@ def test_sources_whose_pages_are_not_one_to_n_are_refused():
         (row,) = L.split_pages([{**page, "page_index": i} for i in indices])
         assert (row["segment"], row["warnings"], row["start_page"], row["end_page"]) == (0, "pages_are_not_1_to_n", indices[0], indices[-1])
     assert [s["segment"] for s in L.split_pages([{**page, "page_index": i} for i in (2, 1)])] == [1]
+
+
+# --- groups as streams
+
+
+def test_pages_pass_as_one_stream(spark):
+    """Pages cut by a batch's end stay whole, and no page costs a call of its own."""
+    rows = [(d, p, k, f"w{k}", float(200 * (k % 2)), 20.0 * (k // 2), 200.0 * (k % 2) + 50, 20.0 * (k // 2) + 12) for d in range(40) for p in (1, 2) for k in range(7)]
+    blocks = spark.createDataFrame(rows, "document_id long, page_number int, block_id long, text string, x1 double, y1 double, x2 double, y2 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for df in (L.build_rows(blocks), L.reconstruct_page(blocks)):
+            assert "MapInArrow" in (plan := df._jdf.queryExecution().toString()) and "FlatMap" not in plan
+        found = L.build_rows(blocks).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(rows) and all(r.row_id == r.block_id // 2 and r.place == r.block_id % 2 for r in found)
+
+
+def test_page_without_a_box_and_grid_without_blocks(spark):
+    schema = "document_id long, page_number int, block_id long, text string, x1 double, y1 double, x2 double, y2 double"
+    blocks = spark.createDataFrame([(1, 1, 1, None, None, None, None, None), (1, 1, 2, "a b", 0.0, 0.0, 50.0, 10.0)], schema)
+    grids = spark.createDataFrame([(2, 1, 1, [0.0, 9.0], [0.0, 5.0, 9.0])], "document_id long, page_number int, region int, across array<double>, down array<double>")
+    assert [(r.document_id, r.n_blocks) for r in L.page_layouts(blocks, grids).collect()] == [(1, 1)]
+
+
+def test_segment_warnings_tell_whole_numbers(spark):
+    """A page without pagination in the source must not turn the others' numbers into decimals."""
+    pages = spark.createDataFrame([(1, 1, 1, 9, "T", 0.6), (1, 2, None, None, None, 0.0), (1, 3, 7, 9, "T", 0.0)], "source long, page_index long, current_page long, total_pages long, ticket_number string, cover_score double")
+    (row,) = L.segment_pages(pages).collect()
+    assert "pagination_jump:1->7" in row.warnings and "physical_page_count_mismatch:3!=9" in row.warnings and row.expected_pages == 9

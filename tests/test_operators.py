@@ -665,3 +665,18 @@ def test_boxes_meet_within_their_page(spark):
         found.append(sorted((r.document_id, r.block_id, r.row, r.col) for r in met.collect()))
     joined = df.join(flat, ["document_id", "page_number"]).filter("x1 <= cx2 AND x2 >= cx1 AND y1 <= cy2 AND y2 >= cy1")
     assert found[0] == found[1] == sorted((r.document_id, r.block_id, r.row, r.col) for r in joined.collect())
+
+
+def test_capitals_keep_a_text_as_long_as_it_is(spark, tmp_path):
+    """A centred line of 120 letters with ß is a heading in capitals, too; as SS it would be one too long."""
+    import duckdb
+
+    from assetlens.plans import catalog
+
+    text = "\n".join(["x"] * 26 + ["Aß" + "b" * 118, *["x"] * 11, "ßßß ²²²² ªªª"])
+    spark.createDataFrame([(1, text, "de", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = catalog.QUERIES["i10_semantic_roles"](spark, str(tmp_path)).select("block_id", "role").collect()
+    assert sorted(map(tuple, found)) == sorted(c.sql(f"select block_id, role from ({catalog.SQL['i10_semantic_roles']})").fetchall())
+    assert dict(map(tuple, found))[26] == "section_heading"

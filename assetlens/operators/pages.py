@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CEILINGS, check_value, confidence_level, fold_text, overlap_1d, unit_coordinate
-from .joins import PAGE
+from .joins import BOX, PAGE
+
+
+#: Words as the expressions of Spark take them: anything between ASCII blanks.
+_WORD = re.compile(r"\S+", re.ASCII)
+
+
+def word_starts(text: str) -> list[int]:
+    """Where each word starts, in one pass."""
+    return [m.start() for m in _WORD.finditer(text)]
 
 
 def words_from_blocks(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """Words of the blocks with boxes interpolated by character offset, in 0..1000, and their order on the page."""
-    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    gaps = F.transform(F.split("text", r"\S+", -1), lambda g: F.length(g))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,lo:int,hi:int>>").alias("out"))
-
-    def add(acc, m):
-        lo = acc["at"] + m["gap"]
-        hi = lo + F.coalesce(F.length(m["word"]), F.lit(0))
-        one = F.array(F.struct(m["word"].alias("word"), lo.alias("lo"), hi.alias("hi")))
-        return F.struct(hi.alias("at"), F.when(m["word"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    placed = F.aggregate(F.arrays_zip(gaps.alias("gap"), words.alias("word")), start, add)["out"]
-    rows = blocks.withColumn("_w", placed).withColumn("_n", F.greatest(F.lit(1), F.length("text"))).select(*PAGE, "block_id", "x1", "y1", "x2", "y2", "_n", F.posexplode("_w").alias("_k", "_w"))
+    # Blocks are put in order, not their words: a word's number is that of the words in the blocks before, and its own place.
+    before = W.partitionBy(*PAGE).orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)
+    counted = blocks.select(*PAGE, "block_id", "text", *BOX).filter(F.col("text").rlike(r"\S")).withColumn("_before", F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))).over(before), F.lit(0)).cast("int"))
+    starts = F.udf(word_starts, "array<int>", useArrow=True)
+    words = F.arrays_zip(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("word"), starts("text").alias("lo"))
+    rows = counted.select(*PAGE, "block_id", *BOX, "_before", F.greatest(F.lit(1), F.length("text")).alias("_n"), F.posexplode(words).alias("_k", "_w"))
+    rows = rows.withColumn("_w", F.struct("_w.word", "_w.lo", (F.col("_w.lo") + F.length("_w.word")).alias("hi")))
     left = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_w.lo") / F.col("_n")
     right = F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_w.hi") / F.col("_n")
-    index = F.row_number().over(W.partitionBy(*PAGE).orderBy("block_id", "_k")) - 1
+    index = F.col("_before") + F.col("_k")
     w, h = F.lit(page_width), F.lit(page_height)
     return rows.select(
         *PAGE, "block_id", index.alias("word_index"), F.col("_w.word").alias("text"),

@@ -680,3 +680,14 @@ def test_capitals_keep_a_text_as_long_as_it_is(spark, tmp_path):
     found = catalog.QUERIES["i10_semantic_roles"](spark, str(tmp_path)).select("block_id", "role").collect()
     assert sorted(map(tuple, found)) == sorted(c.sql(f"select block_id, role from ({catalog.SQL['i10_semantic_roles']})").fetchall())
     assert dict(map(tuple, found))[26] == "section_heading"
+
+
+def test_words_of_a_long_block(spark):
+    """Blocks are ordered, not words, and a long block takes time in proportion: 60,000 words at once, numbered on after the block before."""
+    long = "é\t" + "ab  c d " * 30_000
+    df = spark.createDataFrame([(1, 1, 2, long, 0.0, 0.0, 900.0, 10.0), (1, 1, 1, " x y", 0.0, 0.0, 40.0, 10.0), (1, 1, 3, None, 0.0, 0.0, 1.0, 1.0)], "document_id long, page_number int, block_id int, text string, x1 double, y1 double, x2 double, y2 double")
+    began = time.perf_counter()
+    found = P.words_from_blocks(df, 900.0, 900.0).orderBy("word_index").collect()
+    assert time.perf_counter() - began < 20
+    assert [r.word_index for r in found] == list(range(60_003)) and [r.text for r in found[:6]] == ["x", "y", "é", "ab", "c d", "ab"]
+    assert [(r.nx1, r.nx2) for r in found[:2]] == [(11, 22), (33, 44)]

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import re
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, groupby, islice
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,9 +100,79 @@ def record_lines(df: DataFrame, multi: list[str]) -> DataFrame:
     return df.withColumns({c: F.array_join(c, " | ") for c in multi})
 
 
+#: Characters that Spark writes by their number in the name of a partition's folder, and the name of one without a value.
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Files or lines that a task tells of at once.
+_TOLD = 4096
+
+
+def folder_of(keys: Iterable[str], values: Iterable[str | None]) -> str:
+    """The folder that ``partitionBy`` has for these values."""
+    return "/".join(f"{k}={NO_VALUE if v is None else _ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', v)}" for k, v in zip(keys, values))
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    return chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+
+
+def _batches(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    return (pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=names) for held in batched(rows, _TOLD))
+
+
+def write_folders(df: DataFrame, keys: list[str], line: Column, path: str, ending: str, head: str | None = None) -> None:
+    """``line`` of every row in one file for each value of the keys, below ``head``, in the folders of ``partitionBy``; ``_files`` lists them.
+
+    Rows come sorted by their folder and a task writes one file at a time as they pass, since Spark's own writer has the driver move each
+    file and its reader has it list each folder.  A file is renamed when complete, so a second attempt changes nothing.
+    """
+    system, root = FileSystem.from_uri(path)
+    system.create_dir(root)
+    system.delete_dir_contents(root)
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in (*keys, "file")])
+
+    def files(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        system, root = FileSystem.from_uri(path)  # the task's own
+        for values, group in groupby(_rows(batches), key=lambda r: r[:-1]):
+            folder = f"{root}/{folder_of(keys, values)}"
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            system.create_dir(folder)
+            with system.open_output_stream(part) as out:
+                if head is not None:
+                    out.write(f"{head}\n".encode())
+                for *_, text in group:
+                    out.write(f"{text}\n".encode())
+            system.move(part, f"{folder}/part.{ending}")
+            yield (*values, f"{folder_of(keys, values)}/part.{ending}")
+
+    run = lambda batches: _batches(files(batches), fields.names)
+    rows = df.select(*(F.nullif(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys), line.alias("_line"))
+    rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, fields).write.parquet(f"{path.rstrip('/')}/_files")
+
+
+def read_folders(spark: SparkSession, path: str, keys: str, head: bool = False) -> DataFrame:
+    """(keys, value) of every line that ``write_folders`` wrote, without heads; ``keys`` is their DDL.  Tasks open the files that are listed."""
+    told = spark.read.parquet(f"{path.rstrip('/')}/_files")
+    named = T.StructType.fromDDL(keys)
+    fields = T.StructType([*(T.StructField(f.name, T.StringType()) for f in named), T.StructField("value", T.StringType())])
+
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        system, root = FileSystem.from_uri(path)
+        for *values, file in _rows(batches):
+            with system.open_input_stream(f"{root}/{file}") as stream:
+                for raw in islice(io.BufferedReader(stream), int(head), None):
+                    yield (*values, raw.decode().removesuffix("\n"))
+
+    run = lambda batches: _batches(lines(batches), fields.names)
+    return told.select(*named.names, "file").mapInArrow(run, fields).select(*(F.col(f.name).cast(f.dataType) for f in named), "value")
+
+
 def write_record_csv(df: DataFrame, path: str, multi: list[str]) -> None:
     """Flat records as CSV, a folder for each document."""
-    record_lines(df, multi).write.partitionBy("document_id").option("header", True).mode("overwrite").csv(path)
+    rows = record_lines(df, multi)
+    names = [c for c in rows.columns if c != "document_id"]
+    head = df.sparkSession.range(1).select(F.to_csv(F.struct(*(F.lit(c).alias(c) for c in names)))).first()[0]
+    write_folders(rows, ["document_id"], F.to_csv(F.struct(*names)), path, "csv", head)
 
 
 def write_record_files(records: DataFrame, unassigned: DataFrame, path: str, multi: list[str]) -> None:
@@ -106,7 +184,8 @@ def write_record_files(records: DataFrame, unassigned: DataFrame, path: str, mul
 
 def write_page_json(df: DataFrame, path: str) -> None:
     """One JSON file folder for each document and page."""
-    df.write.partitionBy("document_id", "page_number").mode("overwrite").json(path)
+    keys = ["document_id", "page_number"]
+    write_folders(df, keys, F.to_json(F.struct(*(c for c in df.columns if c not in keys))), path, "json")
 
 
 #: Media types by file ending (fixed values).

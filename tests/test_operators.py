@@ -349,6 +349,25 @@ def test_csv_and_sinks(spark, tmp_path):
     assert (row["path"], row["size"], row["media_type"]) == ("sub/x.json", 2, "application/json") and len(row["sha256"]) == 64
 
 
+def test_folders_by_document(spark, tmp_path):
+    """One file for each document, named as by partitionBy and moved by no driver; what is read back is what was written."""
+    rows = [(d, k, f"v,{k}" if k else None) for d in (*(f"d{i}" for i in range(3000)), "a/b=c", "é ü") for k in range(2)] + [(None, 7, 'x"y'), ("", 8, "z\\")]
+    df = spark.createDataFrame(rows, "document_id string, n int, name string")
+    path = f"file://{tmp_path}/csv"
+    for _ in range(2):  # the second time over the first
+        A.write_record_csv(df, path, [])
+    files = [p.relative_to(tmp_path / "csv").parts for p in (tmp_path / "csv").rglob("*.csv")]
+    assert len(files) == 3003 and all(len(p) == 2 and p[1] == "part.csv" for p in files)
+    want = sorted(((d or None, n, name) for d, n, name in rows), key=repr)
+    back = A.read_folders(spark, path, "document_id string", head=True).select("document_id", F.from_csv("value", "n int, name string").alias("r")).select("document_id", "r.*")
+    assert sorted(map(tuple, back.collect()), key=repr) == want
+    plain = spark.read.schema("n int, name string, document_id string").csv(path, header=True).select("document_id", "n", "name")
+    assert sorted(map(tuple, plain.collect()), key=repr) == want
+    A.write_page_json(spark.createDataFrame([(1, p, "l1\nl2") for p in range(3)], "document_id long, page_number int, text string"), f"{tmp_path}/json")
+    assert sorted(p.parent.name for p in (tmp_path / "json").rglob("part.json")) == [f"page_number={p}" for p in range(3)]
+    assert {r["value"] for r in A.read_folders(spark, f"{tmp_path}/json", "document_id long, page_number int").collect()} == {'{"text":"l1\\nl2"}'}
+
+
 def page_of(spark, boxes):
     """boxes: (text, x1, y1) of 70 by 18, or (text, x1, y1, x2, y2)."""
     rows = [(1, 1, k, b[0], *map(float, b[1:] if len(b) == 5 else (b[1], b[2], b[1] + 70, b[2] + 18))) for k, b in enumerate(boxes)]

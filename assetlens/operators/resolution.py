@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_text
@@ -49,10 +50,10 @@ def existing_candidates(existing: DataFrame, blocks: DataFrame) -> DataFrame:
 def distinct_candidates(found: DataFrame, there: DataFrame) -> DataFrame:
     """Both kinds, without what repeats: a found candidate of the same value goes if an earlier one holds one of its blocks, or one that is
     there holds one of its blocks or lies over it."""
-    named = found.withColumn("_v", _plain(F.col("value")))
+    named = written(found.withColumn("_v", _plain(F.col("value"))), "found-candidates")
     held = named.select(*PAGE, "field", "_v", "candidate_id", F.explode("blocks").alias("_b"))
     at = ["document_id", "page_number", "field", "_v", "_b"]
-    later = held.join(held.groupBy(*at).agg(F.min("candidate_id").alias("_first")), at).filter("candidate_id <> _first").select("candidate_id").distinct()
+    later = held.withColumn("_first", F.min("candidate_id").over(W.partitionBy(*at))).filter("candidate_id <> _first").select("candidate_id").distinct()
     old = there.select("document_id", "field", _plain(F.col("value")).alias("_v"), F.col("page_number").alias("_p"), F.col("blocks").alias("_blocks"), *(F.col(c).alias(f"_{c}") for c in BOX))
     over = (F.col("page_number") == F.col("_p")) & (F.least("x2", "_x2") > F.greatest("x1", "_x1")) & (F.least("y2", "_y2") > F.greatest("y1", "_y1"))
     same = named.join(old, ["document_id", "field", "_v"]).filter(over | F.arrays_overlap("blocks", "_blocks")).select("candidate_id").distinct()
@@ -62,9 +63,12 @@ def distinct_candidates(found: DataFrame, there: DataFrame) -> DataFrame:
 def sibling_evidence(candidates: DataFrame, siblings: DataFrame) -> DataFrame:
     """(candidate_id, sibling_score, sibling_id): the best relation to a candidate of a sibling field on the page, by rules (field, relation,
     anchor_field)."""
-    anchors = candidates.select(*PAGE, F.col("field").alias("anchor_field"), F.col("candidate_id").alias("anchor_id"), *(F.col(c).alias(f"a{c}") for c in BOX)).join(siblings, "anchor_field")
-    related = pages.relate(candidates.select(*PAGE, "candidate_id", "field", *BOX).join(anchors, [*PAGE, "field"]), F.col("relation")).filter("matched")
-    return related.groupBy("candidate_id").agg(F.max("score").alias("sibling_score"), F.max_by("anchor_id", F.struct("score", "anchor_id")).alias("sibling_id"))
+    # Candidates of one block have one box: boxes meet, and of the candidates in one the last id stands for all.
+    boxes = candidates.groupBy(*PAGE, "field", *BOX).agg(F.max("candidate_id").alias("anchor_id"))
+    anchors = boxes.select(*PAGE, F.col("field").alias("anchor_field"), "anchor_id", *(F.col(c).alias(f"a{c}") for c in BOX)).join(siblings, "anchor_field")
+    related = pages.relate(boxes.drop("anchor_id").join(anchors, [*PAGE, "field"]), F.col("relation")).filter("matched")
+    best = related.groupBy(*PAGE, "field", *BOX).agg(F.max("score").alias("sibling_score"), F.max_by("anchor_id", F.struct("score", "anchor_id")).alias("sibling_id"))
+    return candidates.select("candidate_id", *PAGE, "field", *BOX).join(best, [*PAGE, "field", *BOX]).select("candidate_id", "sibling_score", "sibling_id")
 
 
 def resolve_fields(
@@ -80,8 +84,8 @@ def resolve_fields(
     """
     siblings = siblings if siblings is not None else anchors.sparkSession.createDataFrame([], "field string, relation string, anchor_field string")
     wanted = existing.select("document_id", "field").distinct()
-    found = written(found_candidates(blocks, aliases), "found-candidates")
-    both = written(distinct_candidates(found, existing_candidates(existing, blocks)).join(wanted, ["document_id", "field"]), "candidates")
+    blocks, existing = written(blocks, "field-blocks"), written(existing, "existing-fields")
+    both = written(distinct_candidates(found_candidates(blocks, aliases), existing_candidates(existing, blocks)).join(wanted, ["document_id", "field"]), "candidates")
     sized = both.withColumns({"page_width": F.lit(page_width), "page_height": F.lit(page_height)})
     spatial = pages.spatial_evidence(sized, topology, anchors).select("candidate_id", "topology_score", "anchor_score", F.col("anchor_id").alias("_fixed"), F.col("cap").alias("_sc"))
     values = pages.validate_values(both.select(F.col("candidate_id").alias("value_id"), "field", "value"), value_rules).select(F.col("value_id").alias("candidate_id"), F.col("score").alias("_v"), F.col("cap").alias("_vc"))

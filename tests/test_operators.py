@@ -15,7 +15,7 @@ from assetlens.operators import joins as C
 from assetlens.operators import layout as L
 from assetlens.operators import pages as P
 from assetlens.operators import versions as V
-from assetlens.operators.resolution import resolve_fields
+from assetlens.operators.resolution import resolve_fields, sibling_evidence
 from assetlens.sources import readers as A
 
 
@@ -368,6 +368,27 @@ def test_folders_by_document(spark, tmp_path):
     assert {r["value"] for r in A.read_folders(spark, f"{tmp_path}/json", "document_id long, page_number int").collect()} == {'{"text":"l1\\nl2"}'}
 
 
+def test_aliases_of_a_long_block(spark):
+    """What follows a label is read up to the next blank, not to the end of the block."""
+    n = 20_000
+    df = spark.createDataFrame([(1, 1, 1, "the: a " * n + "other THE", 0.0, 0.0, 9.0, 9.0), (1, 1, 2, " the A1", 0.0, 0.0, 9.0, 9.0), (1, 1, 3, "bathe: x", 0.0, 0.0, 9.0, 9.0), (1, 1, 4, "the a", 0.0, 0.0, 9.0, 9.0)], PAGE_BLOCKS)
+    found = L.match_aliases(df, [("the", "station")])
+    began = time.perf_counter()
+    rows = found.groupBy("block_id", "separated").count().collect()
+    assert time.perf_counter() - began < 10
+    assert sorted(map(tuple, rows)) == [(1, True, n), (2, False, 1)]
+
+
+def test_siblings_meet_by_box(spark):
+    """Of candidates in one box the last id is told, to every candidate of the other field."""
+    box = lambda y: (0.0, y, 50.0, y + 10)
+    made = [(f"a{k:04}", 1, 1, "station", *box(0.0)) for k in range(2000)] + [(f"b{k:04}", 1, 1, "purpose", *box(20.0)) for k in range(2000)] + [("c", 1, 1, "purpose", *box(900.0))]
+    candidates = spark.createDataFrame(made, "candidate_id string, document_id long, page_number int, field string, x1 double, y1 double, x2 double, y2 double")
+    rules = spark.createDataFrame([("purpose", "below", "station")], "field string, relation string, anchor_field string")
+    rows = sibling_evidence(candidates, rules).collect()
+    assert len(rows) == 2000 and {(r["sibling_id"], r["sibling_score"]) for r in rows} == {("a1999", 0.875)}
+
+
 def page_of(spark, boxes):
     """boxes: (text, x1, y1) of 70 by 18, or (text, x1, y1, x2, y2)."""
     rows = [(1, 1, k, b[0], *map(float, b[1:] if len(b) == 5 else (b[1], b[2], b[1] + 70, b[2] + 18))) for k, b in enumerate(boxes)]

@@ -731,3 +731,32 @@ def test_words_of_a_long_block(spark):
     assert time.perf_counter() - began < 20
     assert [r.word_index for r in found] == list(range(60_003)) and [r.text for r in found[:6]] == ["x", "y", "é", "ab", "c d", "ab"]
     assert [(r.nx1, r.nx2) for r in found[:2]] == [(11, 22), (33, 44)]
+
+
+# --- pages of boxes
+
+
+def first_row_that_fits(bs):
+    rows = []
+    for b in bs:
+        for r in rows:
+            top, bottom = min((x.y1 for x in r), default=0), max(x.y2 for x in r)
+            common = min(b.y2, bottom) - max(b.y1, top)
+            if common / min(b.height, max(1.0, bottom - top)) >= 0.35 or abs(b.middle - (top + bottom) / 2) <= 0.65 * max(b.height, L.median(x.height for x in r)):
+                r.append(b)
+                break
+        else:
+            rows.append([b])
+    return sorted(sorted(b.id for b in r) for r in rows)
+
+
+def test_overlap_rows_in_one_sweep(monkeypatch):
+    rnd = random.Random(3)
+    for _ in range(300):
+        boxes = [(k, "x", rnd.uniform(0, 500), y := rnd.choice([20.0 * rnd.randrange(9), rnd.uniform(0, 180)]), 0.0, y + rnd.choice([0, 3, 12, 18, 18, 150, rnd.uniform(-5, 40)])) for k in range(rnd.randrange(30))]
+        bs = L.page_blocks(boxes)
+        assert sorted(sorted(b.id for b in r.blocks) for r in L.overlap_rows(bs)) == first_row_that_fits(bs)
+    asked, median = [], L.median
+    monkeypatch.setattr(L, "median", lambda values: asked.append(1) or median(values))
+    long = L.page_blocks([(k, "x", 0.0, 20.0 * k, 9.0, 20.0 * k + 12) for k in range(600)] + [(999, "x", None, None, None, None)])
+    assert len(L.overlap_rows(long)) == 601 and len(asked) < 1200  # some 180,000 when each row is asked for each block

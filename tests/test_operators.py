@@ -736,6 +736,19 @@ def test_words_of_a_long_block(spark):
 # --- pages of boxes
 
 
+def test_text_stays_behind_where_boxes_are_enough(spark, monkeypatch):
+    """Blocks of blanks, as Python tells blanks, are no blocks; the text of the others goes to no shuffle."""
+    blanks = [chr(c) for c in range(0x10000) if chr(c).isspace()]
+    rows = [(1, 1, k, x, 0.0, 20.0 * k, 50.0, 20.0 * k + 12) for k, x in enumerate([*blanks, "".join(blanks), "", None, "\u200b", " a ", "\x00", "\U0001f600"])]
+    blocks = spark.createDataFrame(rows, "document_id long, page_number int, block_id long, text string, x1 double, y1 double, x2 double, y2 double")
+    shuffled, in_groups = [], L.in_groups
+    monkeypatch.setattr(L, "in_groups", lambda df, *rest: shuffled.append(df.columns) or in_groups(df, *rest))
+    for policy in ("baseline", "overlap"):
+        assert sorted(r.block_id for r in L.build_rows(blocks, policy).collect()) == [k for k, *_ in (r[2:] for r in rows) if rows[k][3] and rows[k][3].split()]
+    L.infer_columns(blocks), L.column_anchors(blocks), L.table_candidates(blocks)
+    assert len(shuffled) == 5 and not any("text" in columns for columns in shuffled)
+
+
 def first_row_that_fits(bs):
     rows = []
     for b in bs:

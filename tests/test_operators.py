@@ -773,3 +773,15 @@ def test_overlap_rows_in_one_sweep(monkeypatch):
     monkeypatch.setattr(L, "median", lambda values: asked.append(1) or median(values))
     long = L.page_blocks([(k, "x", 0.0, 20.0 * k, 9.0, 20.0 * k + 12) for k in range(600)] + [(999, "x", None, None, None, None)])
     assert len(L.overlap_rows(long)) == 601 and len(asked) < 1200  # some 180,000 when each row is asked for each block
+
+
+def test_labels_are_told_by_the_start_of_a_text(monkeypatch):
+    read, plain_letter = [], L.plain_letter
+    monkeypatch.setattr(L, "plain_letter", lambda x: read.append(x) or plain_letter(x))
+    label, pair = L.Wording("trạm", "station"), L.Wording("de la", "purpose")
+    read.clear()
+    assert L.labels_in("Trạm: " + "é " * 50_000, [label, pair]) == {label: 4}
+    assert L.labels_in("é " * 50_000, [label, pair]) == {} and len(read) < 200
+    for text in ("trạm" + "́" * 90 + ": x", "." * 90 + "Trạm" + " " * 90 + "A1", "trạm" + "́" * 90, "trạm" + "́" * 90 + "x", "De" + "-" * 90 + "la AB", "de", ""):
+        plain, place = L.folded(text)
+        assert L.labels_in(text, [label, pair]) == {w: end for w in (label, pair) if (end := w.end_in(text, plain, place)) is not None}

@@ -156,12 +156,29 @@ def acceptance_summary(plan: DataFrame, runs: DataFrame, required_families: list
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per document: values preserved, supplemented (null before), changed; compatible if none changed or went."""
     b, a = before.select("document_id", "field", F.col("value").alias("old")), after.select("document_id", "field", F.col("value").alias("new"))
-    both = b.join(a, ["document_id", "field"], "full")
+    return compare_pairs(b.join(a, ["document_id", "field"], "full"))
+
+
+def compare_pairs(both: DataFrame) -> DataFrame:
+    """The same from the values paired: (document_id, old, new)."""
     same, more = F.col("old").eqNullSafe(F.col("new")), F.col("old").isNull() & F.col("new").isNotNull()
     out = both.groupBy("document_id").agg(F.count_if(same).alias("preserved"), F.count_if(more).alias("supplemented"), F.count_if(~same & ~more).alias("changed"))
     return out.withColumn("compatible", F.col("changed") == 0)
 
 
+def paired_snapshots(rows: DataFrame) -> DataFrame:
+    """(document_id, old, new) of two snapshots of the same rows (document_id, field, in_old, old, in_new, new), each the largest value of a field.
+
+    The pairs are those of a full join of the two, but the rows are grouped once: a task holds one table of fields, where the join has one
+    for each snapshot and sorts both.  As in the join, fields without a name or a document have no counterpart.
+    """
+    has, value = (lambda side: F.coalesce(F.max(f"in_{side}"), F.lit(False)).alias(f"in_{side}")), (lambda side: F.max(F.when(F.col(f"in_{side}"), F.col(side))).alias(side))
+    fields = rows.groupBy("document_id", "field").agg(has("old"), value("old"), has("new"), value("new")).filter("in_old OR in_new")
+    apart = (F.col("document_id").isNull() | F.col("field").isNull()) & F.col("in_old") & F.col("in_new")
+    pairs = F.expr("array(named_struct('old', old, 'new', if(in_old AND in_new, NULL, new)), named_struct('old', NULL, 'new', new))")
+    return fields.withColumn("pair", F.explode(F.when(apart, pairs).otherwise(F.array(F.struct("old", "new"))))).select("document_id", "pair.old", "pair.new")
+
+
 def trace_summary(events: DataFrame) -> DataFrame:
     """Per trace (trace_id, seq, terminal, completed, total): events, terminal ones, last progress."""
     return events.groupBy("trace_id").agg(

@@ -16,6 +16,7 @@ from assetlens.operators import layout as L
 from assetlens.operators import pages as P
 from assetlens.operators import versions as V
 from assetlens.operators.resolution import resolve_fields, sibling_evidence
+from assetlens.plans import catalog
 from assetlens.sources import readers as A
 
 
@@ -785,3 +786,16 @@ def test_labels_are_told_by_the_start_of_a_text(monkeypatch):
     for text in ("trạm" + "́" * 90 + ": x", "." * 90 + "Trạm" + " " * 90 + "A1", "trạm" + "́" * 90, "trạm" + "́" * 90 + "x", "De" + "-" * 90 + "la AB", "de", ""):
         plain, place = L.folded(text)
         assert L.labels_in(text, [label, pair]) == {w: end for w in (label, pair) if (end := w.end_in(text, plain, place)) is not None}
+
+
+def test_snapshots_of_the_same_rows_are_grouped_once(spark, sf_dir):
+    """The pairs of a full join, in which a field without a name or a document has no counterpart, without the join."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 2, 3, None]), rnd.choice(["a", "b", "c", None]), rnd.choice([True, False, None]), rnd.choice([1.0, 2.0, None]), rnd.choice([True, True, False]), rnd.choice([1.0, 2.0, None])) for _ in range(60)]
+    for part in (rows, rows[:9], rows[:1]):
+        df = spark.createDataFrame(part, "document_id long, field string, in_old boolean, old double, in_new boolean, new double")
+        before, after = (df.filter(f"in_{x}").groupBy("document_id", "field").agg(F.max(x).alias("value")) for x in ("old", "new"))
+        got, want = (sorted(map(str, x.collect())) for x in (D.compare_pairs(D.paired_snapshots(df)), D.compare_snapshots(before, after)))
+        assert got == want
+    plan = catalog.QUERIES["d13_compare_snapshots"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.split("== Physical Plan ==")[1].count("FileScan") == 1

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -159,19 +162,32 @@ ROW_TOLERANCE, COLUMN_TOLERANCE, FAR, FAR_ON_AXIS, LEAST_OVERLAP = 0.75, 2.0, 8.
 RELATIONS = ("above", "below", "left", "right", "same_row", "same_column", "same_row_right")
 
 
-def relate(pairs: DataFrame, relation: Column) -> DataFrame:
-    """Adds matched, distance, alignment, overlap, score and reason of candidate (x1..y2) to anchor (ax1..ay2)."""
-    c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2", "ax1", "ay1", "ax2", "ay2")}
-    scale = F.greatest(F.lit(1.0), (c["y2"] - c["y1"] + c["ay2"] - c["ay1"]) / 2)
-    cx, cy, ax, ay = (c["x1"] + c["x2"]) / 2, (c["y1"] + c["y2"]) / 2, (c["ax1"] + c["ax2"]) / 2, (c["ay1"] + c["ay2"]) / 2
-    across, down = overlap_1d(c["x1"], c["x2"], c["ax1"], c["ax2"]), overlap_1d(c["y1"], c["y2"], c["ay1"], c["ay2"])
-    row_error = F.abs(cy - ay) / scale
-    column_error = F.least(F.abs(c["x1"] - c["ax1"]), F.abs(cx - ax), F.abs(c["x2"] - c["ax2"])) / scale
-    gap_x = F.greatest(F.lit(0.0), F.greatest(c["x1"], c["ax1"]) - F.least(c["x2"], c["ax2"])) / scale
-    gap_y = F.greatest(F.lit(0.0), F.greatest(c["y1"], c["ay1"]) - F.least(c["y2"], c["ay2"])) / scale
-    r = relation
-    sideways = r.isin("left", "right", "same_row", "same_row_right")
-    limit = F.when(r.isin("same_row", "same_column", "same_row_right"), FAR_ON_AXIS).otherwise(FAR)
+class Arrays:
+    """For arrays what relations take of columns; missing numbers (NaN) are passed over, as nulls are."""
+
+    lit, abs = float, np.abs
+    greatest, least = (lambda *x: reduce(np.fmax, x)), (lambda *x: reduce(np.fmin, x))
+
+
+def _measured(box, anchor, m=F) -> tuple:
+    """Centres of both boxes (across, down, then the anchor's), gaps, errors and overlaps, each in rows and in columns."""
+    (x1, y1, x2, y2), (ax1, ay1, ax2, ay2) = box, anchor
+    scale = m.greatest(m.lit(1.0), (y2 - y1 + ay2 - ay1) / 2)
+    centres = cx, cy, ax, ay = (x1 + x2) / 2, (y1 + y2) / 2, (ax1 + ax2) / 2, (ay1 + ay2) / 2
+    overlaps = overlap_1d(y1, y2, ay1, ay2, m=m), overlap_1d(x1, x2, ax1, ax2, m=m)
+    errors = m.abs(cy - ay) / scale, m.least(m.abs(x1 - ax1), m.abs(cx - ax), m.abs(x2 - ax2)) / scale
+    gap = lambda a1, a2, b1, b2: m.greatest(m.lit(0.0), m.greatest(a1, b1) - m.least(a2, b2)) / scale
+    return centres, (gap(x1, x2, ax1, ax2), gap(y1, y2, ay1, ay2)), errors, overlaps
+
+
+SIDEWAYS, ON_AXIS = ("left", "right", "same_row", "same_row_right"), ("same_row", "same_column", "same_row_right")
+
+
+def relation_of(box: list[Column], anchor: list[Column], r: Column) -> dict[str, Column]:
+    """matched, distance, alignment, overlap, score and reason of a box (x1..y2) and an anchor's."""
+    (cx, cy, ax, ay), (gap_x, gap_y), (row_error, column_error), (down, across) = _measured(box, anchor)
+    sideways = r.isin(*SIDEWAYS)
+    limit = F.when(r.isin(*ON_AXIS), FAR_ON_AXIS).otherwise(FAR)
     distance, alignment, overlap = F.when(sideways, gap_x).otherwise(gap_y), F.when(sideways, row_error).otherwise(column_error), F.when(sideways, down).otherwise(across)
     way = F.when(r == "above", cy < ay).when(r == "below", cy > ay).when(r == "left", cx < ax).when(r.isin("right", "same_row_right"), cx > ax).otherwise(F.lit(True))
     strict = row_error <= ROW_TOLERANCE
@@ -180,7 +196,55 @@ def relate(pairs: DataFrame, relation: Column) -> DataFrame:
     matched = way & aligned & near
     reason = F.when(~way, "direction_mismatch").when(~aligned, "axis_alignment_mismatch").when(~near, "normalized_distance_exceeded").otherwise("relation_matched")
     score = F.when(matched, F.greatest(F.lit(0.0), 1 - distance / limit)).otherwise(0.0)
-    return pairs.withColumns({"matched": matched, "distance": F.round(distance, 4), "alignment": F.round(alignment, 4), "overlap": F.round(overlap, 4), "score": F.round(score, 4), "reason": reason})
+    return {"matched": matched, "distance": F.round(distance, 4), "alignment": F.round(alignment, 4), "overlap": F.round(overlap, 4), "score": F.round(score, 4), "reason": reason}
+
+
+def relate(pairs: DataFrame, relation: Column) -> DataFrame:
+    """Adds matched, distance, alignment, overlap, score and reason of candidate (x1..y2) to anchor (ax1..ay2)."""
+    return pairs.withColumns(relation_of([F.col(k) for k in BOX], [F.col(f"a{k}") for k in BOX], relation))
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To four digits as ``F.round`` does: of two equally near, up, by the digits that the number is written with."""
+    scaled = x * 1e4
+    out = np.floor(scaled + 0.5) / 1e4
+    for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)):
+        out[at] = float(Decimal(repr(float(x[at]))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    return out
+
+
+def relation_scores(boxes: np.ndarray, anchors: np.ndarray, r: str) -> np.ndarray:
+    """Score of each box (a row x1..y2) with each anchor's as ``relate`` tells it, -1 where they don't match."""
+    (cx, cy, ax, ay), (gap_x, gap_y), (row_error, column_error), (down, across) = _measured(boxes.T[:, :, None], anchors.T[:, None, :], Arrays)
+    sideways, limit = r in SIDEWAYS, FAR_ON_AXIS if r in ON_AXIS else FAR
+    distance = gap_x if sideways else gap_y
+    ways = {"above": cy < ay, "below": cy > ay, "left": cx < ax, "right": cx > ax, "same_row_right": cx > ax}
+    strict = row_error <= ROW_TOLERANCE
+    aligned = strict if r in ("same_row", "same_row_right") else (down >= LEAST_OVERLAP) | strict if sideways else (across >= LEAST_OVERLAP) | (column_error <= COLUMN_TOLERANCE)
+    matched = ways.get(r, True) & aligned & (distance <= limit)
+    return np.where(matched, rounded(np.fmax(0.0, 1 - distance / limit)), -1.0)
+
+
+def with_spatial_evidence(candidates: DataFrame, topology: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The candidates with topology_score, anchor_score, anchor_id and cap; the fields' rules and anchors are small and come to each task."""
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    cell = F.regexp_extract(F.coalesce("source_cell", F.lit("")), r"(?:^|:)(cover_row_\d+:(?:right_primary|right_secondary|left|right))(?::|$)", 1)
+    region = (cx >= F.col("page_width") * 0.5) & (cy <= F.col("page_height") * 0.22)
+    hit = lambda t: F.when((t["kind"] == "page_region") & (t["expected"] == "top_right_header"), region.cast("double")).when((t["kind"] == "cover_slot") & (cell != ""), (cell == t["expected"]).cast("double")).when(t["kind"] == "source_policy", 1.0)
+
+    def scored(a):
+        told = relation_of([F.col(c) for c in BOX], [a[f"a{c}"] for c in BOX], a["relation"])
+        return F.struct(told["score"].alias("score"), a["anchor_id"].alias("anchor_id"), told["matched"].alias("matched"))
+
+    rules = topology.groupBy("field").agg(F.collect_list(F.struct("kind", "expected")).alias("_rules"))
+    placed = anchors.groupBy("field").agg(F.collect_list(F.struct("relation", "anchor_id", *(f"a{c}" for c in BOX))).alias("_anchors"))
+    rows = candidates.join(F.broadcast(rules), "field", "left").join(F.broadcast(placed), "field", "left").withColumn("_related", F.transform("_anchors", scored))
+    best = F.array_max(F.transform(F.filter("_related", lambda a: a["matched"]), lambda a: F.struct(a["score"], a["anchor_id"].alias("anchor_id"))))
+    told = {
+        "topology_score": F.array_min(F.transform("_rules", hit)), "anchor_score": F.coalesce(F.array_max(F.transform("_related", lambda a: a["score"])), F.lit(0.0)), "anchor_id": best["anchor_id"],
+    }
+    rows = rows.withColumns(told).withColumn("cap", F.when(F.coalesce(F.col("topology_score") == 0, F.lit(False)), "LOW"))
+    return rows.withColumn("topology_score", F.coalesce("topology_score", F.lit(0.0))).drop("_rules", "_anchors", "_related")
 
 
 def spatial_evidence(candidates: DataFrame, topology: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -189,16 +253,26 @@ def spatial_evidence(candidates: DataFrame, topology: DataFrame, anchors: DataFr
     candidates: candidate_id, field, source_cell, page_width, page_height, x1..y2; topology: field,
     kind (page_region, cover_slot, source_policy: met by any value), expected; anchors: field, relation, anchor_id, ax1..ay2.
     """
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    cell = F.regexp_extract(F.coalesce("source_cell", F.lit("")), r"(?:^|:)(cover_row_\d+:(?:right_primary|right_secondary|left|right))(?::|$)", 1)
-    region = (cx >= F.col("page_width") * 0.5) & (cy <= F.col("page_height") * 0.22)
-    hit = F.when((F.col("kind") == "page_region") & (F.col("expected") == "top_right_header"), region.cast("double")).when((F.col("kind") == "cover_slot") & (cell != ""), (cell == F.col("expected")).cast("double")).when(F.col("kind") == "source_policy", 1.0)
-    rules = candidates.join(topology, "field").withColumn("_hit", hit).groupBy("candidate_id").agg(F.min("_hit").alias("topology_score"))
-    related = relate(candidates.join(anchors, "field"), F.col("relation"))
-    best = related.groupBy("candidate_id").agg(F.max("score").alias("anchor_score"), F.max_by("anchor_id", F.when(F.col("matched"), F.struct("score", "anchor_id"))).alias("anchor_id"))
-    out = candidates.select("candidate_id", "field").join(rules, "candidate_id", "left").join(best, "candidate_id", "left")
-    capped = F.coalesce(F.col("topology_score") == 0, F.lit(False))
-    return out.select("candidate_id", "field", F.coalesce("topology_score", F.lit(0.0)).alias("topology_score"), F.coalesce("anchor_score", F.lit(0.0)).alias("anchor_score"), "anchor_id", F.when(capped, "LOW").alias("cap"))
+    return with_spatial_evidence(candidates, topology, anchors).select("candidate_id", "field", "topology_score", "anchor_score", "anchor_id", "cap")
+
+
+def with_value_checks(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (field, value, ...) with ``checks``: of each active rule of the field, its status and whether it is required; null without a rule."""
+    rule = ["kind", "options", "pattern", "low", "high", "required"]
+    told = rules.filter("active and kind is not null").groupBy("field").agg(F.collect_list(F.struct(*rule)).alias("_rules"))
+    checked = lambda r: F.struct(check_value(F.col("value"), *(r[c] for c in rule))["status"].alias("status"), r["required"].alias("required"))
+    return values.join(F.broadcast(told), "field", "left").withColumn("checks", F.transform("_rules", checked)).drop("_rules")
+
+
+def _share_passed(passed: Column, evaluated: Column) -> Column:
+    return F.when(evaluated == 0, 0.0).otherwise(F.round(passed / evaluated, 4))
+
+
+def value_signal(checks: Column) -> tuple[Column, Column]:
+    """Share of passed rules, and a cap if a required one failed, of one value's ``checks``."""
+    n = lambda test: F.coalesce(F.size(F.filter(checks, test)), F.lit(0))
+    broken = F.coalesce(F.exists(checks, lambda c: (c["status"] == "failed") & c["required"]), F.lit(False))
+    return _share_passed(n(lambda c: c["status"] == "passed"), n(lambda c: c["status"].isin("passed", "failed"))), F.when(broken, "LOW")
 
 
 def validate_values(values: DataFrame, rules: DataFrame) -> DataFrame:
@@ -211,8 +285,7 @@ def validate_values(values: DataFrame, rules: DataFrame) -> DataFrame:
     s = F.col("_c.status")
     agg = checked.groupBy("value_id").agg(F.count_if(s == "passed").alias("passed"), F.count_if(s.isin("passed", "failed")).alias("evaluated"), F.count_if((s == "failed") & F.col("required")).alias("broken"))
     status = F.when(F.col("broken") > 0, "failed").when(F.col("evaluated") == 0, "not_evaluated").when(F.col("passed") == F.col("evaluated"), "passed").otherwise("partial")
-    share = F.when(F.col("evaluated") == 0, 0.0).otherwise(F.round(F.col("passed") / F.col("evaluated"), 4))
-    return agg.select("value_id", status.alias("status"), share.alias("score"), F.when(F.col("broken") > 0, "LOW").alias("cap"))
+    return agg.select("value_id", status.alias("status"), _share_passed(F.col("passed"), F.col("evaluated")).alias("score"), F.when(F.col("broken") > 0, "LOW").alias("cap"))
 
 
 #: Weights of the six signals of a candidate (fixed values).

@@ -88,9 +88,9 @@ def numbering_jumps(pages: DataFrame) -> DataFrame:
     return rows.filter("before_index is not null and current_page - before_page <> page_index - before_index").select("source", "page_index", "before_page", "current_page")
 
 
-def rank_candidates(scored: DataFrame, least: float = 70.0, margin: float = 15.0) -> DataFrame:
-    """Per field the leader, its margin to the runner-up, and whether it is selected, with reasons."""
-    w = W.partitionBy("field").orderBy(F.desc("score"), "candidate_id")
+def rank_candidates(scored: DataFrame, least: float = 70.0, margin: float = 15.0, key: tuple[str, ...] = ("field",), kept: tuple[str, ...] = ()) -> DataFrame:
+    """Per field (of ``key``) the leader, its margin to the runner-up, and whether it is selected, with reasons; ``kept``: columns of the leader."""
+    w = W.partitionBy(*key).orderBy(F.desc("score"), "candidate_id")
     rows = scored.withColumns({"rank": F.row_number().over(w), "runner_up": F.lead("candidate_id").over(w), "margin": F.round(F.col("score") - F.lead("score").over(w), 4)}).filter("rank = 1")
     reasons = F.array_compact(
         F.array(
@@ -101,7 +101,7 @@ def rank_candidates(scored: DataFrame, least: float = 70.0, margin: float = 15.0
     )
     out = rows.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "auto_selected").otherwise("review_required"))
     told = F.when(F.size("reasons") == 0, F.array(F.lit("auto_select_conditions_satisfied"))).otherwise(F.col("reasons"))
-    return out.select("field", F.col("candidate_id").alias("leader"), "runner_up", "score", "margin", "status", F.array_join(told, ",").alias("reasons"))
+    return out.select(*key, F.col("candidate_id").alias("leader"), "runner_up", "score", "margin", "status", F.array_join(told, ",").alias("reasons"), *kept)
 
 
 def text_after_marker(blocks: DataFrame, marker: str) -> DataFrame:

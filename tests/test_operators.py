@@ -1,10 +1,14 @@
 """Small inputs with exact outputs for the operators that SQL can't check, and the sources."""
 
 import datetime
+import hashlib
 import json
 import random
+import tempfile
 import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -799,3 +803,51 @@ def test_snapshots_of_the_same_rows_are_grouped_once(spark, sf_dir):
         assert got == want
     plan = catalog.QUERIES["d13_compare_snapshots"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
+def moved(spark, run):
+    """Bytes that tasks write for others while ``run`` runs: shuffles, and tables in the shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = held() + shuffled()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return held() + shuffled() - before
+
+
+def labelled_documents(spark, n=100):
+    """Each document a page of 40 blocks with two labels and long values that don't repeat."""
+    word = lambda *at: "".join(hashlib.md5(f"{at}{k}".encode()).hexdigest() for k in range(10))
+    rows = [(d, 1, b, f"Station: {word(d, b, 1)} Model: {word(d, b, 2)}", 10.0, 20.0 * b, 900.0, 20.0 * b + 12) for d in range(n) for b in range(40)]
+    path = tempfile.mkdtemp(prefix="blocks-")
+    spark.createDataFrame(rows, PAGE_BLOCKS).write.mode("overwrite").parquet(path)
+    existing = spark.createDataFrame([(d, f, None) for d in range(n) for f in ("station", "model")], "document_id long, field string, value string")
+    return spark.read.parquet(path), existing, sum(len(r[3]) for r in rows)
+
+
+def test_sibling_resolution_moves_texts_once(spark):
+    df, existing, size = labelled_documents(spark)
+    tables = {k: spark.createDataFrame([], schema) for k, schema in NONE.items() if k != "siblings"}
+    siblings = spark.createDataFrame([("model", "below", "station")], NONE["siblings"])
+    resolve = lambda: resolve_fields(existing, df, [("Station", "station"), ("Model", "model")], tables["rules"], tables["topology"], tables["anchors"], [], 900.0, 820.0, siblings)
+    assert moved(spark, lambda: resolve().write.format("noop").mode("overwrite").save()) < 1.3 * size  # hex digits take half of their bytes
+
+
+def test_relations_of_arrays_are_those_of_columns(spark):
+    rng = random.Random(1)
+    box = lambda: (x := rng.randrange(40) / 4, y := rng.randrange(400) / 16, x + rng.randrange(60) / 8, y + 1 + rng.randrange(5))
+    boxes, anchors = [box() for _ in range(60)], [box() for _ in range(40)]
+    pairs = spark.createDataFrame([(k, j, *a, *b) for k, a in enumerate(boxes) for j, b in enumerate(anchors)], "k int, j int, x1 double, y1 double, x2 double, y2 double, ax1 double, ay1 double, ax2 double, ay2 double")
+    for r in P.RELATIONS:
+        told = P.relation_scores(np.array(boxes), np.array(anchors), r)
+        rows = P.relate(pairs, F.lit(r)).select("k", "j", "matched", "score").collect()
+        assert any(x["matched"] for x in rows) and all(told[x["k"], x["j"]] == (x["score"] if x["matched"] else -1) for x in rows)
+    ties = np.array([0.00005, 0.12345, 0.99995, 0.5, 1 / 3, 0.28125])
+    assert P.rounded(ties).tolist() == [r[0] for r in spark.createDataFrame([(float(x),) for x in ties], "x double").select(F.round("x", 4)).collect()]
+
+
+def test_values_are_folded_alike(spark):
+    rows = [(chr(c), f"a{chr(c)}B  1{chr(c)}") for c in (*range(1, 0x800), *range(0x1E00, 0x2200))]
+    assert all(S.folded_value(r["t"]) == r["f"] for r in spark.createDataFrame(rows, "c string, t string").select("t", S.fold_text(F.col("t")).alias("f")).collect())

@@ -851,3 +851,15 @@ def test_relations_of_arrays_are_those_of_columns(spark):
 def test_values_are_folded_alike(spark):
     rows = [(chr(c), f"a{chr(c)}B  1{chr(c)}") for c in (*range(1, 0x800), *range(0x1E00, 0x2200))]
     assert all(S.folded_value(r["t"]) == r["f"] for r in spark.createDataFrame(rows, "c string, t string").select("t", S.fold_text(F.col("t")).alias("f")).collect())
+
+
+def test_resolution_with_rules_moves_texts_once(spark):
+    df, existing, size = labelled_documents(spark)
+    rules = spark.createDataFrame([("model", "numeric", None, None, None, None, True, True)], NONE["rules"])
+    topology = spark.createDataFrame([("station", "page_region", "top_right_header")], NONE["topology"])
+    anchors = spark.createDataFrame([("station", "below", "a1", 0.0, 0.0, 600.0, 18.0), ("station", "right", "a2", 0.0, 0.0, 5.0, 12.0)], NONE["anchors"])
+    resolve = lambda: resolve_fields(existing, df, [("Station", "station"), ("Model", "model")], rules, topology, anchors, ["model"], 900.0, 820.0)
+    assert moved(spark, lambda: resolve().write.format("noop").mode("overwrite").save()) < 1.3 * size
+    got = {r["field"]: r for r in resolve().filter("document_id = 7").collect()}
+    # The first block stands right of one anchor, the second below the other and closer.
+    assert got["station"]["anchor_id"] == "a1" and got["station"]["candidate_id"] == "7-1-1-0-station" and got["model"]["anchor_id"] is None

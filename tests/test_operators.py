@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 import random
+import re
 import tempfile
 import time
 from pathlib import Path
@@ -863,3 +864,26 @@ def test_resolution_with_rules_moves_texts_once(spark):
     got = {r["field"]: r for r in resolve().filter("document_id = 7").collect()}
     # The first block stands right of one anchor, the second below the other and closer.
     assert got["station"]["anchor_id"] == "a1" and got["station"]["candidate_id"] == "7-1-1-0-station" and got["model"]["anchor_id"] is None
+
+
+def test_many_labels_in_a_line(spark):
+    """Labels of one line are looked up by their places, not each with each."""
+    n = 6000
+    line = " ".join(f"{('Station', 'Type', 'Version')[k % 3]}: v{k}" for k in range(n))
+    boxes = [(line, 0, 100, 60_000, 112), ("beside", 60_010, 100, 60_100, 112), ("further", 10, 113, 59_000, 125), ("Station: below", 0, 140, 100, 152)]
+    began = time.perf_counter()
+    out = L.labelled_fields(page_of(spark, boxes), {"station": ["Station"], "type": ["Type"], "version": ["Version"], "other": ["Version"]}, ("station",), {"version": "type", "other": "station"})
+    got = {r["field"]: r["value"] for r in out.collect()}
+    assert time.perf_counter() - began < 15
+    # What goes on below has its centre right of the first half's labels; of equally long texts the first counts.
+    assert got == {"station": "v2991 further", "type": "v1000", "version": "v1001", "other": "v2993"}
+    grid = grid_of(spark, (0, 30_000, 70_000), (90, 120, 160))
+    out = L.labelled_fields(page_of(spark, boxes[:2]), {"station": ["Station"], "version": ["Version"]}, grids=grid)
+    assert {r["field"]: r["value"] for r in out.collect()} == {"station": "v1002 Type: v1003", "version": "v5999 beside"}
+
+
+@pytest.mark.parametrize("labels", [["the", "die", "de la", "la"], ["Đường dây", "Straße", "K"], ["*", "a.b"]])
+def test_labels_are_found_where_they_begin(labels):
+    text = "bathe: the : DE LA: la: x the; die：\nThe:the: Đường DÂY: đường dây : straſse: STRASSE: Straße: K: k: *: a*: a.b: xa.b: A.B :"
+    plain = re.compile(rf"(?<!\w)(?=(?:{'|'.join(map(re.escape, labels))})\s*[:：])", re.IGNORECASE)
+    assert [m.start() for m in L.labels_pattern(labels).finditer(text)] == [m.start() for m in plain.finditer(text)] != []
